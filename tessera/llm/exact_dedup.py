@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, bit_slots, bitmap_of, in_bitmap, table, text_of
+from tessera.llm.common import SPACES, bit_slots, bitmap_of, in_bitmap, materialize, table, text_of
 
 #: Copies of one text are pre-aggregated in so many parts, so no task gets a whole hot group.
 SALTS = 64
@@ -42,6 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("_salt"),
         *([sha.alias("sha256")] if digest else []),
     )
+    rows = materialize(rows)  # about 80 bytes a row; the joins below read it three times, the texts no more
     parts = rows.groupBy("_key", "_salt").agg(F.min("_rank").alias("_best"), F.count(F.lit(1)).alias("_n"))
     groups = parts.groupBy("_key").agg(F.min("_best").alias("_keep"), F.sum("_n").alias("group_size"))
     found = parts.select("_key", "_salt").join(groups, "_key")
