@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORDS, table, text_of
+from tessera.llm.common import WORDS, materialize, table, text_of
 
 #: Rows of a source are joined with its totals in so many parts.
 SALTS = 64
@@ -53,6 +53,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     """
     size = F.regexp_count(text_of("text"), F.lit(WORDS)).cast("bigint") if size is None else size
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
+    rows = materialize(rows)  # ids, sources and sizes: texts are read once
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     t = source_targets(totals, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
