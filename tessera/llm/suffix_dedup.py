@@ -24,7 +24,7 @@ from tessera.llm.common import materialize, partitions_for, small_batches, table
 
 DEPTH, K = 50, 24
 #: Documents are packed to about so many bytes; a longer document is a pack of its own.
-PACK = 4 << 20
+PACK = 2 << 20
 POS_BITS = 26
 
 
@@ -104,19 +104,21 @@ class Pack:
         for p in sorted({*range(8, k - 7, 8), k - 8} - {0}):
             x = (x ^ self.x8[p : p + g]) * np.uint64(0xD6E8FEB86659FD93)
             x ^= x >> np.uint64(32)
-        key = (x & ~np.uint64((1 << pos_bits) - 1)) | np.arange(g, dtype=np.uint64)
-        w, low, span = depth - k + 1, key, 1  # sliding minimum over w keys by doubling
+        low = x & ~np.uint64((1 << pos_bits) - 1)
+        low |= np.arange(g, dtype=np.uint64)
+        w, span = depth - k + 1, 1  # sliding minimum over w keys by doubling
         while span * 2 <= w:
             low = np.minimum(low[: len(low) - span], low[span:])
             span *= 2
         if span < w:
             low = np.minimum(low[: len(low) - (w - span)], low[w - span :])
-        anchor = (low[:m] & np.uint64((1 << pos_bits) - 1)).astype(np.int64)
-        inside = np.zeros(m + 1, dtype=np.int32)  # 1 where a window lies within its document
+        anchor = (low[:m] & np.uint64((1 << pos_bits) - 1)).view(np.int64)
+        del low
+        inside = np.zeros(m + 1, dtype=np.int8)  # 1 where a window lies within its document
         ok = self.lengths >= depth
         np.add.at(inside, starts[ok], 1)
         np.add.at(inside, self.ends[ok] - depth + 1, -1)
-        inside = np.cumsum(inside[:m]) > 0
+        inside = np.cumsum(inside[:m], dtype=np.int8) > 0
         first = np.ones(m, dtype=bool)
         first[1:] = (anchor[1:] != anchor[:-1]) | ~inside[:-1]
         first[starts[(starts < m)]] = True
@@ -132,7 +134,10 @@ class Pack:
         # contents: the first and the last window cover a stretch, as they overlap
         content = (self.window_hash(lo) * np.uint64(0xBF58476D1CE4E5B9)) ^ self.window_hash(hi, 1) ^ (hi - lo).astype(np.uint64)
         content = (content ^ (content >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-        return lo, hi, doc, x[anchor[lo]], content ^ (content >> np.uint64(31))
+        # anchors have the smallest hashes of their windows, so they are hashed again to spread evenly
+        digit = (x[anchor[lo]] ^ np.uint64(0x2545F4914F6CDD1D)) * np.uint64(0xBF58476D1CE4E5B9)
+        digit = (digit ^ (digit >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return lo, hi, doc, digit ^ (digit >> np.uint64(32)), content ^ (content >> np.uint64(31))
 
     def least_ids(self, keys: list, doc):
         """Distinct keys in sorted order, each row's number among them, and the least id of each."""
@@ -355,8 +360,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     packs = materialize(docs.mapInArrow(_pack, "pack bigint, ids binary, none binary, lengths binary, blob binary, size bigint"), "uncompressed")
-    # about 32 MB of text, some 40 MB of entries, for each sorting task
-    n_parts = partitions_for(spark, max(8, (packs.agg(F.sum("size")).first()[0] or 0) >> 25))
+    # about 16 MB of text, some 15 MB of entries, for each sorting task
+    n_parts = partitions_for(spark, max(8, (packs.agg(F.sum("size")).first()[0] or 0) >> 24))
     one_pack = packs.sparkSession.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     try:
