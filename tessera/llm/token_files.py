@@ -1,7 +1,8 @@
 """Token ids in wavelet-matrix files: encode, write shards in id order, read back, and query without decoding.
 
-A shard file holds the ids of consecutive documents as a wavelet matrix: for each bit of an id, from the highest
-on, a plane with that bit of every id, ids being stably parted by bit from plane to plane. With ranks sampled every
+A shard file holds the ids of consecutive documents as a wavelet matrix over the shard's own alphabet, its sorted
+distinct ids: for each bit of an id's rank in it, from the highest on, a plane with that bit of every id, ids
+being stably parted by bit from plane to plane. With ranks sampled every
 RANK_BLOCK bits this gives, from the compressed file alone, any token (access), how often an id occurs before
 a place (rank) and where its j-th occurrence is (select).
 """
@@ -11,74 +12,91 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, shared_dir, small_batches, table
+from tessera.llm.common import materialize, partitions_for, shared_dir, small_batches, table
 
-MAGIC = b"WMTX1\0"
+MAGIC = b"WMTX2\0"
 RANK_BLOCK = 4096
 #: A shard is closed once it has so many ids; one longer document is a shard of its own.
-SHARD_IDS = 1 << 21
+SHARD_IDS = 1 << 20
 
 
 class WaveletMatrix:
     """Built from ids, or opened from bytes; planes decompress on first use."""
 
-    def __init__(self, n: int, bits: int, zeros: list[int], planes: list, ranks: list):
-        self.n, self.bits, self.zeros, self._planes, self._ranks = n, bits, zeros, planes, ranks
+    def __init__(self, n: int, bits: int, alphabet, zeros: list[int], planes: list, ranks: list):
+        self.n, self.bits, self.alphabet, self.zeros, self._planes, self._ranks = n, bits, alphabet, zeros, planes, ranks
 
     @classmethod
     def build(cls, ids) -> WaveletMatrix:
         import numpy as np
 
-        x = np.asarray(ids, dtype=np.uint32)
-        bits = max(1, int(x.max()).bit_length()) if len(x) else 1
+        ids = np.asarray(ids, dtype=np.uint32)
+        seen = np.bincount(ids) if len(ids) and ids.max() < 1 << 24 else None
+        alphabet = (np.unique(ids) if seen is None else np.flatnonzero(seen)).astype("<u4")
+        if seen is None:
+            x = np.searchsorted(alphabet, ids).astype(np.uint32)
+        else:
+            rank = np.zeros(len(seen), dtype=np.uint32)
+            rank[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+            x = rank[ids]
+        bits = max(1, (len(alphabet) - 1).bit_length())
+        x = x.astype(np.uint16) if bits <= 16 else x
         zeros, planes, ranks = [], [], []
+        n_blocks = -(-max(len(x), 1) // RANK_BLOCK)
         for b in range(bits - 1, -1, -1):
-            bit = ((x >> np.uint32(b)) & np.uint32(1)).astype(bool)
-            x = np.concatenate([x[~bit], x[bit]])
-            zeros.append(int(len(bit) - bit.sum()))
+            bit = (x & x.dtype.type(1 << b)) != 0
             packed = np.packbits(bit)
+            low = x[~bit]
+            zeros.append(len(low))
+            x = np.concatenate([low, x[bit]])
             planes.append(packed)
-            pad = np.zeros(-(-max(len(bit), 1) // RANK_BLOCK) * RANK_BLOCK, dtype=bool)
-            pad[: len(bit)] = bit
-            ranks.append(np.r_[0, np.cumsum(pad.reshape(-1, RANK_BLOCK).sum(axis=1))].astype(np.uint32))
-        return cls(len(ids), bits, zeros, planes, ranks)
+            blocks = np.zeros(n_blocks * RANK_BLOCK // 8, dtype=np.uint8)
+            blocks[: len(packed)] = packed
+            ones = np.bitwise_count(blocks.view(np.uint64)).reshape(n_blocks, -1).sum(axis=1, dtype=np.uint32)
+            ranks.append(np.r_[0, np.cumsum(ones)].astype(np.uint32))
+        return cls(len(ids), bits, alphabet, zeros, planes, ranks)
 
     def to_bytes(self) -> bytes:
         import struct
 
-        body = [zlib.compress(p.tobytes(), 1) for p in self._planes] + [zlib.compress(r.astype("<u4").tobytes(), 1) for r in self._ranks]
-        head = struct.pack("<QI", self.n, self.bits) + struct.pack(f"<{self.bits}Q", *self.zeros) + struct.pack(f"<{2 * self.bits}Q", *map(len, body))
+        press = zstandard.ZstdCompressor(level=1).compress
+        body = [press(p.tobytes()) for p in self._planes] + [press(r.astype("<u4").tobytes()) for r in self._ranks] + [press(self.alphabet.tobytes())]
+        head = struct.pack("<QI", self.n, self.bits) + struct.pack(f"<{self.bits}Q", *self.zeros) + struct.pack(f"<{2 * self.bits + 1}Q", *map(len, body))
         return MAGIC + head + b"".join(body)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> WaveletMatrix:
         import struct
 
+        import numpy as np
+
         if data[: len(MAGIC)] != MAGIC:
             raise ValueError("not a token file")
         at = len(MAGIC)
         n, bits = struct.unpack_from("<QI", data, at)
         at += 12
         zeros = list(struct.unpack_from(f"<{bits}Q", data, at))
-        sizes = struct.unpack_from(f"<{2 * bits}Q", data, at + 8 * bits)
-        at += 24 * bits
+        sizes = struct.unpack_from(f"<{2 * bits + 1}Q", data, at + 8 * bits)
+        at += 24 * bits + 8
         parts = []
         for s in sizes:
             parts.append(data[at : at + s])
             at += s
-        return cls(n, bits, zeros, parts[:bits], parts[bits:])
+        alphabet = np.frombuffer(zstandard.decompress(parts[-1]) if n else b"", dtype="<u4")
+        return cls(n, bits, alphabet, zeros, parts[:bits], parts[bits:-1])
 
     def _plane(self, b: int):
         import numpy as np
 
         if isinstance(self._planes[b], bytes):
-            self._planes[b] = np.frombuffer(zlib.decompress(self._planes[b]), dtype=np.uint8)
+            self._planes[b] = np.frombuffer(zstandard.decompress(self._planes[b]), dtype=np.uint8)
         if isinstance(self._ranks[b], bytes):
-            self._ranks[b] = np.frombuffer(zlib.decompress(self._ranks[b]), dtype="<u4")
+            self._ranks[b] = np.frombuffer(zstandard.decompress(self._ranks[b]), dtype="<u4")
         return self._planes[b], self._ranks[b]
 
     def _ones(self, b: int, i: int) -> int:
@@ -100,16 +118,19 @@ class WaveletMatrix:
             value = value << 1 | bit
             ones = self._ones(b, i)
             i = self.zeros[b] + ones if bit else i - ones
-        return value
+        return int(self.alphabet[value])
 
     def rank(self, token: int, i: int) -> int:
         """How often the id occurs among the first i."""
-        if token >> self.bits:
+        import numpy as np
+
+        code = int(np.searchsorted(self.alphabet, token))
+        if code == len(self.alphabet) or self.alphabet[code] != token:
             return 0
         lo, hi = 0, i
         for b in range(self.bits):
             one_lo, one_hi = self._ones(b, lo), self._ones(b, hi)
-            if token >> (self.bits - 1 - b) & 1:
+            if code >> (self.bits - 1 - b) & 1:
                 lo, hi = self.zeros[b] + one_lo, self.zeros[b] + one_hi
             else:
                 lo, hi = lo - one_lo, hi - one_hi
@@ -132,97 +153,115 @@ class WaveletMatrix:
         return lo
 
     def decode(self):
-        """All ids, by undoing the stable parting plane by plane."""
+        """All ids, by undoing the stable parting plane by plane, the last one first."""
         import numpy as np
 
-        value, at = np.zeros(self.n, dtype=np.uint32), np.arange(self.n)
-        for b in range(self.bits):
-            bit = np.unpackbits(self._plane(b)[0])[: self.n].astype(bool)
-            ones = np.cumsum(bit)
-            mine = bit[at]
-            value = value << np.uint32(1) | mine
-            at = np.where(mine, self.zeros[b] + ones[at] - 1, at - ones[at])
-        return value
+        value = np.zeros(self.n, dtype=np.uint16 if self.bits <= 16 else np.uint32)
+        for b in range(self.bits - 1, -1, -1):
+            bit = np.unpackbits(self._plane(b)[0])[: self.n].view(bool)
+            before = np.empty_like(value)
+            before[~bit] = value[: self.zeros[b]]
+            before[bit] = value[self.zeros[b] :] | value.dtype.type(1 << (self.bits - 1 - b))
+            value = before
+        return self.alphabet[value].astype(np.uint32) if self.n else value.astype(np.uint32)
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file, piece by piece from a cache of pieces.
+    """Encodes texts with a tokenizers file, each distinct piece of a call once.
 
     A byte-level pattern that starts a new piece at every space before a visible character allows texts to be cut
-    there; equal pieces have equal ids wherever they stand. New pieces go through the library in one call.
+    there; equal pieces have equal ids wherever they stand. New words go to the library's model as they are, other
+    pieces and the texts' first pieces through the whole library; words stay known for later calls.
     """
 
-    LIMIT = 600_000
+    LIMIT = 1_400_000
+    #: Spaces before one of these can't be cut at; such texts go through the library whole.
+    ODD = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    TAIL = ".,;:!?\n"
+
+    @staticmethod
+    def shared(path: str) -> Encoder:
+        """The encoder of this worker process, kept from task to task with its pieces."""
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("_held_encoders", {})
+        if path not in held:
+            held[path] = Encoder(path)
+        return held[path]
 
     def __init__(self, path: str):
+        import re
+
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
+        self.model, self.odd = self.lib.model, re.compile(self.ODD)
         self.pieces: dict[str, bytes] = {}
-        (self.line,) = self.lib.encode("\n", add_special_tokens=False).ids
+        self.ends: dict[str, bytes] = {}
+        # the model's own characters for bytes: visible ones stand for themselves, others follow from 256 on
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.shown = {c: c if c in visible else next(rest) for c in range(256)}
 
-    def _add(self, new: list[str]) -> None:
-        import numpy as np
+    def _ids(self, text: str) -> bytes:
+        from array import array
 
-        plain = [w for w in new if w.isalpha()]
-        for a in range(0, len(plain), 4096):
-            # one text of words on lines of their own; a line break before a space is always an id of its own
-            some = plain[a : a + 4096]
-            e = self.lib.encode_batch_fast(["\n".join(f" {w}" for w in some)], add_special_tokens=False)[0]
-            ids = np.array(e.ids, dtype="<u4")
-            cuts = [-1, *np.flatnonzero(ids == self.line).tolist(), len(ids)]
-            assert len(cuts) == len(some) + 1
-            data = ids.tobytes()
-            for w, x, y in zip(some, cuts, cuts[1:], strict=False):
-                self.pieces[w] = data[4 * x + 4 : 4 * y]
-        other = [w for w in new if not w.isalpha()]
-        for w, e in zip(other, self.lib.encode_batch_fast([f" {w}" for w in other], add_special_tokens=False), strict=True):
-            self.pieces[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        import re
+        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a space and letters, which are one piece of the pattern."""
+        from array import array
+
+        raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.model.tokenize("\u0120" + raw)]).tobytes()
+
+    def _new(self, piece: str) -> bytes:
+        """Ids of a space and a piece that isn't known."""
+        known = self.pieces
+        bare = piece.rstrip(self.TAIL)
+        if not bare.isalpha():
+            ids = known[piece] = self._ids(" " + piece)
+            return ids
+        ids = known.get(bare)
+        if ids is None:
+            ids = known[bare] = self._word(bare)
+        if len(bare) == len(piece):
+            return ids
+        tail = piece[len(bare) :]
+        if tail not in self.ends:
+            if len(self.ends) > 10_000:
+                self.ends.clear()
+            self.ends[tail] = self._ids(tail)
+        return ids + self.ends[tail]
+
+    def encode(self, texts: list[str]):
+        """All texts' ids end to end, and how many each has."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         if len(self.pieces) > self.LIMIT:
             self.pieces.clear()
-        unsafe, tail = re.compile(r" (?=[\s\x00-\x20\x7f-\xa0])"), re.compile(r"([.,;:!?\n]+)$")
-        heads, cut, need, firsts = [], [], set(), []
-        for text in texts:
-            if not text:
-                cut.append(None)
-                continue
-            if text.endswith(" ") or unsafe.search(text):
-                # some spaces stand before white space: cut at the others alone
-                parts = re.split(r" (?=[^\s\x00-\x20\x7f-\xa0])", text)
-            else:
-                parts = text.split(" ")
-            firsts.append(parts[0])
-            heads.append(parts[0])
-            cut.append(parts[1:])
-            need.update(parts[1:])
-        known = self.pieces
-        missing, new = [w for w in need if w not in known], set()
-        for w in missing:
-            bare = tail.sub("", w)
-            if bare != w and bare.isalpha():
-                if bare not in known:
-                    new.add(bare)
-            else:
-                new.add(w)
-        self._add(list(new))
-        ends: dict[str, bytes] = {}
-        for w in missing:
-            if w not in known:
-                bare = tail.sub("", w)
-                rest = w[len(bare) :]
-                if rest not in ends:
-                    ends[rest] = np.array(self.lib.encode(rest, add_special_tokens=False).ids, dtype="<u4").tobytes()
-                known[w] = known[bare] + ends[rest]
-        first_ids = iter([np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(heads, add_special_tokens=False)])
-        return [b"" if c is None else next(first_ids) + b"".join([known[w] for w in c]) for c in cut]
+        plain = [not (t[-1:] == " " or "  " in t or " \n" in t or self.odd.search(t)) for t in texts]
+        lists = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.string()), " ")
+        heads = [t.split(" ", 1)[0] if p else t for t, p in zip(texts, plain, strict=True)]
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        known = self.pieces.get
+        ids = [known(w) or self._new(w) if w else b"" for w in pieces]
+        ids += [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(heads, add_special_tokens=False)]
+        at, first = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()[:-1]
+        at[first] = len(pieces) + np.arange(len(texts))
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        starts, n = np.cumsum(sizes) - sizes, sizes[at]
+        where = np.repeat(starts[at] - (np.cumsum(n) - n), n)
+        where += np.arange(len(where))
+        return np.frombuffer(b"".join(ids), dtype="<u4")[where], np.add.reduceat(n, first) if len(first) else n
+
+
+#: Texts are encoded in calls of about so many characters.
+CALL_CHARS = 6 << 20
 
 
 def _write(folder: str, path: str, end_id: int, shard_ids: int):
@@ -237,37 +276,56 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, where = Encoder(path), fs.FileSystem.from_uri(folder)
+        encoder, where = Encoder.shared(path), fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         part, shard = context.partitionId(), 0
         docs: list[int | None] = []
-        ids: list[bytes] = []
-        size = 0
+        lengths: list[int] = []
+        ids: list = []
 
         def flush():
-            nonlocal docs, ids, size, shard
-            data = WaveletMatrix.build(np.frombuffer(b"".join(ids), dtype="<u4")).to_bytes()
-            name = f"{where[1]}/part-{part:06d}-{shard:05d}.wm"
-            attempt = f"{name}.{context.taskAttemptId()}"
+            nonlocal docs, ids, lengths, shard
+            matrix = WaveletMatrix.build(np.concatenate(ids))
+            file = f"part-{part:06d}-{shard:05d}.wm"
+            attempt = f"{where[1]}/{file}.{context.taskAttemptId()}"
             with where[0].open_output_stream(attempt) as f:
-                f.write(data)
-            where[0].move(attempt, name)  # a second attempt replaces the file by the same content
+                f.write(matrix.to_bytes())
+            where[0].move(attempt, f"{where[1]}/{file}")  # a second attempt replaces the file by the same content
             row = pa.RecordBatch.from_arrays(
-                [pa.array([f"part-{part:06d}-{shard:05d}.wm"]), pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([size], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in ids]], pa.list_(pa.int64()))],
+                [pa.array([file]), pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([matrix.n], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64()))],
                 names=["file", "part", "shard", "n", "doc_ids", "lengths"],
             )
-            docs, ids, size, shard = [], [], 0, shard + 1
+            docs, ids, lengths, shard = [], [], [], shard + 1
             return row
 
-        end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for doc_id, data in zip(batch.column(0).to_pylist(), encoder.encode(texts), strict=True):
-                docs.append(doc_id)
-                ids.append(data + end)
-                size += len(ids[-1]) // 4
+        def encoded(some, texts):
+            found, counts = encoder.encode(texts)
+            ends = np.cumsum(counts + 1)
+            out = np.full(len(found) + len(texts), end_id, dtype="<u4")
+            mask = np.ones(len(out), dtype=bool)
+            mask[ends - 1] = False
+            out[mask] = found
+            size, at = sum(lengths), 0
+            for doc_id, n, end in zip(some, (counts + 1).tolist(), ends.tolist(), strict=True):
+                docs.append(doc_id), lengths.append(n)
+                size += n
                 if size >= shard_ids:
+                    ids.append(out[at:end])
                     yield flush()
+                    size, at = 0, end
+            if at < len(out):
+                ids.append(out[at:])
+
+        some, texts, chars = [], [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                some.append(doc_id), texts.append(text or "")
+                chars += len(texts[-1])
+                if chars >= CALL_CHARS:
+                    yield from encoded(some, texts)
+                    some, texts, chars = [], [], 0
+        if some:
+            yield from encoded(some, texts)
         if docs:
             yield flush()
 
@@ -315,7 +373,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Digests from the files: doc_id, start, n_tokens, ids_crc32."""
-    return manifest.select("file", "first", "doc_ids", "lengths").repartition("file").mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return manifest.select("file", "first", "doc_ids", "lengths").repartition(partitions_for(manifest.sparkSession), "file").mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
