@@ -29,8 +29,9 @@ BANDS, WIDTH = 14, 3
 #: Signatures of two texts that are similar enough agree in at least so many of the 84 places, but for a chance of
 #: about 1e-7 (mean less five and a half standard deviations at similarity 0.8).
 AGREE = 47
-#: Buckets with more members are refined by the second key and then cut into blocks of so many.
-BLOCK = 1024
+#: Buckets with more members are refined by the second key, then cut into blocks of about so many, or so many
+#: times 2048 shingles, so that a block pair's sets fit in memory.
+BLOCK = 512
 
 
 def _features(k: int):
@@ -105,10 +106,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     members = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a", "b"), n_salts).cast("int").alias("salt"), F.col("a").alias("member"))
     hubs = pairs.groupBy("b").agg(F.max(n_salts).alias("_s")).select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("member"))
     wanted = materialize(members.unionByName(hubs))
-    slot = bit_slots(F.xxhash64("doc_id"), 24)
-    bits = bitmap_of(wanted.select(slot.alias("_slot")).distinct(), "_slot")  # 2 MB at most
-    texts = docs.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
-    texts = texts.join(F.broadcast(bits), "_bucket").where(in_bitmap("_slot")).select("doc_id", "text")
+    texts = texts_of(docs, wanted)
     rows = wanted.join(texts, "doc_id").select("hub", "salt", "member", "text")
     rows = rows.repartition(partitions_for(docs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
     return rows.mapInArrow(_verifier(k, percent), "a bigint, b bigint")
@@ -134,48 +132,105 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _blocks():
-    """Pairs of a block pair's members with different labels whose signatures agree enough."""
+    """Of each pair of blocks, the members that may be similar to one with another label, as a task for _exact."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
+        import xxhash
 
         width = 2 * BANDS * WIDTH
         for t in runs(batches, ["bucket", "p", "q"]):
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, width)
-            rep, label, block = (t.column(c).to_numpy() for c in ("rep", "label", "block"))
+            rep, label, block, n = (t.column(c).to_numpy() for c in ("rep", "label", "block", "n_shingles"))
             p, q = t.column("p")[0].as_py(), t.column("q")[0].as_py()
             first, second = np.flatnonzero(block == p), np.flatnonzero(block == q)
-            a_out, b_out = [], []
+            may = np.zeros(len(rep), dtype=bool)
             for i in first:
-                other = second[label[second] != label[i]]
+                other = second[(label[second] != label[i]) & (5 * np.minimum(n[second], n[i]) >= 4 * np.maximum(n[second], n[i]))]
                 if p == q:
                     other = other[other > i]
                 if len(other):
                     hit = other[(sig[other] == sig[i]).sum(axis=1) >= AGREE]
-                    a_out.append(rep[hit])
-                    b_out.append(np.full(len(hit), rep[i]))
-            if a_out:
-                a, b = np.concatenate(a_out), np.concatenate(b_out)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+                    may[hit] = True
+                    may[i] |= len(hit) > 0
+            if may.any():
+                task = xxhash.xxh3_64_intdigest(np.array([t.column("bucket")[0].as_py(), p, q], dtype=np.int64).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(may.sum(), task, dtype=np.uint64).view(np.int64)), pa.array(rep[may]), pa.array(label[may])], names=["task", "rep", "label"])
 
     return run
 
 
-def _rest(members: DataFrame, labels: DataFrame, feats: DataFrame) -> DataFrame:
-    """Candidate pairs that the first round left in different components."""
+def _exact(k: int, percent: int):
+    """Links between labels within a task, on full sets: at most one for each two labels that are already joined by none."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        hashes = WordHashes()
+        for t in runs(batches, ["task"]):
+            rep, label = t.column("rep").to_numpy(), t.column("label").to_numpy()
+            sets = [shingle_set(ascii_words(x), k, hashes) for x in t.column("text").to_pylist()]
+            size = np.array([len(s) for s in sets])
+            flat, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(flat, kind="stable")
+            flat, of = flat[order], of[order]
+            labels, counts = np.unique(label, return_counts=True)
+            most, joined, out = labels[np.argmax(counts)], {x: x for x in labels.tolist()}, []
+
+            def root(x, joined=joined):
+                while joined[x] != x:
+                    joined[x] = joined[joined[x]]
+                    x = joined[x]
+                return x
+
+            for i in np.flatnonzero(label != most):
+                lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+                n = hi - lo
+                at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                both = np.bincount(of[at], minlength=len(sets))
+                for j in np.flatnonzero((100 * both >= percent * (size + size[i] - both)) & (label != label[i])):
+                    x, y = root(int(label[i])), root(int(label[j]))
+                    if x != y:
+                        joined[x] = y
+                        out.append((max(int(rep[i]), int(rep[j])), min(int(rep[i]), int(rep[j]))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _multi(rows: DataFrame) -> DataFrame:
+    """Members of buckets that still hold several labels, with the bucket's rows and shingles."""
+    rows = with_group(rows.withColumn("_one", F.lit(1)), ["bucket"], "rep", {"lo": ("min", "label"), "hi": ("max", "label"), "n": ("sum", "_one"), "w": ("sum", "n_shingles")})
+    return rows.where("lo <> hi").select("bucket", "rep", "label", "n_shingles", "n", "w")
+
+
+def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links that the first round left out: between members of one bucket in different components."""
     rows = members.join(labels, members.rep == labels.v, "left").select("bucket", "rep", F.coalesce("c", "rep").alias("label"))
-    rows = with_group(rows.withColumn("_one", F.lit(1)), ["bucket"], "rep", {"lo": ("min", "label"), "hi": ("max", "label"), "n": ("sum", "_one")}).where("lo <> hi").select("bucket", "rep", "label", "n")
-    rows = materialize(rows)
-    few = rows.where(F.col("n") <= BLOCK).join(feats.select("rep", "sig"), "rep").select("bucket", "rep", "label", "sig", "n")
-    many = rows.where(F.col("n") > BLOCK).join(feats.select("rep", "sig", "two"), "rep")
-    many = many.select("rep", "label", "sig", "bucket", F.posexplode("two").alias("j", "two")).withColumn("bucket", F.xxhash64("bucket", "j", "two"))
-    many = with_group(many.withColumn("_one", F.lit(1)), ["bucket"], "rep", {"lo": ("min", "label"), "hi": ("max", "label"), "n": ("sum", "_one")}).where("lo <> hi").select("bucket", "rep", "label", "sig", "n")
-    rows = few.unionByName(many).withColumn("_k", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).select("bucket", "rep", "label", "sig", "block", F.least("block", "_o").alias("p"), F.greatest("block", "_o").alias("q"))
-    rows = rows.repartition(partitions_for(rows.sparkSession), "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    return rows.mapInArrow(_blocks(), "a bigint, b bigint").distinct()
+    rows = materialize(_multi(rows.join(sets.select("rep", "n_shingles"), "rep")))
+    many = rows.where(F.col("n") > BLOCK).drop("n", "w").join(sets.select("rep", "two"), "rep")
+    many = _multi(many.select("rep", "label", "n_shingles", "bucket", F.posexplode("two").alias("j", "two")).withColumn("bucket", F.xxhash64("bucket", "j", "two")))
+    rows = rows.where(F.col("n") <= BLOCK).unionByName(many)
+    rows = rows.withColumn("_k", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / (BLOCK << 11))).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).join(sets.select("rep", "sig"), "rep")
+    rows = rows.select("bucket", "rep", "label", "n_shingles", "sig", "block", F.least("block", "_o").alias("p"), F.greatest("block", "_o").alias("q"))
+    parts = partitions_for(rows.sparkSession)
+    rows = rows.repartition(parts, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
+    tasks = materialize(rows.mapInArrow(_blocks(), "task bigint, rep bigint, label bigint"))
+    texts = texts_of(docs, tasks.select(F.col("rep").alias("doc_id")))
+    dealt = tasks.join(texts, tasks.rep == texts.doc_id).select("task", "rep", "label", "text").repartition(parts, "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(_exact(k, percent), "a bigint, b bigint").distinct()
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows that may be wanted: a bitmap of 2 MB at most thins them before any shuffle."""
+    slot = bit_slots(F.xxhash64("doc_id"), 24)
+    bits = bitmap_of(ids.select(slot.alias("_slot")).distinct(), "_slot")
+    texts = docs.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
+    return texts.join(F.broadcast(bits), "_bucket").where(in_bitmap("_slot")).select("doc_id", "text")
 
 
 @small_batches
@@ -188,9 +243,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     1. Texts with equal sets collapse to the smallest id. 2. First keys with one text drop out; the rest pair
     with second keys to table keys. Each table's texts become candidates with the smallest id in it, and verified
-    ones link. 3. Buckets that still hold different components go through all pairs between components, in
-    blocks, with signatures as a sieve and then full sets: what is similar to a table's other members but not to
-    its smallest one is found there. So no link is lost in a hot group, and a group that linked costs no pairs.
+    ones link. 3. In buckets that still hold different components, a sieve (sizes and signatures, in blocks) finds the
+    texts that may be similar to one of another component; full sets of a block pair's texts then meet in one
+    task: what is similar to a table's other members but not to its smallest one is found there. So no link is lost in a hot group, and a group that linked costs no pairs.
 
     Rows with a null id are kept and linked with nothing. Repeated rows are copies of one another.
     """
@@ -199,7 +254,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     usable = feats.where("fp is not null and doc_id is not null")
     reps = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     # one row per set: the row of the smallest id, found without collecting a group
-    sets = usable.join(reps, (usable.fp == reps.fp) & (usable.doc_id == reps.rep)).dropDuplicates(["rep"]).select("rep", "one", "two", "sig")
+    sets = usable.join(reps, (usable.fp == reps.fp) & (usable.doc_id == reps.rep)).dropDuplicates(["rep"]).select("rep", "n_shingles", "one", "two", "sig")
     sets = materialize(sets, "lz4")
 
     ones = sets.select("rep", F.posexplode("one").alias("i", "key")).select("rep", F.xxhash64("i", "key").alias("bucket"))
@@ -209,8 +264,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = materialize(verified(materialize(pairs), docs, words, percent))
     labels = components(links)
 
-    more = materialize(_rest(members, labels, sets))
-    found = materialize(verified(more, docs, words, percent))
+    found = materialize(_rest(members, labels, sets, docs, words, percent))
     if not found.isEmpty():
         labels = components(links.unionByName(found))
 
