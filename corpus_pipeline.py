@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches, table
+from tessera.llm.common import fresh, materialize, small_batches, table
 from tessera.llm.decontaminate import without_leaks
 from tessera.llm.mixing import mix_rows
 from tessera.llm.near_dedup import near_dedup
@@ -24,8 +24,9 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (5-word shingles, similarity 0.8) stays, the smallest doc_id."""
-    gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti").select(*docs.columns)
+    key = fresh(docs, "_gone_id")
+    gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORDS, materialize, table, text_of
+from tessera.llm.common import WORDS, fresh, materialize, table, text_of
 
 #: Rows of a source are joined with its totals in so many parts.
 SALTS = 64
@@ -90,9 +90,10 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
 
     Where rows repeat a doc_id, each gets the largest number of copies among them.
     """
-    copies = mix(docs, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    out = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    key, n, copy = (fresh(docs, x) for x in ("_mixed_id", "_mixed_copies", "_mixed_copy"))
+    copies = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(n))
+    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

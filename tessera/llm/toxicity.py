@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
@@ -11,16 +12,18 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, small_batches, table
 
-#: The bounds of the training sample: rows of each class, and characters of each such row.
-TRAIN_ROWS, TRAIN_CHARS = 1500, 8000
+#: The bounds of the training sample: toxic rows, other rows, and characters of each row.
+TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1500, 4000, 8000
+#: The chance of taking any feature for a mark that isn't one.
+FAMILY_ERROR = 0.05
 #: A chain is a run of so many words of a document; chains are cut alike in training and scoring.
 CHAIN = 64
 STRIP = ".,;:!?\"'()[]{}<>*#@_-+=~|/\\`$%^&0123456789"
 
 
 def features(word: str) -> list[str]:
-    """The word and its first letters, from four on."""
-    return [f"={word}", *[f"^{word[:n]}" for n in (4, 5, 6, 7, 8) if len(word) >= n]]
+    """The word and its first letters, from three on."""
+    return [f"={word}", *[f"^{word[:n]}" for n in range(3, min(len(word), 8) + 1)]]
 
 
 @dataclass
@@ -87,20 +90,27 @@ def sigmoid(x):
 def label_words(texts: list[list[str]], toxic: list[int]) -> set[str]:
     """Features that mark toxic documents: the words that carry one get label 1 in toxic documents.
 
-    A feature marks if it is in three toxic training documents at least and its odds of being in
-    a toxic one are twenty times those of being in another.
+    A feature marks if it is in so many toxic documents and so few others that, were toxic ones a random
+    choice, any of all features would reach that with a chance under FAMILY_ERROR (Chernoff's bound on the binomial).
     """
     seen = (Counter(), Counter())
     for words, y in zip(texts, toxic, strict=True):
         seen[y].update({f for w in set(words) for f in features(w)})
-    n1, n0 = sum(toxic), len(toxic) - sum(toxic)
-    return {f for f, c in seen[1].items() if c >= 3 and (c + 0.5) / (n1 + 1) >= 20 * (seen[0][f] + 0.5) / (n0 + 1)}
+    n1, n0 = sum(seen[1].values()), sum(seen[0].values())
+    share, need = n1 / max(1, n1 + n0), math.log((len(seen[1]) + 1) / FAMILY_ERROR)
+
+    def evidence(c: int, z: int) -> float:
+        p = c / (c + z)
+        return (c + z) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if z else 0.0)) if p > share else 0.0
+
+    return {f for f, c in seen[1].items() if evidence(c, seen[0][f]) > need}
 
 
 def train(docs: list[tuple[str, int]], steps: int = 30) -> Crf:
     """Fit the field on labelled words by Adagrad on the exact gradient, then the document score on its marginals."""
     import numpy as np
 
+    docs = list(dict(sorted(docs)).items())  # copies of a text are no further evidence
     texts, toxic = [[w.strip(STRIP) for w in words_of(t)] for t, _ in docs], [y for _, y in docs]
     if not sum(toxic) or sum(toxic) == len(toxic):
         return Crf(final=(0.0, 0.0, 0.0, 20.0 if sum(toxic) else -20.0))
@@ -231,12 +241,12 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Crf:
-    """Train on at most `rows` rows of each class, the first by a hash of the id, never held-out ones."""
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, other: int = TRAIN_OTHER, chars: int = TRAIN_CHARS) -> Crf:
+    """Train on at most `toxic` and `other` rows of the classes, the first by a hash of the id, never held-out ones."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    sample = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
-    some = materialize(sample[0].unionByName(sample[1]))  # 2 * rows rows, so it can be broadcast
+    sample = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, other), (1, toxic))]
+    some = materialize(sample[0].unionByName(sample[1]))  # toxic + other rows, so it can be broadcast
     got = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()
     by_id = {r.doc_id: (r.text, r.toxic) for r in sorted(got, key=lambda r: (r.doc_id, r.text))}
     return train([by_id[i] for i in sorted(by_id)])
