@@ -1,6 +1,560 @@
-"""Registered queries and their SQL oracles."""
+"""Registered queries of the image operators, and what DuckDB must find on the same tables."""
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import color, scalars
+from tessera.operators import blocks, choice, filters, screen, transform
+from tessera.sources import planes
+from tessera.sources.planes import E_SQL, M_SQL, QUANT_SQL, REPEAT_SQL, RGB_SQL, clip
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Integer results are compared as 64-bit integers.
+WIDE = {"tinyint", "smallint", "int", "bigint"}
+
+
+def query(name: str, sql: str | None, *, ints: bool = True):
+    """Register a query: integers are widened, the image key goes (all carriers are one image)."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir).drop("image")
+            return df.select(*[F.col(c).cast("bigint").alias(c) if t in WIDE else F.col(c) for c, t in df.dtypes])
+
+        run.__name__, run.__doc__ = name, f.__doc__
+        QUERIES[name] = run
+        if sql:
+            head, _, body = re.sub(r"\bby\b", '"by"', sql).rpartition("=>")  # as a name; the keyword is in capitals
+            ORACLES[name] = f"WITH {head} SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({body})" if ints else f"WITH {head} {body}"
+        return f
+
+    return add
+
+
+LV_SQL = ", b AS (SELECT y // 8 AS by, x // 8 AS bx, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS s, sum(v * v)::DOUBLE AS q FROM p GROUP BY ALL), lv AS (SELECT by, bx, ln(1 + greatest(0, q / n - (s / n) * (s / n))) AS lv FROM b)"
+AQ_SQL = M_SQL + LV_SQL + """, g AS (SELECT by // 4 AS gy, bx // 4 AS gx, avg(lv) AS lv FROM lv GROUP BY ALL),
+d AS (SELECT max(gy) // 2 + 1 AS h, max(gx) // 2 + 1 AS w FROM g),
+spine AS (SELECT ctu, quad, (ctu // w) * 2 + quad // 2 AS gy, (ctu % w) * 2 + quad % 2 AS gx FROM d, range((SELECT h * w FROM d)) c(ctu), range(4) q(quad)),
+o AS (SELECT ctu, quad, lv, coalesce(greatest(-3, least(3, round(1.25 * (lv - avg(lv) OVER ())))), 0) AS o FROM spine LEFT JOIN g USING (gy, gx)),
+aq AS (SELECT ctu, quad, CASE WHEN lv IS NULL THEN 0 ELSE greatest(-3, least(3, o - round(avg(o) OVER ()))) END AS off FROM o)"""
+
+
+@query("aq_offsets", AQ_SQL + "=> SELECT ctu, quad, off FROM aq")
+def aq_offsets(spark, d):
+    """AGG-01, AGG-02, SCL-01, SCL-02, SCL-05: QP offsets of 32x32 groups."""
+    return blocks.aq_offsets(planes.m_plane(spark, d))
+
+
+@query("block_stats_8", E_SQL + "=> SELECT y // 8 AS by, x // 8 AS bx, count(*) AS n, sum(v) AS total, sum(v * v) AS squares, count(DISTINCT v) AS colours, min(v) AS low, max(v) AS high FROM p GROUP BY ALL")
+def block_stats(spark, d):
+    """AGG-01, FLT-14: statistics of 8x8 blocks."""
+    return blocks.block_stats(planes.e_plane(spark, d))
+
+
+@query("octile_rank", M_SQL + LV_SQL + """, l AS (SELECT by // 8 AS cy, bx // 8 AS cx, list_sort(list(lv)) AS l, count(*) AS n FROM lv GROUP BY ALL)
+=> SELECT cy, cx, n, round((l[greatest(1, CAST(ceil(n * 3 / 8) AS INT))] + 2 * l[greatest(1, CAST(ceil(n * 4 / 8) AS INT))] + l[greatest(1, CAST(ceil(n * 5 / 8) AS INT))]) / 4, 6) AS blend FROM l""", ints=False)
+def octile_rank(spark, d):
+    """AGG-03: the blend of log variances at octile ranks."""
+    return blocks.octile_blend(planes.m_plane(spark, d))
+
+
+AROUND = "LEFT JOIN p {0} ON {0}.y = p.y + ({1}) AND {0}.x = p.x + ({2}) AND {0}.y // 64 = p.y // 64 AND {0}.x // 64 = p.x // 64"
+
+
+@query("laplacian_ctu", E_SQL + ", z AS (SELECT p.y // 64 AS cy, p.x // 64 AS cx, abs(4 * p.v - l.v - r.v - t.v - u.v) AS e FROM p " + " ".join(AROUND.format(*a) for a in (("l", 0, -1), ("r", 0, 1), ("t", -1, 0), ("u", 1, 0))) + ") => SELECT cy, cx, count(e) AS n, coalesce(sum(e), 0) AS energy FROM z GROUP BY ALL")
+def laplacian_ctu(spark, d):
+    """AGG-04: Laplacian energy inside each CTU."""
+    return blocks.laplacian(planes.e_plane(spark, d))
+
+
+@query("boosts", M_SQL + LV_SQL + """, c AS (SELECT by // 8 AS cy, bx // 8 AS cx, avg(lv) AS lv FROM lv GROUP BY ALL), m AS (SELECT y // 64 AS cy, x // 64 AS cx, avg(v) AS mean FROM p GROUP BY ALL)
+=> SELECT cy, cx, round(greatest(0, least(1, (5.549076::DOUBLE - lv) / 5.549076::DOUBLE)) * (6.0::DOUBLE / 7) * 0.575::DOUBLE, 6) AS flat,
+   round(greatest(0, least(1, ln(1 + lv * (greatest(1, least(4, pow(72 / (16 + mean), 1.2::DOUBLE))) - 1)) / 4.1743875::DOUBLE)) * (6.0::DOUBLE / 7) * 0.75::DOUBLE, 6) AS dark FROM c JOIN m USING (cy, cx)""", ints=False)
+def boosts(spark, d):
+    """SCL-03, SCL-04: flat and dark protection of CTUs at QP 38 (the log variance stands for the energy)."""
+    p = planes.m_plane(spark, d)
+    c = blocks.log_variances(p).groupBy("image", blocks.at("by", 8).alias("cy"), blocks.at("bx", 8).alias("cx")).agg(F.avg("lv").alias("lv"))
+    m = p.groupBy("image", blocks.at("y", 64).alias("cy"), blocks.at("x", 64).alias("cx")).agg(F.avg("v").alias("mean"))
+    return c.join(m, ["image", "cy", "cx"]).select("cy", "cx", F.round(blocks.flat_boost(F.col("lv"), 38), 6).alias("flat"), F.round(blocks.dark_boost(F.col("mean"), F.col("lv"), 38), 6).alias("dark"))
+
+
+@query("chroma_qp_offset", M_SQL + LV_SQL + ", c AS (SELECT avg(lv) AS lv FROM lv GROUP BY by // 8, bx // 8) => SELECT -round(4 * greatest(0, least(1, (avg(lv) - 1.2) / 1.4))) AS off FROM c")
+def chroma_qp_offset(spark, d):
+    """AGG-11, AGG-12: the picture's chroma QP offset."""
+    return blocks.chroma_qp_offset(planes.m_plane(spark, d))
+
+
+YCC_SQL = RGB_SQL + ", ycc0 AS (SELECT *, greatest(0, least(255, (2449 * r + 4808 * g + 933 * b + 4096) >> 13)) AS l FROM rgb), ycc AS (SELECT y, x, l, 128 + (((b - l) * 4623 + 4096) >> 13) AS cb, 128 + (((r - l) * 5843 + 4096) >> 13) AS cr FROM ycc0)"
+
+
+@query("rgb_to_ycc444", YCC_SQL + "=> SELECT y, x, l AS luma, greatest(0, least(255, cb)) AS cb, greatest(0, least(255, cr)) AS cr FROM ycc")
+def rgb_to_ycc444(spark, d):
+    """PRJ-01, PRJ-02, PRJ-03, PRJ-04, SCL-19: colour conversion without subsampling."""
+    return color.to_ycc(planes.rgb_pixels(spark, d)).select("y", "x", F.col("y_").alias("luma"), clip(0, 255, F.col("cb")).alias("cb"), clip(0, 255, F.col("cr")).alias("cr"))
+
+
+def _pairs(c: str, rows: int) -> str:
+    line = lambda dy: f"greatest(0, least(255, coalesce((max({c}) FILTER (y % {rows} = {dy} AND x % 2 = 0) + max({c}) FILTER (y % {rows} = {dy} AND x % 2 = 1) + 1) >> 1, max({c}) FILTER (y % {rows} = {dy} AND x % 2 = 0))))"
+    if rows == 1:
+        return line(0)
+    return f"CASE WHEN count(*) FILTER (y % 2 = 1) = 0 THEN {line(0)} ELSE ({line(0)} + {line(1)} + 1) >> 1 END"
+
+
+@query("chroma_420", YCC_SQL + f"=> SELECT y // 2 AS cy, x // 2 AS cx, {_pairs('cb', 2)} AS cb, {_pairs('cr', 2)} AS cr FROM ycc GROUP BY ALL")
+def chroma_420(spark, d):
+    """AGG-13, PRJ-04: 4:2:0 chroma in three roundings, odd edges too."""
+    return color.subsampled(planes.rgb_pixels(spark, d))
+
+
+@query("chroma_422", YCC_SQL + f"=> SELECT y AS cy, x // 2 AS cx, {_pairs('cb', 1)} AS cb, {_pairs('cr', 1)} AS cr FROM ycc GROUP BY ALL")
+def chroma_422(spark, d):
+    """AGG-13, PRJ-04: 4:2:2 chroma."""
+    return color.subsampled(planes.rgb_pixels(spark, d), rows=1)
+
+
+@query("gbr_pack", RGB_SQL + "=> SELECT y, x, g AS p0, b AS p1, r AS p2 FROM rgb")
+def gbr_pack(spark, d):
+    """PRJ-06: the lossless channel permutation."""
+    return color.to_gbr(planes.rgb_pixels(spark, d))
+
+
+@query("ycgco", RGB_SQL + "=> SELECT y, x, (g >> 1) + ((r + b) >> 2) AS luma, (g >> 1) - ((r + b) >> 2) + 128 AS cg, ((r - b) >> 1) + 128 AS co FROM rgb")
+def ycgco(spark, d):
+    """PRJ-05: the YCgCo-style projection."""
+    return color.to_ycgco(planes.rgb_pixels(spark, d))
+
+
+@query("mono_planes", E_SQL + "=> SELECT y, x, v AS luma, 0 AS chroma FROM p")
+def mono_planes(spark, d):
+    """PRJ-07: a plane alone is a picture without chroma."""
+    return planes.e_plane(spark, d).select("y", "x", F.col("v").alias("luma"), F.size(F.array().cast("array<int>")).alias("chroma"))
+
+
+@query("pad_replicate", E_SQL + ", d AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM p), s2 AS (SELECT yy AS y, xx AS x, h, w FROM d, range(CAST(ceil((SELECT h FROM d) / 48.0) * 48 AS BIGINT)) a(yy), range(CAST(ceil((SELECT w FROM d) / 48.0) * 48 AS BIGINT)) b(xx)) => SELECT s2.y, s2.x, v FROM s2 JOIN p ON p.y = least(s2.y, h - 1) AND p.x = least(s2.x, w - 1)")
+def pad_replicate(spark, d):
+    """PART-03, PART-04, PART-05, PART-09: edges replicated up to multiples of 48."""
+    return blocks.padded(planes.e_plane(spark, d), 48)
+
+
+@query("grid_cells", E_SQL + '=> SELECT y // 128 AS "row", x // 32 AS col, count(*) AS n, sum(v * ((y % 128) * 32 + x % 32)) AS weighted FROM p GROUP BY ALL')
+def grid_cells(spark, d):
+    """PART-01, PART-06, PART-07: samples dealt to cells with places inside (summed up here)."""
+    cells = blocks.grid_cells(planes.e_plane(spark, d), 128).withColumns({"col": F.floor(F.col("x") / 32).cast("int"), "x": F.col("x") % 32})
+    return cells.groupBy("image", "row", "col").agg(F.count("v").alias("n"), F.sum(F.col("v") * (F.col("y") * 32 + F.col("x"))).alias("weighted"))
+
+
+@query("cell_bias", AQ_SQL + ", k AS (SELECT ctu, quad, ctu // 2 AS \"row\", 0 AS col, off FROM aq), m AS (SELECT *, greatest(-12, least(12, round(avg(off) OVER (PARTITION BY \"row\")))) AS bias FROM k) => SELECT ctu, quad, \"row\", col, bias, greatest(-3, least(3, off - bias)) AS off FROM m")
+def cell_bias(spark, d):
+    """PART-10: each cell's mean offset becomes its QP bias (the plane is one CTU wide, cells two CTUs high)."""
+    return blocks.cell_bias(blocks.aq_offsets(planes.m_plane(spark, d)), 1, 2)
+
+
+@query("split_score_32", M_SQL + """, g AS (SELECT p.*, p.y // 32 AS cy, p.x // 32 AS cx, p.v - l.v AS dx, p.v - u.v AS dy FROM p LEFT JOIN p l ON l.y = p.y AND l.x = p.x - 1 AND l.x // 32 = p.x // 32 LEFT JOIN p u ON u.x = p.x AND u.y = p.y - 1 AND u.y // 32 = p.y // 32),
+q AS (SELECT cy, cx, avg(var) AS within FROM (SELECT cy, cx, y % 32 // 16 AS a, x % 32 // 16 AS b, greatest(0, sum(v * v)::DOUBLE / 256 - (sum(v)::DOUBLE / 256) * (sum(v)::DOUBLE / 256)) AS var FROM g GROUP BY ALL) GROUP BY ALL),
+t AS (SELECT cy, cx, greatest(0, sum(v * v)::DOUBLE / 1024 - (sum(v)::DOUBLE / 1024) * (sum(v)::DOUBLE / 1024)) AS var, max(v) - min(v) AS rng, coalesce(sum(dx * dx) FILTER (x % 32 = 16), 0) + coalesce(sum(dy * dy) FILTER (y % 32 = 16), 0) AS mid,
+  sum(abs(dx)) + sum(abs(dy)) AS grad, abs(sum(dx)) + abs(sum(dy)) AS net FROM g GROUP BY ALL HAVING count(*) = 1024),
+u AS (SELECT *, CASE WHEN grad = 0 THEN 1 ELSE least(1, net::DOUBLE / grad::DOUBLE) END AS coh FROM t JOIN q USING (cy, cx)),
+w AS (SELECT *, (greatest(0, var - within) * 1024 * (1 - coh) * (1 - coh) + mid::DOUBLE * 0.35::DOUBLE) / (36.48::DOUBLE * 52) AS score FROM u)
+=> SELECT cy, cx, round(CASE WHEN rng <= 3 AND var <= 5.1 THEN 0 WHEN within >= 108 AND grad::DOUBLE / 1984 >= 9 AND coh < 0.55 THEN greatest(1.25::DOUBLE, score) ELSE score END, 6) AS score FROM w""", ints=False)
+def split_score_32(spark, d):
+    """AGG-05, RDO-03: the split score of 32x32 blocks."""
+    return blocks.split_score(planes.m_plane(spark, d))
+
+
+DIFF_SQL = ", dd AS (SELECT a.y, a.x, a.v, b.v AS rec, a.v - b.v AS d FROM p a JOIN p b ON a.x = b.x AND a.y = b.y + 4)"
+
+
+@query("sse_blocks", E_SQL + DIFF_SQL + "=> SELECT y // 8 AS by, x // 8 AS bx, sum(d * d) AS sse FROM dd GROUP BY ALL")
+def sse_blocks(spark, d):
+    """AGG-06, AGG-07: squared error of 8x8 blocks against the samples four rows above."""
+    return blocks.sse(blocks.against_above(planes.e_plane(spark, d)))
+
+
+@query("sse_bounded", E_SQL + DIFF_SQL + "=> SELECT y // 8 AS by, x // 8 AS bx, sum(d * d) AS sse FROM dd GROUP BY ALL HAVING sum(d * d) < 130000")
+def sse_bounded(spark, d):
+    """AGG-14: blocks whose error stays under a bound."""
+    return blocks.sse(blocks.against_above(planes.e_plane(spark, d))).where("sse < 130000")
+
+
+@query("satd_4x4", E_SQL + DIFF_SQL + """, h AS (SELECT y // 4 AS ty, x // 4 AS tx, i, j, sum(CASE WHEN (bit_count((y % 4) & i::INT) + bit_count((x % 4) & j::INT)) % 2 = 1 THEN -d ELSE d END) AS c, count(*) AS n FROM dd, range(4) a(i), range(4) b(j) GROUP BY ALL),
+t AS (SELECT ty, tx, (CAST(sum(abs(c)) AS BIGINT) + 1) >> 1 AS cost FROM h WHERE n = 16 GROUP BY ALL) => SELECT ty // 2 AS by, tx // 2 AS bx, sum(cost) AS satd FROM t GROUP BY ALL""")
+def satd_4x4(spark, d):
+    """AGG-08: Hadamard cost."""
+    return blocks.satd(blocks.against_above(planes.e_plane(spark, d)))
+
+
+@query("reconstruct", E_SQL + DIFF_SQL + "=> SELECT y, x, d AS residual, greatest(0, least(255, rec + d * 2)) AS rebuilt FROM dd")
+def reconstruct(spark, d):
+    """PRJ-08, PRJ-09: residuals, and prediction plus (doubled) residual, clipped."""
+    pairs = blocks.against_above(planes.e_plane(spark, d)).join(planes.e_plane(spark, d), ["image", "y", "x"])
+    return pairs.select("y", "x", F.col("d").alias("residual"), clip(0, 255, F.col("v") - F.col("d") + F.col("d") * 2).alias("rebuilt"))
+
+
+ZBITS = " + ".join(f"(((x % 64) // 4 >> {i}) % 2) * {1 << 2 * i} + (((y % 64) // 4 >> {i}) % 2) * {2 << 2 * i}" for i in range(4))
+
+
+@query("morton_order", E_SQL + f"=> SELECT y, x, (y // 64 * 1 + x // 64) * 256 + {ZBITS} AS z FROM p WHERE y % 4 = 0 AND x % 4 = 0")
+def morton_order(spark, d):
+    """PRJ-13: decode order of 4x4 units."""
+    return planes.e_plane(spark, d).where("y % 4 = 0 and x % 4 = 0").select("y", "x", scalars.decode_order(F.col("y"), F.col("x"), 1).alias("z"))
+
+
+@query("available_neighbours", E_SQL + f", z AS (SELECT y, x, (y // 64) * 256 + {ZBITS} AS z FROM p WHERE y % 8 = 0 AND x % 8 = 0) => SELECT a.y, a.x, b.y - a.y AS dy, b.x - a.x AS dx FROM z a JOIN z b ON abs(b.y - a.y) <= 8 AND abs(b.x - a.x) <= 8 AND b.z < a.z")
+def available_neighbours(spark, d):
+    """FLT-08, FLT-09, JOIN-07, JOIN-08: the neighbours that are decoded before a block."""
+    z = planes.e_plane(spark, d).where("y % 8 = 0 and x % 8 = 0").select("image", "y", "x", scalars.decode_order(F.col("y"), F.col("x"), 1).alias("z"))
+    around = F.array(*[F.struct(F.lit(8 * i).alias("dy"), F.lit(8 * j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    asked = z.select("image", "y", "x", "z", F.inline(around)).withColumns({"ny": F.col("y") + F.col("dy"), "nx": F.col("x") + F.col("dx")})
+    there = z.select("image", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("z").alias("nz"))
+    return asked.join(there, ["image", "ny", "nx"]).where("nz < z").select("y", "x", "dy", "dx")
+
+
+@query("snake_scan", E_SQL + "=> SELECT y, x, (y % 8) * 8 + CASE WHEN y % 2 = 1 THEN 7 - x % 8 ELSE x % 8 END AS k FROM p")
+def snake_scan(spark, d):
+    """PRJ-11: the traverse scan."""
+    return planes.e_plane(spark, d).select("y", "x", scalars.snake(F.col("y") % 8, F.col("x") % 8, 8).alias("k"))
+
+
+@query("diagonal_scan", E_SQL + ", k AS (SELECT r, c, row_number() OVER (ORDER BY r + c, r DESC) - 1 AS k FROM range(8) a(r), range(8) b(c)) => SELECT y, x, v, k FROM p JOIN k ON r = y % 8 AND c = x % 8")
+def diagonal_scan(spark, d):
+    """TOPK-07: the up-right diagonal scan of 8x8 blocks."""
+    places = {p: i for i, p in enumerate(transform.diagonal_order(8))}
+    at = F.element_at(F.array(*[F.lit(places[r, c]) for r in range(8) for c in range(8)]), F.col("y") % 8 * 8 + F.col("x") % 8 + 1)
+    return planes.e_plane(spark, d).select("y", "x", "v", at.alias("k"))
+
+
+@query("qp_map", "q AS (SELECT CAST(i AS INT) AS quality FROM range(1, 101) r(i)) => SELECT quality, least(51, (100 - quality) * 41 // 99 + 10) AS qp FROM q")
+def qp_map(spark, d):
+    """SCL-06: quality to QP."""
+    return spark.range(1, 101).select(F.col("id").alias("quality"), scalars.quality_to_qp(F.col("id")).alias("qp"))
+
+
+def _ladder(column: str, pairs, last: int) -> str:
+    return "CASE " + " ".join(f"WHEN {column} <= {a} THEN {b}" for a, b in pairs) + f" ELSE {last} END"
+
+
+@query("level_idc", "q AS (SELECT w * 97 AS w, h * 89 AS h FROM range(1, 60) a(w), range(1, 60) b(h)), z AS (SELECT w, h, (w + 63) // 64 * 64 * ((h + 63) // 64 * 64) AS n FROM q) => SELECT w, h, " + _ladder("n", scalars.LEVELS, 186) + " AS level FROM z")
+def level_idc(spark, d):
+    """SCL-08, PART-09: the smallest level that holds a picture."""
+    sizes = spark.range(59 * 59).select(((F.col("id") % 59 + 1) * 97).alias("w"), ((F.floor(F.col("id") / 59) + 1) * 89).alias("h"))
+    return sizes.select("w", "h", scalars.level_idc(F.col("w"), F.col("h")).alias("level"))
+
+
+@query("chroma_qp_map", "q AS (SELECT i AS qp, o AS \"offset\", greatest(0, least(57, i + o)) AS c FROM range(0, 52) a(i), range(-12, 13) b(o)) => SELECT qp, \"offset\", CASE WHEN c < 30 THEN c WHEN c > 43 THEN c - 6 ELSE [29, 30, 31, 32, 33, 33, 34, 34, 35, 35, 36, 36, 37, 37][c - 29] END AS chroma FROM q")
+def chroma_qp_map(spark, d):
+    """SCL-07: chroma QP of 4:2:0."""
+    q = spark.range(52 * 25).select(F.floor(F.col("id") / 25).alias("qp"), (F.col("id") % 25 - 12).alias("offset"))
+    return q.select("qp", "offset", scalars.chroma_qp(F.col("qp"), F.col("offset")).alias("chroma"))
+
+
+@query("lambda_map", "q AS (SELECT i AS qp FROM range(0, 52) a(i)) => SELECT qp, round(0.57::DOUBLE * pow(2.0::DOUBLE, (qp - 12) / 3.0::DOUBLE), 6) AS lam FROM q", ints=False)
+def lambda_map(spark, d):
+    """SCL-07: the multiplier of rate."""
+    return spark.range(52).select(F.col("id").alias("qp"), F.round(scalars.rd_lambda(F.col("id")), 6).alias("lam"))
+
+
+@query("valid_dims", "q AS (SELECT i * 1171 AS w, j * 977 AS h FROM range(0, 30) a(i), range(0, 30) b(j)) => SELECT w, h, (w > 512 OR h > 512)::INT AS grid, (w * h > 35651584 OR w > 16888 OR h > 16888)::INT AS oversize FROM q WHERE w BETWEEN 1 AND 16384 AND h BETWEEN 1 AND 16384")
+def valid_dims(spark, d):
+    """FLT-01, FLT-06: valid sizes, and which of them need a grid."""
+    q = spark.range(900).select((F.floor(F.col("id") / 30) * 1171).alias("w"), (F.col("id") % 30 * 977).alias("h"))
+    q = q.where("w between 1 and 16384 and h between 1 and 16384")
+    return q.select("w", "h", ((F.col("w") > 512) | (F.col("h") > 512)).cast("int").alias("grid"), ((F.col("w") * F.col("h") > 35651584) | (F.col("w") > 16888) | (F.col("h") > 16888)).cast("int").alias("oversize"))
+
+
+BAND_SQL = ", bands AS (SELECT y // 64 AS cy, x // 64 AS cx, rec >> 3 AS band, count(*) AS n, CAST(sum(v - rec) AS BIGINT) AS err FROM dd GROUP BY ALL)"
+OFFSET_SQL = """, m AS (SELECT *, (CASE WHEN err < 0 THEN -1 WHEN err > 0 THEN 1 ELSE 0 END) AS sg, least(7, (abs(err) + n // 2) // n) AS top FROM bands), o AS (SELECT m.*, i, sg * i AS o FROM m, range(8) r(i) WHERE i <= top),
+c AS (SELECT *, n * o * o - 2 * err * o + 36.48::DOUBLE * (i + (i < 7)::INT + (i > 0)::INT) AS cost FROM o), best AS (SELECT cy, cx, band, o AS off FROM c QUALIFY row_number() OVER (PARTITION BY cy, cx, band ORDER BY cost, i) = 1)"""
+
+
+def pairs_above(spark, d):
+    p = planes.e_plane(spark, d)
+    return p.withColumn("rec", F.lag("v", 4).over(blocks.W.partitionBy("image", "x").orderBy("y"))).where("rec is not null")
+
+
+@query("sao_band_hist", E_SQL + DIFF_SQL + BAND_SQL + "=> SELECT * FROM bands")
+def sao_band_hist(spark, d):
+    """AGG-09: band histogram of each CTU."""
+    return filters.sao_bands(pairs_above(spark, d))
+
+
+EDGE_SQL = ", lim AS (SELECT max(y) AS h, max(x) AS w, min(y) AS t FROM dd), ee AS (" + " UNION ALL ".join(
+    f"SELECT c.y // 64 AS cy, c.x // 64 AS cx, {k} AS dir, sign(c.rec - a.rec) + sign(c.rec - b.rec) AS s, c.d FROM dd c JOIN dd a ON a.y = c.y - ({dy}) AND a.x = c.x - ({dx}) JOIN dd b ON b.y = c.y + ({dy}) AND b.x = c.x + ({dx}), lim WHERE c.y > 0 AND c.x > 0 AND c.y < h AND c.x < w" for k, (dx, dy) in enumerate(filters.DIRECTIONS)
+) + ")"
+
+
+@query("sao_edge_hist", E_SQL + DIFF_SQL + EDGE_SQL + '=> SELECT cy, cx, dir, CASE WHEN s < 0 THEN s + 2 ELSE s + 1 END AS "class", count(*) AS n, sum(d) AS err FROM ee WHERE s <> 0 GROUP BY ALL')
+def sao_edge_hist(spark, d):
+    """AGG-09: edge classes of each CTU in four directions."""
+    return filters.sao_edges(pairs_above(spark, d))
+
+
+@query("sao_best_band", E_SQL + DIFF_SQL + BAND_SQL + OFFSET_SQL + "=> SELECT * FROM best")
+def sao_best_band(spark, d):
+    """TOPK-06: the offset of least cost of each band."""
+    return filters.best_offsets(filters.sao_bands(pairs_above(spark, d)), ["image", "cy", "cx", "band"], 36.48)
+
+
+@query("sao_apply", E_SQL + DIFF_SQL + BAND_SQL + OFFSET_SQL + "=> SELECT p.y, p.x, greatest(0, least(255, v + coalesce(off, 0))) AS v FROM p LEFT JOIN best ON cy = p.y // 64 AND cx = p.x // 64 AND band = p.v >> 3")
+def sao_apply(spark, d):
+    """WIN-05: band offsets added, with the parameters of each CTU."""
+    best = filters.best_offsets(filters.sao_bands(pairs_above(spark, d)), ["image", "cy", "cx", "band"], 36.48)
+    return filters.sao_apply_band(planes.e_plane(spark, d), best)
+
+
+def _deblock_sql(source: str, name: str, across: str, along: str, qp: int) -> str:
+    """One pass over `source` as `name`: lines of eight samples by edge, decisions joined from lines 0 and 3."""
+    beta, tc = filters.BETA[qp], filters.TC[qp + 2]
+    cols = ["p3", "p2", "p1", "p0", "q0", "q1", "q2", "q3"]
+    pick = ", ".join(f"max(v) FILTER (({across} + 4) % 8 = {i}) AS {c}" for i, c in enumerate(cols))
+    near = lambda old, new, by: f"greatest(0, least(255, greatest({old} - {by}, least({old} + {by}, {new}))))"
+    strong = {
+        "p2": near("p2", "(2 * p3 + 3 * p2 + p1 + p0 + q0 + 4) >> 3", 2 * tc), "p1": near("p1", "(p2 + p1 + p0 + q0 + 2) >> 2", 2 * tc), "p0": near("p0", "(p2 + 2 * p1 + 2 * p0 + 2 * q0 + q1 + 4) >> 3", 2 * tc),
+        "q0": near("q0", "(p1 + 2 * p0 + 2 * q0 + 2 * q1 + q2 + 4) >> 3", 2 * tc), "q1": near("q1", "(p0 + q0 + q1 + q2 + 2) >> 2", 2 * tc), "q2": near("q2", "(p0 + q0 + q1 + 3 * q2 + 2 * q3 + 4) >> 3", 2 * tc),
+    }
+    side = lambda a, b, c, s: f"greatest(0, least(255, {b} + greatest({-(tc >> 1)}, least({tc >> 1}, (((({a} + {c} + 1) >> 1) - {b} {s}) >> 1)))))"
+    normal = {
+        "p1": f"CASE WHEN abs(raw) < {10 * tc} AND sp < {(beta + (beta >> 1)) >> 3} THEN {side('p2', 'p1', 'p0', '+ st')} ELSE p1 END", "p0": f"CASE WHEN abs(raw) < {10 * tc} THEN greatest(0, least(255, p0 + st)) ELSE p0 END",
+        "q0": f"CASE WHEN abs(raw) < {10 * tc} THEN greatest(0, least(255, q0 - st)) ELSE q0 END", "q1": f"CASE WHEN abs(raw) < {10 * tc} AND sq < {(beta + (beta >> 1)) >> 3} THEN {side('q2', 'q1', 'q0', '- st')} ELSE q1 END",
+    }
+    new = ", ".join(f"CASE WHEN how = 2 THEN {strong.get(c, c)} WHEN how = 1 THEN {normal.get(c, c)} ELSE {c} END AS n{c}" for c in cols)
+    back = " UNION ALL ".join(f"SELECT e * 8 - 4 + {i} AS {across}, s * 4 + k AS {along}, n{c} AS v FROM {name}_n WHERE n{c} IS NOT NULL" for i, c in enumerate(cols))
+    return f""", {name}_l AS (SELECT {along} // 4 AS s, {along} % 4 AS k, ({across} + 4) // 8 AS e, {pick} FROM {source} GROUP BY ALL),
+{name}_d AS (SELECT s, e, count(*) FILTER (p3 IS NOT NULL AND q3 IS NOT NULL) AS n, sum(abs(p2 - 2 * p1 + p0)) FILTER (k IN (0, 3)) AS sp, sum(abs(q2 - 2 * q1 + q0)) FILTER (k IN (0, 3)) AS sq,
+  bool_and(2 * (abs(p2 - 2 * p1 + p0) + abs(q2 - 2 * q1 + q0)) < {beta >> 2} AND abs(p3 - p0) + abs(q0 - q3) < {beta >> 3} AND abs(p0 - q0) < {(5 * tc + 1) >> 1}) FILTER (k IN (0, 3)) AS strong FROM {name}_l GROUP BY ALL),
+{name}_h AS (SELECT l.*, sp, sq, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4 AS raw, greatest({-tc}, least({tc}, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4)) AS st, CASE WHEN n < 4 OR sp + sq >= {beta} THEN 0 WHEN strong THEN 2 ELSE 1 END AS how FROM {name}_l l JOIN {name}_d USING (s, e)),
+{name}_n AS (SELECT s, k, e, {new} FROM {name}_h), {name} AS ({back})"""
+
+
+@query("deblock_v_pass", E_SQL + _deblock_sql("p", "d1", "x", "y", 38) + "=> SELECT y, x, v FROM d1")
+def deblock_v_pass(spark, d):
+    """WIN-01, WIN-02, WIN-04: vertical edges at QP 38."""
+    return filters.deblock_pass(planes.e_plane(spark, d), 38)
+
+
+@query("deblock_both", E_SQL + _deblock_sql("p", "d1", "x", "y", 45) + _deblock_sql("d1", "d2", "y", "x", 45) + "=> SELECT y, x, v FROM d2")
+def deblock_both(spark, d):
+    """WIN-01, WIN-02: both passes at QP 45."""
+    return filters.deblock(planes.e_plane(spark, d), 45)
+
+
+REFS_SQL = ", refs AS (SELECT y AS line, x AS pos, v FROM p)"
+
+
+@query("ref_smooth_121", E_SQL + "=> SELECT a.y AS line, a.x AS pos, coalesce((l.v + 2 * a.v + r.v + 2) >> 2, a.v) AS v FROM p a LEFT JOIN p l ON l.y = a.y AND l.x = a.x - 1 LEFT JOIN p r ON r.y = a.y AND r.x = a.x + 1")
+def ref_smooth_121(spark, d):
+    """WIN-06: smoothing along lines of references."""
+    return filters.smooth_121(planes.e_plane(spark, d).select("image", F.col("y").alias("line"), F.col("x").alias("pos"), "v"))
+
+
+@query("ref_fill", E_SQL + """, r AS (SELECT y AS line, x AS pos, CASE WHEN v % 3 = 0 OR (y % 5 = 0 AND x < 9) OR y % 41 = 0 THEN NULL ELSE v END AS v FROM p)
+=> SELECT line, pos, coalesce((SELECT arg_max(b.v, b.pos) FROM r b WHERE b.line = a.line AND b.pos <= a.pos AND b.v IS NOT NULL), (SELECT arg_min(b.v, b.pos) FROM r b WHERE b.line = a.line AND b.v IS NOT NULL), 128) AS v FROM r a""")
+def ref_fill(spark, d):
+    """JOIN-06: gaps in references filled."""
+    gone = (F.col("v") % 3 == 0) | ((F.col("y") % 5 == 0) & (F.col("x") < 9)) | (F.col("y") % 41 == 0)
+    return filters.fill_references(planes.e_plane(spark, d).select("image", F.col("y").alias("line"), F.col("x").alias("pos"), F.when(~gone, F.col("v")).alias("v")))
+
+
+@query("rdpcm_fwd", E_SQL + "=> SELECT y, x, v - CASE WHEN x % 8 = 0 THEN 0 ELSE lag(v) OVER (PARTITION BY y ORDER BY x) END AS d FROM p")
+def rdpcm_fwd(spark, d):
+    """WIN-07: differences along rows of 8x8 blocks."""
+    return filters.row_deltas(planes.e_plane(spark, d))
+
+
+@query("rdpcm_inv", E_SQL + "=> SELECT y, x, v FROM p")
+def rdpcm_inv(spark, d):
+    """WIN-07: sums of the differences give the samples back."""
+    return filters.row_sums(filters.row_deltas(planes.e_plane(spark, d)))
+
+
+@query("index_runs", QUANT_SQL + """, k AS (SELECT y // 8 AS by, x // 8 AS bx, (y % 8) * 8 + CASE WHEN y % 2 = 1 THEN 7 - x % 8 ELSE x % 8 END AS k, v FROM p),
+i AS (SELECT *, k - row_number() OVER (PARTITION BY by, bx, v ORDER BY k) AS island FROM k) => SELECT by, bx, min(k) AS start, count(*) AS length, v AS value FROM i GROUP BY by, bx, v, island""")
+def index_runs(spark, d):
+    """WIN-08, PRJ-11: runs of equal indices along the traverse scan."""
+    return screen.index_runs(planes.quant_plane(spark, d))
+
+
+SIG_SQL = ", sig AS (SELECT y // 8 AS by, x // 8 AS bx, list(v ORDER BY y, x) AS k FROM p GROUP BY ALL HAVING min(v) < max(v) AND count(*) = 64), last AS (SELECT * FROM sig QUALIFY row_number() OVER (PARTITION BY k ORDER BY by DESC, bx DESC) <= 12), cand AS (SELECT a.by, a.bx, b.by AS sy, b.bx AS sx, b.bx - a.bx AS vx, b.by - a.by AS vy FROM sig a JOIN last b ON a.k = b.k WHERE (b.by, b.bx) < (a.by, a.bx))"
+
+
+@query("block_dup_join", REPEAT_SQL + SIG_SQL + "=> SELECT * FROM cand")
+def block_dup_join(spark, d):
+    """JOIN-01, JOIN-02, FLT-10, SCL-18: earlier blocks of equal content, and their vectors."""
+    return screen.repeated_blocks(planes.repeat_plane(spark, d))
+
+
+@query("copy_vectors", REPEAT_SQL + SIG_SQL + ", b AS (SELECT *, length(bin(abs(vx) + 1)) + length(bin(abs(vy) + 1)) AS bits FROM cand) => SELECT by, bx, bits, sy, sx FROM b QUALIFY row_number() OVER (PARTITION BY by, bx ORDER BY bits, sy DESC, sx DESC) = 1")
+def copy_vectors(spark, d):
+    """JOIN-03: the cheapest vector of each block."""
+    return screen.copy_vectors(screen.repeated_blocks(planes.repeat_plane(spark, d)))
+
+
+HIST_SQL = ", hist AS (SELECT y // 8 AS by, x // 8 AS bx, v AS colour, count(*) AS n, min((y % 8) * 8 + x % 8) AS first FROM p GROUP BY ALL), pal AS (SELECT by, bx, row_number() OVER (PARTITION BY by, bx ORDER BY n DESC, first) - 1 AS idx, colour, n FROM hist QUALIFY count(*) OVER (PARTITION BY by, bx) * 2 <= sum(n) OVER (PARTITION BY by, bx))"
+
+
+@query("palette_hist", QUANT_SQL + HIST_SQL + "=> SELECT * FROM pal")
+def palette_hist(spark, d):
+    """AGG-10, SET-01, PRJ-12: palettes by frequency, then first place."""
+    return screen.palettes(planes.quant_plane(spark, d))
+
+
+@query("palette_assign", QUANT_SQL + HIST_SQL + """, few AS (SELECT * FROM pal WHERE idx < 3), a AS (SELECT p.y, p.x, abs(p.v - colour) AS far, idx FROM p JOIN few ON by = p.y // 8 AND bx = p.x // 8 QUALIFY row_number() OVER (PARTITION BY p.y, p.x ORDER BY abs(p.v - colour), idx) = 1)
+=> SELECT y, x, CASE WHEN far <= 1 THEN idx ELSE -1 END AS idx FROM a""")
+def palette_assign(spark, d):
+    """JOIN-04, AGG-17, FLT-15: nearest of three entries, escapes beyond a tolerance of one."""
+    p = planes.quant_plane(spark, d)
+    return screen.nearest_entry(p, screen.palettes(p).where("idx < 3"), 1)
+
+
+@query("palette_predictor", QUANT_SQL + HIST_SQL + ", l AS (SELECT by, bx, list(colour ORDER BY idx) AS cur FROM pal GROUP BY ALL), w AS (SELECT by, bx, cur, lag(cur) OVER (ORDER BY by, bx) AS old FROM l), u AS (SELECT by, bx, list_concat(cur, list_filter(coalesce(old, []), lambda c: NOT list_contains(cur, c))) AS n FROM w) => SELECT by, bx, i - 1 AS idx, n[i] AS colour FROM u, range(1, 9) r(i) WHERE i <= length(n)")
+def palette_predictor(spark, d):
+    """SET-02: the predictor after each block: its palette, then the old entries it didn't reuse."""
+    rows = screen.palettes(planes.quant_plane(spark, d)).groupBy("image", "by", "bx").agg(F.array_sort(F.collect_list(F.struct("idx", "colour")))["colour"].alias("cur"))
+    rows = rows.withColumn("old", F.coalesce(F.lag("cur").over(blocks.W.partitionBy("image").orderBy("by", "bx")), F.array().cast("array<int>")))
+    reused = F.transform("old", lambda c: F.array_contains("cur", c))
+    return rows.select("by", "bx", F.posexplode(screen.palette_update(F.col("cur"), F.col("old"), reused, 8)).alias("idx", "colour"))
+
+
+@query("parity_filter", REPEAT_SQL + SIG_SQL + "=> SELECT by, bx, vx, vy FROM cand WHERE vx % 2 = 0 AND vy % 2 = 0")
+def parity_filter(spark, d):
+    """FLT-11: vectors that are legal with subsampled chroma."""
+    return screen.repeated_blocks(planes.repeat_plane(spark, d)).where("vx % 2 = 0 and vy % 2 = 0").select("by", "bx", "vx", "vy")
+
+
+def _modes_sql() -> str:
+    ref = lambda n, y, x: f"JOIN p {n} ON {n}.y = {y} AND {n}.x = {x}"
+    by, bx = "(a.y // 8 * 8)", "(a.x // 8 * 8)"
+    joins = " ".join([ref("l", "a.y", f"{bx} - 1"), ref("t", f"{by} - 1", "a.x"), ref("tr", f"{by} - 1", f"{bx} + 8"), ref("bl", f"{by} + 8", f"{bx} - 1")])
+    return f""", tops AS (SELECT (y + 1) // 8 AS by, x // 8 AS bx, sum(v) AS t FROM p WHERE y % 8 = 7 GROUP BY ALL), lefts AS (SELECT y // 8 AS by, (x + 1) // 8 AS bx, sum(v) AS l FROM p WHERE x % 8 = 7 GROUP BY ALL),
+pr AS (SELECT a.y // 8 AS by, a.x // 8 AS bx, a.v, (((7 - a.x % 8) * l.v + (a.x % 8 + 1) * tr.v + (7 - a.y % 8) * t.v + (a.y % 8 + 1) * bl.v + 8) >> 4) AS m0, t.v AS m26, l.v AS m10 FROM p a {joins}),
+co AS (SELECT by, bx, sum(abs(v - m0)) + 8 AS c0, sum(abs(v - ((CAST(t + l AS BIGINT) + 8) >> 4))) + 12 AS c1, sum(abs(v - m26)) + 12 AS c26, sum(abs(v - m10)) + 24 AS c10 FROM pr JOIN tops USING (by, bx) JOIN lefts USING (by, bx) GROUP BY ALL),
+modes AS (SELECT by, bx, 0 AS mode, 0 AS eval_order, c0 AS cost FROM co UNION ALL SELECT by, bx, 1, 1, c1 FROM co UNION ALL SELECT by, bx, 26, 2, c26 FROM co UNION ALL SELECT by, bx, 10, 3, c10 FROM co)"""
+
+
+@query("mode_costs", E_SQL + _modes_sql() + "=> SELECT * FROM modes")
+def mode_costs(spark, d):
+    """SCL-17, JOIN-05, RDO-01, RDO-12: costs of planar, DC, vertical and horizontal prediction from source references."""
+    return choice.mode_costs(planes.e_plane(spark, d))
+
+
+@query("top_modes", E_SQL + _modes_sql() + ", r AS (SELECT *, row_number() OVER (PARTITION BY by, bx ORDER BY cost, eval_order) AS rank, min(cost) OVER (PARTITION BY by, bx) AS best FROM modes) => SELECT by, bx, mode, eval_order, cost, rank FROM r WHERE rank <= 2 OR (rank <= 3 AND cost * 5 <= best * 6)")
+def top_modes(spark, d):
+    """TOPK-01, TOPK-02, TOPK-03: the best candidates, beyond two only near the best."""
+    return choice.ranked(choice.mode_costs(planes.e_plane(spark, d)), ["image", "by", "bx"], 3)
+
+
+@query("chroma_candidates", E_SQL + _modes_sql() + ", r AS (SELECT *, row_number() OVER (PARTITION BY by, bx ORDER BY cost, eval_order) AS rank, min(cost) OVER (PARTITION BY by, bx) AS best FROM modes) => SELECT by, bx, mode, rank FROM r WHERE rank = 1 OR (rank = 2 AND cost * 100 <= best * 105)")
+def chroma_candidates(spark, d):
+    """TOPK-04, TOPK-05: the second candidate only within five hundredths."""
+    rows = choice.ranked(choice.mode_costs(planes.e_plane(spark, d)), ["image", "by", "bx"], 2)
+    best = F.min("cost").over(blocks.W.partitionBy("image", "by", "bx"))
+    return rows.withColumn("best", best).where("rank = 1 or cost * 100 <= best * 105").select("by", "bx", "mode", "rank")
+
+
+def _dct_sql(n: int, kind: str = "dct") -> str:
+    log2n, t = n.bit_length() - 1, transform.basis(kind, n)
+    m = "t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {c}, {v})" for k, line in enumerate(t) for c, v in enumerate(line)) + ") t(k, c, w))"
+    s1, s2 = log2n - 1, log2n + 6
+    first = f"(CAST(sum(w * d) AS BIGINT) + {1 << (s1 - 1)}) >> {s1}" if s1 > 0 else "CAST(sum(w * d) AS BIGINT)"
+    return f""", {m}, a1 AS (SELECT y // {n} AS by, x // {n} AS bx, y % {n} AS r, k AS col, {first} AS v FROM (SELECT y, x, v - 128 AS d FROM p) JOIN t ON c = x % {n} GROUP BY ALL HAVING count(*) = {n}),
+co AS (SELECT by, bx, k AS "row", col, (CAST(sum(w * v) AS BIGINT) + {1 << (s2 - 1)}) >> {s2} AS c FROM a1 JOIN t ON c = r GROUP BY by, bx, k, col HAVING count(*) = {n})"""
+
+
+def centred(spark, d):
+    return planes.e_plane(spark, d).select("image", "y", "x", (F.col("v") - 128).alias("d"))
+
+
+def _transform(name: str, n: int, kind: str) -> None:
+    @query(name, E_SQL + _dct_sql(n, kind) + "=> SELECT * FROM co")
+    def run(spark, d):
+        return transform.forward(centred(spark, d), n, kind)
+
+    run.__doc__ = f"SCL-11: {n}-point {kind}."
+
+
+for _name, _n, _kind in (("dct4", 4, "dct"), ("dst4", 4, "dst"), ("dct8", 8, "dct"), ("dct16", 16, "dct")):
+    _transform(_name, _n, _kind)
+
+
+def _inverse_sql(n: int) -> str:
+    return f""", b1 AS (SELECT by, bx, col, t.c AS r, greatest(-32768, least(32767, (CAST(sum(w * co.c) AS BIGINT) + 64) >> 7)) AS v FROM co JOIN t ON t.k = co."row" GROUP BY by, bx, col, t.c),
+inv AS (SELECT by, bx, r, t.c AS q, (CAST(sum(w * v) AS BIGINT) + 2048) >> 12 AS d FROM b1 JOIN t ON t.k = col GROUP BY by, bx, r, t.c)"""
+
+
+@query("idct8", E_SQL + _dct_sql(8) + _inverse_sql(8) + "=> SELECT * FROM inv")
+def idct8(spark, d):
+    """SCL-12: the inverse of the forward transform, within rounding."""
+    return transform.inverse(transform.forward(centred(spark, d), 8), 8)
+
+
+QUANT_DEQUANT_SQL = ', l AS (SELECT *, greatest(-32768, least(32767, sign(c) * ((abs(c) * 18396 + (171 << 13)) >> 22))) AS level FROM co)'
+
+
+@query("quant_dequant", E_SQL + _dct_sql(8) + QUANT_DEQUANT_SQL + '=> SELECT by, bx, "row", col, level, greatest(-32768, least(32767, (CAST(level AS BIGINT) * (57 << 4) * 16 + 32) >> 6)) AS back FROM l')
+def quant_dequant(spark, d):
+    """SCL-13, SCL-14: levels at QP 27 and coefficients from them."""
+    c = transform.forward(centred(spark, d), 8).withColumn("level", scalars.quantised(F.col("c"), 27, 3))
+    return c.select("by", "bx", "row", "col", "level", scalars.dequantised(F.col("level"), 27, 3).alias("back"))
+
+
+@query("hidden_signs", E_SQL + _dct_sql(4) + """, l AS (SELECT by, bx, row_number() OVER (PARTITION BY by, bx ORDER BY "row" + col, "row" DESC) - 1 AS k, (abs(c) * 18396 + (171 << 14)) >> 23 AS level FROM co)
+=> SELECT by, bx, min(k) AS first, max(k) AS last, sum(level) % 2 AS parity, (max(k) - min(k) >= 4)::INT AS hidden FROM l WHERE level <> 0 GROUP BY ALL""")
+def hidden_signs(spark, d):
+    """FLT-18, SCL-15, AGG-15: where a sign hides in the parity of levels."""
+    c = transform.forward(centred(spark, d), 4)
+    return transform.hidden_signs(c.withColumn("level", scalars.quantised(F.col("c"), 27, 2)))
+
+
+@query("coded_flags", E_SQL + _dct_sql(4) + ", l AS (SELECT by, bx, max((abs(c) * 18396 + (171 << 14)) >> 23) > 0 AS f FROM co GROUP BY ALL) => SELECT by // 2 AS by, bx // 2 AS bx, count(*) FILTER (f) AS coded, bool_or(f)::INT AS \"any\" FROM l GROUP BY by // 2, bx // 2")
+def coded_flags(spark, d):
+    """AGG-15: coded flags joined up the quadtree."""
+    c = transform.forward(centred(spark, d), 4).withColumn("level", scalars.quantised(F.col("c"), 27, 2))
+    leaf = c.groupBy("image", "by", "bx").agg(F.bool_or(F.col("level") != 0).alias("f"))
+    return leaf.groupBy("image", blocks.at("by", 2).alias("by"), blocks.at("bx", 2).alias("bx")).agg(F.count_if("f").alias("coded"), F.bool_or("f").cast("int").alias("any"))
+
+
+@query("exp_golomb_bits", "q AS (SELECT i AS v FROM range(-300, 301) r(i)), z AS (SELECT v, abs(v) AS a, CASE WHEN v > 0 THEN 2 * v - 1 ELSE -2 * v END AS s FROM q) => SELECT v, repeat('0', length(bin(a + 1)) - 1) || bin(a + 1) AS ue, repeat('0', length(bin(s + 1)) - 1) || bin(s + 1) AS se FROM z", ints=False)
+def exp_golomb_bits(spark, d):
+    """BIT-01, STATE-07: Exp-Golomb codes of magnitudes and of signed values."""
+    v = F.col("id")
+    return spark.range(-300, 301).select(v.alias("v"), scalars.unsigned_golomb(F.abs(v)).alias("ue"), scalars.signed_golomb(v).alias("se"))
+
+
+@query("remaining_level_bits", "q AS (SELECT i AS v, k FROM range(0, 3000) r(i), range(0, 5) s(k)), z AS (SELECT v, k, v >> k AS head FROM q) => SELECT v, k AS rice, CASE WHEN head <= 3 THEN head + 1 + k ELSE 4 + 2 * (length(bin(head - 3)) - 1) + 1 + k END AS bits FROM z")
+def remaining_level_bits(spark, d):
+    """RDO-11, STATE-05: bins of remaining levels for each Rice parameter."""
+    q = spark.range(15000).select(F.floor(F.col("id") / 5).cast("int").alias("v"), (F.col("id") % 5).cast("int").alias("rice"))
+    out = F.lit(None).cast("int")
+    for k in range(5):
+        out = F.when(F.col("rice") == k, scalars.remaining_level_bits(F.col("v"), k)).otherwise(out)
+    return q.select("v", "rice", out.alias("bits"))
+
+
+@query("context_init", "q AS (SELECT i AS iv, j AS qp FROM range(0, 256) a(i), range(0, 52) b(j)), z AS (SELECT iv, qp, greatest(1, least(126, ((((iv >> 4) * 5 - 45) * qp) >> 4) + (((iv & 15) << 3) - 16))) AS p FROM q) => SELECT iv, qp, CASE WHEN p >= 64 THEN p - 64 ELSE 63 - p END AS state, (p >= 64)::INT AS mps FROM z")
+def context_init(spark, d):
+    """STATE-02, STATE-04: context states of all initial values and QPs."""
+    q = spark.range(256 * 52).select(F.floor(F.col("id") / 52).cast("int").alias("iv"), (F.col("id") % 52).cast("int").alias("qp"))
+    state, mps = scalars.context_state(F.col("iv"), F.col("qp"))
+    return q.select("iv", "qp", state.alias("state"), mps.alias("mps"))
+
+
+@query("split_contexts", QUANT_SQL + ", g AS (SELECT y // 8 AS by, x // 8 AS bx, count(DISTINCT v) % 3 AS depth FROM p GROUP BY ALL) => SELECT a.by, a.bx, a.depth, (coalesce(l.depth, 0) > a.depth)::INT + (coalesce(u.depth, 0) > a.depth)::INT AS context FROM g a LEFT JOIN g l ON l.by = a.by AND l.bx = a.bx - 1 LEFT JOIN g u ON u.bx = a.bx AND u.by = a.by - 1")
+def split_contexts(spark, d):
+    """WIN-10, WIN-09: how many of the left and upper neighbours are deeper."""
+    g = planes.quant_plane(spark, d).groupBy("image", blocks.at("y", 8).alias("by"), blocks.at("x", 8).alias("bx")).agg((F.count_distinct("v") % 3).alias("depth"))
+    deeper = lambda part, order: (F.coalesce(F.lag("depth").over(blocks.W.partitionBy("image", part).orderBy(order)), F.lit(0)) > F.col("depth")).cast("int")
+    return g.withColumn("context", deeper("by", "bx") + deeper("bx", "by")).select("by", "bx", "depth", "context")
+
+
+@query("boundary_strengths", REPEAT_SQL + SIG_SQL + ", v AS (SELECT by, bx, max(vy * 1000 + vx) AS bv FROM cand GROUP BY ALL) => SELECT a.by, a.bx, CASE WHEN b.bv IS NULL THEN 2 WHEN a.bv <> b.bv THEN 1 ELSE 0 END AS strength FROM v a LEFT JOIN v b ON b.by = a.by AND b.bx = a.bx - 1")
+def boundary_strengths(spark, d):
+    """WIN-11, PRJ-10: edge strength from the vectors on either side (null: intra)."""
+    v = screen.repeated_blocks(planes.repeat_plane(spark, d)).groupBy("image", "by", "bx").agg(F.max(F.col("vy") * 1000 + F.col("vx")).alias("bv"))
+    left = v.select("image", "by", (F.col("bx") + 1).alias("bx"), F.col("bv").alias("left"))
+    return v.join(left, ["image", "by", "bx"], "left").select("by", "bx", F.when(F.col("left").isNull(), 2).when(F.col("left") != F.col("bv"), 1).otherwise(0).alias("strength"))
