@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import color, scalars
 from tessera.operators import blocks, choice, filters, screen, transform
-from tessera.sources import planes
-from tessera.sources.planes import E_SQL, M_SQL, QUANT_SQL, REPEAT_SQL, RGB_SQL, clip
+from tessera.sources import images, planes
+from tessera.sources.planes import E_SQL, M_SQL, QUANT_SQL, REPEAT_SQL, RGB_SQL, S_SQL, clip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -558,3 +558,38 @@ def boundary_strengths(spark, d):
     v = screen.repeated_blocks(planes.repeat_plane(spark, d)).groupBy("image", "by", "bx").agg(F.max(F.col("vy") * 1000 + F.col("vx")).alias("bv"))
     left = v.select("image", "by", (F.col("bx") + 1).alias("bx"), F.col("bv").alias("left"))
     return v.join(left, ["image", "by", "bx"], "left").select("by", "bx", F.when(F.col("left").isNull(), 2).when(F.col("left") != F.col("bv"), 1).otherwise(0).alias("strength"))
+
+
+IMAGES_SQL = S_SQL + ", p AS (SELECT y, x, CAST(least(255, greatest(0, floor(e * 256 + 128))) AS INT) AS v FROM s)"
+
+
+def image_rows(spark: SparkSession, sf_dir: str, width: int, height: int) -> DataFrame:
+    """An image per vector; every tenth declares a row too many, every eleventh has no columns, every 13th a sample of 300."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    samples = F.transform("embedding", lambda e, i: F.when((F.col("vec_id") % 13 == 0) & (i == 5), 300).otherwise(clip(0, 255, F.floor(e.cast("double") * 256 + 128)).cast("int")))
+    w = F.when(F.col("vec_id") % 11 == 0, 0).otherwise(width)
+    return rows.select(F.col("vec_id").alias("image_id"), w.alias("width"), F.when(F.col("vec_id") % 10 == 0, height + 1).otherwise(height).alias("height"), samples.alias("samples"))
+
+
+@query("ingest_gray", IMAGES_SQL + "=> SELECT y AS image_id, x // 8 AS y, x % 8 AS x, v FROM p WHERE y % 10 <> 0 AND y % 11 <> 0 AND y % 13 <> 0")
+def ingest_gray(spark, d):
+    """SRC-10, SRC-13, SRC-16, SRC-19, SRC-21, SRC-22, FLT-03: samples of valid gray images."""
+    return images.pixels(image_rows(spark, d, 8, 8), images.LAYOUTS["gray8"])
+
+
+@query("ingest_rgba", IMAGES_SQL + "=> SELECT y AS image_id, x // 16 AS y, x // 4 % 4 AS x, max(v) FILTER (x % 4 = 0) AS r, max(v) FILTER (x % 4 = 1) AS g, max(v) FILTER (x % 4 = 2) AS b FROM p WHERE y % 10 <> 0 AND y % 11 <> 0 AND y % 13 <> 0 GROUP BY y, x // 16, x // 4 % 4")
+def ingest_rgba(spark, d):
+    """SRC-01, SRC-02, SRC-04, SRC-05, SRC-07, SRC-08: RGBA with alpha dropped."""
+    return images.pixels(image_rows(spark, d, 4, 4), images.LAYOUTS["rgba8"])
+
+
+@query("ingest_rgba_alpha", IMAGES_SQL + "=> SELECT y AS image_id, x // 16 AS y, x // 4 % 4 AS x, v AS a FROM p WHERE x % 4 = 3 AND y % 10 <> 0 AND y % 11 <> 0 AND y % 13 <> 0")
+def ingest_rgba_alpha(spark, d):
+    """SRC-03, SRC-06, SRC-09, SRC-12, SRC-15, SRC-18, SRC-20: the alpha plane kept beside the colours."""
+    return images.pixels(image_rows(spark, d, 4, 4), images.LAYOUTS["rgba8_with_alpha"]).select("image_id", "y", "x", "a")
+
+
+@query("invalid_images", "q AS (SELECT vec_id AS i FROM embeddings) => SELECT i AS image_id, CASE WHEN i % 11 = 0 THEN 'dimensions' WHEN i % 10 = 0 THEN 'length' ELSE 'range' END AS error FROM q WHERE i % 10 = 0 OR i % 11 = 0 OR i % 13 = 0", ints=False)
+def invalid_images(spark, d):
+    """FLT-01, FLT-03, FLT-05: what is wrong with images that aren't encoded."""
+    return images.invalid(image_rows(spark, d, 8, 8), images.LAYOUTS["gray8"])
