@@ -93,9 +93,14 @@ def label_words(texts: list[list[str]], toxic: list[int]) -> set[str]:
     A feature marks if it is in so many toxic documents and so few others that, were toxic ones a random
     choice, any of all features would reach that with a chance under FAMILY_ERROR (Chernoff's bound on the binomial).
     """
-    seen = (Counter(), Counter())
+    seen, known = (Counter(), Counter()), {}
     for words, y in zip(texts, toxic, strict=True):
-        seen[y].update({f for w in set(words) for f in features(w)})
+        own: set[str] = set()
+        for w in set(words):
+            if w not in known:
+                known[w] = features(w)
+            own.update(known[w])
+        seen[y].update(own)
     n1, n0 = sum(seen[1].values()), sum(seen[0].values())
     share, need = n1 / max(1, n1 + n0), math.log((len(seen[1]) + 1) / FAMILY_ERROR)
 
@@ -129,31 +134,36 @@ def train(docs: list[tuple[str, int]], steps: int = 30) -> Crf:
     gold = marked[flat] & np.repeat(np.array(toxic, dtype=bool), lengths) if sum(lengths) else np.zeros(1, dtype=bool)
     starts, sizes, of = chains(lengths)
     word, mask = laid_out(flat, starts, sizes)
-    y = laid_out(gold, starts, sizes)[0] & mask
+    # chains without any marked word have equal potentials if equally long: one of each length stands for all
+    plain = ~(marked[word] & mask).any(axis=0)
+    key = np.where(plain, -sizes, np.arange(len(sizes)))
+    _, one, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    word, mask, lengths_of = word[:, one], mask[:, one], sizes[one]
+    y = (laid_out(gold, starts, sizes)[0])[:, one] & mask
     # weights, bias, and three transitions
     theta, seen = np.zeros(len(index) + 4), np.full(len(index) + 4, 1e-8)
     theta[-4] = -4.0
     crf = Crf()
     n_pairs = mask[1:]
-    gold11, gold01, gold10 = ((a & b & n_pairs).sum() for a, b in ((y[:-1], y[1:]), (~y[:-1], y[1:]), (y[:-1], ~y[1:])))
+    gold11, gold01, gold10 = (((a & b & n_pairs) * times).sum() for a, b in ((y[:-1], y[1:]), (~y[:-1], y[1:]), (y[:-1], ~y[1:])))
     for _ in range(steps):
         per_word = np.bincount(rows, theta[cols], minlength=max(1, len(vocabulary))) + theta[-4]
         crf.enter, crf.leave, crf.stay = theta[-3:]
         e = per_word[word]
-        fwd, bwd = passes(e, sizes, crf)
+        fwd, bwd = passes(e, lengths_of, crf)
         p = sigmoid(fwd + bwd) * mask
-        q = np.bincount(word.ravel(), (p - y).ravel(), minlength=max(1, len(vocabulary)))
+        q = np.bincount(word.ravel(), ((p - y) * times).ravel(), minlength=max(1, len(vocabulary)))
         a1, b1 = sigmoid(fwd[:-1]), e[1:] + bwd[1:]
         z = {k: w * v for k, (w, v) in {"00": (1 - a1, 1.0), "01": (1 - a1, np.exp(np.clip(crf.enter + b1, -40, 40))), "10": (a1, np.exp(crf.leave)), "11": (a1, np.exp(np.clip(crf.stay + b1, -40, 40)))}.items()}
         total = sum(z.values())
-        pair = {k: float((v / total * n_pairs).sum()) for k, v in z.items()}
+        pair = {k: float((v / total * n_pairs * times).sum()) for k, v in z.items()}
         grad = np.r_[np.bincount(cols, q[rows], minlength=len(index)), q.sum(), pair["01"] - gold01, pair["10"] - gold10, pair["11"] - gold11]
         grad += 0.1 * theta
         seen += grad * grad
         theta -= 1.0 * grad / np.sqrt(seen)
     crf.weights = {f: float(theta[i]) for f, i in index.items()}
     crf.bias, (crf.enter, crf.leave, crf.stay) = float(theta[-4]), map(float, theta[-3:])
-    x = document_features(p, of, len(docs))
+    x = document_features(p[:, back], of, len(docs))
     crf.final = _logistic(x, np.array(toxic, dtype=float))
     return crf
 
