@@ -101,8 +101,8 @@ def label_words(texts: list[list[str]], toxic: list[int]) -> set[str]:
                 known[w] = features(w)
             own.update(known[w])
         seen[y].update(own)
-    n1, n0 = sum(seen[1].values()), sum(seen[0].values())
-    share, need = n1 / max(1, n1 + n0), math.log((len(seen[1]) + 1) / FAMILY_ERROR)
+    n = [sum(len(set(words)) for words, y in zip(texts, toxic, strict=True) if y == k) for k in (0, 1)]
+    share, need = n[1] / max(1, sum(n)), math.log((len(seen[1]) + 1) / FAMILY_ERROR)
 
     def evidence(c: int, z: int) -> float:
         p = c / (c + z)
@@ -115,7 +115,7 @@ def train(docs: list[tuple[str, int]], steps: int = 30) -> Crf:
     """Fit the field on labelled words by Adagrad on the exact gradient, then the document score on its marginals."""
     import numpy as np
 
-    docs = list(dict(sorted(docs)).items())  # copies of a text are no further evidence
+    docs = list(dict(sorted(docs)).items())  # copies of a text are no further evidence; toxic if any copy is
     texts, toxic = [[w.strip(STRIP) for w in words_of(t)] for t, _ in docs], [y for _, y in docs]
     if not sum(toxic) or sum(toxic) == len(toxic):
         return Crf(final=(0.0, 0.0, 0.0, 20.0 if sum(toxic) else -20.0))
