@@ -37,35 +37,98 @@ def source_targets(totals: DataFrame, weights: Sequence[float], share: float, mo
     return t.withColumn("target", F.coalesce(F.least("_cap", F.col("_final") * F.col("_w")), F.col("_cap")))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """How many copies of each document a mix takes: doc_id, size, source_size, target, copies, taken.
-
-    Each source's rate is its target over its size. The rate's whole part gives every document that many
-    certain copies. One more copy goes to a Pareto order sample of fixed size, counted in words: with
-    inclusion odds p/(1-p) of the fractional rate p and a uniform u from the document's id, documents
-    are ranked by (u/(1-u)) / (p/(1-p)) and taken from the lowest rank on while they fit the words that
-    are left. Near the boundary, later documents that fit fill what remains, twice over.
+def _rated(docs: DataFrame, id_col: str, source_col: str, size: Column | None, weights: Sequence[float], share: float, most: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their source's totals, rank and bucket; and one row per source.
 
     Ranks are cut into about sqrt(n) buckets per source, each summed alone, so neither a source with a
-    third of all rows nor the running sums meet in one task; the source's totals are joined by salted
-    keys. Null text: size 0, target of its source, 0 words. A null source is a source of its own. Rows
-    that repeat a doc_id have equal ranks. The result depends on ids and sizes alone, so reruns agree.
+    third of all rows nor the running sums meet in one task; the source's totals are joined by salted keys.
     """
     size = F.regexp_count(text_of("text"), F.lit(WORDS)).cast("bigint") if size is None else size
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"))
     rows = materialize(rows)  # ids, sources and sizes: texts are read once
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"), F.max("size").alias("_largest"))
     t = source_targets(totals, weights, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    t = t.select("source", "source_size", "target", F.floor(rate).alias("_whole"), (rate - F.floor(rate)).alias("_p"), F.ceil(F.sqrt("_rows")).alias("_buckets"))
+    t = t.select("source", "source_size", "target", "_largest", F.floor(rate).alias("_whole"), (rate - F.floor(rate)).alias("_p"), F.ceil(F.sqrt("_rows")).alias("_buckets"))
     t = t.withColumn("_left", F.col("target") - F.col("_whole") * F.col("source_size"))
-    t = t.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
+    t = t.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull()).drop("source")
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 12), 16, 10).cast("bigint").cast("double") + 0.5) / F.lit(float(1 << 48))
     rows = rows.withColumns({"_u": u, "_source": F.coalesce("source", F.lit("")), "_none": F.col("source").isNull(), "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")}).drop("source")
-    rows = rows.join(t, ["_source", "_none", "_salt"])
+    rows = rows.join(_salted(t.drop("_largest")), ["_source", "_none", "_salt"])
     odds = (F.col("_u") / (1 - F.col("_u"))) * ((1 - F.col("_p")) / F.greatest("_p", F.lit(1e-300)))
-    rows = rows.withColumns({"_q": odds, "_bucket": F.floor(F.col("_u") * F.col("_buckets"))})
+    return rows.withColumns({"_q": odds, "_bucket": F.floor(F.col("_u") * F.col("_buckets"))}), t
+
 
+def _salted(sources: DataFrame) -> DataFrame:
+    return sources.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _copies(rows: DataFrame, take: Column) -> DataFrame:
+    copies = F.col("_whole") + take.cast("bigint")
+    return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, *, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """How many copies of each document a mix takes: doc_id, size, source_size, target, copies, taken.
+
+    Each source's rate is its target over its size. The rate's whole part gives every document that many
+    certain copies. One more copy goes to a Pareto order sample of fixed size, counted in words: with
+    inclusion odds p/(1-p) of the fractional rate p and a uniform u from the document's id, documents
+    are ranked by (u/(1-u)) / (p/(1-p)), and from the lowest rank to the highest each that fits the words
+    that are left is taken. So of the documents not taken none fits what is left at the end.
+
+    Null text: size 0, target of its source, 0 words. A null source is a source of its own. Rows that
+    repeat a doc_id have equal ranks. The result depends on ids and sizes alone, so reruns agree. Sizes are
+    whole numbers.
+    """
+    rows, sources = _rated(docs, id_col, source_col, size, weights, share, most, seed)
+    in_cell = W.partitionBy("_source", "_none", "_bucket").orderBy("_q", "doc_id", "size")
+    rows = rows.withColumn("_at", F.shiftleft(F.col("_bucket").cast("bigint"), 32) + F.row_number().over(in_cell))
+    rows = materialize(rows.drop("_u", "_q", "_p", "_left", "_buckets"))
+    state = sources.where("_p > 0").select("_source", "_none", F.greatest(F.floor("_left"), F.lit(0)).cast("bigint").alias("_room"), F.lit(0).cast("bigint").alias("_from"), F.lit(True).alias("_open"), F.col("_largest").cast("bigint").alias("_largest"), F.expr("cast(array() as array<struct<after: bigint, last: bigint, below: bigint>>)").alias("_legs"))
+    state = materialize(state)
+    while not state.where("_open").isEmpty():
+        state = materialize(_leg(rows, state))
+    rows = rows.join(_salted(state.select("_source", "_none", "_legs")), ["_source", "_none", "_salt"], "left")
+    at = F.col("_at")
+    took = F.exists("_legs", lambda x: (at > x["after"]) & (((at < x["last"]) & (F.col("size") < x["below"])) | (at == x["last"])))
+    return _copies(rows, F.coalesce(took, F.lit(False)))
+
+
+def _leg(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Go on in each open source until its room falls below a power of two that it held.
+
+    Until then all smaller documents fit, so running sums of these alone tell the room before each document.
+    The leg's last document is the first smaller one that brings the room below, or the first other one that
+    fits. So a source has at most one leg for each bit of its largest size, and two more. A source without a
+    last document is at its end.
+    """
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(F.greatest(c, F.lit(1)))) - 1)
+    state = state.withColumn("_below", F.least(bit(F.col("_room")), 2 * bit(F.col("_largest"))))
+    now = _salted(state.where("_open").select("_source", "_none", "_room", "_from", "_below"))
+    r = rows.select("_source", "_none", "_salt", "_bucket", "_at", F.col("size").cast("bigint").alias("size")).join(now, ["_source", "_none", "_salt"])
+    r = r.where("_at > _from AND size <= _room").withColumn("_small", F.when(F.col("size") < F.col("_below"), F.col("size")).otherwise(0))
+    sums = r.groupBy("_source", "_none", "_bucket").agg(F.sum("_small").alias("_words"))
+    before = W.partitionBy("_source", "_none").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("_source", "_none", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before"))
+    r = r.join(sums, ["_source", "_none", "_bucket"])
+    run = F.coalesce(F.sum("_small").over(W.partitionBy("_source", "_none", "_bucket").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    r = r.withColumn("_after", F.col("_room") - F.col("_before") - run - F.col("size"))
+    last = r.where("size > 0 AND _after >= 0 AND (size >= _below OR _after < _below)").groupBy("_source", "_none").agg(F.min(F.struct("_at", "_after")).alias("_last"))
+    s = state.join(last, ["_source", "_none"], "left")
+    leg = F.struct(F.col("_from").alias("after"), F.coalesce(F.col("_last._at"), F.lit((1 << 63) - 1)).alias("last"), F.col("_below").alias("below"))
+    return s.select(
+        "_source", "_none", F.coalesce("_last._after", "_room").alias("_room"), F.coalesce("_last._at", "_from").alias("_from"),
+        F.col("_last").isNotNull().alias("_open"), "_largest", F.when(F.col("_open"), F.array_append("_legs", leg)).otherwise(F.col("_legs")).alias("_legs"),
+    )
+
+
+def mix_by_sql(docs: DataFrame) -> DataFrame:
+    """The mix as OP3_SQL states it: words left over are filled only in the boundary's bucket, in three passes.
+
+    It is that query's rule and no more: a source whose boundary document is long can stay far under its target.
+    """
+    rows, _ = _rated(docs, "doc_id", "source", None, (5, 2, 1), 1.5, 2.0, "mix")
     sums = rows.groupBy("_source", "_none", "_bucket").agg(F.sum("size").alias("_words"))
     before = W.partitionBy("_source", "_none").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("_source", "_none", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_before"))
@@ -81,8 +144,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
         rows = rows.withColumn("_new", F.col("_free") & (F.col("_run") <= F.col("_room")) & (F.col("_p") > 0))
         rows = rows.withColumn("_room", F.col("_room") - F.sum(F.when(F.col("_new"), F.col("size")).otherwise(0)).over(cell))
         rows = rows.withColumn("_take", F.col("_take") | F.col("_new"))
-    copies = F.col("_whole") + F.col("_take").cast("bigint")
-    return rows.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return _copies(rows, F.col("_take"))
 
 
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
@@ -97,7 +159,8 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """The rows of OP3_SQL, which cuts the filling of words left over; mix and the pipeline fill whole sources."""
+    return mix_by_sql(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def _round(k: int) -> str:

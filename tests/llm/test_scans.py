@@ -64,6 +64,34 @@ def test_mixing_meets_targets(tricky_docs, tricky):
             assert n <= target + 1e-6 and target - n <= largest[size, target]
 
 
+def plain_mix(rows, targets):
+    """Takes of a greedy walk by rank: (doc_id, copies)."""
+    out = {}
+    for source, target in targets.items():
+        mine = [(i, n) for i, n, s in rows if s == source]
+        whole = int(target // sum(n for _, n in mine))
+        left = target - whole * sum(n for _, n in mine)
+        for i, n in sorted(mine, key=lambda r: int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:12], 16)):
+            fits = n <= left and target > whole * sum(n for _, n in mine)
+            left -= n * fits
+            out[i] = whole + fits
+    return out
+
+
+def test_mixing_fills_past_a_long_boundary_document(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0, 1, 2, 5, 40, 300, 9000 if i % 40 == 0 else 7]), "abc"[i % 3]) for i in range(900)]
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in rows], "doc_id bigint, text string, source string").repartition(4)
+    got = mixing.mix(docs).collect()
+    source = {i: s for i, _, s in rows}
+    targets = {source[r.doc_id]: r.target for r in got}
+    assert {r.doc_id: r.copies for r in got} == plain_mix(rows, targets)
+    for s, target in targets.items():
+        mine = [r for r in got if source[r.doc_id] == s]
+        least = min(r.copies for r in mine)
+        assert 0 <= target - sum(r.taken for r in mine) + 1e-6 < 1 + min(r.size for r in mine if r.copies == least)
+
+
 def test_mixing_reruns_agree_and_rows_follow(spark, tricky_docs, empty_docs):
     a, b = ({(r.doc_id, r.size): r.taken for r in mixing.mix(d).collect()} for d in (tricky_docs, tricky_docs.repartition(3)))
     assert a == b
