@@ -89,19 +89,39 @@ def serial_correlation(values: list[int]) -> float:
     return 2 * _upper(abs(r + 1 / n) * math.sqrt(n))
 
 
+#: Letters in English prose, per thousand.
+PROSE = dict(zip("abcdefghijklmnopqrstuvwxyz", (82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 7.7, 40, 24, 67, 75, 19, 0.95, 60, 63, 91, 28, 9.8, 24, 1.5, 20, 0.74), strict=True))
+#: Log odds of a letter in prose over a uniform one, with their mean and deviation in prose.
+ODDS = {c: math.log(26 * f / sum(PROSE.values())) for c, f in PROSE.items()}
+ODDS_MEAN = sum(f * ODDS[c] for c, f in PROSE.items()) / sum(PROSE.values())
+ODDS_DEV = math.sqrt(sum(f * (ODDS[c] - ODDS_MEAN) ** 2 for c, f in PROSE.items()) / sum(PROSE.values()))
+
+
+def class_changes(token: str) -> int:
+    """Changes of class (case, digits, others); a capital or a single separator that starts a word counts once."""
+    kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in token]
+    changes = 0
+    for i, (x, y) in enumerate(zip(kind, kind[1:], strict=False)):
+        before = kind[i - 1] if i else 3
+        starts = before != x and ((x == 1 and y == 0) or (x == 3 and i > 0))
+        changes += x != y and not starts
+    return changes
+
+
 def prose_p(token: str) -> float:
-    """P of so few equal pairs and so many class changes if the token were words: small for long random ones.
+    """P of so few equal pairs, so many class changes and so rare letters if the token were words: small for long random ones.
 
-    Words repeat letters (a pair is equal with chance 0.065) and keep to one class (case, digits) from letter
-    to letter but for one in eight. Both statistics are normal for length n, so evidence grows with length.
+    Words repeat letters (a pair is equal with chance 0.065), keep to one class (case, digits) from letter
+    to letter but for one in eight, and hold common letters. The statistics are normal for length n, so evidence
+    grows with length. No single one decides: keys can be of letters alone, and of one case.
     """
     n, counts = len(token), Counter(token.lower())
     pairs, equal = n * (n - 1) / 2, sum(c * (c - 1) / 2 for c in counts.values())
     z1 = (0.065 * pairs - equal) / math.sqrt(pairs * 0.065 * 0.935 + n * n * n * 0.0006)
-    kind = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in token]
-    changes = sum(x != y for x, y in zip(kind, kind[1:], strict=False))
-    z2 = (changes - 0.125 * (n - 1)) / math.sqrt((n - 1) * 0.125 * 0.875)
-    return _upper((z1 + z2) / math.sqrt(2))
+    z2 = (class_changes(token) - 0.125 * (n - 1)) / math.sqrt((n - 1) * 0.125 * 0.875)
+    letters = [ODDS[c] for c in token.lower() if c in ODDS]
+    z3 = (ODDS_MEAN * len(letters) - sum(letters)) / (ODDS_DEV * math.sqrt(len(letters))) if letters else 0.0
+    return _upper((z1 + z2 + z3) / math.sqrt(3))
 
 
 def is_random(token: str) -> bool:
@@ -123,8 +143,7 @@ def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
         if any(a < m.end() and m.start() < b for a, b in taken):
             continue
         token = m.group()
-        digits = sum(c.isdigit() for c in token)
-        found.append((prose_p(token) if digits else 1.0, m.start(), m.end(), token))
+        found.append((prose_p(token), m.start(), m.end(), token))
     found.sort()
     last = max((i for i, x in enumerate(found, 1) if x[0] <= FDR * i / len(found)), default=0)
     return sorted((a, b) for _, a, b, token in found[:last] if is_random(token))

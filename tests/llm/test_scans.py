@@ -201,6 +201,20 @@ def test_randomness_battery():
     assert secrets_scan.prose_p("internationalization") > 0.01
 
 
+def test_secret_keys_of_letters_alone(documents):
+    """Keys without a digit are found; long compounds of a corpus's words seldom are."""
+    rng = random.Random(1)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = lambda tokens: sum(secrets_scan.random_spans(f"a key {t} here", []) == [(6, 6 + len(t))] for t in tokens) / len(tokens)
+    for letters, least in ((upper + upper.lower(), (0.95, 0.98)), (upper.lower(), (0.75, 0.93)), (upper, (0.75, 0.93))):
+        for n, share in zip((20, 40), least, strict=True):
+            assert found(["".join(rng.choice(letters) for _ in range(n)) for _ in range(400)]) > share
+    pool = [w for _, t in documents for w in re.findall(r"\b[a-z]{2,14}\b", t or "")]
+    for join in ("_".join, "-".join, "/".join, "".join, lambda ws: "".join(w.title() for w in ws)):
+        tokens = [join(pool[i : i + 6]) for i in (rng.randrange(len(pool) - 6) for _ in range(1000))]
+        assert found([t for t in tokens if len(t) >= 20]) < 0.02
+
+
 def test_sharding_laws(spark, tricky_docs, empty_docs, tricky):
     for docs in (tricky_docs, tricky_docs.repartition(2)):
         got = sharding.feistel_shards(docs).collect()
