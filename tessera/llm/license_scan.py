@@ -91,6 +91,43 @@ def best_block(words: list[bytes], t: Template, present: set[bytes] | None = Non
     return best
 
 
+def least_blocks(words: list[bytes], t: Template) -> list[tuple[int, int]]:
+    """As many disjoint blocks with enough of the template as there can be: the one that ends first, then the next after it."""
+    rank = {w: i for i, w in enumerate(t.tokens)}
+    hits = [(i, rank[w]) for i, w in enumerate(words) if w in rank]
+    out, counts, held, left = [], [0] * len(t.tokens), 0, 0
+    for at, (i, r) in enumerate(hits):
+        counts[r] += 1
+        held += counts[r] == 1
+        while hits[left][0] <= i - t.width or counts[hits[left][1]] > 1:
+            gone = hits[left][1]
+            counts[gone] -= 1
+            held -= counts[gone] == 0
+            left += 1
+        if held >= t.needed:
+            out.append((hits[left][0], i + 1))
+            counts, held, left = [0] * len(t.tokens), 0, at + 1
+    return out
+
+
+def all_blocks(words: list[bytes], t: Template, present: set[bytes] | None = None) -> tuple[int, list[tuple[int, int, int]]]:
+    """Most words held by any block, and disjoint blocks (words held, start, end), as many as there can be.
+
+    Each is the best block between the one before and the least block after it, so a text with one has its best block.
+    """
+    best = best_block(words, t, present)
+    if best is None:
+        return 0, []
+    least, out, free = least_blocks(words, t), [], 0
+    if len(least) < 2:
+        return best[0], [best]
+    for stop in [*(a for a, _ in least[1:]), len(words)]:
+        held, a, b = best_block(words[free:stop], t)
+        out.append((held, free + a, free + b))
+        free += b
+    return best[0], out
+
+
 def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     """Starts of the fixed phrases with their labels; places may overlap."""
     out = []
@@ -131,14 +168,15 @@ def _scan(templates: list[Template]):
                 words = license_words(text)
                 present = set(words)
                 places = phrase_places(words) if not present.isdisjoint((b"cc", b"general", b"all")) else []
-                blocks = []
+                blocks, most = [], 0.0
                 if not present.isdisjoint(rarest):
                     for t in templates:
-                        if b := best_block(words, t, present):
-                            blocks.append((t.label, b[0] / len(t.tokens), b[1], b[2]))
+                        held, found = all_blocks(words, t, present)
+                        most = max(most, held / len(t.tokens))
+                        blocks += [(t.label, b[0] / len(t.tokens), b[1], b[2]) for b in found]
                 base = sorted({label for _, label in places})
                 labels = sorted({*base, *(b[0] for b in blocks)})
-                score = 1.0 if places else max((b[1] for b in blocks), default=0.0)
+                score = 1.0 if places else most
                 rows.append((doc_id, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(base), ",".join(labels), score, [{"label": a, "score": s, "start": x, "end": y} for a, s, x, y in blocks]))
             types = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))]
             cols = list(zip(*rows, strict=True)) or [[]] * len(types)
@@ -153,7 +191,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     doc_id, n_words, n_base (places of fixed phrases), first_word and last_word (their smallest and largest start, null
     without any), base_labels, labels, score (1 with a fixed phrase, else the largest share of a template
-    that a block holds, 0 if none holds enough) and blocks (label, score, start, end in words).
+    that a block holds, 0 if none holds enough) and blocks (label, score, start, end in words). Of each template
+    blocks holds as many disjoint ones as there can be; a block across two of them can hold more, and then gives the score.
     The first pass counts in how many texts each template word is, over all texts; tokens are ordered by it, rarest
     first, for the prefix filter. A null text counts as empty: no words, empty labels.
     """

@@ -153,6 +153,36 @@ def test_license_scan(spark, tricky_docs, empty_docs, tricky, documents):
     assert license_scan.license_scan(empty_docs).collect() == []
 
 
+def test_license_blocks_of_several_notices(spark):
+    """All notices of one licence in a text, apart, in a row and damaged; as many as disjoint windows allow."""
+    rng = random.Random(7)
+    texts, least = [], []
+    for t in license_scan.TEMPLATES.values():
+        for n, gap, p in ((3, 40, 0), (2, 0, 0), (4, 5, 0.1), (1, 9, 0)):
+            parts = [" ".join(w for w in t.split() if rng.random() >= p) + " noise" * gap for _ in range(n)]
+            texts.append("start " + " ".join(parts))
+            least.append(n if not p else 0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    templates = {t.label: t for t in license_scan.ordered(license_scan.TEMPLATES, {})}
+    for r in license_scan.license_scan(docs).collect():
+        words = license_scan.license_words(texts[r.doc_id])
+        by = defaultdict(list)
+        for b in r.blocks:
+            by[b.label].append(b)
+        assert len(by[list(templates)[r.doc_id // 4]]) >= least[r.doc_id]
+        for label, t in templates.items():
+            most = [0]  # disjoint windows that end at or before each word
+            for e in range(1, len(words) + 1):
+                starts = [s for s in range(max(0, e - t.width), e) if len(set(words[s:e]) & set(t.tokens)) >= t.needed]
+                most.append(max([most[e - 1], *(most[s] + 1 for s in starts[-1:])]))
+            got = by[label]
+            assert len(got) == most[-1]
+            assert all(a.end <= b.start for a, b in zip(got, got[1:], strict=False))
+            for b in got:
+                held = len(set(words[b.start : b.end]) & set(t.tokens))
+                assert held >= t.needed and b.end - b.start <= t.width and b.score == held / len(t.tokens)
+
+
 def plain_secrets(text):
     out = []
     for kind, pattern, flags, group, least in (
