@@ -208,7 +208,7 @@ def morton_order(spark, d):
 
 @query("available_neighbours", E_SQL + f", z AS (SELECT y, x, (y // 64) * 256 + {ZBITS} AS z FROM p WHERE y % 8 = 0 AND x % 8 = 0) => SELECT a.y, a.x, b.y - a.y AS dy, b.x - a.x AS dx FROM z a JOIN z b ON abs(b.y - a.y) <= 8 AND abs(b.x - a.x) <= 8 AND b.z < a.z")
 def available_neighbours(spark, d):
-    """FLT-08, FLT-09, JOIN-07, JOIN-08: the neighbours that are decoded before a block."""
+    """FLT-08, FLT-09: the neighbours that are decoded before a block."""
     z = planes.e_plane(spark, d).where("y % 8 = 0 and x % 8 = 0").select("image", "y", "x", scalars.decode_order(F.col("y"), F.col("x"), 1).alias("z"))
     around = F.array(*[F.struct(F.lit(8 * i).alias("dy"), F.lit(8 * j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
     asked = z.select("image", "y", "x", "z", F.inline(around)).withColumns({"ny": F.col("y") + F.col("dy"), "nx": F.col("x") + F.col("dx")})
@@ -385,7 +385,7 @@ SIG_SQL = ", sig AS (SELECT y // 8 AS by, x // 8 AS bx, list(v ORDER BY y, x) AS
 
 @query("block_dup_join", REPEAT_SQL + SIG_SQL + "=> SELECT * FROM cand")
 def block_dup_join(spark, d):
-    """JOIN-01, JOIN-02, FLT-10, SCL-18: earlier blocks of equal content, and their vectors."""
+    """JOIN-01, JOIN-02, SCL-18, and of FLT-10 the order alone: earlier blocks of equal content, and their vectors."""
     return screen.repeated_blocks(planes.repeat_plane(spark, d))
 
 
@@ -439,7 +439,7 @@ modes AS (SELECT by, bx, 0 AS mode, 0 AS eval_order, c0 AS cost FROM co UNION AL
 
 @query("mode_costs", E_SQL + _modes_sql() + "=> SELECT * FROM modes")
 def mode_costs(spark, d):
-    """SCL-17, JOIN-05, RDO-01, RDO-12: costs of planar, DC, vertical and horizontal prediction from source references."""
+    """SCL-17, RDO-01, RDO-12, and JOIN-05 in part: costs of planar, DC, vertical and horizontal prediction from source references."""
     return choice.mode_costs(planes.e_plane(spark, d))
 
 
@@ -451,7 +451,7 @@ def top_modes(spark, d):
 
 @query("chroma_candidates", E_SQL + _modes_sql() + ", r AS (SELECT *, row_number() OVER (PARTITION BY by, bx ORDER BY cost, eval_order) AS rank, min(cost) OVER (PARTITION BY by, bx) AS best FROM modes) => SELECT by, bx, mode, rank FROM r WHERE rank = 1 OR (rank = 2 AND cost * 100 <= best * 105)")
 def chroma_candidates(spark, d):
-    """TOPK-04, TOPK-05: the second candidate only within five hundredths."""
+    """TOPK-04: the second candidate only within five hundredths."""
     rows = choice.ranked(choice.mode_costs(planes.e_plane(spark, d)), ["image", "by", "bx"], 2)
     best = F.min("cost").over(blocks.W.partitionBy("image", "by", "bx"))
     return rows.withColumn("best", best).where("rank = 1 or cost * 100 <= best * 105").select("by", "bx", "mode", "rank")
