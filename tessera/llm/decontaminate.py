@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,7 +77,7 @@ class HammingIndex:
 class Items:
     """Benchmark items by their number of shingles."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int | None, str]]):
         import numpy as np
 
         hashes = WordHashes()
@@ -150,16 +151,17 @@ class Items:
                             best[item] = (both / either, a + j, n + k - 1)
 
 
-def _passes(benchmark: DataFrame, id_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """Items in passes of bounded size, each collected alone."""
-    items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item_id is not null")
+def _passes(benchmark: DataFrame, id_col: str, text_col: str, nameless: bool = False) -> Iterator[list[tuple[int | None, str]]]:
+    """Items in passes of bounded size, each collected alone; those with a null id only if `nameless`."""
+    items = benchmark.select(F.col(id_col).cast("bigint").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    items = items if nameless else items.where("item_id is not null")
     n = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // PASS_CHARS))
     for i in range(n):
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-        yield sorted((r.item_id, r.text) for r in some.collect())
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
+        yield sorted(((r.item_id, r.text) for r in some.collect()), key=lambda x: (x[0] is not None, x))
 
 
-def _search(items: list[tuple[int, str]], id_at: int, text_at: int, drop: bool):
+def _search(items: list[tuple[int | None, str]], id_at: int, text_at: int, drop: bool):
     def run(batches):
         import pyarrow as pa
 
@@ -185,7 +187,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     5-word shingles, weighted by occurrence, is looked up among the items of that length, and all within the radius
     are verified by weighted Jaccard similarity (sum of least over sum of largest counts) of 0.8 or more. The best
     window of an item is returned. Items shorter than five words are one shingle. Null or empty texts and items
-    match nothing. A pair of similarity 0.8 lies outside the radius with a chance of about 1e-5, exact ones never.
+    match nothing, and items with a null item_id have no rows here (without_leaks searches them). A pair of similarity 0.8 lies outside the radius with a chance of about 1e-5, exact ones never.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -196,8 +198,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns. Nothing is shuffled."""
-    for items in _passes(benchmark, item_col, "text"):
+    """The documents that hold no benchmark item, whatever its item_id, with all their columns. Nothing is shuffled."""
+    for items in _passes(benchmark, item_col, "text", nameless=True):
         docs = docs.mapInArrow(_search(items, docs.columns.index(id_col), docs.columns.index(text_col), True), docs.schema)
     return docs
 

@@ -154,6 +154,14 @@ def test_leaks_are_brute_force(spark, documents):
     assert got == pytest.approx(want) and len(want) > 5
 
 
+def test_items_without_an_id_leave_no_passage(spark):
+    passage = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of it is here at all"), (3, "eleven"), (4, None)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, passage), (None, "eleven"), (None, None), (5, "never seen")], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()} == {2, 4}
+    assert decontaminate.leaks(docs, bench).collect() == []
+
+
 def test_leaks_of_awkward_items(spark, tricky_docs, empty_docs, tricky):
     items = [(1, None), (2, ""), (3, "one"), (4, tricky[0][1]), (5, "never seen here at all"), (None, "one"), (6, tricky[12][1]), (6, tricky[12][1])]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
