@@ -248,7 +248,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     task: what is similar to a table's other members but not to its smallest one is found there. So no link is lost in a hot group, and a group that linked costs no pairs.
 
     Rows with a null id are kept and linked with nothing. Repeated rows are copies of one another.
+    The sieves are made for 80, so a smaller percent, at which they would lose links, is refused.
     """
+    if percent < 80:
+        raise ValueError(f"near_dedup finds pairs of a similarity of 80 % and more, not {percent}")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     feats = materialize(docs.mapInArrow(_features(words), "doc_id bigint, n_shingles bigint, fp binary, one array<bigint>, two array<bigint>, sig binary"), "lz4")
     usable = feats.where("fp is not null and doc_id is not null")

@@ -117,6 +117,11 @@ def test_suffix_dedup_empty(empty_docs):
     assert suffix_dedup.suffix_dedup(empty_docs).collect() == []
 
 
+def test_near_dedup_refuses_what_its_sieves_lose(empty_docs):
+    with pytest.raises(ValueError, match="79"):
+        near_dedup.near_dedup(empty_docs, percent=79)
+
+
 def plain_leaks(docs, items, k=5):
     split = lambda t: [w.lower() for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "")]
 
