@@ -34,10 +34,13 @@ def fresh(df: DataFrame, name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; it goes when the driver's JVM ends.
 
-    Only where the session names no such folder (local tests) one is made on this machine.
+    A local session (tests) that names no such folder gets one on this machine; on a cluster that is an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.gettempdir()}/tessera-shared"
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{top}/tessera-{uuid.uuid4().hex}")
@@ -65,17 +68,30 @@ def small_batches(f):
 
     f must materialize whatever runs Python, or its caller must.
     """
+    return _with_settings(f, {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"})
 
+
+def checked_broadcasts(f):
+    """Run f with joins that broadcast a side only once its rows are there and take under 8 MB.
+
+    Written tables are compressed, so the size of their files says little; the size of shuffled rows is measured.
+    f must materialize what it returns.
+    """
+    return _with_settings(f, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "8m"})
+
+
+def _with_settings(f, settings: dict[str, str]):
     @functools.wraps(f)
     def wrapped(*args, **kwargs):
         spark = SparkSession.getActiveSession()
-        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        old = spark.conf.get(key)
-        spark.conf.set(key, "256")
+        old = {key: spark.conf.get(key, None) for key in settings}
+        for key, value in settings.items():
+            spark.conf.set(key, value)
         try:
             return f(*args, **kwargs)
         finally:
-            spark.conf.set(key, old)
+            for key, value in old.items():
+                spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
     return wrapped
 
@@ -103,21 +119,6 @@ def in_bitmap(slot: str) -> Column:
     return F.coalesce(F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1, F.lit(False)) & at.isNotNull()
 
 
-def with_group(rows: DataFrame, key: list[str], salt_of: str, aggs: dict[str, tuple[str, str]], salts: int = 64) -> DataFrame:
-    """Give every row its group's aggregates (min, max or sum of a column), safely for hot groups.
-
-    aggs: new name -> (function, column). Rows are pre-aggregated by (key, salt); the parts, at most `salts` of
-    a key, fetch the whole group's values, and rows join their part. So no task gets a whole group.
-    Keys must not be null.
-    """
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)))
-    fs = {"min": F.min, "max": F.max, "sum": F.sum}
-    parts = rows.groupBy(*key, "_salt").agg(*[fs[f](c).alias(n) for n, (f, c) in aggs.items()])
-    groups = parts.groupBy(*key).agg(*[fs[f](n).alias(n) for n, (f, _) in aggs.items()])
-    found = parts.select(*key, "_salt").join(groups, key)
-    return rows.join(found, [*key, "_salt"]).drop("_salt")
-
-
 def runs(batches, key_cols: list[str]):
     """Cut sorted Arrow batches into runs of equal keys, holding one run at a time; yields tables."""
     import numpy as np
@@ -149,12 +150,12 @@ def runs(batches, key_cols: list[str]):
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for words seen before; emptied beyond a million."""
+    """64-bit hashes of words, kept for words seen before by one task; emptied beyond 2**18 of them, some 40 MB."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) >= 1 << 18:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

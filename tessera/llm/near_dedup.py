@@ -8,6 +8,7 @@ one key from either collection, so 2 * BANDS * WIDTH = 84 minhashes serve BANDS*
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import (
@@ -15,6 +16,7 @@ from tessera.llm.common import (
     ascii_words,
     bit_slots,
     bitmap_of,
+    checked_broadcasts,
     in_bitmap,
     materialize,
     partitions_for,
@@ -22,7 +24,6 @@ from tessera.llm.common import (
     shingle_set,
     small_batches,
     table,
-    with_group,
 )
 
 BANDS, WIDTH = 14, 3
@@ -76,23 +77,27 @@ def _features(k: int):
 
 
 def _verifier(k: int, percent: int):
-    """Compares each member with its hub; a hub's row comes before its members' rows."""
+    """Compares each member with its hub; a hub's rows come before its members' rows."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        hashes, now, of_hub = WordHashes(), None, None
+        hashes, now, of_hub = WordHashes(), None, []
         for batch in batches:
             out: list[tuple[int, int]] = []
             for hub, salt, member, text in zip(*[batch.column(c).to_pylist() for c in ("hub", "salt", "member", "text")], strict=True):
                 s = shingle_set(ascii_words(text), k, hashes)
+                if now != (hub, salt):
+                    now, of_hub = (hub, salt), []
                 if member is None:
-                    now, of_hub = (hub, salt), s
-                elif now == (hub, salt):
-                    both = len(np.intersect1d(s, of_hub, assume_unique=True))
-                    if 100 * both >= percent * (len(s) + len(of_hub) - both):
+                    of_hub.append(s)
+                    continue
+                for h in of_hub:
+                    both = len(np.intersect1d(s, h, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(h) - both):
                         out.append((member, hub))
+                        break
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return run
@@ -100,31 +105,30 @@ def _verifier(k: int, percent: int):
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those (a, b) whose full shingle sets are similar enough. Texts stream past their hub's; hubs of many are salted."""
-    pairs = with_group(pairs.withColumn("_one", F.lit(1)), ["b"], "a", {"_n": ("sum", "_one")})
-    n_salts = F.ceil(F.col("_n") / 256).cast("int")
     # a hub with few members goes to one task, a hub with many to several, each with a copy of its text
-    members = pairs.select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a", "b"), n_salts).cast("int").alias("salt"), F.col("a").alias("member"))
-    hubs = pairs.groupBy("b").agg(F.max(n_salts).alias("_s")).select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("_s") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("member"))
-    wanted = materialize(members.unionByName(hubs))
-    texts = texts_of(docs, wanted)
-    rows = wanted.join(texts, "doc_id").select("hub", "salt", "member", "text")
+    hubs = materialize(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("n_salts")))
+    members = pairs.join(hubs, "b").select(F.col("a").alias("doc_id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a", "b"), "n_salts").cast("int").alias("salt"), F.col("a").alias("member"))
+    copies = hubs.select(F.col("b").alias("doc_id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("member"))
+    wanted = materialize(members.unionByName(copies))
+    rows = wanted.join(texts_of(docs, wanted), "doc_id").select("hub", "salt", "member", "text")
     rows = rows.repartition(partitions_for(docs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_verifier(k, percent), "a bigint, b bigint")
+    return rows.mapInArrow(_verifier(k, percent), "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links (a, b): v, c with c the smallest node that v reaches.
 
-    Alternates large-star and small-star steps until the edges no longer change; each writes a table.
+    Edges point from the larger node u to the smaller v. A round gives each u its least v, and that the others
+    (small star), then replaces every v by its own least v (large star); it is one job that writes a table. Rounds end
+    when one changes nothing; their number grows as the square of the logarithm of the longest path at most. Only
+    a node's smaller neighbours meet in a task: a node with many larger ones is the right end of a join.
     """
     edges, before = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        both = with_group(both, ["u"], "v", {"_m": ("min", "v")}).withColumn("_m", F.least("_m", "u"))
-        large = both.where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v").distinct()
-        low = with_group(large, ["u"], "v", {"_m": ("min", "v")})
-        small = low.select(F.col("v").alias("u"), F.col("_m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("_m").alias("v"))).distinct()
-        edges = materialize(small)
+        low = edges.withColumn("m", F.min("v").over(W.partitionBy("u")))
+        low = materialize(low.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        least = materialize(low.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("p")))
+        edges = materialize(low.join(least, "v", "left").select("u", F.coalesce("p", "v").alias("v")).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("c"))
@@ -202,21 +206,32 @@ def _exact(k: int, percent: int):
 
 
 def _multi(rows: DataFrame) -> DataFrame:
-    """Members of buckets that still hold several labels, with the bucket's rows and shingles."""
-    rows = with_group(rows.withColumn("_one", F.lit(1)), ["bucket"], "rep", {"lo": ("min", "label"), "hi": ("max", "label"), "n": ("sum", "_one"), "w": ("sum", "n_shingles")})
-    return rows.where("lo <> hi").select("bucket", "rep", "label", "n_shingles", "n", "w")
+    """Members of buckets that still hold several labels: whether theirs is the bucket's most frequent one, and how many
+    blocks that label's members (km) and the others (ko) make."""
+    blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, w / (BLOCK << 11)))).cast("int")
+    each = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
+    groups = each.groupBy("bucket").agg(F.max(F.struct("n", "label", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    groups = groups.select("bucket", "n", F.col("m.label").alias("most"), blocks(F.col("m.n"), F.col("m.w")).alias("km"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("ko"))
+    return rows.join(materialize(groups), "bucket").select("bucket", "rep", "label", "n_shingles", "n", (F.col("label") == F.col("most")).alias("main"), "km", "ko")
 
 
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links that the first round left out: between members of one bucket in different components."""
+    """Links that the first round left out: between members of one bucket in different components.
+
+    Members with a bucket's most frequent label are not compared with one another: their blocks meet the blocks of
+    all other members only, and these also each other.
+    """
     rows = members.join(labels, members.rep == labels.v, "left").select("bucket", "rep", F.coalesce("c", "rep").alias("label"))
-    rows = materialize(_multi(rows.join(sets.select("rep", "n_shingles"), "rep")))
-    many = rows.where(F.col("n") > BLOCK).drop("n", "w").join(sets.select("rep", "two"), "rep")
-    many = _multi(many.select("rep", "label", "n_shingles", "bucket", F.posexplode("two").alias("j", "two")).withColumn("bucket", F.xxhash64("bucket", "j", "two")))
+    rows = materialize(_multi(materialize(rows.join(sets.select("rep", "n_shingles"), "rep"))))
+    many = rows.where(F.col("n") > BLOCK).select("bucket", "rep", "label", "n_shingles").join(sets.select("rep", "two"), "rep")
+    many = _multi(many.select("rep", "label", "n_shingles", "bucket", F.posexplode("two").alias("j", "two")).withColumn("bucket", F.xxhash64("bucket", "j", "two")).select("bucket", "rep", "label", "n_shingles"))
     rows = rows.where(F.col("n") <= BLOCK).unionByName(many)
-    rows = rows.withColumn("_k", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("w") / (BLOCK << 11))).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("_k")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1))).join(sets.select("rep", "sig"), "rep")
-    rows = rows.select("bucket", "rep", "label", "n_shingles", "sig", "block", F.least("block", "_o").alias("p"), F.greatest("block", "_o").alias("q"))
+    # blocks of the most frequent label have numbers from 0 on, those of the others from -1 down
+    own = F.when(F.col("main"), F.pmod(F.xxhash64("rep"), "km")).otherwise(-1 - F.pmod(F.xxhash64("rep"), "ko")).cast("int")
+    others = F.sequence(-F.col("ko"), F.lit(-1))
+    mates = F.when(F.col("main"), others).otherwise(F.concat(others, F.sequence(F.lit(0), F.col("km") - 1)))
+    rows = rows.withColumn("block", own).withColumn("mate", F.explode(mates)).join(sets.select("rep", "sig"), "rep")
+    rows = rows.select("bucket", "rep", "label", "n_shingles", "sig", "block", F.greatest("block", "mate").alias("p"), F.least("block", "mate").alias("q"))
     parts = partitions_for(rows.sparkSession)
     rows = rows.repartition(parts, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
     tasks = materialize(rows.mapInArrow(_blocks(), "task bigint, rep bigint, label bigint"))
@@ -228,12 +243,13 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFram
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the rows that may be wanted: a bitmap of 2 MB at most thins them before any shuffle."""
     slot = bit_slots(F.xxhash64("doc_id"), 24)
-    bits = bitmap_of(ids.select(slot.alias("_slot")).distinct(), "_slot")
+    bits = bitmap_of(ids.select(slot.alias("_slot")), "_slot")
     texts = docs.withColumn("_slot", slot).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
     return texts.join(F.broadcast(bits), "_bucket").where(in_bitmap("_slot")).select("doc_id", "text")
 
 
 @small_batches
+@checked_broadcasts
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of near-duplicates: doc_id, n_shingles, component_id, kept; one row per input row.
 
@@ -247,42 +263,39 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts that may be similar to one of another component; full sets of a block pair's texts then meet in one
     task: what is similar to a table's other members but not to its smallest one is found there. So no link is lost in a hot group, and a group that linked costs no pairs.
 
-    Rows with a null id are kept and linked with nothing. Repeated rows are copies of one another.
-    The sieves are made for 80, so a smaller percent, at which they would lose links, is refused.
+    Ids are whole numbers (cast to bigint; others become null). Rows with a null id are kept and linked with nothing.
+    Repeated rows are copies of one another. Rows that share an id but not a text are in their own texts' groups;
+    two sets whose smallest id is the same count as linked. The sieves are made for 80, so a smaller percent, at
+    which they would lose links, is refused.
     """
     if percent < 80:
         raise ValueError(f"near_dedup finds pairs of a similarity of 80 % and more, not {percent}")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     feats = materialize(docs.mapInArrow(_features(words), "doc_id bigint, n_shingles bigint, fp binary, one array<bigint>, two array<bigint>, sig binary"), "lz4")
     usable = feats.where("fp is not null and doc_id is not null")
-    reps = usable.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    # one row per set: the row of the smallest id, found without collecting a group
-    sets = usable.join(reps, (usable.fp == reps.fp) & (usable.doc_id == reps.rep)).dropDuplicates(["rep"]).select("rep", "n_shingles", "one", "two", "sig")
-    sets = materialize(sets, "lz4")
+    # one row per set; copies of a set are pre-aggregated by each task
+    sets = usable.groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "one", "two", "sig")).alias("s"))
+    sets = materialize(sets.select("fp", F.col("s.doc_id").alias("rep"), "s.n_shingles", "s.one", "s.two", "s.sig"), "lz4")
 
     ones = sets.select("rep", F.posexplode("one").alias("i", "key")).select("rep", F.xxhash64("i", "key").alias("bucket"))
-    members = materialize(with_group(ones.withColumn("_n", F.lit(1)), ["bucket"], "rep", {"n": ("sum", "_n")}).where("n > 1").select("bucket", "rep"))
+    shared = materialize(ones.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"))
+    members = materialize(ones.join(shared, "bucket", "left_semi"))
     tables = members.join(sets.select("rep", "two"), "rep").select("rep", "bucket", F.posexplode("two").alias("j", "key")).select("rep", F.xxhash64("bucket", "j", "key").alias("bucket"))
-    pairs = with_group(tables, ["bucket"], "rep", {"hub": ("min", "rep")}).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = materialize(tables.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("bucket", "hub"))
+    pairs = tables.join(hubs, "bucket").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     links = materialize(verified(materialize(pairs), docs, words, percent))
     labels = components(links)
 
     found = materialize(_rest(members, labels, sets, docs, words, percent))
     if not found.isEmpty():
-        labels = components(links.unionByName(found))
+        labels = components(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).unionByName(found))
 
-    rows = with_group(usable.select("doc_id", "n_shingles", "fp"), ["fp"], "doc_id", {"rep": ("min", "doc_id")}).select("doc_id", "n_shingles", "rep")
-    rows = _labelled(rows, labels).select("doc_id", "n_shingles", "component_id")
+    ends = materialize(sets.select("fp", "rep").join(labels, F.col("rep") == F.col("v"), "left").select("fp", F.coalesce("c", "rep").alias("component_id")))
+    rows = usable.select("doc_id", "n_shingles", "fp").join(ends, "fp").select("doc_id", "n_shingles", "component_id")
     rest = feats.where("fp is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return rows.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Give rows of a set, a hot one too, the component of its representative: labels are copied to 16 salts."""
-    copied = labels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(16)).cast("int"))
-    return rows.join(copied, (rows.rep == copied.v) & (rows._salt == copied._salt), "left").withColumn("component_id", F.coalesce("c", "rep"))
+    return materialize(rows.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents by 2-word shingles at 80 %: doc_id, n_shingles, component_id, kept."""
     return near_dedup(table(spark, sf_dir, "documents"), words=2).select("doc_id", "n_shingles", "component_id", "kept")

@@ -171,23 +171,16 @@ class Encoder:
 
     A byte-level pattern that starts a new piece at every space before a visible character allows texts to be cut
     there; equal pieces have equal ids wherever they stand. New words go to the library's model as they are, other
-    pieces and the texts' first pieces through the whole library; words stay known for later calls.
+    pieces and the texts' first pieces through the whole library, which also finds added tokens: these hold no space.
+    Pieces are known until the task ends. Those that a call held twice or more stay known to the worker's next
+    task, COMMON of them at most, about 25 MB.
     """
 
-    LIMIT = 1_400_000
+    LIMIT, COMMON = 1 << 18, 1 << 17
     #: Spaces before one of these can't be cut at; such texts go through the library whole.
     ODD = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     TAIL = ".,;:!?\n"
-
-    @staticmethod
-    def shared(path: str) -> Encoder:
-        """The encoder of this worker process, kept from task to task with its pieces."""
-        import tokenizers
-
-        held = tokenizers.__dict__.setdefault("_held_encoders", {})
-        if path not in held:
-            held[path] = Encoder(path)
-        return held[path]
+    _common: dict[str, dict[str, bytes]] = {}
 
     def __init__(self, path: str):
         import re
@@ -195,8 +188,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
         self.model, self.odd = self.lib.model, re.compile(self.ODD)
+        self.common = self._common.setdefault(path, {})
         self.pieces: dict[str, bytes] = {}
         self.ends: dict[str, bytes] = {}
         # the model's own characters for bytes: visible ones stand for themselves, others follow from 256 on
@@ -204,10 +197,10 @@ class Encoder:
         rest = iter(range(256, 512))
         self.shown = {c: c if c in visible else next(rest) for c in range(256)}
 
-    def _ids(self, text: str) -> bytes:
+    def _batch(self, texts: list[str]) -> list[bytes]:
         from array import array
 
-        return array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _word(self, word: str) -> bytes:
         """Ids of a space and letters, which are one piece of the pattern."""
@@ -216,24 +209,26 @@ class Encoder:
         raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
         return array("I", [t.id for t in self.model.tokenize("\u0120" + raw)]).tobytes()
 
-    def _new(self, piece: str) -> bytes:
-        """Ids of a space and a piece that isn't known."""
-        known = self.pieces
-        bare = piece.rstrip(self.TAIL)
-        if not bare.isalpha():
-            ids = known[piece] = self._ids(" " + piece)
-            return ids
-        ids = known.get(bare)
-        if ids is None:
-            ids = known[bare] = self._word(bare)
-        if len(bare) == len(piece):
-            return ids
-        tail = piece[len(bare) :]
-        if tail not in self.ends:
-            if len(self.ends) > 10_000:
-                self.ends.clear()
-            self.ends[tail] = self._ids(tail)
-        return ids + self.ends[tail]
+    def _learn(self, pieces: list[str]) -> None:
+        """Make known what a space and each of these pieces give."""
+        known, mixed, ended = self.pieces, [], []
+        for piece in pieces:
+            bare = piece.rstrip(self.TAIL)
+            if not bare.isalpha():
+                mixed.append(piece)
+                continue
+            if bare not in known:
+                known[bare] = self.common.get(bare) or self._word(bare)
+            if len(bare) < len(piece):
+                ended.append((piece, bare))
+        known.update(zip(mixed, self._batch([f" {p}" for p in mixed]), strict=True))
+        tails = [t for t in {p[len(b) :] for p, b in ended} if t not in self.ends]
+        if len(self.ends) + len(tails) > 10_000:
+            self.ends.clear()
+            tails = list({p[len(b) :] for p, b in ended})
+        self.ends.update(zip(tails, self._batch(tails), strict=True))
+        for piece, bare in ended:
+            known[piece] = known[bare] + self.ends[piece[len(bare) :]]
 
     def encode(self, texts: list[str]):
         """All texts' ids end to end, and how many each has."""
@@ -247,11 +242,15 @@ class Encoder:
         lists = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.string()), " ")
         heads = [t.split(" ", 1)[0] if p else t for t, p in zip(texts, plain, strict=True)]
         coded = lists.flatten().dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        known = self.pieces.get
-        ids = [known(w) or self._new(w) if w else b"" for w in pieces]
-        ids += [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(heads, add_special_tokens=False)]
-        at, first = coded.indices.to_numpy().astype(np.int64), lists.offsets.to_numpy()[:-1]
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        known, common = self.pieces, self.common
+        self._learn([w for w in pieces if w and w not in known and w not in common])
+        ids = [known.get(w) or common[w] if w else b"" for w in pieces]
+        if len(common) < self.COMMON:
+            often = np.flatnonzero(np.bincount(at, minlength=len(pieces)) > 1)
+            common.update((pieces[i], ids[i]) for i in often[: self.COMMON - len(common)].tolist() if pieces[i])
+        ids += self._batch(heads)
+        first = lists.offsets.to_numpy()[:-1]
         at[first] = len(pieces) + np.arange(len(texts))
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         starts, n = np.cumsum(sizes) - sizes, sizes[at]
@@ -276,7 +275,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, where = Encoder.shared(path), fs.FileSystem.from_uri(folder)
+        encoder, where = Encoder(path), fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         part, shard = context.partitionId(), 0
         docs: list[int | None] = []

@@ -63,7 +63,6 @@ def tokens(docs: list[tuple[int, str | None]], path: str) -> list[tuple]:
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True  # their strings in a text are ordinary text
     out, start = [], 0
     for i, t in sorted(docs):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]

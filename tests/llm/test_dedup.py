@@ -194,3 +194,37 @@ def test_hamming_index_is_complete():
             code ^= np.uint64(1) << np.uint64(b)
         want = np.flatnonzero(np.bitwise_count(codes ^ code) <= decontaminate.RADIUS).tolist()
         assert index.within(code) == want
+
+
+def test_near_dedup_beyond_a_block(spark, monkeypatch):
+    """Buckets on either side of the size at which they are refined and cut into blocks lose no link."""
+    import random
+
+    rng = random.Random(6)
+    rows, base = [], [f"w{rng.randrange(400)}" for _ in range(90)]
+    for i in range(120):
+        w = [*base] if i % 3 else [f"w{rng.randrange(400)}" for _ in range(90)]
+        for j in rng.sample(range(90), 7):
+            w[j] = f"x{i}_{j}"
+        rows.append((500 - i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = {i: c for i, (_, c) in brute.near(rows, 2).items()}
+    for block in (3, 512):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        assert {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, words=2).collect()} == want
+
+
+def test_components_of_paths_and_stars(spark):
+    import random
+
+    rng = random.Random(1)
+    links, want = [], {}
+    for start, n in ((0, 40), (1000, 3), (2000, 2)):
+        ids = rng.sample(range(start, start + 500), n)
+        links += list(zip(ids, ids[1:], strict=False))
+        want |= {i: min(ids) for i in ids}
+    links += [(5000, 5000 + i) for i in range(1, 60)] + [(5000, 5001), (7, 7)]
+    want |= {5000 + i: 5000 for i in range(60)}
+    rng.shuffle(links)
+    got = {r.v: r.c for r in near_dedup.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    assert got == {i: c for i, c in want.items() if i != c}
