@@ -31,8 +31,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Folders that the running operators have made, innermost last.
+_made: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; it goes when the driver's JVM ends.
+    """A new folder below spark.checkpoint.dir; it goes when the operator that made it is done, or else the driver's JVM.
 
     A local session (tests) that names no such folder gets one on this machine; on a cluster that is an error.
     """
@@ -48,7 +52,39 @@ def shared_dir(spark: SparkSession) -> str:
     fs.mkdirs(path)
     fs.deleteOnExit(path)
     uri = fs.makeQualified(path).toString()
-    return uri if "://" in uri else uri.replace(":/", ":///", 1)
+    uri = uri if "://" in uri else uri.replace(":/", ":///", 1)
+    if _made:
+        _made[-1].append(uri)
+    return uri
+
+
+def discard(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(f):
+    """Write what f returns, unless it is a written table already, and delete the other tables that f wrote."""
+
+    @functools.wraps(f)
+    def wrapped(*args, **kwargs):
+        _made.append([])
+        try:
+            out = f(*args, **kwargs)
+            if isinstance(out, DataFrame) and not hasattr(out, "_written"):
+                out = materialize(out)
+        finally:
+            folders = _made.pop()
+        keep = getattr(out, "_written", None) if isinstance(out, DataFrame) else None
+        for folder in folders:
+            if folder != keep:
+                discard(SparkSession.getActiveSession(), folder)
+            elif _made:
+                _made[-1].append(folder)
+        return out
+
+    return wrapped
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
@@ -58,9 +94,11 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     and several readers see one and the same content.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = shared_dir(spark)
+    df.write.option("compression", codec).parquet(f"{folder}/t")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/t")
+    out._written = folder
+    return out
 
 
 def small_batches(f):

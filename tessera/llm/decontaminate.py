@@ -8,12 +8,12 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, materialize, small_batches, table
+from tessera.llm.common import WordHashes, materialize, small_batches, table, tidy
 from tessera.llm.license_scan import license_words
 
 SHINGLE, PERCENT = 5, 80
 #: Fingerprints of similar windows (0.8 or more) differ in 10 of 64 bits on average, with a deviation of 2.9.
-RADIUS, BLOCKS = 23, 4
+RADIUS, BLOCKS = 23, 8
 #: Items are held by every task; beyond so many characters they are searched in several passes.
 PASS_CHARS = 8 << 20
 
@@ -48,30 +48,30 @@ def window_fingerprints(s, n: int):
 
 
 class HammingIndex:
-    """Finds all fingerprints within RADIUS: one of BLOCKS parts then differs in RADIUS // BLOCKS bits at most."""
+    """Finds all fingerprints within RADIUS: one of BLOCKS bytes then differs in RADIUS // BLOCKS bits at most.
+
+    A table per byte lists, for each of its 256 values, the fingerprints whose byte is so near, so a search is
+    one lookup a byte and a comparison of what it lists.
+    """
 
     def __init__(self, codes):
         import numpy as np
 
-        self.codes, self.parts = codes, []
-        width = 64 // BLOCKS
-        for b in range(BLOCKS):
-            part = (codes >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
-            values, of = np.unique(part, return_inverse=True)
-            self.parts.append((values, [np.flatnonzero(of == i) for i in range(len(values))]))
+        self.codes = codes
+        values = np.arange(256, dtype=np.uint8)
+        self.near = [np.packbits(np.bitwise_count(values[:, None] ^ part) <= RADIUS // BLOCKS, axis=1) for part in codes.astype("<u8").view(np.uint8).reshape(-1, BLOCKS).T]
 
-    def within(self, code) -> list[int]:
+    def within(self, codes):
+        """Pairs of a code's place and a fingerprint's, for many codes at once."""
         import numpy as np
 
-        width, found = 64 // BLOCKS, []
-        for b, (values, members) in enumerate(self.parts):
-            mine = (code >> np.uint64(b * width)) & np.uint64((1 << width) - 1)
-            for i in np.flatnonzero(np.bitwise_count(values ^ mine) <= RADIUS // BLOCKS):
-                found.append(members[i])
-        if not found:
-            return []
-        some = np.unique(np.concatenate(found))
-        return some[np.bitwise_count(self.codes[some] ^ code) <= RADIUS].tolist()
+        parts = codes.astype("<u8").view(np.uint8).reshape(-1, BLOCKS)
+        found = self.near[0][parts[:, 0]]
+        for b in range(1, BLOCKS):
+            found |= self.near[b][parts[:, b]]
+        at, of = np.nonzero(np.unpackbits(found, axis=1, count=len(self.codes)))
+        hit = np.bitwise_count(self.codes[of] ^ codes[at]) <= RADIUS
+        return at[hit].tolist(), of[hit].tolist()
 
 
 class Items:
@@ -83,7 +83,7 @@ class Items:
         hashes = WordHashes()
         self.ids, self.counts, self.sizes = [], [], defaultdict(list)
         postings: dict[int, set[int]] = defaultdict(set)
-        self.short: dict[int, int] = {}
+        self.single: dict[tuple[int, int], list[int]] = defaultdict(list)  # items of one shingle, by words and shingle
         codes = []
         for item_id, text in items:
             words = license_words(text)
@@ -97,11 +97,13 @@ class Items:
             self.counts.append(Counter(s.tolist()))
             self.sizes[size].append(at)
             codes.append(window_fingerprints(s, len(s))[0])
+            if len(s) == 1:
+                self.single[k, int(s[0])].append(at)
             for x in self.counts[-1]:
                 postings[x].add(size)
         self.postings = dict(postings)
         self.known = {k: np.array(sorted(x for x, sizes in postings.items() if any(z[0] == k for z in sizes)), dtype=np.uint64) for k in {k for k, _ in self.sizes}}
-        self.index = {size: HammingIndex(np.array([codes[i] for i in of], dtype=np.uint64)) for size, of in self.sizes.items()}
+        self.index = {size: HammingIndex(np.array([codes[i] for i in of], dtype=np.uint64)) for size, of in self.sizes.items() if size[1] > 1}
 
     def search(self, words: list[bytes], hashes: WordHashes) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) for each item with a similar window, its best one (then first)."""
@@ -126,6 +128,12 @@ class Items:
 
     def _windows(self, s, size, places, best) -> None:
         k, n = size
+        if n == 1:  # alike only if equal
+            for h in places:
+                for item in self.single.get((k, int(s[h])), []):
+                    if item not in best:
+                        best[item] = (1.0, h, k)
+            return
         if len(s) < n:
             return
         runs, at = [], 0  # window starts that hold a hit, as runs
@@ -138,17 +146,18 @@ class Items:
                     runs.append([a, b])
                 at = b + 1
         for first, last in runs:
-            for a in range(first, last + 1, 4096):
-                b = min(last, a + 4095)
-                codes = window_fingerprints(s[a : b + n], n)
-                for j, code in enumerate(codes):
-                    for c in self.index[size].within(code):
-                        item = self.sizes[size][c]
-                        mine = Counter(s[a + j : a + j + n].tolist())
-                        both = sum((mine & self.counts[item]).values())
-                        either = 2 * n - both
-                        if 100 * both >= PERCENT * either and (item not in best or both / either > best[item][0]):
-                            best[item] = (both / either, a + j, n + k - 1)
+            step = max(1, min(4096, (1 << 22) // len(self.sizes[size])))
+            for a in range(first, last + 1, step):
+                b = min(last, a + step - 1)
+                now, mine = -1, Counter()
+                for j, c in zip(*self.index[size].within(window_fingerprints(s[a : b + n], n)), strict=True):
+                    if j != now:
+                        now, mine = j, Counter(s[a + j : a + j + n].tolist())
+                    item = self.sizes[size][c]
+                    both = sum((mine & self.counts[item]).values())
+                    either = 2 * n - both
+                    if 100 * both >= PERCENT * either and (item not in best or both / either > best[item][0]):
+                        best[item] = (both / either, a + j, n + k - 1)
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str, nameless: bool = False) -> Iterator[list[tuple[int | None, str]]]:
@@ -179,6 +188,7 @@ def _search(items: list[tuple[int | None, str]], id_at: int, text_at: int, drop:
 
 
 @small_batches
+@tidy
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, first_word, n_words, similarity; a row for each pair.
 
@@ -187,7 +197,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     5-word shingles, weighted by occurrence, is looked up among the items of that length, and all within the radius
     are verified by weighted Jaccard similarity (sum of least over sum of largest counts) of 0.8 or more. The best
     window of an item is returned. Items shorter than five words are one shingle. Null or empty texts and items
-    match nothing, and items with a null item_id have no rows here (without_leaks searches them). A pair of similarity 0.8 lies outside the radius with a chance of about 1e-5, exact ones never.
+    match nothing, and items with a null item_id have no rows here (without_leaks searches them). Ids are whole
+    numbers (cast to bigint; others become null). A pair of similarity 0.8 lies outside the radius with a chance of about 1e-5, exact ones never.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
@@ -205,4 +216,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of `benchmark` in all documents: doc_id, item_id, first_word, n_words, similarity."""
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

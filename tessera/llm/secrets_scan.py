@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +19,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "random")
-#: False discoveries among a document's random spans, and the level at which a test says that a token isn't random.
-FDR, REJECT = 0.01, 0.001
+#: False discoveries among a document's random spans.
+FDR = 0.01
 
 ALPHABETS = (("hex", re.compile(r"[0-9a-f]+\Z|[0-9A-F]+\Z"), 16), ("base32", re.compile(r"[A-Z2-7]+=*\Z"), 32), ("alnum", re.compile(r"[A-Za-z0-9]+\Z"), 62), ("base64", re.compile(r"[A-Za-z0-9+/_-]+=*\Z"), 64))
 
@@ -108,45 +109,62 @@ def class_changes(token: str) -> int:
     return changes
 
 
-def prose_p(token: str) -> float:
-    """P of so few equal pairs, so many class changes and so rare letters if the token were words: small for long random ones.
+#: Chance that two letters of prose are equal, and that a word's next letter is of another class; correlation of
+#: neighbours, vowel or not, in prose.
+PAIR, CHANGE, VOWELS = 0.065, 0.125, -0.25
 
-    Words repeat letters (a pair is equal with chance 0.065), keep to one class (case, digits) from letter
-    to letter but for one in eight, and hold common letters. The statistics are normal for length n, so evidence
-    grows with length. No single one decides: keys can be of letters alone, and of one case.
-    """
-    n, counts = len(token), Counter(token.lower())
-    pairs, equal = n * (n - 1) / 2, sum(c * (c - 1) / 2 for c in counts.values())
-    z1 = (0.065 * pairs - equal) / math.sqrt(pairs * 0.065 * 0.935 + n * n * n * 0.0006)
-    z2 = (class_changes(token) - 0.125 * (n - 1)) / math.sqrt((n - 1) * 0.125 * 0.875)
-    letters = [ODDS[c] for c in token.lower() if c in ODDS]
-    z3 = (ODDS_MEAN * len(letters) - sum(letters)) / (ODDS_DEV * math.sqrt(len(letters))) if letters else 0.0
-    return _upper((z1 + z2 + z3) / math.sqrt(3))
 
+def battery(token: str) -> tuple[tuple[float, float], ...]:
+    """The three tests on a token: of each, z of the statistic against words, and P against its encoding's random strings.
 
-def is_random(token: str) -> bool:
-    """Whether none of the three tests rejects randomness in the token's inferred encoding."""
+    Chi-squared: counts as even as a random string's have few equal pairs (the statistic is their number, but for
+    scale) and rare letters as often as common ones, both unlike words. Runs: a random string changes its class (case, digit)
+    from letter to letter, words seldom do. Serial correlation: in words vowels and others take turns. Under words
+    each z is normal; its mean and deviation follow from the length, so evidence grows with it.
+    """
     bare = token.rstrip("=")
-    size = encoding_of(token)[1]
+    n, low, size = len(bare), bare.lower(), encoding_of(token)[1]
+    pairs, equal = n * (n - 1) / 2, sum(c * (c - 1) / 2 for c in Counter(low).values())
+    even = (PAIR * pairs - equal) / math.sqrt(pairs * PAIR * (1 - PAIR) + n * n * n * 0.0006)
+    letters = [ODDS[c] for c in low if c in ODDS]
+    rare = (ODDS_MEAN * len(letters) - sum(letters)) / (ODDS_DEV * math.sqrt(len(letters))) if letters else 0.0
+    runs = (class_changes(bare) - CHANGE * (n - 1)) / math.sqrt((n - 1) * CHANGE * (1 - CHANGE))
+    vowels = [c in "aeiouy" for c in low if c in ODDS]
+    mean = sum(vowels) / max(1, len(vowels))
+    turns = sum((x - mean) * (y - mean) for x, y in zip(vowels, vowels[1:], strict=False)) / (len(vowels) * mean * (1 - mean)) if 0 < mean < 1 else VOWELS
+    serial = (turns - VOWELS) * math.sqrt(len(vowels)) if vowels else 0.0
     values = [_hex_rank(c) if size == 16 else _rank(c) for c in bare]
-    return chi_squared(bare, size) > REJECT and runs_test(values) > REJECT and serial_correlation(values) > REJECT
+    return ((even + rare) / math.sqrt(2), chi_squared(bare, size)), (runs, runs_test(values)), (serial, serial_correlation([_RANK.get(c, 0) for c in bare]))
+
+
+def token_p(token: str) -> float:
+    """One P for a token, from the battery: of words looking so random, raised where a test says that the token is no random string.
+
+    The z against words are summed. The least of the three P against random strings, times three, has a normal
+    quantile that is added where it is negative: for a random string about zero, for a sequence or a repetition so
+    far down that no evidence against words outweighs it. Adding what is never positive only raises P, so P is valid.
+    """
+    tests = battery(token)
+    z = (tests[0][0] * math.sqrt(2) + tests[1][0] + 0.5 * tests[2][0]) / math.sqrt(3.25)
+    doubt = min(0.5, 3 * min(p for _, p in tests))
+    return _upper(z + (NormalDist().inv_cdf(max(doubt, 1e-12)) if doubt < 0.5 else 0.0))
 
 
 def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Tokens outside the taken spans that pass for keys, with false discoveries held by Benjamini and Hochberg.
 
-    The family is all candidate tokens of the document; a token's P is that of words looking so random, which
-    its length bounds from below, so short tokens can't be found among many.
+    The family is all candidate tokens of the document. Its error is dealt out by length: a token's P is divided by its length
+    over the family's mean length, so weights have a mean of one and the rate of false discoveries holds, while
+    short tokens, that can show little, take little of it.
     """
     found = []
     for m in CANDIDATE.finditer(text):
-        if any(a < m.end() and m.start() < b for a, b in taken):
-            continue
-        token = m.group()
-        found.append((prose_p(token), m.start(), m.end(), token))
-    found.sort()
+        if not any(a < m.end() and m.start() < b for a, b in taken):
+            found.append((m.start(), m.end(), token_p(m.group())))
+    mean = sum(b - a for a, b, _ in found) / max(1, len(found))
+    found = sorted((p * mean / (b - a), a, b) for a, b, p in found)
     last = max((i for i, x in enumerate(found, 1) if x[0] <= FDR * i / len(found)), default=0)
-    return sorted((a, b) for _, a, b, token in found[:last] if is_random(token))
+    return sorted((a, b) for _, a, b in found[:last])
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -185,11 +203,13 @@ def _scan(batches):
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Find secrets in every text: doc_id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end, ...).
 
-    One row per input row; null counts as empty and has no spans. Offsets are code points, ends exclusive.
+    One row per input row; null counts as empty and has no spans. Offsets are code points, ends exclusive. Ids are
+    whole numbers (cast to bigint; others become null).
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return materialize(rows.mapInArrow(_scan, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     return secret_scan(table(spark, sf_dir, "documents"))

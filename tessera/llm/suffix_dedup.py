@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, partitions_for, small_batches, table
+from tessera.llm.common import materialize, partitions_for, small_batches, table, tidy
 
 DEPTH, K = 50, 24
 #: Documents are packed to about so many bytes; a longer document is a pack of its own.
@@ -349,6 +349,7 @@ def _removed(depth: int, k: int):
 
 
 @small_batches
+@tidy
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, depth: int = DEPTH, k: int = K, contents: bool = True) -> DataFrame:
     """Remove every byte covered by a `depth`-byte string that also starts in a document with a smaller id.
 

@@ -10,14 +10,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches, table
+from tessera.llm.common import materialize, small_batches, table, tidy
 
-#: The bounds of the training sample: toxic rows, other rows, and characters of each row.
-TRAIN_TOXIC, TRAIN_OTHER, TRAIN_CHARS = 1500, 4000, 8000
+#: The bounds of the training sample: toxic rows and other rows, with their whole texts.
+TRAIN_TOXIC, TRAIN_OTHER = 1500, 4000
 #: The chance of taking any feature for a mark that isn't one.
 FAMILY_ERROR = 0.05
-#: A chain is a run of so many words of a document; chains are cut alike in training and scoring.
-CHAIN = 64
+#: Words of a block. A document is one chain, whatever its length; blocks only set how it is computed.
+BLOCK = 64
+#: Documents are scored together up to so many words, a longer one alone.
+CALL_WORDS = 1 << 18
 STRIP = ".,;:!?\"'()[]{}<>*#@_-+=~|/\\`$%^&0123456789"
 
 
@@ -42,39 +44,60 @@ class Crf:
 
 
 def passes(e, lengths, crf):
-    """Forward and backward log-ratios of label 1 to label 0; e has a column per chain, a row per place."""
-    import numpy as np
-
-    n = e.shape[0]
-    t01, t10, t11 = np.exp(crf.enter), np.exp(crf.leave), np.exp(crf.stay)
-    fwd, bwd = np.empty_like(e), np.zeros_like(e)
-    fwd[0] = e[0]
-    for t in range(1, n):
-        x = np.exp(np.clip(fwd[t - 1], -40, 40))
-        fwd[t] = e[t] + np.log((t01 + x * t11) / (1 + x * t10))
-    for t in range(n - 1, 0, -1):
-        x = np.exp(np.clip(e[t] + bwd[t], -40, 40))
-        bwd[t - 1] = np.where(t < lengths, np.log((t10 + x * t11) / (1 + x * t01)), 0)
-    return fwd, bwd
-
-
-def chains(lengths):
-    """For documents with so many words: each chain's start among all words, its length and its document."""
-    import numpy as np
-
-    starts, sizes, docs, at = [], [], [], 0
-    for d, n in enumerate(lengths):
-        for a in range(0, n, CHAIN):
-            starts.append(at + a), sizes.append(min(CHAIN, n - a)), docs.append(d)
-        at += n
-    return np.array(starts, dtype=np.int64), np.array(sizes, dtype=np.int64), np.array(docs, dtype=np.int64)
+    """Forward and backward ratios of label 1 to label 0 at every word of documents that lie end to end.
 
-
-def laid_out(values, starts, sizes):
+    Each step maps a ratio x to (A x + B) / (C x + D). Blocks' products of these 2 x 2 matrices come first, all blocks
+    at once; ratios then pass from block to block of a document, and from there through each block's words.
+    """
     import numpy as np
 
-    places = np.minimum(starts[None, :] + np.arange(CHAIN)[:, None], len(values) - 1)
-    return values[places], np.arange(CHAIN)[:, None] < sizes[None, :]
+    w, lengths = np.exp(np.clip(e, -60, 60)), np.asarray(lengths, dtype=np.int64)
+    t01, t10, t11 = np.exp(crf.enter), np.exp(crf.leave), np.exp(crf.stay)
+    n_blocks = -(-lengths // BLOCK)
+    doc, first = np.repeat(np.arange(len(lengths)), n_blocks), np.cumsum(n_blocks) - n_blocks
+    at = np.arange(len(doc)) - first[doc]
+    starts, sizes = (np.cumsum(lengths) - lengths)[doc] + at * BLOCK, np.minimum(BLOCK, lengths[doc] - at * BLOCK)
+    head, rows = at == 0, int(sizes.max(initial=0))
+    inside = np.arange(rows)[:, None] < sizes
+    v = w[np.minimum(starts + np.arange(rows)[:, None], max(len(w) - 1, 0))]
+
+    def product(a, b, c, m):
+        """Of the step with matrix (a, b; c, 1) after m, scaled."""
+        p = [a * m[0] + b * m[2], a * m[1] + b * m[3], c * m[0] + m[2], c * m[1] + m[3]]
+        top = np.maximum(np.maximum(p[0], p[1]), np.maximum(p[2], p[3]))
+        return [x / top for x in p]
+
+    def kept(some, new, old):
+        return new if some.all() else [np.where(some, x, y) for x, y in zip(new, old, strict=True)]
+
+    enter, leave = np.ones(len(doc)), np.ones(len(doc))  # ratios before a block's first word and at its last
+    if len(doc) > len(lengths):
+        one, none = np.ones(len(doc)), np.zeros(len(doc))
+        fwd = bwd = [one, none, none, one]
+        for t in range(rows):
+            step = product(v[t] * t11, v[t] * t01, t10, fwd)
+            fwd = kept(inside[t] & ~(head & (t == 0)), step, [v[0], none, none, one] if t == 0 else fwd)
+        for t in range(rows - 1, -1, -1):
+            bwd = kept(inside[t], product(v[t] * t11, t10, v[t] * t01, bwd), bwd)
+        last = first + n_blocks - 1
+        for k in range(1, int(n_blocks.max())):
+            of = np.flatnonzero(n_blocks > k)
+            i = first[of] + k - 1
+            enter[i + 1] = (fwd[0][i] * enter[i] + fwd[1][i]) / (fwd[2][i] * enter[i] + fwd[3][i])
+            i = last[of] - k + 1
+            leave[i - 1] = (bwd[0][i] * leave[i] + bwd[1][i]) / (bwd[2][i] * leave[i] + bwd[3][i])
+    x, y = np.empty_like(v), np.empty_like(v)
+    now = enter
+    for t in range(rows):
+        now = v[t] * (t01 + now * t11) / (1 + now * t10)
+        if t == 0:
+            now = np.where(head, v[0], now)
+        x[t] = now
+    now = leave
+    for t in range(rows - 1, -1, -1):
+        y[t] = now
+        now = np.where(inside[t], (t10 + v[t] * now * t11) / (1 + v[t] * now * t01), now)
+    return x.T[inside.T], y.T[inside.T]
 
 
 def words_of(text: str) -> list[str]:
@@ -122,60 +145,57 @@ def train(docs: list[tuple[str, int]], steps: int = 30) -> Crf:
     marks = label_words(texts, toxic)
     index = {f: i for i, f in enumerate(sorted(marks))}
     vocabulary: dict[str, int] = {}
-    flat = np.array([vocabulary.setdefault(w, len(vocabulary)) for t in texts for w in t] or [0], dtype=np.int64)
+    numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], dtype=np.int64) for t in texts]
     rows, cols = [], []
     for w, i in vocabulary.items():
         for f in features(w):
             if f in index:
                 rows.append(i), cols.append(index[f])
-    rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
-    marked = np.bincount(rows, minlength=max(1, len(vocabulary))) > 0
-    lengths = [len(t) for t in texts]
-    gold = marked[flat] & np.repeat(np.array(toxic, dtype=bool), lengths) if sum(lengths) else np.zeros(1, dtype=bool)
-    starts, sizes, of = chains(lengths)
-    word, mask = laid_out(flat, starts, sizes)
-    # chains without any marked word have equal potentials if equally long: one of each length stands for all
-    plain = ~(marked[word] & mask).any(axis=0)
-    key = np.where(plain, -sizes, np.arange(len(sizes)))
+    rows, cols, n_words = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), max(1, len(vocabulary))
+    marked = np.bincount(rows, minlength=n_words) > 0
+    # documents without any marked word are alike if equally long: one of each length stands for all
+    plain = [not marked[t].any() for t in numbers]
+    key = np.array([-len(t) if p else i + 1 for i, (t, p) in enumerate(zip(numbers, plain, strict=True))])
     _, one, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    word, mask, lengths_of = word[:, one], mask[:, one], sizes[one]
-    y = (laid_out(gold, starts, sizes)[0])[:, one] & mask
+    word, lengths = np.concatenate([numbers[i] for i in one]), np.array([len(numbers[i]) for i in one])
+    of = np.repeat(np.arange(len(one)), lengths)
+    times = times[of].astype(float)
+    y = marked[word] & np.array(toxic, dtype=bool)[one][of]
+    pairs = np.flatnonzero(of[1:] == of[:-1]) + 1  # words with one before them
+    weight = times[pairs]
     # weights, bias, and three transitions
     theta, seen = np.zeros(len(index) + 4), np.full(len(index) + 4, 1e-8)
     theta[-4] = -4.0
     crf = Crf()
-    n_pairs = mask[1:]
-    gold11, gold01, gold10 = (((a & b & n_pairs) * times).sum() for a, b in ((y[:-1], y[1:]), (~y[:-1], y[1:]), (y[:-1], ~y[1:])))
+    gold01, gold10, gold11 = (float(weight[(y[pairs - 1] == a) & (y[pairs] == b)].sum()) for a, b in ((0, 1), (1, 0), (1, 1)))
     for _ in range(steps):
-        per_word = np.bincount(rows, theta[cols], minlength=max(1, len(vocabulary))) + theta[-4]
         crf.enter, crf.leave, crf.stay = theta[-3:]
-        e = per_word[word]
-        fwd, bwd = passes(e, lengths_of, crf)
-        p = sigmoid(fwd + bwd) * mask
-        q = np.bincount(word.ravel(), ((p - y) * times).ravel(), minlength=max(1, len(vocabulary)))
-        a1, b1 = sigmoid(fwd[:-1]), e[1:] + bwd[1:]
-        z = {k: w * v for k, (w, v) in {"00": (1 - a1, 1.0), "01": (1 - a1, np.exp(np.clip(crf.enter + b1, -40, 40))), "10": (a1, np.exp(crf.leave)), "11": (a1, np.exp(np.clip(crf.stay + b1, -40, 40)))}.items()}
-        total = sum(z.values())
-        pair = {k: float((v / total * n_pairs * times).sum()) for k, v in z.items()}
-        grad = np.r_[np.bincount(cols, q[rows], minlength=len(index)), q.sum(), pair["01"] - gold01, pair["10"] - gold10, pair["11"] - gold11]
+        e = (np.bincount(rows, theta[cols], minlength=n_words) + theta[-4])[word]
+        fwd, bwd = passes(e, lengths, crf)
+        p = fwd * bwd / (1 + fwd * bwd)
+        q = np.bincount(word, (p - y) * times, minlength=n_words)
+        x, z = fwd[pairs - 1], np.exp(np.clip(e[pairs], -60, 60)) * bwd[pairs]
+        z01, z10, z11 = np.exp(crf.enter) * z, np.exp(crf.leave) * x, np.exp(crf.stay) * x * z
+        total = weight / (1 + z01 + z10 + z11)
+        grad = np.r_[np.bincount(cols, q[rows], minlength=len(index)), q.sum(), (z01 * total).sum() - gold01, (z10 * total).sum() - gold10, (z11 * total).sum() - gold11]
         grad += 0.1 * theta
         seen += grad * grad
         theta -= 1.0 * grad / np.sqrt(seen)
     crf.weights = {f: float(theta[i]) for f, i in index.items()}
     crf.bias, (crf.enter, crf.leave, crf.stay) = float(theta[-4]), map(float, theta[-3:])
-    x = document_features(p[:, back], of, len(docs))
-    crf.final = _logistic(x, np.array(toxic, dtype=float))
+    crf.final = _logistic(document_features(p, lengths)[back], np.array(toxic, dtype=float))
     return crf
 
 
-def document_features(p, of, n_docs: int):
+def document_features(p, lengths):
     """Of each document: log(1 + expected toxic words), the largest marginal, and log(1 + words with a marginal over one half)."""
     import numpy as np
 
-    x = np.zeros((n_docs, 3))
-    x[:, 0] = np.log1p(np.bincount(of, p.sum(axis=0), minlength=n_docs))
-    np.maximum.at(x[:, 1], of, p.max(axis=0))
-    x[:, 2] = np.log1p(np.bincount(of, (p > 0.5).sum(axis=0), minlength=n_docs))
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    x = np.zeros((len(lengths), 3))
+    x[:, 0] = np.log1p(np.bincount(of, p, minlength=len(lengths)))
+    np.maximum.at(x[:, 1], of, p)
+    x[:, 2] = np.log1p(np.bincount(of, p > 0.5, minlength=len(lengths)))
     return x
 
 
@@ -199,67 +219,84 @@ def _scorer(crf: Crf, spans: bool, id_at: int = 0, text_at: int = 1, below: floa
         import pyarrow as pa
 
         cache: dict[str, float] = {}
-        for batch in batches:
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            words = [words_of(t) for t in texts]
-            if len(cache) > 500_000:
+
+        def scored(words):
+            if len(cache) > 200_000:
                 cache.clear()
             for w in {w for t in words for w in t}:
                 if w not in cache:
                     cache[w] = crf.emission(w.strip(STRIP))
             lengths = [len(t) for t in words]
-            flat = np.array([cache[w] for t in words for w in t] or [0.0])
-            starts, sizes, of = chains(lengths)
-            x = np.zeros((len(texts), 3))
-            found: list[list] = [[] for _ in texts]
-            for a in range(0, len(starts), 4096):
-                e, mask = laid_out(flat, starts[a : a + 4096], sizes[a : a + 4096])
-                fwd, bwd = passes(e, sizes[a : a + 4096], crf)
-                p = sigmoid(fwd + bwd) * mask
-                o = of[a : a + 4096]
-                x[:, 0] += np.bincount(o, p.sum(axis=0), minlength=len(texts))
-                np.maximum.at(x[:, 1], o, p.max(axis=0))
-                x[:, 2] += np.bincount(o, (p > 0.5).sum(axis=0), minlength=len(texts))
-                if spans:
-                    for t, c in zip(*np.nonzero(p > 0.5), strict=True):
-                        found[o[c]].append((int(starts[a + c] + t), float(p[t, c])))
-            x[:, 0], x[:, 2] = np.log1p(x[:, 0]), np.log1p(x[:, 2])
-            score = sigmoid(x @ np.array(crf.final[:3]) + crf.final[3])
+            fwd, bwd = passes(np.array([cache[w] for t in words for w in t], dtype=float), lengths, crf)
+            p = fwd * bwd / (1 + fwd * bwd)
+            found = [[] for _ in words]
+            if spans:
+                ends = np.cumsum(lengths)
+                for i in np.flatnonzero(p > 0.5).tolist():
+                    d = int(np.searchsorted(ends, i, side="right"))
+                    found[d].append((i - int(ends[d]) + lengths[d], float(p[i])))
+            return sigmoid(document_features(p, lengths) @ np.array(crf.final[:3]) + crf.final[3]), found
+
+        for batch in batches:
+            texts = [t or "" for t in batch.column(text_at).to_pylist()]
+            score, hits, words, size = [np.empty(0)], [], [], 0
+            for i, t in enumerate(texts):
+                words.append(words_of(t))
+                size += len(words[-1])
+                if size >= CALL_WORDS or i + 1 == len(texts):
+                    s, found = scored(words)
+                    score.append(s), hits.extend(found)
+                    words, size = [], 0
+            score = np.concatenate(score)
             if below is not None:
                 yield batch.filter(pa.array(score < below))
                 continue
             cols = [pa.array(batch.column(id_at).to_pylist(), pa.int64()), pa.array(score, pa.float64())]
             if spans:
-                firsts = np.r_[0, np.cumsum(lengths)]
-                cols.append(pa.array([_offsets(t, w, [(i - int(firsts[d]), p) for i, p in sorted(found[d])]) for d, (t, w) in enumerate(zip(texts, words, strict=True))], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))))
+                cols.append(pa.array([_offsets(t, h) for t, h in zip(texts, hits, strict=True)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))))
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", *(["spans"] if spans else [])])
 
     return run
 
 
-def _offsets(text: str, words: list[str], hits: list[tuple[int, float]]) -> list[dict]:
+def _offsets(text: str, hits: list[tuple[int, float]]) -> list[dict]:
     """Code-point offsets of the words with these numbers."""
     if not hits:
         return []
     import re
 
-    at = [m.span() for m in re.finditer(r"\S+", text)] if len(text.split()) == len(words) else []
-    return [{"start": at[i][0], "end": at[i][1], "p": p} for i, p in hits if i < len(at)]
+    at = [m.span() for m in re.finditer(r"\S+", text)]
+    return [{"start": at[i][0], "end": at[i][1], "p": p} for i, p in hits]
 
 
 def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, other: int = TRAIN_OTHER, chars: int = TRAIN_CHARS) -> Crf:
-    """Train on at most `toxic` and `other` rows of the classes, the first by a hash of the id, never held-out ones."""
-    usable = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def _trainer(batches):
+    """Train on all rows, text and label, and give the field as rows name, value; a name of a feature begins with = or ^."""
+    import pyarrow as pa
+
+    crf = train([(t or "", y) for b in batches for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True)])
+    rows = {"bias": crf.bias, "enter": crf.enter, "leave": crf.leave, "stay": crf.stay, **{f"final{i}": x for i, x in enumerate(crf.final)}, **crf.weights}
+    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), pa.array(list(rows.values()), pa.float64())], names=["name", "value"])
+
+
+@tidy
+def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, other: int = TRAIN_OTHER) -> Crf:
+    """Train on the whole texts of at most `toxic` and `other` rows of the classes, the first by a hash of the id, never held-out ones.
+
+    One task trains, as the sample is bounded, and its weights, of words in toxic rows of the sample, come to the
+    driver. Rows that repeat an id count once, with the first of their texts; labels that do are toxic if any is.
+    """
+    usable = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     sample = [usable.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for y, n in ((0, other), (1, toxic))]
     some = materialize(sample[0].unionByName(sample[1]))  # toxic + other rows, so it can be broadcast
-    got = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(some), "doc_id").select("doc_id", "text", "toxic").collect()
-    by_id = {r.doc_id: (r.text, r.toxic) for r in sorted(got, key=lambda r: (r.doc_id, r.text))}
-    return train([by_id[i] for i in sorted(by_id)])
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    model = {r.name: r.value for r in materialize(texts.repartition(1).mapInArrow(_trainer, "name string, value double")).collect()}
+    return Crf({k: v for k, v in model.items() if k[0] in "=^"}, *(model[k] for k in ("bias", "enter", "leave", "stay")), tuple(model[f"final{i}"] for i in range(4)))
 
 
 def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
@@ -277,12 +314,13 @@ def without_toxic(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: s
 
 
 @small_batches
+@tidy
 def toxicity(docs: DataFrame, labels: DataFrame, spans: bool = False) -> DataFrame:
     """Train on `labels` and score all of docs: one row per input row: doc_id, held_out, score, predicted (and spans).
 
     The training labels of words come from documents' labels: a word is toxic in a toxic document if it has
     a marking feature. Without labelled rows of both classes every score is near 0 (or near 1 if all are toxic).
-    A null doc_id counts as not held out.
+    A null doc_id counts as not held out. Ids are whole numbers (cast to bigint; others become null).
     """
     scored = materialize(score(docs, fit(docs, labels), spans=spans))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -290,4 +328,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, spans: bool = False) -> DataFra
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the field trained on `labels`: doc_id, held_out, score, predicted."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

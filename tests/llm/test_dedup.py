@@ -16,10 +16,11 @@ def plain_exact(rows):
     groups = defaultdict(list)
     for i, t in rows:
         groups[norm(t)].append((-len(t or ""), i is not None, i or 0, i))
-    out = Counter()
+    out, stays = Counter(), set()
     for i, t in rows:
         best = min(groups[norm(t)])
-        kept = (-len(t or ""), i is not None, i or 0, i) == best
+        kept = (-len(t or ""), i is not None, i or 0, i) == best and norm(t) not in stays  # one of rows that repeat
+        stays |= {norm(t)} if kept else set()
         out[(i, best[3], len(groups[norm(t)]), kept, hashlib.sha256(norm(t).encode()).hexdigest())] += 1
     return out
 
@@ -34,6 +35,14 @@ def test_exact_dedup(tricky_docs, tricky, bits):
     assert found_exact(exact_dedup.exact_dedup(tricky_docs, digest=True, bits=bits)) == want
 
 
+def test_exact_dedup_hashes_survivors_only(spark):
+    """Lengths and prefixes decide where they can; equal prefixes of equal length with other ends are told apart."""
+    rows = [(1, "a" * 200), (2, "a" * 199 + "b"), (3, " " + "a" * 200), (4, "short"), (5, "tests"), (6, None), (7, ""), (7, " "), (8, "alone here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = Counter((i, k, n, kept) for (i, k, n, kept, _), c in plain_exact(rows).items() for _ in range(c))
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()) == want
+
+
 def test_exact_dedup_empty(empty_docs):
     assert exact_dedup.exact_dedup(empty_docs).collect() == []
 
@@ -187,13 +196,12 @@ def test_hamming_index_is_complete():
 
     rng = np.random.default_rng(1)
     codes = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
-    index = decontaminate.HammingIndex(codes)
+    index, asked = decontaminate.HammingIndex(codes), codes[:200].copy()
     for i in range(200):
-        code = codes[i]
         for b in rng.choice(64, rng.integers(0, 30), replace=False):
-            code ^= np.uint64(1) << np.uint64(b)
-        want = np.flatnonzero(np.bitwise_count(codes ^ code) <= decontaminate.RADIUS).tolist()
-        assert index.within(code) == want
+            asked[i] ^= np.uint64(1) << np.uint64(b)
+    want = [(i, j) for i, code in enumerate(asked) for j in np.flatnonzero(np.bitwise_count(codes ^ code) <= decontaminate.RADIUS)]
+    assert list(zip(*index.within(asked), strict=True)) == want
 
 
 def test_near_dedup_beyond_a_block(spark, monkeypatch):

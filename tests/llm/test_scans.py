@@ -18,7 +18,7 @@ from tessera.llm import license_scan, mixing, queries, secrets_scan, sharding, t
 from tessera.llm.common import materialize
 
 
-@pytest.mark.parametrize("name", ["op1_exact_dedup", "op3_mixing"])
+@pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_oracles(spark, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
@@ -32,17 +32,15 @@ def test_oracles(spark, name):
     pd.testing.assert_frame_equal(key(got), key(want), check_dtype=False)
 
 
-def test_mixing_meets_targets(tricky_docs, tricky):
-    got = mixing.mix(tricky_docs).collect()
-    assert len(got) == len(tricky)
-    assert sorted(r.size for r in got) == sorted(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in tricky)
+def plain_targets(rows):
+    """Words and target of each source of (size, source)."""
     sizes = Counter()
-    for _, t, s in tricky:
-        sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    order = sorted((s for s in sizes if s is not None)) + [None]
+    for n, s in rows:
+        sizes[s] += n
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
     targets, left, rest = {}, 1.5 * sum(sizes.values()), set(order)
-    while True:
+    while rest:
         level = left / sum(weight[s] for s in rest)
         over = {s for s in rest if level * weight[s] > 2 * sizes[s]}
         if not over:
@@ -51,7 +49,15 @@ def test_mixing_meets_targets(tricky_docs, tricky):
             targets[s] = 2.0 * sizes[s]
             left -= targets[s]
         rest -= over
-    targets |= {s: level * weight[s] for s in rest}
+    return sizes, targets | {s: level * weight[s] for s in rest}
+
+
+def test_mixing_meets_targets(tricky_docs, tricky):
+    got = mixing.mix(tricky_docs).collect()
+    assert len(got) == len(tricky)
+    assert sorted(r.size for r in got) == sorted(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in tricky)
+    sizes, targets = plain_targets([(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s) for _, t, s in tricky])
+    order = list(targets)
     want = Counter((sizes[s], round(targets[s], 3)) for _, _, s in tricky)
     assert Counter((r.source_size, round(r.target, 3)) for r in got) == want
     taken, largest = Counter(), defaultdict(int)
@@ -64,18 +70,31 @@ def test_mixing_meets_targets(tricky_docs, tricky):
             assert n <= target + 1e-6 and target - n <= largest[size, target]
 
 
-def plain_mix(rows, targets):
-    """Takes of a greedy walk by rank: (doc_id, copies)."""
-    out = {}
+def plain_mix(rows, targets, seed="mix"):
+    """Takes of a greedy walk by Pareto rank: doc_id -> copies, and the inclusion probabilities of the extra copy."""
+    out, odds = {}, {}
     for source, target in targets.items():
-        mine = [(i, n) for i, n, s in rows if s == source]
-        whole = int(target // sum(n for _, n in mine))
-        left = target - whole * sum(n for _, n in mine)
-        for i, n in sorted(mine, key=lambda r: int(hashlib.md5(f"mix:{r[0]}".encode()).hexdigest()[:12], 16)):
-            fits = n <= left and target > whole * sum(n for _, n in mine)
-            left -= n * fits
+        mine = [(i, n, max(1, int(n**0.5))) for i, n, s in rows if s == source]
+        total = sum(n for _, n, _ in mine)
+        whole = int(target // total)
+        left = target - whole * total
+        sure = set()
+        while True:  # the largest are certain until the rest's probabilities are below one
+            rest = [m for m in mine if m[0] not in sure]
+            c = (left - sum(n for i, n, _ in mine if i in sure)) / max(1, sum(n * w for _, n, w in rest))
+            top = max((w for _, _, w in rest), default=0)
+            if c * top <= 1:
+                break
+            sure |= {i for i, _, w in rest if w == top}
+        pi = {i: 1.0 if i in sure else c * w for i, _, w in mine}
+        odds |= pi
+        room = left - sum(n for i, n, _ in mine if i in sure)
+        u = {i: (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48 for i, _, _ in mine}
+        for i, n, _ in sorted(mine, key=lambda r: (r[0] not in sure, u[r[0]] / (1 - u[r[0]]) * (1 - pi[r[0]]) / max(pi[r[0]], 1e-300), r[0])):
+            fits = i in sure or (n <= room and left > 0)
+            room -= n * (fits and i not in sure)
             out[i] = whole + fits
-    return out
+    return out, odds
 
 
 def test_mixing_fills_past_a_long_boundary_document(spark):
@@ -85,7 +104,7 @@ def test_mixing_fills_past_a_long_boundary_document(spark):
     got = mixing.mix(docs).collect()
     source = {i: s for i, _, s in rows}
     targets = {source[r.doc_id]: r.target for r in got}
-    assert {r.doc_id: r.copies for r in got} == plain_mix(rows, targets)
+    assert {r.doc_id: r.copies for r in got} == plain_mix(rows, targets)[0]
     for s, target in targets.items():
         mine = [r for r in got if source[r.doc_id] == s]
         least = min(r.copies for r in mine)
@@ -105,13 +124,24 @@ def test_mixing_reruns_agree_and_rows_follow(spark, tricky_docs, empty_docs):
 
 
 def test_pareto_sampling_follows_odds(spark):
-    """Over seeds, the share of takes is the fractional rate."""
+    """Over seeds, the share of takes is the fractional rate, and a document's takes its own inclusion probability."""
     docs = spark.range(400).selectExpr("id as doc_id", "'w w w w w w w w w w' as text", "if(id % 4 = 0, 'a', 'b') as source")
     taken = Counter()
-    for seed in range(8):
+    for seed in range(3):
         for r in mixing.mix(docs, weights=(1,), share=0.5, seed=str(seed)).collect():
             taken[r.source_size] += r.taken
-    assert taken == {1000: 8000, 3000: 8 * 1000}
+    assert taken == {1000: 3000, 3000: 3 * 1000}
+    sizes = {i: (4, 16, 64, 256)[i % 4] for i in range(1200)}
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), "a") for i, n in sizes.items()], "doc_id bigint, text string, source string")
+    _, odds = plain_mix([(i, n, "a") for i, n in sizes.items()], {"a": 0.3 * sum(sizes.values())})
+    share = Counter()
+    for seed in range(3):
+        got = mixing.mix(docs, share=0.3, seed=f"s{seed}").collect()
+        assert {r.doc_id: r.copies for r in got} == plain_mix([(i, n, "a") for i, n in sizes.items()], {"a": 0.3 * sum(sizes.values())}, f"s{seed}")[0]
+        share.update(Counter(sizes[r.doc_id] for r in got for _ in range(r.copies)))
+    for n in (4, 16, 64, 256):
+        assert share[n] / 900 == pytest.approx(odds[(4, 16, 64, 256).index(n)], abs=0.06)
+    assert odds[3] > 1.9 * odds[2] > 3.5 * odds[1]
 
 
 LICENSE_TEXTS = [
@@ -225,10 +255,30 @@ def test_secret_scan(spark, tricky_docs, empty_docs, documents):
 def test_randomness_battery():
     rng = random.Random(9)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    random_ones = sum(secrets_scan.is_random("".join(rng.choice(letters) for _ in range(40))) for _ in range(500))
-    assert random_ones >= 480  # three tests at one in a thousand
-    assert not secrets_scan.is_random("ab" * 20) and not secrets_scan.is_random("abcdefghijklmnopqrstuvwxyz0123456789")
-    assert secrets_scan.prose_p("internationalization") > 0.01
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(500)]
+    assert sum(secrets_scan.token_p(k) < 1e-4 for k in keys) >= 490
+    # each of the three tests alone turns evidence against words down
+    for token in ("ab" * 20, "abcdefghijklmnopqrstuvwxyz0123456789", "Q7" * 20, "0" * 30):
+        assert secrets_scan.token_p(token) > 0.05
+    for key in keys[:50]:
+        (even, p1), (_, p2), (_, p3) = secrets_scan.battery(key)
+        assert even > 0 and 0 <= min(p1, p2, p3) <= max(p1, p2, p3) <= 1
+        assert secrets_scan.token_p("".join(sorted(key))) > secrets_scan.token_p(key)
+    assert secrets_scan.token_p("internationalization") > 0.01
+
+
+def test_discoveries_are_weighed_by_length(monkeypatch):
+    """Benjamini-Hochberg on P over the length's share, against a plain statement of it."""
+    rng = random.Random(3)
+    for _ in range(50):
+        tokens = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(20, 90))) for _ in range(rng.randrange(1, 12))]
+        p = {t: rng.choice([1e-6, 1e-3, 4e-3, 8e-3, 0.02, 0.5]) for t in tokens}
+        monkeypatch.setattr(secrets_scan, "token_p", p.__getitem__)
+        mean, n = sum(map(len, tokens)) / len(tokens), len(tokens)
+        q = sorted((p[t] * mean / len(t), t) for t in tokens)
+        k = max((i + 1 for i in range(n) if q[i][0] <= 0.01 * (i + 1) / n), default=0)
+        text = " ".join(tokens)
+        assert sorted(text[a:b] for a, b in secrets_scan.random_spans(text, [])) == sorted(t for _, t in q[:k])
 
 
 def test_secret_keys_of_letters_alone(documents):
@@ -266,6 +316,36 @@ def test_sharding_laws(spark, tricky_docs, empty_docs, tricky):
         assert sorted(r.place for r in sharding.feistel_shards(spark.range(n).withColumnRenamed("id", "doc_id")).collect()) == list(range(n))
 
 
+def test_sharding_places_are_the_permutation(spark, tricky):
+    """Every shard and slot recomputed in plain integers."""
+    rows = [(i, f"{n}") for n, (i, _, _) in enumerate(tricky) if i != 11]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    n, k = len(rows), int(len(rows) ** 0.5)
+    a = (k if k * k == n else k + 1) + 1
+    b = -(-n // a)
+    keys = [(5 * 7919 + i * 104729 + 12345) % 2**30 for i in range(1, 7)]
+
+    def mixed(x, key):
+        x = (x * 1103515245 + key) % 2**31
+        return (x ^ x >> 15) * (1299721 + 2 * key % 65536) % 2**31
+
+    def step(x):
+        left, right = x % a, x // a
+        for i, key in enumerate(keys):
+            left, right = ((left + mixed(right, key)) % a, right) if i % 2 == 0 else (left, (right + mixed(left, key)) % b)
+        return right * a + left
+
+    order = sorted((hashlib.md5(str("" if i is None else i).encode()).hexdigest(), i is not None, i or 0, t) for i, t in rows)
+    want = {}
+    for x, (_, _, i, t) in enumerate(order):
+        p = step(x)
+        while p >= n:
+            p = step(p)
+        want[t] = (p, p % 8, p // 8)
+    got = sharding.feistel_shards(docs, seed=5, extra={"t": F.col("text")}).collect()
+    assert {r.t: (r.place, r.shard, r.slot) for r in got} == want
+
+
 def test_sharding_query(spark, documents):
     for r in queries.QUERIES["op8_sharding"](spark, SF).collect():
         text = (dict(documents)[r.doc_id] or "").encode()
@@ -350,16 +430,66 @@ def test_marginals_are_exact():
 
     rng = np.random.default_rng(0)
     crf = toxicity.Crf(enter=0.4, leave=-0.7, stay=1.1)
-    n = 7
-    e = rng.normal(size=(toxicity.CHAIN, 1))
-    fwd, bwd = toxicity.passes(e, np.array([n]), crf)
-    p = toxicity.sigmoid(fwd + bwd)[:n, 0]
-    total, ones = 0.0, np.zeros(n)
-    for y in itertools.product((0, 1), repeat=n):
-        w = np.exp(sum(e[t, 0] for t in range(n) if y[t]) + sum({(0, 0): 0, (0, 1): crf.enter, (1, 0): crf.leave, (1, 1): crf.stay}[y[t], y[t + 1]] for t in range(n - 1)))
-        total += w
-        ones += w * np.array(y)
-    assert p == pytest.approx(ones / total, abs=1e-9)
+    lengths = [7, 0, 1, 5]
+    e = rng.normal(size=sum(lengths))
+    fwd, bwd = toxicity.passes(e, lengths, crf)
+    at = 0
+    for n in lengths:
+        p, own = (fwd * bwd / (1 + fwd * bwd))[at : at + n], e[at : at + n]
+        at += n
+        total, ones = 0.0, np.zeros(n)
+        for y in itertools.product((0, 1), repeat=n):
+            w = np.exp(sum(own[t] for t in range(n) if y[t]) + sum({(0, 0): 0, (0, 1): crf.enter, (1, 0): crf.leave, (1, 1): crf.stay}[y[t], y[t + 1]] for t in range(n - 1)))
+            total += w
+            ones += w * np.array(y)
+        assert p == pytest.approx(ones / total, abs=1e-9)
+
+
+def plain_marginals(e, crf):
+    """One chain, word by word, in logarithms."""
+    add = np.logaddexp
+    a, b = [(0.0, e[0])], [(0.0, 0.0)]
+    for x in e[1:]:
+        zero, one = a[-1]
+        a.append((add(zero, one + crf.leave), x + add(zero + crf.enter, one + crf.stay)))
+    for x in e[:0:-1]:
+        zero, one = b[-1]
+        b.append((add(zero, one + x + crf.enter), add(zero + crf.leave, one + x + crf.stay)))
+    total = add(*a[-1])
+    return np.array([np.exp(f[1] + g[1] - total) for f, g in zip(a, b[::-1], strict=True)])
+
+
+def test_chains_are_whole_documents(spark):
+    """Scores and spans of documents of any length, against a chain taken word by word; state crosses every block."""
+    rng = random.Random(12)
+    crf = toxicity.Crf({"=bad": 5.0, "^wor": 2.0}, bias=-3.0, enter=-0.5, leave=-2.0, stay=2.5, final=(1.0, 2.0, 0.5, -2.5))
+    texts = [" ".join(rng.choice(["bad", "worse", "fine", "Bad!", "x"] if i % 2 else ["fine", "x", "y", "worse"]) for _ in range(n)) for i, n in enumerate((0, 1, 2, 63, 64, 65, 128, 129, 700, 5000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in toxicity.score(docs, crf).collect():
+        words = texts[r.doc_id].split()
+        e = [crf.emission(w.lower().strip(toxicity.STRIP)) for w in words]
+        p = plain_marginals(e, crf) if e else np.zeros(0)
+        x = np.array([np.log1p(p.sum()), p.max(initial=0), np.log1p((p > 0.5).sum())])
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(x @ crf.final[:3] + crf.final[3]))), abs=1e-9)
+        at = [m.span() for m in re.finditer(r"\S+", texts[r.doc_id])]
+        assert [(s.start, s.end) for s in r.spans] == [at[i] for i in np.flatnonzero(p > 0.5)]
+    long = np.concatenate([np.full(100, -1.0), np.full(60, 3.0), np.full(200, -1.0)])
+    fwd, bwd = toxicity.passes(long, [len(long)], crf)
+    assert fwd * bwd / (1 + fwd * bwd) == pytest.approx(plain_marginals(long, crf), abs=1e-9)
+
+
+def test_toxicity_trains_on_whole_texts(spark):
+    """Words that stand late in long texts mark them."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(150):
+        w = [f"w{rng.randrange(300)}" for _ in range(2500)]
+        if i % 3 == 0:
+            w[-1 - rng.randrange(50)] = "grubfarn"
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    assert {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()} == {i: y for i, _, y in rows}
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -376,14 +506,19 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(out.columns == columns for _, _, out in seen[:-1])
     pairs = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
     crf = toxicity.fit(seen[0][1], spark.read.parquet(f"{SF}/labels.parquet"))
-    fine = {r.doc_id for r in toxicity.score(seen[0][1], crf, spans=False).where("score < 0.5").collect()}
+    fine = set()
+    for i, text in pairs(seen[0][1]):
+        p = plain_marginals([crf.emission(w.lower().strip(toxicity.STRIP)) for w in text.split()], crf) if text and text.split() else np.zeros(0)
+        x = np.array([np.log1p(p.sum()), p.max(initial=0), np.log1p((p > 0.5).sum())])
+        fine |= {i} if x @ crf.final[:3] + crf.final[3] < 0 else set()
     assert {i for i, _ in pairs(seen[0][2])} == fine and len(fine) < seen[0][1].count()
     near = brute.near(pairs(seen[1][1]), 5)
     assert sorted(i for i, _ in pairs(seen[1][2])) == sorted(i for i, (_, c) in near.items() if i == c)
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     gone = {d for d, _ in plain_leaks(pairs(seen[2][1]), bench)}
     assert sorted(i for i, _ in pairs(seen[2][2])) == sorted(i for i, _ in pairs(seen[2][1]) if i not in gone)
-    copies = {r.doc_id: r.copies for r in mixing.mix(seen[3][1]).collect()}
+    rows = [(r.doc_id, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.source) for r in seen[3][1].collect()]
+    copies, _ = plain_mix(rows, plain_targets([r[1:] for r in rows])[1])
     assert Counter(i for i, _ in pairs(seen[3][2])) == Counter({i: n for i, n in copies.items() if n})
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in seen[4][2].collect())
     want = brute.tokens(pairs(seen[4][1]), PATH)
@@ -397,5 +532,8 @@ def test_pipeline_stages_on_awkward_tables(spark, tricky_docs, empty_docs):
         out = materialize(stage(spark, docs, SF))
         if name != "token_files":
             assert out.columns == docs.columns and 0 < out.count()
+        if name == "near_dedup":
+            ids = Counter(r.doc_id for r in out.select("doc_id").collect())
+            assert ids[11] == 1 and ids[None] == 2  # one of the repeated rows, and all without an id
         docs = out
     assert docs.where(F.col("doc_id").isNull()).count() > 0
