@@ -1,7 +1,7 @@
 """A training corpus from `documents`: toxic ones go, near copies go, benchmark leaks go, sources are mixed, ids are written.
 
 Each stage works on all rows that its predecessor kept and takes decisions for rows by doc_id; rows that share
-a doc_id share the decision of near_dedup, and a null doc_id is kept there.
+a doc_id share the decision of near_dedup, where one of them stays, and a null doc_id is kept there.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, materialize, small_batches, table
+from tessera.llm.common import WORDS, discard, fresh, materialize, small_batches, table
 from tessera.llm.decontaminate import without_leaks
 from tessera.llm.mixing import mix_rows
 from tessera.llm.near_dedup import near_dedup
@@ -24,9 +24,16 @@ def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (5-word shingles, similarity 0.8) stays, the smallest doc_id."""
-    key = fresh(docs, "_gone_id")
-    gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias(key))
-    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
+    key, found = fresh(docs, "_gone_id"), near_dedup(docs)
+    same = F.col("doc_id") == F.col(key)
+    stay = docs.join(found.where(~F.col("kept")).select(F.col("doc_id").alias(key)), same, "left_anti")
+    twice = found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key)
+    if twice.isEmpty():
+        return stay
+    # rows that share a kept id are copies of one another but for empty texts; one of them stays
+    words = F.coalesce(F.col("text").rlike(WORDS), F.lit(False))
+    shared = stay.join(twice, same, "left_semi")
+    return stay.join(twice, same, "left_anti").unionByName(shared.where(words).dropDuplicates(["doc_id"])).unionByName(shared.where(~words))
 
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +65,10 @@ ORACLE_SQL = None
 @small_batches
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on `documents`; each stage's rows are written as Parquet and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir))
+        if last:
+            discard(spark, last)
+        last = docs._written
     return docs
