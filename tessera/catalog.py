@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import color, scalars
-from tessera.operators import blocks, choice, filters, screen, transform
+from tessera.functions import bits, color, scalars
+from tessera.operators import blocks, choice, filters, intra, screen, transform
+from tessera.sinks import heif
 from tessera.sources import images, planes
 from tessera.sources.planes import E_SQL, M_SQL, QUANT_SQL, REPEAT_SQL, RGB_SQL, S_SQL, clip
 
@@ -39,19 +40,63 @@ def query(name: str, sql: str | None, *, ints: bool = True):
 
 
 LV_SQL = ", b AS (SELECT y // 8 AS by, x // 8 AS bx, count(*)::DOUBLE AS n, sum(v)::DOUBLE AS s, sum(v * v)::DOUBLE AS q FROM p GROUP BY ALL), lv AS (SELECT by, bx, ln(1 + greatest(0, q / n - (s / n) * (s / n))) AS lv FROM b)"
-AQ_SQL = M_SQL + LV_SQL + """, g AS (SELECT by // 4 AS gy, bx // 4 AS gx, avg(lv) AS lv FROM lv GROUP BY ALL),
+def around(t: str, size: int) -> str:
+    """Left joins of a plane p with its four neighbours in a tile, as l, r, t and u."""
+    return " ".join(f"LEFT JOIN {t} {n} ON {n}.y = p.y + ({dy}) AND {n}.x = p.x + ({dx}) AND {n}.y // {size} = p.y // {size} AND {n}.x // {size} = p.x // {size}" for n, dy, dx in (("l", 0, -1), ("r", 0, 1), ("t", -1, 0), ("u", 1, 0)))
+
+
+LAPLACIAN = "SELECT p.y // {1} AS cy, p.x // {1} AS cx, abs(4 * p.v - l.v - r.v - t.v - u.v) AS e FROM {0} p {2}"
+ACT_SQL = f""", c2 AS (SELECT y // 2 AS y, x // 2 AS x, avg(v) AS v FROM p GROUP BY ALL), zf AS ({LAPLACIAN.format("p", 64, around("p", 64))}), zh AS ({LAPLACIAN.format("c2", 32, around("c2", 32))}),
+en AS (SELECT cy, cx, sqrt(f.e * h.e) AS energy FROM (SELECT cy, cx, coalesce(sum(e), 0) / greatest(count(e), 1) AS e FROM zf GROUP BY ALL) f JOIN (SELECT cy, cx, coalesce(sum(e), 0) / greatest(count(e), 1) AS e FROM zh GROUP BY ALL) h USING (cy, cx)),
+oc AS (SELECT by // 8 AS cy, bx // 8 AS cx, list_sort(list(lv)) AS l, count(*) AS n FROM lv GROUP BY ALL), me AS (SELECT y // 64 AS cy, x // 64 AS cx, avg(v) AS mean FROM p GROUP BY ALL),
+act AS (SELECT cy, cx, (l[greatest(1, CAST(ceil(n * 3 / 8) AS INT))] + 2 * l[greatest(1, CAST(ceil(n * 4 / 8) AS INT))] + l[greatest(1, CAST(ceil(n * 5 / 8) AS INT))]) / 4 AS low, mean, energy FROM oc JOIN me USING (cy, cx) JOIN en USING (cy, cx)),
+bo AS (SELECT cy, cx, greatest(0, least(1, (5.549076::DOUBLE - low) / 5.549076::DOUBLE)) * (6.0::DOUBLE / 7) * 0.575::DOUBLE AS flat,
+   greatest(0, least(1, ln(1 + energy * (greatest(1, least(4, pow(72 / (16 + mean), 1.2::DOUBLE))) - 1)) / 4.1743875::DOUBLE)) * (6.0::DOUBLE / 7) * 0.75::DOUBLE AS dark FROM act)"""
+
+
+def aq_sql(most: int, only: bool = False) -> str:
+    """Offsets at QP 38: masked and centred unless `only` boosts count, then protected."""
+    first = "0" if only else f"coalesce(greatest(-{most}, least({most}, round(1.25 * (lv - avg(lv) OVER ())))), 0)"
+    second = "o" if only else f"greatest(-{most}, least({most}, o - round(avg(o) OVER ())))"
+    return M_SQL + LV_SQL + ACT_SQL + f""", g AS (SELECT by // 4 AS gy, bx // 4 AS gx, avg(lv) AS lv FROM lv GROUP BY ALL),
 d AS (SELECT max(gy) // 2 + 1 AS h, max(gx) // 2 + 1 AS w FROM g),
-spine AS (SELECT ctu, quad, (ctu // w) * 2 + quad // 2 AS gy, (ctu % w) * 2 + quad % 2 AS gx FROM d, range((SELECT h * w FROM d)) c(ctu), range(4) q(quad)),
-o AS (SELECT ctu, quad, lv, coalesce(greatest(-3, least(3, round(1.25 * (lv - avg(lv) OVER ())))), 0) AS o FROM spine LEFT JOIN g USING (gy, gx)),
-aq AS (SELECT ctu, quad, CASE WHEN lv IS NULL THEN 0 ELSE greatest(-3, least(3, o - round(avg(o) OVER ()))) END AS off FROM o)"""
+spine AS (SELECT ctu, quad, ctu // w AS cy, ctu % w AS cx, (ctu // w) * 2 + quad // 2 AS gy, (ctu % w) * 2 + quad % 2 AS gx FROM d, range((SELECT h * w FROM d)) c(ctu), range(4) q(quad)),
+o AS (SELECT ctu, quad, cy, cx, {first} AS o FROM spine LEFT JOIN g USING (gy, gx)), o2 AS (SELECT ctu, quad, cy, cx, {second} AS o FROM o),
+aq AS (SELECT ctu, quad, greatest(-{most}, least({most}, o - round(greatest(flat, dark)))) AS off FROM o2 JOIN bo USING (cy, cx))"""
 
 
-@query("aq_offsets", AQ_SQL + "=> SELECT ctu, quad, off FROM aq")
+@query("aq_offsets", aq_sql(3) + "=> SELECT ctu, quad, off FROM aq")
 def aq_offsets(spark, d):
-    """AGG-01, AGG-02, SCL-01, SCL-02, SCL-05: QP offsets of 32x32 groups."""
+    """AGG-01, AGG-02, SCL-01, SCL-02, SCL-05: QP offsets of 32x32 groups at QP 38."""
     return blocks.aq_offsets(planes.m_plane(spark, d))
 
 
+@query("aq_offsets_wide", aq_sql(12) + "=> SELECT ctu, quad, off FROM aq")
+def aq_offsets_wide(spark, d):
+    """AGG-12, SCL-05: a picture's offsets up to 12, before cells take their share."""
+    return blocks.aq_offsets(planes.m_plane(spark, d), most=12)
+
+
+@query("aq_offsets_boost_only", aq_sql(3, True) + "=> SELECT ctu, quad, off FROM aq")
+def aq_offsets_boost_only(spark, d):
+    """SCL-05: protection without masking."""
+    return blocks.aq_offsets(planes.m_plane(spark, d), boost_only=True)
+
+
+@query("aq_offsets_10_bit", aq_sql(3) + "=> SELECT ctu, quad, off FROM aq")
+def aq_offsets_10_bit(spark, d):
+    """AGG-01, AGG-02: a deeper plane has the offsets of its eight highest bits."""
+    p = planes.m_plane(spark, d)
+    return blocks.aq_offsets(p.withColumn("v", F.shiftleft("v", 2) + F.col("x") % 4), depth=10)
+
+
+@query("aq_switched_off", M_SQL + "=> SELECT 0 AS ctu, 0 AS quad, 0 AS off WHERE FALSE")
+def aq_switched_off(spark, d):
+    """FLT-07: no offsets under QP 8 and none in lossless pictures."""
+    p = planes.m_plane(spark, d)
+    return blocks.aq_offsets(p, 7).unionByName(blocks.aq_offsets(p, 38, lossless=True))
+
+
 @query("block_stats_8", E_SQL + "=> SELECT y // 8 AS by, x // 8 AS bx, count(*) AS n, sum(v) AS total, sum(v * v) AS squares, count(DISTINCT v) AS colours, min(v) AS low, max(v) AS high FROM p GROUP BY ALL")
 def block_stats(spark, d):
     """AGG-01, FLT-14: statistics of 8x8 blocks."""
@@ -65,24 +110,23 @@ def octile_rank(spark, d):
     return blocks.octile_blend(planes.m_plane(spark, d))
 
 
-AROUND = "LEFT JOIN p {0} ON {0}.y = p.y + ({1}) AND {0}.x = p.x + ({2}) AND {0}.y // 64 = p.y // 64 AND {0}.x // 64 = p.x // 64"
-
-
-@query("laplacian_ctu", E_SQL + ", z AS (SELECT p.y // 64 AS cy, p.x // 64 AS cx, abs(4 * p.v - l.v - r.v - t.v - u.v) AS e FROM p " + " ".join(AROUND.format(*a) for a in (("l", 0, -1), ("r", 0, 1), ("t", -1, 0), ("u", 1, 0))) + ") => SELECT cy, cx, count(e) AS n, coalesce(sum(e), 0) AS energy FROM z GROUP BY ALL")
+@query("laplacian_ctu", E_SQL + f", z AS ({LAPLACIAN.format('p', 64, around('p', 64))}) => SELECT cy, cx, count(e) AS n, coalesce(sum(e), 0) AS energy FROM z GROUP BY ALL")
 def laplacian_ctu(spark, d):
     """AGG-04: Laplacian energy inside each CTU."""
     return blocks.laplacian(planes.e_plane(spark, d))
 
 
-@query("boosts", M_SQL + LV_SQL + """, c AS (SELECT by // 8 AS cy, bx // 8 AS cx, avg(lv) AS lv FROM lv GROUP BY ALL), m AS (SELECT y // 64 AS cy, x // 64 AS cx, avg(v) AS mean FROM p GROUP BY ALL)
-=> SELECT cy, cx, round(greatest(0, least(1, (5.549076::DOUBLE - lv) / 5.549076::DOUBLE)) * (6.0::DOUBLE / 7) * 0.575::DOUBLE, 6) AS flat,
-   round(greatest(0, least(1, ln(1 + lv * (greatest(1, least(4, pow(72 / (16 + mean), 1.2::DOUBLE))) - 1)) / 4.1743875::DOUBLE)) * (6.0::DOUBLE / 7) * 0.75::DOUBLE, 6) AS dark FROM c JOIN m USING (cy, cx)""", ints=False)
+@query("ctu_activity", M_SQL + LV_SQL + ACT_SQL + "=> SELECT cy, cx, round(low, 6) AS low, round(mean, 6) AS mean, round(energy, 6) AS energy FROM act", ints=False)
+def ctu_activity(spark, d):
+    """AGG-01, AGG-03, AGG-04: what a CTU's boosts depend on, with the energy of both scales."""
+    return blocks.activity(planes.m_plane(spark, d)).select("cy", "cx", *[F.round(c, 6).alias(c) for c in ("low", "mean", "energy")])
+
+
+@query("boosts", M_SQL + LV_SQL + ACT_SQL + "=> SELECT cy, cx, round(flat, 6) AS flat, round(dark, 6) AS dark FROM bo", ints=False)
 def boosts(spark, d):
-    """SCL-03, SCL-04: flat and dark protection of CTUs at QP 38 (the log variance stands for the energy)."""
-    p = planes.m_plane(spark, d)
-    c = blocks.log_variances(p).groupBy("image", blocks.at("by", 8).alias("cy"), blocks.at("bx", 8).alias("cx")).agg(F.avg("lv").alias("lv"))
-    m = p.groupBy("image", blocks.at("y", 64).alias("cy"), blocks.at("x", 64).alias("cx")).agg(F.avg("v").alias("mean"))
-    return c.join(m, ["image", "cy", "cx"]).select("cy", "cx", F.round(blocks.flat_boost(F.col("lv"), 38), 6).alias("flat"), F.round(blocks.dark_boost(F.col("mean"), F.col("lv"), 38), 6).alias("dark"))
+    """SCL-03, SCL-04: flat and dark protection of CTUs at QP 38."""
+    a = blocks.activity(planes.m_plane(spark, d))
+    return a.select("cy", "cx", F.round(blocks.flat_boost(F.col("low"), 38), 6).alias("flat"), F.round(blocks.dark_boost(F.col("mean"), F.col("energy"), 38), 6).alias("dark"))
 
 
 @query("chroma_qp_offset", M_SQL + LV_SQL + ", c AS (SELECT avg(lv) AS lv FROM lv GROUP BY by // 8, bx // 8) => SELECT -round(4 * greatest(0, least(1, (avg(lv) - 1.2) / 1.4))) AS off FROM c")
@@ -150,10 +194,10 @@ def grid_cells(spark, d):
     return cells.groupBy("image", "row", "col").agg(F.count("v").alias("n"), F.sum(F.col("v") * (F.col("y") * 32 + F.col("x"))).alias("weighted"))
 
 
-@query("cell_bias", AQ_SQL + ", k AS (SELECT ctu, quad, ctu // 2 AS \"row\", 0 AS col, off FROM aq), m AS (SELECT *, greatest(-12, least(12, round(avg(off) OVER (PARTITION BY \"row\")))) AS bias FROM k) => SELECT ctu, quad, \"row\", col, bias, greatest(-3, least(3, off - bias)) AS off FROM m")
+@query("cell_bias", aq_sql(12) + ", k AS (SELECT ctu, quad, ctu // 2 AS \"row\", 0 AS col, off FROM aq), m AS (SELECT *, greatest(-12, least(12, round(avg(off) OVER (PARTITION BY \"row\")))) AS bias FROM k) => SELECT ctu, quad, \"row\", col, bias, greatest(-3, least(3, off - bias)) AS off FROM m")
 def cell_bias(spark, d):
-    """PART-10: each cell's mean offset becomes its QP bias (the plane is one CTU wide, cells two CTUs high)."""
-    return blocks.cell_bias(blocks.aq_offsets(planes.m_plane(spark, d)), 1, 2)
+    """PART-10: the mean of each cell's part of a picture's wide offsets becomes its QP bias (the plane is one CTU wide, cells two high)."""
+    return blocks.cell_bias(blocks.aq_offsets(planes.m_plane(spark, d), most=12), 1, 2)
 
 
 @query("split_score_32", M_SQL + """, g AS (SELECT p.*, p.y // 32 AS cy, p.x // 32 AS cx, p.v - l.v AS dx, p.v - u.v AS dy FROM p LEFT JOIN p l ON l.y = p.y AND l.x = p.x - 1 AND l.x // 32 = p.x // 32 LEFT JOIN p u ON u.x = p.x AND u.y = p.y - 1 AND u.y // 32 = p.y // 32),
@@ -193,8 +237,8 @@ def satd_4x4(spark, d):
 @query("reconstruct", E_SQL + DIFF_SQL + "=> SELECT y, x, d AS residual, greatest(0, least(255, rec + d * 2)) AS rebuilt FROM dd")
 def reconstruct(spark, d):
     """PRJ-08, PRJ-09: residuals, and prediction plus (doubled) residual, clipped."""
-    pairs = blocks.against_above(planes.e_plane(spark, d)).join(planes.e_plane(spark, d), ["image", "y", "x"])
-    return pairs.select("y", "x", F.col("d").alias("residual"), clip(0, 255, F.col("v") - F.col("d") + F.col("d") * 2).alias("rebuilt"))
+    residual = F.col("v") - F.col("rec")
+    return blocks.above(planes.e_plane(spark, d)).select("y", "x", residual.alias("residual"), clip(0, 255, F.col("rec") + residual * 2).alias("rebuilt"))
 
 
 ZBITS = " + ".join(f"(((x % 64) // 4 >> {i}) % 2) * {1 << 2 * i} + (((y % 64) // 4 >> {i}) % 2) * {2 << 2 * i}" for i in range(4))
@@ -269,13 +313,18 @@ def valid_dims(spark, d):
 
 
 BAND_SQL = ", bands AS (SELECT y // 64 AS cy, x // 64 AS cx, rec >> 3 AS band, count(*) AS n, CAST(sum(v - rec) AS BIGINT) AS err FROM dd GROUP BY ALL)"
-OFFSET_SQL = """, m AS (SELECT *, (CASE WHEN err < 0 THEN -1 WHEN err > 0 THEN 1 ELSE 0 END) AS sg, least(7, (abs(err) + n // 2) // n) AS top FROM bands), o AS (SELECT m.*, i, sg * i AS o FROM m, range(8) r(i) WHERE i <= top),
-c AS (SELECT *, n * o * o - 2 * err * o + 36.48::DOUBLE * (i + (i < 7)::INT + (i > 0)::INT) AS cost FROM o), best AS (SELECT cy, cx, band, o AS off FROM c QUALIFY row_number() OVER (PARTITION BY cy, cx, band ORDER BY cost, i) = 1)"""
+def offsets_sql(name: str, stats: str, keys: str, low: str, high: str, sign: int) -> str:
+    """Of each row of stats the offset of least cost, with its terms delta and bits."""
+    return f""", {name}_m AS (SELECT *, greatest({low}, least({high}, (CASE WHEN err < 0 THEN -1 WHEN err > 0 THEN 1 ELSE 0 END) * least(7, (abs(err) + n // 2) // n))) AS r FROM {stats}),
+{name}_o AS (SELECT {keys}, i, CASE WHEN r < 0 THEN -i ELSE i END AS o, n * i * i - 2 * err * o AS delta, i + (i < 7)::INT + {sign} * (i > 0)::INT AS bits FROM {name}_m, range(8) r(i) WHERE i <= abs(r)),
+{name} AS (SELECT {keys}, o AS off, delta, bits FROM {name}_o QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY delta + 36.48::DOUBLE * bits, i) = 1)"""
+
+
+OFFSET_SQL = offsets_sql("best", "bands", "cy, cx, band", "-7", "7", 1)
 
 
 def pairs_above(spark, d):
-    p = planes.e_plane(spark, d)
-    return p.withColumn("rec", F.lag("v", 4).over(blocks.W.partitionBy("image", "x").orderBy("y"))).where("rec is not null")
+    return blocks.above(planes.e_plane(spark, d))
 
 
 @query("sao_band_hist", E_SQL + DIFF_SQL + BAND_SQL + "=> SELECT * FROM bands")
@@ -284,52 +333,111 @@ def sao_band_hist(spark, d):
     return filters.sao_bands(pairs_above(spark, d))
 
 
-EDGE_SQL = ", lim AS (SELECT max(y) AS h, max(x) AS w, min(y) AS t FROM dd), ee AS (" + " UNION ALL ".join(
-    f"SELECT c.y // 64 AS cy, c.x // 64 AS cx, {k} AS dir, sign(c.rec - a.rec) + sign(c.rec - b.rec) AS s, c.d FROM dd c JOIN dd a ON a.y = c.y - ({dy}) AND a.x = c.x - ({dx}) JOIN dd b ON b.y = c.y + ({dy}) AND b.x = c.x + ({dx}), lim WHERE c.y > 0 AND c.x > 0 AND c.y < h AND c.x < w" for k, (dx, dy) in enumerate(filters.DIRECTIONS)
-) + ")"
+EDGE_SQL = ", ee AS (" + " UNION ALL ".join(
+    f"SELECT c.y, c.x, {k} AS dir, (c.rec > a.rec)::INT - (c.rec < a.rec)::INT + (c.rec > b.rec)::INT - (c.rec < b.rec)::INT + 2 AS s, c.d FROM dd c JOIN dd a ON a.y = c.y - ({dy}) AND a.x = c.x - ({dx}) JOIN dd b ON b.y = c.y + ({dy}) AND b.x = c.x + ({dx})" for k, (dx, dy) in enumerate(filters.DIRECTIONS)
+) + '), eh AS (SELECT y // 64 AS cy, x // 64 AS cx, dir, [0, 1, NULL, 2, 3][s + 1] AS "class", count(*) AS n, CAST(sum(d) AS BIGINT) AS err FROM ee WHERE s <> 2 GROUP BY ALL)'
 
 
-@query("sao_edge_hist", E_SQL + DIFF_SQL + EDGE_SQL + '=> SELECT cy, cx, dir, CASE WHEN s < 0 THEN s + 2 ELSE s + 1 END AS "class", count(*) AS n, sum(d) AS err FROM ee WHERE s <> 0 GROUP BY ALL')
+@query("sao_edge_hist", E_SQL + DIFF_SQL + EDGE_SQL + "=> SELECT * FROM eh")
 def sao_edge_hist(spark, d):
     """AGG-09: edge classes of each CTU in four directions."""
     return filters.sao_edges(pairs_above(spark, d))
 
 
-@query("sao_best_band", E_SQL + DIFF_SQL + BAND_SQL + OFFSET_SQL + "=> SELECT * FROM best")
+@query("sao_best_band", E_SQL + DIFF_SQL + BAND_SQL + OFFSET_SQL + "=> SELECT cy, cx, band, off FROM best")
 def sao_best_band(spark, d):
     """TOPK-06: the offset of least cost of each band."""
-    return filters.best_offsets(filters.sao_bands(pairs_above(spark, d)), ["image", "cy", "cx", "band"], 36.48)
+    return filters.best_offsets(filters.sao_bands(pairs_above(spark, d)), ["image", "cy", "cx", "band"], 36.48).drop("delta", "bits")
+
+
+CHOICE_SQL = OFFSET_SQL + EDGE_SQL + offsets_sql("eb", "eh", 'cy, cx, dir, "class"', 'CASE WHEN "class" < 2 THEN 0 ELSE -7 END', 'CASE WHEN "class" < 2 THEN 7 ELSE 0 END', 0) + """, ctus AS (SELECT DISTINCT cy, cx FROM bands),
+rb AS (SELECT c.cy, c.cx, s, k, coalesce(off, 0) AS off, coalesce(delta, 0) AS delta, coalesce(bits, 1) AS bits FROM ctus c, range(29) r(s), range(4) t(k) LEFT JOIN best b ON b.cy = c.cy AND b.cx = c.cx AND b.band = s + k),
+re AS (SELECT c.cy, c.cx, s, k, coalesce(off, 0) AS off, coalesce(delta, 0) AS delta, coalesce(bits, 1) AS bits FROM ctus c, range(4) r(s), range(4) t(k) LEFT JOIN eb b ON b.cy = c.cy AND b.cx = c.cx AND b.dir = s AND b."class" = k),
+plans AS (SELECT cy, cx, 0.0::DOUBLE AS cost, 0 AS rank, 0 AS kind, 0 AS start, 0 AS dir, [0, 0, 0, 0] AS offsets FROM ctus
+  UNION ALL SELECT cy, cx, sum(delta) + 36.48::DOUBLE * (sum(bits) + 6), s + 1, 1, s, 0, list(off ORDER BY k) FROM rb GROUP BY cy, cx, s
+  UNION ALL SELECT cy, cx, sum(delta) + 36.48::DOUBLE * (sum(bits) + 3), s + 30, 2, 0, s, list(off ORDER BY k) FROM re GROUP BY cy, cx, s),
+choice AS (SELECT * FROM plans QUALIFY row_number() OVER (PARTITION BY cy, cx ORDER BY cost, rank) = 1)"""
+
+
+@query("sao_choice", E_SQL + DIFF_SQL + BAND_SQL + CHOICE_SQL + "=> SELECT cy, cx, kind, start, dir, offsets[1] AS o0, offsets[2] AS o1, offsets[3] AS o2, offsets[4] AS o3 FROM choice")
+def sao_choice(spark, d):
+    """AGG-09, TOPK-06: of each CTU, off, the best four bands or the best edge direction."""
+    return filters.sao_choice(pairs_above(spark, d), 36.48).select("cy", "cx", "kind", "start", "dir", *[F.get("offsets", F.lit(i)).alias(f"o{i}") for i in range(4)])
 
 
-@query("sao_apply", E_SQL + DIFF_SQL + BAND_SQL + OFFSET_SQL + "=> SELECT p.y, p.x, greatest(0, least(255, v + coalesce(off, 0))) AS v FROM p LEFT JOIN best ON cy = p.y // 64 AND cx = p.x // 64 AND band = p.v >> 3")
+@query("sao_apply", E_SQL + DIFF_SQL + BAND_SQL + CHOICE_SQL + ", q AS (SELECT y, x, rec AS v FROM dd) => SELECT q.y, q.x, greatest(0, least(255, v + coalesce(CASE kind WHEN 1 THEN CASE WHEN v >> 3 BETWEEN start AND start + 3 THEN offsets[(v >> 3) - start + 1] END WHEN 2 THEN offsets[CASE s WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 END] END, 0))) AS v FROM q JOIN choice ON cy = q.y // 64 AND cx = q.x // 64 LEFT JOIN ee ON ee.y = q.y AND ee.x = q.x AND ee.dir = choice.dir")
 def sao_apply(spark, d):
-    """WIN-05: band offsets added, with the parameters of each CTU."""
-    best = filters.best_offsets(filters.sao_bands(pairs_above(spark, d)), ["image", "cy", "cx", "band"], 36.48)
-    return filters.sao_apply_band(planes.e_plane(spark, d), best)
+    """WIN-05: band or edge offsets added to the reconstruction, with the choice of each CTU."""
+    pairs = pairs_above(spark, d)
+    return filters.sao_apply(pairs.select("image", "y", "x", F.col("rec").alias("v")), filters.sao_choice(pairs, 36.48))
 
 
-def _deblock_sql(source: str, name: str, across: str, along: str, qp: int) -> str:
-    """One pass over `source` as `name`: lines of eight samples by edge, decisions joined from lines 0 and 3."""
-    beta, tc = filters.BETA[qp], filters.TC[qp + 2]
+def _deblock_sql(source: str, name: str, across: str, along: str, qp: int | None) -> str:
+    """One pass over `source` as `name`: lines of eight samples by edge, decisions joined from lines 0 and 3.
+
+    Without a QP, source has a column qp by group, and the tables are read at the mean of both sides' QP.
+    """
+    beta, tc = ("beta", "tc") if qp is None else (f"{filters.BETA[qp]}", f"{filters.TC[qp + 2]}")
     cols = ["p3", "p2", "p1", "p0", "q0", "q1", "q2", "q3"]
     pick = ", ".join(f"max(v) FILTER (({across} + 4) % 8 = {i}) AS {c}" for i, c in enumerate(cols))
-    near = lambda old, new, by: f"greatest(0, least(255, greatest({old} - {by}, least({old} + {by}, {new}))))"
+    near = lambda old, new: f"greatest(0, least(255, greatest({old} - 2 * {tc}, least({old} + 2 * {tc}, {new}))))"
     strong = {
-        "p2": near("p2", "(2 * p3 + 3 * p2 + p1 + p0 + q0 + 4) >> 3", 2 * tc), "p1": near("p1", "(p2 + p1 + p0 + q0 + 2) >> 2", 2 * tc), "p0": near("p0", "(p2 + 2 * p1 + 2 * p0 + 2 * q0 + q1 + 4) >> 3", 2 * tc),
-        "q0": near("q0", "(p1 + 2 * p0 + 2 * q0 + 2 * q1 + q2 + 4) >> 3", 2 * tc), "q1": near("q1", "(p0 + q0 + q1 + q2 + 2) >> 2", 2 * tc), "q2": near("q2", "(p0 + q0 + q1 + 3 * q2 + 2 * q3 + 4) >> 3", 2 * tc),
+        "p2": near("p2", "(2 * p3 + 3 * p2 + p1 + p0 + q0 + 4) >> 3"), "p1": near("p1", "(p2 + p1 + p0 + q0 + 2) >> 2"), "p0": near("p0", "(p2 + 2 * p1 + 2 * p0 + 2 * q0 + q1 + 4) >> 3"),
+        "q0": near("q0", "(p1 + 2 * p0 + 2 * q0 + 2 * q1 + q2 + 4) >> 3"), "q1": near("q1", "(p0 + q0 + q1 + q2 + 2) >> 2"), "q2": near("q2", "(p0 + q0 + q1 + 3 * q2 + 2 * q3 + 4) >> 3"),
     }
-    side = lambda a, b, c, s: f"greatest(0, least(255, {b} + greatest({-(tc >> 1)}, least({tc >> 1}, (((({a} + {c} + 1) >> 1) - {b} {s}) >> 1)))))"
+    side = lambda a, b, c, s: f"greatest(0, least(255, {b} + greatest(-({tc} >> 1), least({tc} >> 1, (((({a} + {c} + 1) >> 1) - {b} {s}) >> 1)))))"
+    on, limit = f"abs(raw) < 10 * {tc}", f"({beta} + ({beta} >> 1)) >> 3"
     normal = {
-        "p1": f"CASE WHEN abs(raw) < {10 * tc} AND sp < {(beta + (beta >> 1)) >> 3} THEN {side('p2', 'p1', 'p0', '+ st')} ELSE p1 END", "p0": f"CASE WHEN abs(raw) < {10 * tc} THEN greatest(0, least(255, p0 + st)) ELSE p0 END",
-        "q0": f"CASE WHEN abs(raw) < {10 * tc} THEN greatest(0, least(255, q0 - st)) ELSE q0 END", "q1": f"CASE WHEN abs(raw) < {10 * tc} AND sq < {(beta + (beta >> 1)) >> 3} THEN {side('q2', 'q1', 'q0', '- st')} ELSE q1 END",
+        "p1": f"CASE WHEN {on} AND sp < {limit} THEN {side('p2', 'p1', 'p0', '+ st')} ELSE p1 END", "p0": f"CASE WHEN {on} THEN greatest(0, least(255, p0 + st)) ELSE p0 END",
+        "q0": f"CASE WHEN {on} THEN greatest(0, least(255, q0 - st)) ELSE q0 END", "q1": f"CASE WHEN {on} AND sq < {limit} THEN {side('q2', 'q1', 'q0', '- st')} ELSE q1 END",
     }
     new = ", ".join(f"CASE WHEN how = 2 THEN {strong.get(c, c)} WHEN how = 1 THEN {normal.get(c, c)} ELSE {c} END AS n{c}" for c in cols)
-    back = " UNION ALL ".join(f"SELECT e * 8 - 4 + {i} AS {across}, s * 4 + k AS {along}, n{c} AS v FROM {name}_n WHERE n{c} IS NOT NULL" for i, c in enumerate(cols))
-    return f""", {name}_l AS (SELECT {along} // 4 AS s, {along} % 4 AS k, ({across} + 4) // 8 AS e, {pick} FROM {source} GROUP BY ALL),
-{name}_d AS (SELECT s, e, count(*) FILTER (p3 IS NOT NULL AND q3 IS NOT NULL) AS n, sum(abs(p2 - 2 * p1 + p0)) FILTER (k IN (0, 3)) AS sp, sum(abs(q2 - 2 * q1 + q0)) FILTER (k IN (0, 3)) AS sq,
-  bool_and(2 * (abs(p2 - 2 * p1 + p0) + abs(q2 - 2 * q1 + q0)) < {beta >> 2} AND abs(p3 - p0) + abs(q0 - q3) < {beta >> 3} AND abs(p0 - q0) < {(5 * tc + 1) >> 1}) FILTER (k IN (0, 3)) AS strong FROM {name}_l GROUP BY ALL),
-{name}_h AS (SELECT l.*, sp, sq, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4 AS raw, greatest({-tc}, least({tc}, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4)) AS st, CASE WHEN n < 4 OR sp + sq >= {beta} THEN 0 WHEN strong THEN 2 ELSE 1 END AS how FROM {name}_l l JOIN {name}_d USING (s, e)),
-{name}_n AS (SELECT s, k, e, {new} FROM {name}_h), {name} AS ({back})"""
+    kept, sides, tables = "", "", ""
+    if qp is None:
+        kept, sides = ", qpp, qpq", f", max(qp) FILTER (({across} + 4) % 8 < 4) AS qpp, max(qp) FILTER (({across} + 4) % 8 >= 4) AS qpq"
+        tables = f", {list(filters.BETA)}[((arg_min(qpp, k) + arg_min(qpq, k) + 1) >> 1) + 1] AS beta, {list(filters.TC)}[least(53, ((arg_min(qpp, k) + arg_min(qpq, k) + 1) >> 1) + 2) + 1] AS tc"
+    qps = lambda i: "" if qp is not None else f", {'qpp' if i < 4 else 'qpq'} AS qp"
+    back = " UNION ALL ".join(f"SELECT e * 8 - 4 + {i} AS {across}, s * 4 + k AS {along}, n{c} AS v{qps(i)} FROM {name}_n WHERE n{c} IS NOT NULL" for i, c in enumerate(cols))
+    named = "" if qp is not None else ", beta, tc"
+    return f""", {name}_l AS (SELECT {along} // 4 AS s, {along} % 4 AS k, ({across} + 4) // 8 AS e, {pick}{sides} FROM {source} GROUP BY ALL),
+{name}_t AS (SELECT s, e{tables} FROM {name}_l GROUP BY s, e),
+{name}_d AS (SELECT s, e{named}, count(*) FILTER (p3 IS NOT NULL AND q3 IS NOT NULL) AS n, sum(abs(p2 - 2 * p1 + p0)) FILTER (k IN (0, 3)) AS sp, sum(abs(q2 - 2 * q1 + q0)) FILTER (k IN (0, 3)) AS sq,
+  bool_and(2 * (abs(p2 - 2 * p1 + p0) + abs(q2 - 2 * q1 + q0)) < ({beta} >> 2) AND abs(p3 - p0) + abs(q0 - q3) < ({beta} >> 3) AND abs(p0 - q0) < ((5 * {tc} + 1) >> 1)) FILTER (k IN (0, 3)) AS strong FROM {name}_l JOIN {name}_t USING (s, e) GROUP BY ALL),
+{name}_h AS (SELECT l.*{named}, sp, sq, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4 AS raw, greatest(-{tc}, least({tc}, (9 * (q0 - p0) - 3 * (q1 - p1) + 8) >> 4)) AS st, CASE WHEN n < 4 OR sp + sq >= {beta} THEN 0 WHEN strong THEN 2 ELSE 1 END AS how FROM {name}_l l JOIN {name}_d USING (s, e)),
+{name}_n AS (SELECT s, k, e{kept}, {new} FROM {name}_h), {name} AS ({back})"""
+
+
+QP_SQL = ", pq AS (SELECT y, x, v, 24 + ((y // 32) * 7 + (x // 32) * 11) % 25 AS qp FROM p)"
+
+
+def with_qp(spark, d) -> DataFrame:
+    """The plane with a QP from 24 to 48 for each 32x32 group."""
+    return planes.e_plane(spark, d, 32).withColumn("qp", 24 + (blocks.at("y", 32) * 7 + blocks.at("x", 32) * 11) % 25)
+
+
+E32_SQL = E_SQL.replace("e * 256", "e * 32")
+
+
+@query("deblock_qp_map", E32_SQL + QP_SQL + _deblock_sql("pq", "d1", "x", "y", None) + _deblock_sql("d1", "d2", "y", "x", None) + "=> SELECT y, x, v, qp FROM d2")
+def deblock_qp_map(spark, d):
+    """WIN-04: both passes with the mean QP of each edge's sides."""
+    return filters.deblock(with_qp(spark, d), 0, qp_map=True)
+
+
+def _chroma_sql(source: str, name: str, across: str, along: str) -> str:
+    """One pass over chroma with a QP by group and an offset of 2: the two samples at each whole segment's edge."""
+    at = lambda i: f"max(v) FILTER (({across} + 4) % 8 = {i})"
+    return f""", {name}_l AS (SELECT {along} // 4 AS s, {along} % 4 AS k, ({across} + 4) // 8 AS e, {at(2)} AS p1, {at(3)} AS p0, {at(4)} AS q0, {at(5)} AS q1, max(qp) FILTER (({across} + 4) % 8 < 4) AS qpp, max(qp) FILTER (({across} + 4) % 8 >= 4) AS qpq FROM {source} GROUP BY ALL),
+{name}_c AS (SELECT s, e, ((arg_min(qpp, k) + arg_min(qpq, k) + 1) >> 1) + 2 AS c FROM {name}_l GROUP BY s, e HAVING count(p1 + q1) = 4),
+{name}_t AS (SELECT s, e, {list(filters.TC)}[CASE WHEN c < 30 THEN c WHEN c > 43 THEN c - 6 ELSE {list(scalars.CHROMA_QP)}[c - 29] END + 3] AS tc FROM {name}_c),
+{name}_d AS (SELECT s, k, e, greatest(-tc, least(tc, (4 * (q0 - p0) + p1 - q1 + 4) >> 3)) AS st FROM {name}_l JOIN {name}_t USING (s, e)),
+{name} AS (SELECT a.y, a.x, greatest(0, least(255, v + CASE ({across} + 4) % 8 WHEN 3 THEN coalesce(st, 0) WHEN 4 THEN -coalesce(st, 0) ELSE 0 END)) AS v, qp FROM {source} a LEFT JOIN {name}_d ON s = {along} // 4 AND k = {along} % 4 AND e = ({across} + 4) // 8)"""
+
+
+@query("deblock_chroma", E32_SQL + QP_SQL + _chroma_sql("pq", "c1", "x", "y") + _chroma_sql("c1", "c2", "y", "x") + "=> SELECT y, x, v FROM c2")
+def deblock_chroma(spark, d):
+    """WIN-03, WIN-04: both passes over a 4:2:0 chroma plane with a QP by group and an offset."""
+    return filters.deblock_chroma(with_qp(spark, d), 0, qp_map=True, offset=2).drop("qp")
 
 
 @query("deblock_v_pass", E_SQL + _deblock_sql("p", "d1", "x", "y", 38) + "=> SELECT y, x, v FROM d1")
@@ -367,10 +475,22 @@ def rdpcm_fwd(spark, d):
     return filters.row_deltas(planes.e_plane(spark, d))
 
 
-@query("rdpcm_inv", E_SQL + "=> SELECT y, x, v FROM p")
+@query("rdpcm_fwd_columns", E_SQL + "=> SELECT y, x, v - CASE WHEN y % 8 = 0 THEN 0 ELSE lag(v) OVER (PARTITION BY x ORDER BY y) END AS d FROM p")
+def rdpcm_fwd_columns(spark, d):
+    """WIN-07: differences down the columns of 8x8 blocks."""
+    return filters.column_deltas(planes.e_plane(spark, d))
+
+
+@query("rdpcm_inv", E_SQL + "=> SELECT a.y, a.x, CAST(sum(b.v - 128) AS BIGINT) AS v FROM p a JOIN p b ON b.y = a.y AND b.x // 8 = a.x // 8 AND b.x <= a.x GROUP BY a.y, a.x")
 def rdpcm_inv(spark, d):
-    """WIN-07: sums of the differences give the samples back."""
-    return filters.row_sums(filters.row_deltas(planes.e_plane(spark, d)))
+    """WIN-07: running sums of residuals along rows of 8x8 blocks."""
+    return filters.row_sums(centred(spark, d))
+
+
+@query("rdpcm_inv_columns", E_SQL + "=> SELECT a.y, a.x, CAST(sum(b.v - 128) AS BIGINT) AS v FROM p a JOIN p b ON b.x = a.x AND b.y // 8 = a.y // 8 AND b.y <= a.y GROUP BY a.y, a.x")
+def rdpcm_inv_columns(spark, d):
+    """WIN-07: running sums down the columns."""
+    return filters.column_sums(centred(spark, d))
 
 
 @query("index_runs", QUANT_SQL + """, k AS (SELECT y // 8 AS by, x // 8 AS bx, (y % 8) * 8 + CASE WHEN y % 2 = 1 THEN 7 - x % 8 ELSE x % 8 END AS k, v FROM p),
@@ -412,13 +532,12 @@ def palette_assign(spark, d):
     return screen.nearest_entry(p, screen.palettes(p).where("idx < 3"), 1)
 
 
-@query("palette_predictor", QUANT_SQL + HIST_SQL + ", l AS (SELECT by, bx, list(colour ORDER BY idx) AS cur FROM pal GROUP BY ALL), w AS (SELECT by, bx, cur, lag(cur) OVER (ORDER BY by, bx) AS old FROM l), u AS (SELECT by, bx, list_concat(cur, list_filter(coalesce(old, []), lambda c: NOT list_contains(cur, c))) AS n FROM w) => SELECT by, bx, i - 1 AS idx, n[i] AS colour FROM u, range(1, 9) r(i) WHERE i <= length(n)")
+@query("palette_predictor", "RECURSIVE " + QUANT_SQL + HIST_SQL + """, l AS (SELECT by, bx, list(colour ORDER BY idx) AS cur FROM pal GROUP BY ALL), w AS (SELECT by, bx, cur, by // 8 AS line, row_number() OVER (PARTITION BY by // 8 ORDER BY bx // 8, by, bx) AS i FROM l),
+u AS (SELECT line, i, by, bx, cur AS n FROM w WHERE i = 1 UNION ALL SELECT w.line, w.i, w.by, w.bx, list_concat(w.cur, list_filter(u.n, lambda c: NOT list_contains(w.cur, c)))[1:128] FROM u JOIN w ON w.line = u.line AND w.i = u.i + 1)
+=> SELECT by, bx, i - 1 AS idx, n[i] AS colour FROM (SELECT by, bx, n FROM u) v, range(1, 129) r(i) WHERE i <= length(n)""")
 def palette_predictor(spark, d):
-    """SET-02: the predictor after each block: its palette, then the old entries it didn't reuse."""
-    rows = screen.palettes(planes.quant_plane(spark, d)).groupBy("image", "by", "bx").agg(F.array_sort(F.collect_list(F.struct("idx", "colour")))["colour"].alias("cur"))
-    rows = rows.withColumn("old", F.coalesce(F.lag("cur").over(blocks.W.partitionBy("image").orderBy("by", "bx")), F.array().cast("array<int>")))
-    reused = F.transform("old", lambda c: F.array_contains("cur", c))
-    return rows.select("by", "bx", F.posexplode(screen.palette_update(F.col("cur"), F.col("old"), reused, 8)).alias("idx", "colour"))
+    """SET-02: the predictor after each block: its palette, then what the predictor before it held and it didn't reuse."""
+    return screen.palette_predictors(screen.palettes(planes.quant_plane(spark, d)))
 
 
 @query("parity_filter", REPEAT_SQL + SIG_SQL + "=> SELECT by, bx, vx, vy FROM cand WHERE vx % 2 = 0 AND vy % 2 = 0")
@@ -445,7 +564,7 @@ def mode_costs(spark, d):
 
 @query("top_modes", E_SQL + _modes_sql() + ", r AS (SELECT *, row_number() OVER (PARTITION BY by, bx ORDER BY cost, eval_order) AS rank, min(cost) OVER (PARTITION BY by, bx) AS best FROM modes) => SELECT by, bx, mode, eval_order, cost, rank FROM r WHERE rank <= 2 OR (rank <= 3 AND cost * 5 <= best * 6)")
 def top_modes(spark, d):
-    """TOPK-01, TOPK-02, TOPK-03: the best candidates, beyond two only near the best."""
+    """TOPK-01, TOPK-03: the best candidates, beyond two only near the best."""
     return choice.ranked(choice.mode_costs(planes.e_plane(spark, d)), ["image", "by", "bx"], 3)
 
 
@@ -457,6 +576,110 @@ def chroma_candidates(spark, d):
     return rows.withColumn("best", best).where("rank = 1 or cost * 100 <= best * 105").select("by", "bx", "mode", "rank")
 
 
+def place_sql(y: str, x: str) -> str:
+    """The coding order of a sample's 8x8 unit: CTUs in raster order, units in Z-order."""
+    bits = " + ".join(f"((({c}) % 64 // 8 >> {i}) % 2) * {w << 2 * i}" for i in range(3) for c, w in ((x, 1), (y, 2)))
+    return f"(({y}) // 64 * 1000000 + ({x}) // 64 * 64 + {bits})"
+
+
+def refs_sql(n: int) -> str:
+    """References of whole blocks (rf), and smoothed ones (sm)."""
+    m, c = 4 * n + 3, 2 * n + 1
+    strong = ""
+    if n == 32:
+        ends = ", ".join(f"max(v) FILTER (k = {i}) AS r{i}" for i in (1, 33, 65, 97, 129))
+        strong = f", ends AS (SELECT by, bx, {ends} FROM rf GROUP BY ALL), sm0 AS (SELECT * FROM sm), smx AS (SELECT by, bx, k, CASE WHEN abs(r65 + r129 - 2 * r97) < 8 AND abs(r65 + r1 - 2 * r33) < 8 THEN CASE WHEN k BETWEEN 66 AND 128 THEN ((64 - (k - 65)) * r65 + (k - 65) * r129 + 32) >> 6 WHEN k BETWEEN 2 AND 64 THEN ((64 - (65 - k)) * r65 + (65 - k) * r1 + 32) >> 6 WHEN k = 65 THEN r65 ELSE v END ELSE v END AS v FROM sm0 JOIN ends USING (by, bx))"
+    return f""", blk AS (SELECT y // {n} AS by, x // {n} AS bx FROM p GROUP BY ALL HAVING count(*) = {n * n}),
+pos AS (SELECT by, bx, k, CASE WHEN k < {c} THEN by * {n} + {2 * n} - k ELSE by * {n} - 1 END AS y, CASE WHEN k <= {c} THEN bx * {n} - 1 ELSE bx * {n} + k - {c + 1} END AS x FROM blk, range({m}) r(k)),
+raw AS (SELECT pos.by, pos.bx, pos.k, p.v FROM pos LEFT JOIN p ON p.y = pos.y AND p.x = pos.x AND {place_sql("pos.y", "pos.x")} < {place_sql(f"by * {n}", f"bx * {n}")}),
+rf AS (SELECT by, bx, k, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY by, bx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (PARTITION BY by, bx ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 128) AS v FROM raw),
+sm AS (SELECT by, bx, k, CASE WHEN k BETWEEN 2 AND {4 * n} THEN (lag(v) OVER w + 2 * v + lead(v) OVER w + 2) >> 2 ELSE v END AS v FROM rf WINDOW w AS (PARTITION BY by, bx ORDER BY k)){strong}"""
+
+
+@query("intra_references", E_SQL + refs_sql(8) + "=> SELECT * FROM rf")
+def intra_references(spark, d):
+    """JOIN-05, JOIN-06, FLT-08: all references of each block, with what is missing filled."""
+    return intra.gathered(planes.e_plane(spark, d)).select("by", "bx", F.posexplode("refs").alias("k", "v"))
+
+
+@query("strong_smoothing", E_SQL.replace("e * 256", "e * 16") + refs_sql(32) + "=> SELECT * FROM smx")
+def strong_smoothing(spark, d):
+    """WIN-06: smoothed references of 32x32 blocks; nearly straight edges become straight lines."""
+    return intra.smoothed_references(planes.e_plane(spark, d, 16), 32)
+
+
+def predictions_sql() -> str:
+    """All predictions of 8x8 blocks (pr). A reference at q places beyond the corner is ref[18 + s * q], s being the main side's sign."""
+    angles = ", ".join(f"({m + 2}, {a})" for m, a in enumerate(intra.ANGLES))
+    at = lambda q: f"CASE WHEN {q} >= 0 THEN ref[18 + s * ({q})] ELSE ref[18 - s * ((({q}) * inv + 128) >> 8)] END"
+    return f""", lists AS (SELECT by, bx, list(rf.v ORDER BY k) AS h, list(sm.v ORDER BY k) AS f FROM rf JOIN sm USING (by, bx, k) GROUP BY by, bx),
+ang AS (SELECT * FROM (VALUES (0, NULL), (1, NULL), {angles}) t(mode, angle)),
+md AS (SELECT mode, angle, mode >= 18 AS ver, CASE WHEN mode >= 18 THEN 1 ELSE -1 END AS s, CAST(round(8192 / nullif(angle, 0)) AS INT) AS inv, mode <> 1 AND CASE WHEN mode = 0 THEN 10 ELSE least(abs(mode - 26), abs(mode - 10)) END > 7 AS soft FROM ang),
+cells AS (SELECT by, bx, mode, angle, ver, s, inv, r, c, CASE WHEN ver THEN r ELSE c END AS j, CASE WHEN ver THEN c ELSE r END AS i, CASE WHEN soft THEN f ELSE h END AS ref FROM lists, md, range(8) a(r), range(8) b(c)),
+lines AS (SELECT *, ((j + 1) * angle) >> 5 AS w, ((j + 1) * angle) & 31 AS part, (list_sum(ref[10:17]) + list_sum(ref[19:26]) + 8)::BIGINT >> 4 AS dc FROM cells),
+pr AS (SELECT by, bx, mode, r, c, CASE
+  WHEN mode = 0 THEN ((7 - c) * ref[17 - r] + (c + 1) * ref[27] + (7 - r) * ref[19 + c] + (r + 1) * ref[9] + 8) >> 4
+  WHEN mode = 1 THEN CASE WHEN r = 0 AND c = 0 THEN (ref[17] + 2 * dc + ref[19] + 2) >> 2 WHEN r = 0 THEN (ref[19 + c] + 3 * dc + 2) >> 2 WHEN c = 0 THEN (ref[17 - r] + 3 * dc + 2) >> 2 ELSE dc END
+  WHEN angle = 0 AND i = 0 THEN greatest(0, least(255, ref[18 + s] + ((ref[18 - s * (j + 1)] - ref[18]) >> 1)))
+  WHEN part = 0 THEN {at("i + 1 + w")}
+  ELSE ((32 - part) * ({at("i + 1 + w")}) + part * ({at("i + 2 + w")}) + 16) >> 5 END AS v FROM lines)"""
+
+
+@query("intra_modes", E_SQL + refs_sql(8) + predictions_sql() + "=> SELECT by, bx, mode, CAST(sum(v * (r * 8 + c + 1)) AS BIGINT) AS weighted FROM pr GROUP BY ALL")
+def intra_modes(spark, d):
+    """SCL-17, FLT-12, WIN-06: the predictions of all 35 modes, each summed with weights by place."""
+    return intra.modes(planes.e_plane(spark, d)).drop("satd")
+
+
+SATD_SQL = """, df AS (SELECT by, bx, mode, r, c, p.v - pr.v AS d FROM pr JOIN p ON p.y = by * 8 + r AND p.x = bx * 8 + c),
+hc AS (SELECT by, bx, mode, r // 4 AS ty, c // 4 AS tx, i, j, abs(sum(CASE WHEN (bit_count((r % 4) & i::INT) + bit_count((c % 4) & j::INT)) % 2 = 1 THEN -d ELSE d END)) AS h FROM df, range(4) a(i), range(4) b(j) GROUP BY ALL),
+sa AS (SELECT by, bx, mode, CAST(sum(t) AS BIGINT) AS satd FROM (SELECT by, bx, mode, (CAST(sum(h) AS BIGINT) + 1) >> 1 AS t FROM hc GROUP BY by, bx, mode, ty, tx) GROUP BY by, bx, mode)"""
+
+
+@query("intra_costs", E_SQL + refs_sql(8) + predictions_sql() + SATD_SQL + "=> SELECT * FROM sa")
+def intra_costs(spark, d):
+    """RDO-01, in part, AGG-08: the Hadamard cost of all 35 modes."""
+    return intra.modes(planes.e_plane(spark, d)).drop("weighted")
+
+
+SIGNAL_SQL = """, own AS (SELECT by, bx, mode FROM sa QUALIFY row_number() OVER (PARTITION BY by, bx ORDER BY satd, mode) = 1),
+ab AS (SELECT o.by, o.bx, coalesce(l.mode, 1) AS a, coalesce(u.mode, 1) AS b FROM own o LEFT JOIN own l ON l.by = o.by AND l.bx = o.bx - 1 LEFT JOIN own u ON u.bx = o.bx AND u.by = o.by - 1 AND o.by % 8 <> 0),
+mpm AS (SELECT by, bx, CASE WHEN a <> b THEN [a, b, CASE WHEN a <> 0 AND b <> 0 THEN 0 WHEN a <> 1 AND b <> 1 THEN 1 ELSE 26 END] WHEN a < 2 THEN [0, 1, 26] ELSE [a, 2 + (a + 29) % 32, 2 + (a - 1) % 32] END AS m FROM ab),
+sg AS (SELECT by, bx, mode, satd, CASE coalesce(list_position(m, mode), 0) WHEN 0 THEN 6 WHEN 1 THEN 2 ELSE 3 END AS bins FROM sa JOIN mpm USING (by, bx))"""
+ROOT_LAMBDA = 6.0398675
+
+
+@query("mode_signalling", E_SQL + refs_sql(8) + predictions_sql() + SATD_SQL + SIGNAL_SQL + f"=> SELECT by, bx, mode, bins, round(satd + {ROOT_LAMBDA}::DOUBLE * bins, 4) AS cost FROM sg", ints=False)
+def mode_signalling(spark, d):
+    """RDO-12, RDO-01 in part: bins of each mode from its block's three likely modes, and the cost with them."""
+    return intra.signalled(intra.modes(planes.e_plane(spark, d)), 8, ROOT_LAMBDA).select("by", "bx", "mode", F.col("bins"), F.round("cost", 4).alias("cost"))
+
+
+@query("mode_shortlist", E_SQL + refs_sql(8) + predictions_sql() + SATD_SQL + SIGNAL_SQL + f", twice AS (SELECT by, bx, mode, satd + {ROOT_LAMBDA}::DOUBLE * bins AS cost FROM sg UNION ALL SELECT by, bx, mode, satd + {ROOT_LAMBDA}::DOUBLE * bins FROM sg JOIN mpm USING (by, bx) WHERE list_contains(m, mode)), once AS (SELECT by, bx, mode, min(cost) AS cost FROM twice GROUP BY ALL) => SELECT by, bx, mode, rank FROM (SELECT by, bx, mode, row_number() OVER (PARTITION BY by, bx ORDER BY cost, mode) AS rank FROM once) WHERE rank <= 8")
+def mode_shortlist(spark, d):
+    """TOPK-01, TOPK-02: the eight cheapest modes; likely ones are offered again and enter once."""
+    rows = intra.signalled(intra.modes(planes.e_plane(spark, d)), 8, ROOT_LAMBDA).select("by", "bx", "mode", "cost", "likely")
+    again = rows.where(F.array_contains("likely", F.col("mode")))
+    return choice.shortlist(rows.unionByName(again), ["by", "bx"], 8).select("by", "bx", "mode", "rank")
+
+
+def _chroma_modes_sql(mapped: bool) -> str:
+    m = (lambda e: f"{list(intra.MODE_422)}[{e} + 1]") if mapped else (lambda e: e)
+    other = lambda v: m(f"CASE WHEN mode = {v} THEN 34 ELSE {v} END")
+    if mapped:
+        other = lambda v: m(f"(CASE WHEN mode = {v} THEN 34 ELSE {v} END)")
+    rows = " UNION ALL ".join(f"SELECT luma, {e} AS mode, {s} AS syntax, {o} AS eval_order FROM q" for e, s, o in ((m("luma"), 4, 0), (other(0), 0, 1), (other(1), 3, 2), (other(26), 1, 3), (other(10), 2, 4)))
+    return "q AS (SELECT i AS luma, i AS mode FROM range(35) r(i)), f AS (" + rows + ")"
+
+
+for _name, _mapped in (("chroma_mode_list", False), ("chroma_mode_list_422", True)):
+
+    @query(_name, _chroma_modes_sql(_mapped) + "=> SELECT luma, mode, syntax, eval_order FROM f")
+    def chroma_mode_list(spark, d, mapped=_mapped):
+        """TOPK-05: the five chroma candidates of each luma mode, with a stand-in for one that luma's equals."""
+        return spark.range(35).select(F.col("id").cast("int").alias("luma"), F.inline(intra.chroma_modes(F.col("id").cast("int"), mapped)))
+
+
 def _dct_sql(n: int, kind: str = "dct") -> str:
     log2n, t = n.bit_length() - 1, transform.basis(kind, n)
     m = "t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {c}, {v})" for k, line in enumerate(t) for c, v in enumerate(line)) + ") t(k, c, w))"
@@ -521,24 +744,22 @@ def coded_flags(spark, d):
 
 @query("exp_golomb_bits", "q AS (SELECT i AS v FROM range(-300, 301) r(i)), z AS (SELECT v, abs(v) AS a, CASE WHEN v > 0 THEN 2 * v - 1 ELSE -2 * v END AS s FROM q) => SELECT v, repeat('0', length(bin(a + 1)) - 1) || bin(a + 1) AS ue, repeat('0', length(bin(s + 1)) - 1) || bin(s + 1) AS se FROM z", ints=False)
 def exp_golomb_bits(spark, d):
-    """BIT-01, STATE-07: Exp-Golomb codes of magnitudes and of signed values."""
+    """BIT-01: Exp-Golomb codes of magnitudes and of signed values."""
     v = F.col("id")
     return spark.range(-300, 301).select(v.alias("v"), scalars.unsigned_golomb(F.abs(v)).alias("ue"), scalars.signed_golomb(v).alias("se"))
 
 
-@query("remaining_level_bits", "q AS (SELECT i AS v, k FROM range(0, 3000) r(i), range(0, 5) s(k)), z AS (SELECT v, k, v >> k AS head FROM q) => SELECT v, k AS rice, CASE WHEN head <= 3 THEN head + 1 + k ELSE 4 + 2 * (length(bin(head - 3)) - 1) + 1 + k END AS bits FROM z")
+@query("remaining_level_bits", """q AS (SELECT i AS v, k FROM range(0, 3000) r(i), range(0, 5) s(k)), e AS (SELECT v, k, min(p) AS p FROM q, range(4, 40) t(p) WHERE v < (((1::BIGINT << (p - 2)) + 2) << k) GROUP BY v, k)
+=> SELECT v, k AS rice, CASE WHEN v < (4 << k) THEN (v >> k) + 1 + k ELSE p + 1 + p - 3 + k END AS bits FROM e""")
 def remaining_level_bits(spark, d):
-    """RDO-11, STATE-05: bins of remaining levels for each Rice parameter."""
+    """RDO-11, in part: bins of remaining levels for each Rice parameter."""
     q = spark.range(15000).select(F.floor(F.col("id") / 5).cast("int").alias("v"), (F.col("id") % 5).cast("int").alias("rice"))
-    out = F.lit(None).cast("int")
-    for k in range(5):
-        out = F.when(F.col("rice") == k, scalars.remaining_level_bits(F.col("v"), k)).otherwise(out)
-    return q.select("v", "rice", out.alias("bits"))
+    return q.select("v", "rice", scalars.remaining_level_bits(F.col("v"), F.col("rice")).alias("bits"))
 
 
 @query("context_init", "q AS (SELECT i AS iv, j AS qp FROM range(0, 256) a(i), range(0, 52) b(j)), z AS (SELECT iv, qp, greatest(1, least(126, ((((iv >> 4) * 5 - 45) * qp) >> 4) + (((iv & 15) << 3) - 16))) AS p FROM q) => SELECT iv, qp, CASE WHEN p >= 64 THEN p - 64 ELSE 63 - p END AS state, (p >= 64)::INT AS mps FROM z")
 def context_init(spark, d):
-    """STATE-02, STATE-04: context states of all initial values and QPs."""
+    """STATE-02: context states of all initial values and QPs."""
     q = spark.range(256 * 52).select(F.floor(F.col("id") / 52).cast("int").alias("iv"), (F.col("id") % 52).cast("int").alias("qp"))
     state, mps = scalars.context_state(F.col("iv"), F.col("qp"))
     return q.select("iv", "qp", state.alias("state"), mps.alias("mps"))
@@ -546,16 +767,44 @@ def context_init(spark, d):
 
 @query("split_contexts", QUANT_SQL + ", g AS (SELECT y // 8 AS by, x // 8 AS bx, count(DISTINCT v) % 3 AS depth FROM p GROUP BY ALL) => SELECT a.by, a.bx, a.depth, (coalesce(l.depth, 0) > a.depth)::INT + (coalesce(u.depth, 0) > a.depth)::INT AS context FROM g a LEFT JOIN g l ON l.by = a.by AND l.bx = a.bx - 1 LEFT JOIN g u ON u.bx = a.bx AND u.by = a.by - 1")
 def split_contexts(spark, d):
-    """WIN-10, WIN-09: how many of the left and upper neighbours are deeper."""
+    """WIN-10: how many of the left and upper neighbours are deeper."""
     g = planes.quant_plane(spark, d).groupBy("image", blocks.at("y", 8).alias("by"), blocks.at("x", 8).alias("bx")).agg((F.count_distinct("v") % 3).alias("depth"))
     deeper = lambda part, order: (F.coalesce(F.lag("depth").over(blocks.W.partitionBy("image", part).orderBy(order)), F.lit(0)) > F.col("depth")).cast("int")
     return g.withColumn("context", deeper("by", "bx") + deeper("bx", "by")).select("by", "bx", "depth", "context")
 
 
-@query("boundary_strengths", REPEAT_SQL + SIG_SQL + ", v AS (SELECT by, bx, max(vy * 1000 + vx) AS bv FROM cand GROUP BY ALL) => SELECT a.by, a.bx, CASE WHEN b.bv IS NULL THEN 2 WHEN a.bv <> b.bv THEN 1 ELSE 0 END AS strength FROM v a LEFT JOIN v b ON b.by = a.by AND b.bx = a.bx - 1")
+LEGAL_SQL = SIG_SQL + ", dims AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM p), ok AS (SELECT c.* FROM cand c, dims WHERE sy * 8 + 8 <= h AND sx * 8 + 8 <= w AND (vx * 8 + 8 <= 0 OR vy * 8 + 8 <= 0) AND (sx * 8 + 7) // 64 - bx * 8 // 64 <= by * 8 // 64 - (sy * 8 + 7) // 64 AND " + f"{place_sql('sy * 8', 'sx * 8')} < {place_sql('by * 8', 'bx * 8')} AND {place_sql('sy * 8 + 7', 'sx * 8 + 7')} < {place_sql('by * 8', 'bx * 8')})"
+
+
+def legal_vectors(spark, d) -> DataFrame:
+    p = planes.repeat_plane(spark, d)
+    size = p.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    return screen.legal(screen.repeated_blocks(p).join(size, "image"), F.col("h"), F.col("w")).drop("h", "w")
+
+
+@query("legal_vectors", REPEAT_SQL + LEGAL_SQL + "=> SELECT by, bx, sy, sx FROM ok")
+def legal_copies(spark, d):
+    """FLT-10: candidates in the picture, apart from the block, within the wavefront and coded before."""
+    return legal_vectors(spark, d).select("by", "bx", "sy", "sx")
+
+
+FIELD_SQL = LEGAL_SQL + ", bl AS (SELECT DISTINCT y // 8 AS by, x // 8 AS bx FROM p), fld AS (SELECT by, bx, vy, vx FROM ok QUALIFY row_number() OVER (PARTITION BY by, bx ORDER BY length(bin(abs(vx) + 1)) + length(bin(abs(vy) + 1)), sy DESC, sx DESC) = 1)"
+NEAR_SQL = ", nb AS (" + " UNION ALL ".join(f"SELECT by, bx, '{s}' AS side, {o} AS nth, by + ({dy}) AS ny, bx + ({dx}) AS nx FROM bl" for s, o, dy, dx in (("a", 0, 1, -1), ("a", 1, 0, -1), ("b", 0, -1, 1), ("b", 1, -1, 0), ("b", 2, -1, -1))) + f"), hv AS (SELECT nb.by, nb.bx, side, nth, f.vy * 1000000 + f.vx AS v FROM nb JOIN fld f ON f.by = ny AND f.bx = nx WHERE ny >= 0 AND nx >= 0 AND {place_sql('ny * 8', 'nx * 8')} < {place_sql('nb.by * 8', 'nb.bx * 8')}), pv AS (SELECT by, bx, arg_min(v, nth) FILTER (side = 'a') AS a, arg_min(v, nth) FILTER (side = 'b') AS b FROM hv GROUP BY ALL)"
+
+
+@query("vector_predictors", REPEAT_SQL + FIELD_SQL + NEAR_SQL + "=> SELECT bl.by, bl.bx, coalesce(a, b, 0) AS p0, CASE WHEN a IS NOT NULL AND a <> b THEN b ELSE 0 END AS p1 FROM bl LEFT JOIN pv ON pv.by = bl.by AND pv.bx = bl.bx")
+def vector_predictors(spark, d):
+    """JOIN-07, JOIN-08: two predictors of each block from its neighbours' vectors (one number each: a million times vy plus vx)."""
+    field = screen.copy_vectors(legal_vectors(spark, d)).select("image", "by", "bx", (F.col("sy") - F.col("by")).alias("vy"), (F.col("sx") - F.col("bx")).alias("vx"))
+    blocks_ = planes.repeat_plane(spark, d).groupBy("image", blocks.at("y", 8).alias("by"), blocks.at("x", 8).alias("bx")).agg(F.lit(1).alias("one"))
+    one = lambda c: (F.col(f"{c}.vy").cast("bigint") * 1000000 + F.col(f"{c}.vx")).alias(c)
+    return screen.vector_predictors(field, blocks_).select("by", "bx", one("p0"), one("p1"))
+
+
+@query("boundary_strengths", REPEAT_SQL + SIG_SQL + ", v AS (SELECT by, bx, max((vy, vx)) AS bv FROM cand GROUP BY ALL) => SELECT a.by, a.bx, CASE WHEN b.bv IS NULL THEN 2 WHEN a.bv <> b.bv THEN 1 ELSE 0 END AS strength FROM v a LEFT JOIN v b ON b.by = a.by AND b.bx = a.bx - 1")
 def boundary_strengths(spark, d):
-    """WIN-11, PRJ-10: edge strength from the vectors on either side (null: intra)."""
-    v = screen.repeated_blocks(planes.repeat_plane(spark, d)).groupBy("image", "by", "bx").agg(F.max(F.col("vy") * 1000 + F.col("vx")).alias("bv"))
+    """WIN-11, PRJ-10: edge strength from the vectors, kept as nullable structs, on either side (null: intra)."""
+    v = screen.repeated_blocks(planes.repeat_plane(spark, d)).groupBy("image", "by", "bx").agg(F.max(F.struct("vy", "vx")).alias("bv"))
     left = v.select("image", "by", (F.col("bx") + 1).alias("bx"), F.col("bv").alias("left"))
     return v.join(left, ["image", "by", "bx"], "left").select("by", "bx", F.when(F.col("left").isNull(), 2).when(F.col("left") != F.col("bv"), 1).otherwise(0).alias("strength"))
 
@@ -571,25 +820,305 @@ def image_rows(spark: SparkSession, sf_dir: str, width: int, height: int) -> Dat
     return rows.select(F.col("vec_id").alias("image_id"), w.alias("width"), F.when(F.col("vec_id") % 10 == 0, height + 1).otherwise(height).alias("height"), samples.alias("samples"))
 
 
-@query("ingest_gray", IMAGES_SQL + "=> SELECT y AS image_id, x // 8 AS y, x % 8 AS x, v FROM p WHERE y % 10 <> 0 AND y % 11 <> 0 AND y % 13 <> 0")
-def ingest_gray(spark, d):
-    """SRC-10, SRC-13, SRC-16, SRC-19, SRC-21, SRC-22, FLT-03: samples of valid gray images."""
-    return images.pixels(image_rows(spark, d, 8, 8), images.LAYOUTS["gray8"])
+#: Sides of the pictures that vectors of 64 samples make, by channels (of three, 63 samples are there).
+SIDES = {1: (8, 8), 2: (8, 4), 3: (7, 3), 4: (4, 4)}
+
+
+def deep_rows(spark: SparkSession, sf_dir: str, layout: images.Layout) -> DataFrame:
+    """image_rows for a layout: samples of its depth, in pictures of as many whole pixels as fit."""
+    w, h = SIDES[len(layout.channels)]
+    rows = image_rows(spark, sf_dir, w, h)
+    deep = F.transform(F.slice("samples", 1, w * h * len(layout.channels)), lambda v, i: F.when(v > 255, F.lit(1 << layout.depth)).otherwise(F.shiftleft(v, layout.depth - 8) + i % (1 << (layout.depth - 8))))
+    return rows.withColumn("samples", deep)
+
+
+def _ingest_sql(layout: images.Layout) -> str:
+    n, (w, h) = len(layout.channels), SIDES[len(layout.channels)]
+    kept = [c for c in layout.channels if c != "a" or layout.keep_alpha]
+    low = 1 << (layout.depth - 8)
+    pick = ", ".join(f"max(d) FILTER (x % {n} = {layout.channels.index(c)}) AS {c}" for c in kept)
+    return IMAGES_SQL + f", q AS (SELECT y, x, v * {low} + x % {low} AS d FROM p WHERE x < {w * h * n} AND y % 10 <> 0 AND y % 11 <> 0 AND y % 13 <> 0) => SELECT y AS image_id, x // {n * w} AS y, x // {n} % {w} AS x, {pick} FROM q GROUP BY y, x // {n * w}, x // {n} % {w}"
+
+
+#: The survey's item of each layout.
+INGESTED = {
+    "rgb8": 1, "rgba8": 2, "rgba8_with_alpha": 3, "rgb10": 4, "rgba10": 5, "rgba10_with_alpha": 6, "rgb12": 7, "rgba12": 8, "rgba12_with_alpha": 9,
+    "gray8": 10, "graya8": 11, "graya8_with_alpha": 12, "gray10": 13, "graya10": 14, "graya10_with_alpha": 15, "gray12": 16, "graya12": 17, "graya12_with_alpha": 18,
+}
+
+
+def _ingest(name: str, number: int) -> None:
+    layout = images.LAYOUTS[name]
+
+    def run(spark, d):
+        return images.pixels(deep_rows(spark, d, layout), layout)
+
+    run.__doc__ = f"SRC-{number:02}, FLT-01, FLT-03: pixels of valid {name} images."
+    query(f"ingest_{name}", _ingest_sql(layout))(run)
+
+
+for _name, _number in INGESTED.items():
+    _ingest(_name, _number)
+
+
+def yuv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 4:2:0 picture of 6x6 (36 + 9 + 9 samples), its alpha from the same vector; shown sides reach 8 and 4, every ninth chroma plane is short."""
+    v = F.transform("embedding", lambda e: clip(0, 255, F.floor(e.cast("double") * 256 + 128)).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), v.alias("v"))
+    short = F.when(F.col("image_id") % 9 == 0, 8).otherwise(9)
+    return rows.select(
+        "image_id", F.lit(6).alias("width"), F.lit(6).alias("height"), F.slice("v", 1, 36).alias("y"), F.slice("v", F.lit(37), short).alias("cb"), F.slice("v", 46, 9).alias("cr"),
+        F.slice("v", F.lit(20), F.when(F.col("image_id") % 7 == 0, 35).otherwise(36)).alias("alpha"), (4 + F.col("image_id") % 5).alias("shown_width"), F.lit(4).alias("shown_height"),
+    )
+
+
+YUV_SQL = IMAGES_SQL + ", px AS (SELECT y AS image_id, 'y' AS plane, x // 6 AS y, x % 6 AS x, v FROM p WHERE x < 36 UNION ALL SELECT y, 'cb', (x - 36) // 3, (x - 36) % 3, v FROM p WHERE x BETWEEN 36 AND 44 UNION ALL SELECT y, 'cr', (x - 45) // 3, (x - 45) % 3, v FROM p WHERE x BETWEEN 45 AND 53), al AS (SELECT y AS image_id, 'alpha' AS plane, (x - 19) // 6 AS y, (x - 19) % 6 AS x, v FROM p WHERE x BETWEEN 19 AND 54)"
+
+
+@query("ingest_yuv", YUV_SQL + "=> SELECT * FROM px WHERE image_id % 9 <> 0", ints=False)
+def ingest_yuv(spark, d):
+    """SRC-19, FLT-05: samples of planar pictures whose planes are long enough."""
+    return images.planar(yuv_rows(spark, d), 2, 2)
+
+
+@query("ingest_yuv_alpha", YUV_SQL + "=> SELECT * FROM px WHERE image_id % 9 <> 0 AND image_id % 7 <> 0 UNION ALL SELECT * FROM al WHERE image_id % 9 <> 0 AND image_id % 7 <> 0", ints=False)
+def ingest_yuv_alpha(spark, d):
+    """SRC-20: planar pictures with an alpha plane of luma's size."""
+    return images.planar(yuv_rows(spark, d), 2, 2, alpha=True)
+
 
+@query("shown_sizes", "q AS (SELECT vec_id AS image_id, 4 + vec_id % 5 AS w FROM embeddings) => SELECT image_id, least(w, 6) AS shown_width, 4 AS shown_height FROM q")
+def shown_sizes(spark, d):
+    """SRC-21: what is shown of a picture is at most what is coded."""
+    return yuv_rows(spark, d).select("image_id", F.least("shown_width", "width").alias("shown_width"), F.least("shown_height", "height").alias("shown_height"))
 
-@query("ingest_rgba", IMAGES_SQL + "=> SELECT y AS image_id, x // 16 AS y, x // 4 % 4 AS x, max(v) FILTER (x % 4 = 0) AS r, max(v) FILTER (x % 4 = 1) AS g, max(v) FILTER (x % 4 = 2) AS b FROM p WHERE y % 10 <> 0 AND y % 11 <> 0 AND y % 13 <> 0 GROUP BY y, x // 16, x // 4 % 4")
-def ingest_rgba(spark, d):
-    """SRC-01, SRC-02, SRC-04, SRC-05, SRC-07, SRC-08: RGBA with alpha dropped."""
-    return images.pixels(image_rows(spark, d, 4, 4), images.LAYOUTS["rgba8"])
 
+@query("invalid_planes", "q AS (SELECT vec_id AS i FROM embeddings) => SELECT i AS image_id, CASE WHEN i % 9 = 0 THEN 'cb' ELSE 'alpha' END AS error FROM q WHERE i % 9 = 0 OR i % 7 = 0", ints=False)
+def invalid_planes(spark, d):
+    """FLT-05: which plane is too short."""
+    return images.invalid_planes(yuv_rows(spark, d), 2, 2, alpha=True)
 
-@query("ingest_rgba_alpha", IMAGES_SQL + "=> SELECT y AS image_id, x // 16 AS y, x // 4 % 4 AS x, v AS a FROM p WHERE x % 4 = 3 AND y % 10 <> 0 AND y % 11 <> 0 AND y % 13 <> 0")
-def ingest_rgba_alpha(spark, d):
-    """SRC-03, SRC-06, SRC-09, SRC-12, SRC-15, SRC-18, SRC-20: the alpha plane kept beside the colours."""
-    return images.pixels(image_rows(spark, d, 4, 4), images.LAYOUTS["rgba8_with_alpha"]).select("image_id", "y", "x", "a")
+
+@query("picture_plans", "q AS (SELECT i * 171 AS w, j * 97 AS h, c FROM range(1, 13) a(i), range(1, 13) b(j), (VALUES ('4:2:0', 2, 2), ('4:4:4', 1, 1)) t(c, sw, sh)) => SELECT w, h, c AS chroma, (w > 512 OR h > 512)::INT AS grid, CASE WHEN w > 512 OR h > 512 THEN CAST(ceil(w / 512) AS INT) ELSE 1 END AS columns, CASE WHEN w > 512 OR h > 512 THEN CAST(ceil(h / 512) AS INT) ELSE 1 END AS rows, CASE WHEN c = '4:2:0' THEN w + w % 2 ELSE w END AS coded_width, CASE WHEN c = '4:2:0' THEN h + h % 2 ELSE h END AS coded_height FROM q", ints=False)
+def picture_plans(spark, d):
+    """SRC-22, FLT-06, PART-09: whether a picture is one or a grid of cells, and its coded size."""
+    sizes = spark.range(144).select((F.floor(F.col("id") / 12) * 171 + 171).alias("w"), (F.col("id") % 12 * 97 + 97).alias("h"), F.explode(F.array(*[F.struct(F.lit(c).alias("chroma"), F.lit(s).alias("s")) for c, s in (("4:2:0", 2), ("4:4:4", 1))])).alias("c"))
+    return images.plans(sizes.select("w", "h", "c.chroma", F.col("c.s").alias("sw"), F.col("c.s").alias("sh"))).select("w", "h", "chroma", "grid", "columns", "rows", "coded_width", "coded_height")
 
 
 @query("invalid_images", "q AS (SELECT vec_id AS i FROM embeddings) => SELECT i AS image_id, CASE WHEN i % 11 = 0 THEN 'dimensions' WHEN i % 10 = 0 THEN 'length' ELSE 'range' END AS error FROM q WHERE i % 10 = 0 OR i % 11 = 0 OR i % 13 = 0", ints=False)
 def invalid_images(spark, d):
     """FLT-01, FLT-03, FLT-05: what is wrong with images that aren't encoded."""
     return images.invalid(image_rows(spark, d, 8, 8), images.LAYOUTS["gray8"])
+
+
+@query("nxn_gate", E32_SQL + DIFF_SQL + f""", c AS (SELECT a.y, a.x, a.v, a.d, CASE WHEN a.x % 4 <> 0 THEN abs(a.v - l.v) END AS gx, CASE WHEN a.y % 4 <> 0 THEN abs(a.v - u.v) END AS gy FROM dd a LEFT JOIN dd l ON l.y = a.y AND l.x = a.x - 1 LEFT JOIN dd u ON u.x = a.x AND u.y = a.y - 1),
+qs AS (SELECT y // 4 AS qy, x // 4 AS qx, sum(d) AS s, sum(abs(d)) AS ab, coalesce(sum(gx), 0) AS gx, coalesce(sum(gy), 0) AS gy FROM c GROUP BY ALL),
+qm AS (SELECT *, CASE WHEN s >= 0 THEN (s + 8)::BIGINT // 16 ELSE -((8 - s)::BIGINT // 16) END AS m FROM qs),
+ql AS (SELECT qy, qx, any_value(m) AS m, any_value(ab) AS ab, any_value(qm.gx) AS gx, any_value(qm.gy) AS gy, sum(abs(d - m)) AS lf, count(*) AS px FROM c JOIN qm ON qy = y // 4 AND qx = x // 4 GROUP BY qy, qx),
+bk AS (SELECT qy // 2 AS by, qx // 2 AS bx, sum(px) AS px, sum(ab) AS ab, sum(lf) AS lf, sum(gx + gy) AS act, count(*) FILTER (gx + gy >= 12) AS busy, max((gx * 256 + (gx + gy)::BIGINT // 2)::BIGINT // (gx + gy)::BIGINT) FILTER (gx + gy >= 12) - min((gx * 256 + (gx + gy)::BIGINT // 2)::BIGINT // (gx + gy)::BIGINT) FILTER (gx + gy >= 12) AS turn, max(m) - min(m) AS span FROM ql GROUP BY ALL HAVING sum(px) = 64),
+h AS (SELECT y // 4 AS ty, x // 4 AS tx, i, j, sum(CASE WHEN (bit_count((y % 4) & i::INT) + bit_count((x % 4) & j::INT)) % 2 = 1 THEN -d ELSE d END) AS c, count(*) AS n FROM dd, range(4) a(i), range(4) b(j) GROUP BY ALL),
+st AS (SELECT ty // 2 AS by, tx // 2 AS bx, sum(cost) AS satd FROM (SELECT ty, tx, (CAST(sum(abs(c)) AS BIGINT) + 1) >> 1 AS cost FROM h WHERE n = 16 GROUP BY ALL) GROUP BY ALL)
+=> SELECT by, bx, (satd > 48 + {36.48**0.5}::DOUBLE * 8 AND ab > 0 AND greatest(0, ab - lf) > {int(36.48**0.5 * 18)} AND greatest(0, ab - lf) * 100 >= ab * 15 AND (span >= 5 OR (busy >= 2 AND turn >= 88 AND act >= 64)))::INT AS parted FROM bk JOIN st USING (by, bx)""")
+def nxn_gate(spark, d):
+    """FLT-13: blocks for which four predictions are worth a search."""
+    return choice.parting_gate(blocks.above(planes.e_plane(spark, d, 32)), 36.48)
+
+
+@query("painted_modes", E_SQL + _modes_sql() + ", best AS (SELECT by, bx, mode FROM modes QUALIFY row_number() OVER (PARTITION BY by, bx ORDER BY cost, eval_order) = 1) => SELECT by * 2 + i AS uy, bx * 2 + j AS ux, mode FROM best, range(2) a(i), range(2) b(j)")
+def painted_modes(spark, d):
+    """WIN-09: each block's mode on the map of 4x4 units."""
+    best = choice.ranked(choice.mode_costs(planes.e_plane(spark, d)), ["image", "by", "bx"], 1)
+    return screen.painted(best.select("image", "by", "bx", "mode")).drop("image")
+
+
+@query("copied_blocks", REPEAT_SQL + FIELD_SQL + "=> SELECT f.by * 8 + p.y % 8 AS y, f.bx * 8 + p.x % 8 AS x, p.v FROM fld f JOIN p ON p.y // 8 = f.by + f.vy AND p.x // 8 = f.bx + f.vx")
+def copied_blocks(spark, d):
+    """RDO-14: the samples of blocks copied by their cheapest legal vectors."""
+    return screen.copied(planes.repeat_plane(spark, d), screen.copy_vectors(legal_vectors(spark, d))).drop("image")
+
+
+@query("palette_rebuilt", QUANT_SQL.replace("v >> 5 AS v", "v >> 4 AS v") + HIST_SQL + """, few AS (SELECT * FROM pal WHERE idx < 3), a AS (SELECT p.y, p.x, p.v, abs(p.v - colour) AS far, colour FROM p JOIN few ON by = p.y // 8 AND bx = p.x // 8 QUALIFY row_number() OVER (PARTITION BY p.y, p.x ORDER BY abs(p.v - colour), idx) = 1),
+es AS (SELECT a.*, greatest(0, round(v * 64 / 72.0::DOUBLE)::BIGINT + i) AS lv FROM a, range(-1, 2) r(i)), er AS (SELECT y, x, lv, least(255, (lv * 72 + 32) >> 6) AS r, v FROM es),
+eb AS (SELECT y, x, r FROM er QUALIFY row_number() OVER (PARTITION BY y, x ORDER BY abs(r - v), lv) = 1) => SELECT a.y, a.x, CASE WHEN far <= 0 THEN colour ELSE r END AS v FROM a JOIN eb USING (y, x)""")
+def palette_rebuilt(spark, d):
+    """RDO-15, SCL-16: samples of palette blocks at QP 5, escapes through their levels."""
+    p = planes.e_plane(spark, d).withColumn("v", F.shiftright("v", 4))
+    pal = screen.palettes(p)
+    return screen.rebuilt(p, screen.nearest_entry(p, pal.where("idx < 3"), 0), pal, 5).drop("image")
+
+
+@query("escape_levels", "q AS (SELECT i AS v, j * 3 AS qp FROM range(256) a(i), range(18) b(j)), s AS (SELECT v, qp, [40, 45, 51, 57, 64, 72][qp % 6 + 1] << (qp // 6) AS st FROM q), c AS (SELECT v, qp, greatest(0, round(v * 64 / st::DOUBLE)::BIGINT + i) AS lv, st FROM s, range(-1, 2) r(i)), e AS (SELECT v, qp, lv, least(255, (lv * st + 32) >> 6) AS back FROM c) => SELECT v, qp, lv AS level, back FROM e QUALIFY row_number() OVER (PARTITION BY v, qp ORDER BY abs(back - v), lv) = 1")
+def escape_levels(spark, d):
+    """SCL-16: the level nearest to each sample at QPs up to 51, and its sample."""
+    q = spark.range(256 * 18).select(F.floor(F.col("id") / 18).alias("v"), (F.col("id") % 18 * 3).alias("qp"))
+    q = q.withColumn("level", scalars.escape_level(F.col("v"), F.col("qp")))
+    return q.select("v", "qp", "level", scalars.dequantised_escape(F.col("level"), F.col("qp")).alias("back"))
+
+
+@query("small_rules", """q AS (SELECT m, l, f, o, 1 << l AS n FROM range(35) a(m), range(2, 6) b(l), range(2) c(f), range(2) d(o)) => SELECT m AS mode, l AS log2n, f AS luma, o AS flag,
+  CASE WHEN NOT (l = 2 OR (l = 3 AND (f = 1 OR o = 1))) THEN 0 WHEN m BETWEEN 6 AND 14 THEN 2 WHEN m BETWEEN 22 AND 30 THEN 1 ELSE 0 END AS scan, CASE l WHEN 2 THEN 2 WHEN 3 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS context,
+  CASE WHEN o = 0 THEN 0 WHEN m = 10 THEN 1 WHEN m = 26 THEN 2 ELSE 0 END AS rdpcm, (n // 2 // (1 + f) < 4 OR n // 2 // (1 + o) < 4)::INT AS shared,
+  CASE WHEN o = 1 THEN 0 ELSE least(16, CAST(round(0.5::DOUBLE * ([40, 45, 51, 57, 64, 72][m % 6 + 1] << (m // 6)) / 64) AS INT)) END AS tolerance FROM q""")
+def small_rules(spark, d):
+    """SCL-20, FLT-15, FLT-19, TOPK-07: scan choice, split context, implied row prediction, shared chroma and colour tolerance."""
+    q = spark.range(35 * 16).select((F.col("id") % 35).alias("mode"), (F.floor(F.col("id") / 35) % 4 + 2).alias("log2n"), (F.floor(F.col("id") / 140) % 2).alias("luma"), F.floor(F.col("id") / 280).alias("flag"))
+    mode, log2n, luma, flag = (F.col(c) for c in ("mode", "log2n", "luma", "flag"))
+    size = F.call_function("shiftleft", F.lit(1), log2n.cast("int"))
+    return q.select(
+        "mode", "log2n", "luma", "flag", scalars.scan_index(mode, log2n, luma == 1, flag == 1).alias("scan"), scalars.split_transform_context(size).alias("context"), scalars.row_prediction(mode, flag == 1).alias("rdpcm"),
+        scalars.shares_chroma(size, 1 + luma, 1 + flag).cast("int").alias("shared"), scalars.colour_tolerance(mode, flag == 1).alias("tolerance"),
+    )
+
+
+@query("chroma_escapes", "q AS (SELECT c, t, y, x FROM range(4) a(c), range(2) b(t), range(8) d(y), range(8) e(x)) => SELECT c AS chroma, t AS transposed, y, x, CASE c WHEN 0 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN (x % 2 = 0 AND y % 2 = 0)::INT ELSE (CASE t WHEN 1 THEN y ELSE x END % 2 = 0)::INT END AS there FROM q")
+def chroma_escapes(spark, d):
+    """FLT-16: where an escaped position carries chroma."""
+    q = spark.range(512).select((F.floor(F.col("id") / 128)).alias("chroma"), (F.floor(F.col("id") / 64) % 2).alias("transposed"), (F.floor(F.col("id") / 8) % 8).alias("y"), (F.col("id") % 8).alias("x"))
+    return q.withColumn("there", scalars.chroma_escape_there(F.col("chroma"), F.col("transposed") == 1, F.col("y"), F.col("x")).cast("int"))
+
+
+@query("chroma_qp_other", "q AS (SELECT i AS qp, o AS \"offset\", least(51, greatest(0, least(57, i + o))) AS f, greatest(0, least(57, i + o)) AS c FROM range(0, 52) a(i), range(-12, 13, 3) b(o)), m AS (SELECT *, CASE WHEN c < 30 THEN c WHEN c > 43 THEN c - 6 ELSE [29, 30, 31, 32, 33, 33, 34, 34, 35, 35, 36, 36, 37, 37][c - 29] END AS n FROM q) => SELECT qp, \"offset\", f AS chroma, round(pow(2.0::DOUBLE, (n - qp) / 3.0::DOUBLE), 6) AS scale FROM m", ints=False)
+def chroma_qp_other(spark, d):
+    """SCL-07: chroma QP of 4:2:2 and 4:4:4, and the scale of the multiplier in 4:2:0."""
+    q = spark.range(52 * 9).select(F.floor(F.col("id") / 9).alias("qp"), (F.col("id") % 9 * 3 - 12).alias("offset"))
+    return q.select("qp", "offset", scalars.chroma_qp_full(F.col("qp"), F.col("offset")).alias("chroma"), F.round(scalars.chroma_lambda_scale(F.col("qp"), scalars.chroma_qp(F.col("qp"), F.col("offset"))), 6).alias("scale"))
+
+
+@query("scan_orders", """o AS (SELECT n, i, r, c, r // 4 AS a, c // 4 AS b, r % 4 AS e, c % 4 AS f FROM (VALUES (4, 0), (4, 1), (4, 2), (8, 0), (8, 1), (8, 2), (16, 0), (16, 1), (16, 2), (32, 0)) t(n, i), range(32) x(r), range(32) y(c) WHERE r < n AND c < n)
+=> SELECT n, i AS "index", r AS "row", c AS col, row_number() OVER (PARTITION BY n, i ORDER BY CASE i WHEN 0 THEN a + b WHEN 1 THEN a ELSE b END, CASE i WHEN 0 THEN -a WHEN 1 THEN b ELSE a END, CASE i WHEN 0 THEN e + f WHEN 1 THEN e ELSE f END, CASE i WHEN 0 THEN -e WHEN 1 THEN f ELSE e END) - 1 AS k FROM o""")
+def scan_orders(spark, d):
+    """TOPK-07: the orders of coefficients of all sizes: diagonal, by rows and by columns."""
+    rows = [(n, i, r, c, k) for n, i in ((4, 0), (4, 1), (4, 2), (8, 0), (8, 1), (8, 2), (16, 0), (16, 1), (16, 2), (32, 0)) for k, (r, c) in enumerate(transform.scan(n, i))]
+    return spark.createDataFrame(rows, 'n int, `index` int, row int, col int, k int')
+
+
+@query("cells_and_back", E_SQL + "=> SELECT y, x, 255 - v AS v FROM p")
+def cells_and_back(spark, d):
+    """PART-01, PART-03: a plane cut into filled cells of 48, each worked on alone, and put together again."""
+    p = planes.e_plane(spark, d)
+    sizes = p.groupBy("image").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    return blocks.reassembled(blocks.cut(p, 48).withColumn("v", 255 - F.col("v")), sizes, 48).drop("image")
+
+
+@query("sse_planes", RGB_SQL + """, l AS (SELECT y, x, greatest(0, least(255, (2449 * r + 4808 * g + 933 * b + 4096) >> 13)) AS l, r, b FROM rgb), c4 AS (SELECT y // 2 AS cy, x // 2 AS cx, max(128 + (((b - l) * 4623 + 4096) >> 13)) AS cb FROM l GROUP BY ALL),
+pd AS (SELECT a.y // 64 AS by, a.x // 64 AS bx, a.l - u.l AS d FROM l a JOIN l u ON u.x = a.x AND u.y = a.y - 2 UNION ALL SELECT a.cy * 2 // 64, a.cx * 2 // 64, a.cb - u.cb FROM c4 a JOIN c4 u ON u.cx = a.cx AND u.cy = a.cy - 1) => SELECT by, bx, CAST(sum(d * d) AS BIGINT) AS sse FROM pd GROUP BY ALL""")
+def sse_planes(spark, d):
+    """AGG-07: squared error of luma and chroma together, by region."""
+    ycc = color.to_ycc(planes.rgb_pixels(spark, d))
+    luma = blocks.above(ycc.select("image", "y", "x", F.col("y_").alias("v")), 2).withColumn("plane", F.lit("y"))
+    cells = ycc.groupBy("image", blocks.at("y", 2).alias("y"), blocks.at("x", 2).alias("x")).agg(F.max("cb").alias("v"))
+    chroma = blocks.above(cells, 1).withColumn("plane", F.lit("cb"))
+    return blocks.planes_sse(luma.unionByName(chroma).withColumn("d", F.col("v") - F.col("rec"))).drop("image")
+
+
+@query("colour_histogram", RGB_SQL + ", q AS (SELECT y // 8 AS by, x // 7 AS bx, r >> 6 AS r, g >> 6 AS g, b >> 6 AS b FROM rgb) => SELECT by, bx, r, g, b, count(*) AS n FROM q GROUP BY ALL")
+def colour_histogram(spark, d):
+    """PRJ-12: counts of colours of three components, which are one key."""
+    p = planes.rgb_pixels(spark, d)
+    key = F.struct(*[F.shiftright(c, 6).alias(c) for c in "rgb"])
+    return p.groupBy("image", blocks.at("y", 8).alias("by"), blocks.at("x", 7).alias("bx"), key.alias("c")).agg(F.count("r").alias("n")).select("by", "bx", "c.r", "c.g", "c.b", "n")
+
+
+@query("mono_pictures", IMAGES_SQL + "=> SELECT y AS image_id, 8 AS width, 8 AS height, count(*) AS luma, 0 AS cb, 0 AS cr, CAST(sum(v * (x + 1)) AS BIGINT) AS weighted FROM p GROUP BY y")
+def mono_pictures(spark, d):
+    """PRJ-07: a plane alone wrapped as a picture without chroma."""
+    v = F.struct("x", clip(0, 255, F.floor(F.col("e") * 256 + 128)).cast("int").alias("v"))
+    samples = planes.elements(spark, d).groupBy(F.col("y").alias("image_id")).agg(F.array_sort(F.collect_list(v))["v"].alias("samples"))
+    rows = images.mono(samples.withColumns({"width": F.lit(8), "height": F.lit(8)}))
+    return rows.select("image_id", "width", "height", F.size("y").alias("luma"), F.size("cb").alias("cb"), F.size("cr").alias("cr"), F.aggregate(F.zip_with("y", F.sequence(F.lit(1), F.size("y")), lambda v, k: v * k), F.lit(0), lambda a, e: a + e).alias("weighted"))
+
+
+for _kind, _ratio in (("420", 103), ("422", 105), ("444", 108)):
+
+    @query(f"chroma_shortlist_{_kind}", E_SQL + refs_sql(8) + predictions_sql() + SATD_SQL + f""", own AS (SELECT by, bx, mode AS luma FROM sa QUALIFY row_number() OVER (PARTITION BY by, bx ORDER BY satd, mode) = 1),
+cl AS (SELECT by, bx, luma, 4 AS syntax, 0 AS eval_order, luma AS mode FROM own UNION ALL SELECT by, bx, luma, syntax, o, CASE WHEN luma = m THEN 34 ELSE m END FROM own, (VALUES (0, 0, 1), (1, 3, 2), (26, 1, 3), (10, 2, 4)) t(m, syntax, o)),
+cc AS (SELECT by, bx, syntax, eval_order, mode, satd + 6::DOUBLE * CASE WHEN syntax = 4 THEN 1 ELSE 3 END AS cost FROM cl JOIN sa USING (by, bx, mode)),
+cr AS (SELECT *, row_number() OVER (PARTITION BY by, bx ORDER BY cost, eval_order) AS rank, min(cost) OVER (PARTITION BY by, bx) AS best FROM cc) => SELECT by, bx, mode, syntax, rank FROM cr WHERE rank = 1 OR (rank = 2 AND cost * 100 <= best * {_ratio})""")
+    def chroma_shortlist(spark, d, ratio=_ratio):
+        """TOPK-04: of the five chroma candidates the best, and a second one only near it; how near depends on the format."""
+        rows = intra.modes(planes.e_plane(spark, d)).select("image", "by", "bx", "mode", "satd")
+        luma = rows.groupBy("image", "by", "bx").agg(F.min(F.struct("satd", "mode"))["mode"].alias("luma"))
+        asked = luma.select("image", "by", "bx", F.inline(intra.chroma_modes(F.col("luma"))))
+        rows = asked.join(rows, ["image", "by", "bx", "mode"]).withColumn("cost", F.col("satd") + 6.0 * F.when(F.col("syntax") == 4, 1).otherwise(3))
+        return choice.near_best(rows, ["image", "by", "bx"], ratio).select("by", "bx", "mode", "syntax", "rank")
+
+
+@query("substreams", E_SQL + r""", q AS (SELECT y AS i, list(CASE WHEN v % 3 = 0 THEN 0 ELSE v % 5 END ORDER BY x) AS b FROM p GROUP BY y),
+st AS (SELECT i, list_reduce(b, lambda a, c: CASE WHEN a[1] = 2 AND c <= 3 THEN [CASE WHEN c = 0 THEN 1 ELSE 0 END, a[2] + 1] ELSE [CASE WHEN c = 0 THEN a[1] + 1 ELSE 0 END, a[2]] END, [0, 0])[2] AS more FROM q)
+=> SELECT i AS stream, 64 + more AS escaped, 64 AS plain FROM st""")
+def substreams(spark, d):
+    """AGG-16, SET-03: lengths, once escaped, of four substreams each, and their bytes put together in order."""
+    rows = planes.e_plane(spark, d).groupBy(F.col("y").alias("image_id"), blocks.at("x", 16).alias("k")).agg(F.array_sort(F.collect_list(F.struct("x", F.when(F.col("v") % 3 == 0, 0).otherwise(F.col("v") % 5).alias("b"))))["b"].alias("b"))
+    rows = rows.withColumn("data", F.unhex(F.array_join(F.transform("b", lambda b: F.lpad(F.hex(b), 2, "0")), "")))
+    out = heif.substreams(rows.select("image_id", "k", "data"))
+    return out.select(F.col("image_id").alias("stream"), F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("escaped"), F.octet_length("data").alias("plain"))
+
+
+def _header_rows(spark) -> tuple[DataFrame, bits.Picture]:
+    i = F.col("id")
+    rows = spark.range(420).select(
+        i.alias("i"), (50 + i * 13).alias("w"), (40 + i * 7).alias("h"), (i % 4).alias("chroma"), F.element_at(F.array(*map(F.lit, (8, 10, 12))), (i % 3 + 1).cast("int")).alias("depth"), (i % 52).alias("qp"), (i % 5 == 0).alias("lossless"),
+        (i % 10 == 0).alias("rdpcm"), (i % 2 == 0).alias("rice"), (i % 7 == 0).alias("screen"), (i % 14 == 0).alias("copies"), (i % 2 == 1).alias("wave"), (-(i % 5)).alias("shift"),
+        F.when(i % 6 != 0, i % 11).alias("primaries"), (i % 3 != 0).alias("full"),
+    )
+    c = F.col
+    return rows, bits.Picture(c("w"), c("h"), c("chroma"), c("depth"), c("qp"), c("lossless"), c("rdpcm"), c("rice"), c("screen"), c("copies"), c("wave"), c("shift"), c("primaries"), F.when(c("primaries").isNotNull(), 13), F.when(c("primaries").isNotNull(), 1), F.when(c("primaries").isNotNull(), c("full")))
+
+
+def _ub(x: str, n: int) -> str:
+    return f"lpad(bin({x}), {n}, '0')"
+
+
+def _ue(x: str) -> str:
+    return f"(repeat('0', length(bin(({x}) + 1)) - 1) || bin(({x}) + 1))"
+
+
+def _se(x: str) -> str:
+    return _ue(f"CASE WHEN {x} > 0 THEN 2 * ({x}) - 1 ELSE -2 * ({x}) END")
+
+
+def _bit(x: str) -> str:
+    return f"CASE WHEN {x} THEN '1' ELSE '0' END"
+
+
+def _ended(*parts: str) -> str:
+    whole = " || ".join(f"({p})" for p in parts)
+    return f"({whole} || '1' || repeat('0', CAST((8 - (length({whole}) + 1) % 8) % 8 AS BIGINT)))"
+
+
+HEADER_SQL = f"""q AS (SELECT i, 50 + i * 13 AS w, 40 + i * 7 AS h, i % 4 AS chroma, [8, 10, 12][i % 3 + 1] AS depth, i % 52 AS qp, i % 5 = 0 AS lossless, i % 10 = 0 AS rdpcm, i % 2 = 0 AS rice, i % 7 = 0 AS screen, i % 14 = 0 AS copies, i % 2 = 1 AS wave, -(i % 5) AS shift, CASE WHEN i % 6 <> 0 THEN i % 11 END AS primaries, CASE WHEN i % 6 <> 0 THEN i % 3 <> 0 ELSE TRUE END AS full_range FROM range(420) r(i)),
+a AS (SELECT *, (w + 63) // 64 * 64 AS cw, (h + 63) // 64 * 64 AS ch, CASE WHEN chroma IN (1, 2) THEN 2 ELSE 1 END AS sw, CASE WHEN chroma = 1 THEN 2 ELSE 1 END AS sh, rdpcm OR chroma > 1 OR depth > 10 AS rext FROM q),
+b AS (SELECT *, (cw - w) // sw AS cr, (ch - h) // sh AS cb, screen OR rext AS ext, rdpcm OR chroma = 3 AS wide, {_ladder("cw * ch", scalars.LEVELS, 186)} AS level FROM a),
+f AS (SELECT *, '000' || CASE WHEN screen THEN '01001' || {_ub(str(0x00400000), 32)} WHEN ext THEN '00100' || {_ub(str(0x08000000), 32)} WHEN depth = 8 THEN '00011' || {_ub(str(0x70000000), 32)} ELSE '00010' || {_ub(str(0x20000000), 32)} END || '1011'
+  || CASE WHEN ext THEN {_bit("depth <= 12")} || {_bit("depth <= 10")} || {_bit("depth <= 8")} || {_bit("NOT wide")} || {_bit("NOT wide AND chroma <= 1")} || {_bit("NOT wide AND chroma = 0")} || {_bit("NOT copies")} || '011' || repeat('0', 34) ELSE repeat('0', 44) END || {_ub("level", 8)} AS profile FROM b)"""
+VPS_SQL = _ended("'0100000000000001'", "'0000110000000001' || repeat('1', 16)", "profile", "'0111'", "'0000001'", "'00'")
+SPS_SQL = _ended(
+    "'0100001000000001'", "'00000001'", "profile", "'1'", _ue("chroma"), "CASE WHEN chroma = 3 THEN '0' ELSE '' END", _ue("cw"), _ue("ch"), f"CASE WHEN cr > 0 OR cb > 0 THEN '1' || '1' || {_ue('cr')} || '1' || {_ue('cb')} ELSE '0' END",
+    _ue("depth - 8"), _ue("depth - 8"), "'00101'", "'0111'", "'1' || '00100' || '1' || '00100' || '1' || '00100'", "'0010' || '1' || '011' || '1'", f"'001101' || {_bit('full_range')}",
+    f"CASE WHEN primaries IS NULL THEN '0' ELSE '1' || {_ub('primaries', 8)} || {_ub('13', 8)} || {_ub('1', 8)} END || '0000000'",
+    f"CASE WHEN NOT ext THEN '0' ELSE '1' || {_bit('rext')} || '00' || {_bit('screen')} || '0000' || CASE WHEN rext THEN '00' || {_bit('rdpcm')} || '0000' || {_bit('rice')} || '0' ELSE '' END || CASE WHEN screen THEN {_bit('copies')} || '1' || {_ue('64')} || {_ue('64')} || '0000' ELSE '' END END",
+)
+PPS_SQL = _ended(
+    "'0100010000000001'", f"'1100000' || {_bit('NOT lossless')} || '011'", _se("qp - 26"), "'00'", "CASE WHEN NOT lossless AND qp >= 8 THEN '1010' ELSE '0' END", _se("shift"), _se("shift"), f"'000' || {_bit('lossless')} || '0' || {_bit('wave')}", "'10001' || '0'",
+    "CASE WHEN copies THEN '1' || '00010000' || '100' ELSE '0' END",
+)
+
+
+@query("parameter_sets", HEADER_SQL + f"=> SELECT i, {VPS_SQL} AS vps, {SPS_SQL} AS sps, {PPS_SQL} AS pps FROM f", ints=False)
+def parameter_sets(spark, d):
+    """BIT-02, FLT-17: the three parameter sets of pictures of all formats, as bits."""
+    rows, p = _header_rows(spark)
+    return rows.select("i", bits.vps(p).alias("vps"), bits.sps(p).alias("sps"), bits.pps(p).alias("pps"))
+
+
+ENTRY_SQL = f"CASE WHEN len(l) = 1 THEN '1' ELSE {_ue('len(l) - 1')} || {_ue('wd - 1')} || list_aggregate(list_transform(l[1:len(l) - 1], lambda n: lpad(bin(n - 1), CAST(wd AS INT), '0')), 'string_agg', '') END"
+SLICE_SQL = _ended("'0010100000000001'", f"'1' || '0' || '1' || CASE WHEN copies THEN '010' ELSE '011' END || {_bit('i % 3 = 1')} || CASE WHEN chroma > 0 THEN '0' ELSE '' END || CASE WHEN copies THEN '0' || '00101' ELSE '' END", _se("i % 25 - 12"), "'1'", f"CASE WHEN wave THEN {ENTRY_SQL} ELSE '' END")
+
+
+@query("slice_headers", HEADER_SQL + f", l AS (SELECT *, list_transform(range(1 + i % 4), lambda k: CAST(i * 37 % 1000 * (k + 1) + 1 AS BIGINT)) AS l FROM f), g AS (SELECT *, CASE WHEN len(l) > 1 THEN greatest(1, length(bin(list_max(l[1:len(l) - 1]) - 1))) ELSE 1 END AS wd FROM l) => SELECT i, {SLICE_SQL} AS header FROM g", ints=False)
+def slice_headers(spark, d):
+    """BIT-03, in part: slice headers with the entry points of their substreams, as bits."""
+    rows, p = _header_rows(spark)
+    lengths = F.transform(F.sequence(F.lit(0), (F.col("i") % 4).cast("int")), lambda k: F.col("i") * 37 % 1000 * (k + 1) + 1)
+    return rows.select("i", bits.slice_header(p, F.col("i") % 3 == 1, F.col("i") % 25 - 12, lengths).alias("header"))

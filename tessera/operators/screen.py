@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import dequantised_escape, escape_level
 from tessera.operators.blocks import at
+from tessera.operators.intra import coding_place
 
 #: A probe looks at so many blocks of its content, the last in raster order, before any other condition.
 BUCKET = 12
@@ -27,12 +29,49 @@ def repeated_blocks(plane: DataFrame, size: int = 8) -> DataFrame:
     rows of a content, a content that a third of all blocks hold joins with BUCKET rows only; the cut is a
     max-BUCKET aggregate by (content, salt), then by content, so no task gets a hot content whole.
     """
-    blocks = block_arrays(plane, size).withColumn("key", F.struct("image", F.col("samples")))
+    # keys are hashes of the samples, so that these aren't shuffled; the samples of what they join are compared
+    blocks = block_arrays(plane, size).withColumns({"h1": F.xxhash64("samples"), "h2": F.xxhash64(F.lit(7), F.reverse("samples"))})
+    key = ["image", "h1", "h2"]
     ranked = blocks.withColumn("salt", F.pmod(F.xxhash64("by", "bx"), F.lit(16)))
-    for keys in (["key", "salt"], ["key"]):
+    for keys in ([*key, "salt"], key):
         ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("by"), F.desc("bx")))).where(F.col("r") <= BUCKET)
-    last = ranked.select("key", F.col("by").alias("sy"), F.col("bx").alias("sx"))
-    return blocks.join(last, "key").where("sy < by or sy = by and sx < bx").select("image", "by", "bx", "sy", "sx", (F.col("sx") - F.col("bx")).alias("vx"), (F.col("sy") - F.col("by")).alias("vy"))
+    last = ranked.select(*key, F.col("samples").alias("copied"), F.col("by").alias("sy"), F.col("bx").alias("sx"))
+    return blocks.join(last, key).where("samples = copied and (sy < by or sy = by and sx < bx)").select("image", "by", "bx", "sy", "sx", (F.col("sx") - F.col("bx")).alias("vx"), (F.col("sy") - F.col("by")).alias("vy"))
+
+
+def legal(candidates: DataFrame, height: Column, width: Column, size: int = 8, ctu: int = 64) -> DataFrame:
+    """Vectors whose source lies in the picture, above or left of the block, within the coded wavefront, and coded before it.
+
+    A source in an upper row of CTUs may reach one CTU farther right for each row that it lies above.
+    """
+    y, x = F.col("sy") * size, F.col("sx") * size
+    last_y, last_x = y + size - 1, x + size - 1
+    row = lambda c: F.floor(c / ctu)
+    inside = (y >= 0) & (x >= 0) & (last_y < height) & (last_x < width)
+    apart = (F.col("vx") * size + size <= 0) | (F.col("vy") * size + size <= 0)
+    ahead = row(last_x) - row(F.col("bx") * size) <= row(F.col("by") * size) - row(last_y)
+    here = coding_place(F.col("by") * size, F.col("bx") * size)
+    return candidates.where(inside & apart & ahead & (coding_place(y, x) < here) & (coding_place(last_y, last_x) < here))
+
+
+def vector_predictors(field: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Two predictors of each block: image, by, bx, p0, p1 (structs vy, vx; zero where there is none).
+
+    field: image, by, bx, vy, vx of blocks that copy. Of the lower left and the left one the first that copies and is coded before,
+    of the upper right, upper and upper left one the first; without a left one the upper one counts for both.
+    Each block asks five places, so joins carry rows of blocks, not of pairs.
+    """
+    places = [("a", 0, 1, -1), ("a", 1, 0, -1), ("b", 0, -1, 1), ("b", 1, -1, 0), ("b", 2, -1, -1)]
+    around = F.array(*[F.struct(F.lit(s).alias("side"), F.lit(o).alias("nth"), (F.col("by") + dy).alias("ny"), (F.col("bx") + dx).alias("nx")) for s, o, dy, dx in places])
+    asked = blocks.select("image", "by", "bx", F.inline(around))
+    asked = asked.where(coding_place(F.col("ny") * 8, F.col("nx") * 8) < coding_place(F.col("by") * 8, F.col("bx") * 8))
+    held = field.select("image", F.col("by").alias("ny"), F.col("bx").alias("nx"), F.struct("vy", "vx").alias("v"))
+    found = asked.join(held, ["image", "ny", "nx"]).groupBy("image", "by", "bx").agg(*[F.min(F.when(F.col("side") == s, F.struct("nth", "v")))["v"].alias(s) for s in "ab"])
+    rows = blocks.select("image", "by", "bx").join(found, ["image", "by", "bx"], "left")
+    none = F.struct(F.lit(0).alias("vy"), F.lit(0).alias("vx"))
+    first = F.coalesce("a", "b")
+    second = F.when(F.col("a").isNotNull() & (F.col("a") != F.col("b")), F.col("b"))
+    return rows.select("image", "by", "bx", F.coalesce(first, none).alias("p0"), F.coalesce(second, none).alias("p1"))
 
 
 def copy_vectors(candidates: DataFrame) -> DataFrame:
@@ -75,7 +114,56 @@ def index_runs(plane: DataFrame, size: int = 8) -> DataFrame:
     return rows.groupBy("image", "by", "bx", "run").agg(F.min("k").alias("start"), F.count("k").alias("length"), F.min("v").alias("value")).drop("run")
 
 
-def palette_update(current, old, reused, most: int = 128):
-    """The next predictor: the current palette, then old entries that weren't reused, `most` in all (array columns)."""
-    kept = F.filter(F.arrays_zip(old.alias("c"), reused.alias("u")), lambda e: ~e["u"])
-    return F.slice(F.concat(current, F.transform(kept, lambda e: e["c"])), 1, most)
+#: Entries of a palette predictor.
+PREDICTOR = 128
+
+
+def palette_update(current: list, old: list, most: int = PREDICTOR) -> list:
+    """The next predictor: the current palette, then old entries that it didn't reuse, `most` in all."""
+    held = set(current)
+    return [*current, *(c for c in old if c not in held)][:most]
+
+
+def palette_predictors(palette: DataFrame, row: int = 8, most: int = PREDICTOR) -> DataFrame:
+    """The predictor after each block: image, by, bx, idx, colour. Each follows from the one before it.
+
+    Blocks of a coding row, `row` blocks high, are taken CTU by CTU in raster order, from an empty predictor on; rows are
+    independent, as wavefronts start them. A group is a coding row of palettes, streamed block by block.
+    """
+    rows = palette.groupBy("image", "by", "bx").agg(F.array_sort(F.collect_list(F.struct("idx", "colour")))["colour"].alias("cur"))
+    rows = rows.withColumns({"_row": at("by", row), "_ctu": at("bx", row)}).repartition("image", "_row").sortWithinPartitions("image", "_row", "_ctu", "by", "bx")
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, old = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for image, by, bx, cur, line in zip(*[batch.column(c).to_pylist() for c in ("image", "by", "bx", "cur", "_row")], strict=True):
+                if now != (image, line):
+                    now, old = (image, line), []
+                old = palette_update(cur, old, most)
+                out += [(image, by, bx, i, c) for i, c in enumerate(old)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int32()) for i in range(5)], names=["image", "by", "bx", "idx", "colour"])
+
+    return rows.mapInArrow(run, "image int, by int, bx int, idx int, colour int")
+
+
+def painted(blocks: DataFrame, size: int = 8, unit: int = 4) -> DataFrame:
+    """The attributes of blocks on a map of units: image, uy, ux and the rest."""
+    each = lambda c: F.explode(F.sequence(F.col(c) * (size // unit), (F.col(c) + 1) * (size // unit) - 1))
+    return blocks.withColumn("uy", each("by")).withColumn("ux", each("bx")).drop("by", "bx")
+
+
+def copied(plane: DataFrame, vectors: DataFrame, size: int = 8) -> DataFrame:
+    """Samples of blocks copied by their vectors (image, by, bx, sy, sx, in blocks): image, y, x, v. A sample goes to the blocks that copy its own."""
+    source = plane.withColumns({"sy": at("y", size), "sx": at("x", size)})
+    rows = source.join(vectors, ["image", "sy", "sx"])
+    return rows.select("image", (F.col("by") * size + F.col("y") % size).alias("y"), (F.col("bx") * size + F.col("x") % size).alias("x"), "v")
+
+
+def rebuilt(plane: DataFrame, indices: DataFrame, palette: DataFrame, qp: int, size: int = 8, depth: int = 8) -> DataFrame:
+    """Samples of palette blocks: an entry's colour, or of an escape the sample that its level gives."""
+    rows = indices.withColumns({"by": at("y", size), "bx": at("x", size)}).join(palette.select("image", "by", "bx", "idx", "colour"), ["image", "by", "bx", "idx"], "left").join(plane, ["image", "y", "x"])
+    escape = dequantised_escape(escape_level(F.col("v"), F.lit(qp), depth), F.lit(qp), depth)
+    return rows.select("image", "y", "x", F.coalesce(F.col("colour").cast("bigint"), escape).alias("v"))

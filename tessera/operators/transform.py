@@ -40,6 +40,7 @@ def forward(residual: DataFrame, n: int = 4, kind: str = "dct", depth: int = 8)
     """Coefficients image, by, bx, row, col, c of whole n x n blocks of image, y, x, d."""
     log2n = n.bit_length() - 1
     rows = residual.select("image", at("y", n).alias("by"), at("x", n).alias("bx"), (F.col("y") % n).alias("r"), (F.col("x") % n).alias("q"), "d")
+    rows = rows.repartition("image", "by", "bx")  # both passes aggregate within a block's task
     t = basis(kind, n)
     shift = log2n + depth - 9
     first = F.shiftright(F.col("total") + (1 << (shift - 1)), shift) if shift > 0 else F.col("total")
@@ -52,7 +53,7 @@ def forward(residual: DataFrame, n: int = 4, kind: str = "dct", depth: int = 8)
 def inverse(coefficients: DataFrame, n: int = 4, kind: str = "dct", depth: int = 8) -> DataFrame:
     """Residuals image, by, bx, r, q, d from coefficients image, by, bx, row, col, c."""
     t = [list(r) for r in zip(*basis(kind, n), strict=True)]
-    lines = _weighted(coefficients, ["image", "by", "bx", "col"], "row", "c", t).select("image", "by", "bx", "col", F.col("k").alias("r"), clip(-32768, 32767, F.shiftright(F.col("total") + 64, 7)).alias("t"))
+    lines = _weighted(coefficients.repartition("image", "by", "bx"), ["image", "by", "bx", "col"], "row", "c", t).select("image", "by", "bx", "col", F.col("k").alias("r"), clip(-32768, 32767, F.shiftright(F.col("total") + 64, 7)).alias("t"))
     out = _weighted(lines, ["image", "by", "bx", "r"], "col", "t", t)
     return out.select("image", "by", "bx", "r", F.col("k").alias("q"), F.shiftright(F.col("total") + (1 << (19 - depth)), 20 - depth).alias("d"))
 
@@ -62,6 +63,12 @@ def diagonal_order(n: int) -> list[tuple[int, int]]:
     return sorted(((r, c) for r in range(n) for c in range(n)), key=lambda p: (p[0] + p[1], -p[0]))
 
 
+def scan(n: int, index: int = 0) -> list[tuple[int, int]]:
+    """(row, col) in the order of coefficients: 4x4 groups, and places within them, both diagonal (0), by rows (1) or by columns (2)."""
+    order = {0: diagonal_order, 1: lambda m: [(r, c) for r in range(m) for c in range(m)], 2: lambda m: [(r, c) for c in range(m) for r in range(m)]}[index]
+    return [(4 * a + r, 4 * b + c) for a, b in order(n // 4) for r, c in order(4)]
+
+
 def hidden_signs(levels: DataFrame) -> DataFrame:
     """Of each 4x4 block: places of the first and last level, whether a sign hides there (last - first >= 4), and the sum's parity."""
     places = {p: i for i, p in enumerate(diagonal_order(4))}

@@ -176,9 +176,11 @@ def heif(colour: list[list[tuple[int, bytes]]], shape: Shape, *, alpha: list[lis
 def containers(nals: DataFrame, shapes: DataFrame) -> DataFrame:
     """Files of images: nals hold image_id, role ('colour' or 'alpha'), cell, seq, nal_type, data; shapes a row per image.
 
-    One group is one image's coded bytes, which a file holds in any case.
+    shapes may also hold cicp (code points as boxes have them), icc and exif, each binary or null. One group is one
+    image's coded bytes, which a file holds in any case.
     """
     rows = nals.join(shapes, "image_id")
+    more = [c for c in ("cicp", "icc", "exif") if c in shapes.columns]
 
     def build(key, group):
         import pandas as pd
@@ -186,6 +188,22 @@ def containers(nals: DataFrame, shapes: DataFrame) -> DataFrame:
         r = group.iloc[0]
         parts = {role: [[(int(t), bytes(b)) for t, b in zip(c.nal_type, c.data, strict=True)] for _, c in g.sort_values(["cell", "seq"]).groupby("cell")] for role, g in group.groupby("role")}
         shape = Shape(*(int(r[c]) for c in ("width", "height", "depth", "chroma", "profile", "level", "cell_size")))
-        return pd.DataFrame({"image_id": [key[0]], "content": [heif(parts["colour"], shape, alpha=parts.get("alpha"))]})
+        about = {"cicp_payload" if c == "cicp" else c: bytes(r[c]) if r[c] is not None else None for c in more}
+        return pd.DataFrame({"image_id": [key[0]], "content": [heif(parts["colour"], shape, alpha=parts.get("alpha"), **about)]})
 
     return rows.groupBy("image_id").applyInPandas(build, "image_id bigint, content binary")
+
+
+def substreams(parts: DataFrame) -> DataFrame:
+    """A slice's data from its substreams (image_id, k, data): image_id, lengths once escaped, and data in the order of k.
+
+    A group is one slice's coded bytes, which its unit holds in any case.
+    """
+
+    def build(key, group):
+        import pandas as pd
+
+        data = [bytes(b) for b in group.sort_values("k").data]
+        return pd.DataFrame({"image_id": [key[0]], "lengths": [escaped_lengths(data)], "data": [b"".join(data)]})
+
+    return parts.groupBy("image_id").applyInPandas(build, "image_id bigint, lengths array<bigint>, data binary")

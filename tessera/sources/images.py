@@ -50,8 +50,47 @@ def pixels(images: DataFrame, layout: Layout) -> DataFrame:
     return rows.select("image_id", F.floor(F.col("k") / F.col("width")).cast("int").alias("y"), (F.col("k") % F.col("width")).alias("x"), *[F.col(f"p.{c}").alias(c) for c in kept])
 
 
-def picture(y: Column, cb: Column, cr: Column, width: Column, height: Column, sub_w: int, sub_h: int) -> Column:
-    """A struct of planes; null planes too short for the size raise an error, longer ones pass."""
-    cw, ch = F.ceil(width / sub_w), F.ceil(height / sub_h)
-    ok = (F.size(y) >= width * height) & (F.size(cb) >= cw * ch) & (F.size(cr) >= cw * ch)
-    return F.when(ok, F.struct(y.alias("y"), cb.alias("cb"), cr.alias("cr"))).otherwise(F.raise_error(F.lit("a plane is too short")))
+def planar_problem(sub_w: int, sub_h: int, alpha: bool = False) -> Column:
+    """The first plane that is too short, 'missing' for a null or 'dimensions'; longer planes pass. A mono picture (sub_w 0) has no chroma."""
+    w, h = F.col("width").cast("bigint"), F.col("height").cast("bigint")
+    short = lambda c, n: F.when(F.size(c) < n, c)
+    chroma = [F.when(F.size(c) > 0, c) if not sub_w else short(c, F.ceil(w / sub_w) * F.ceil(h / sub_h)) for c in ("cb", "cr")]
+    any_null = w.isNull() | h.isNull() | F.col("y").isNull() | F.col("cb").isNull() | F.col("cr").isNull() | (F.col("alpha").isNull() if alpha else F.lit(False))
+    size = F.when((w < 1) | (h < 1) | (w > MOST) | (h > MOST), "dimensions")
+    return F.when(any_null, "missing").otherwise(F.coalesce(size, short("y", w * h), *chroma, *([F.when(F.size("alpha") != w * h, "alpha")] if alpha else [])))
+
+
+def invalid_planes(pictures: DataFrame, sub_w: int, sub_h: int, alpha: bool = False) -> DataFrame:
+    return pictures.select("image_id", planar_problem(sub_w, sub_h, alpha).alias("error")).where("error is not null")
+
+
+def planar(pictures: DataFrame, sub_w: int, sub_h: int, alpha: bool = False) -> DataFrame:
+    """image_id, plane, y, x, v of the valid planar pictures: luma, chroma at its own size, and alpha of luma's size."""
+    w, h = F.col("width"), F.col("height")
+    cw, ch = (F.ceil(w / sub_w).cast("int"), F.ceil(h / sub_h).cast("int")) if sub_w else (F.lit(0), F.lit(0))
+    part = lambda c, pw, ph: F.struct(F.lit(c).alias("plane"), pw.cast("int").alias("w"), F.slice(c, F.lit(1), (pw * ph).cast("int")).alias("v"))
+    parts = [part("y", w, h), part("cb", cw, ch), part("cr", cw, ch), *([part("alpha", w, h)] if alpha else [])]
+    rows = pictures.where(planar_problem(sub_w, sub_h, alpha).isNull()).select("image_id", F.inline(F.array(*parts)))
+    rows = rows.select("image_id", "plane", "w", F.posexplode("v").alias("k", "v"))
+    return rows.select("image_id", "plane", F.floor(F.col("k") / F.col("w")).cast("int").alias("y"), (F.col("k") % F.col("w")).alias("x"), "v")
+
+
+def mono(rows: DataFrame) -> DataFrame:
+    """A plane alone (image_id, width, height, samples) as a planar picture without chroma."""
+    none = F.array().cast("array<int>")
+    return rows.select("image_id", "width", "height", F.col("samples").alias("y"), none.alias("cb"), none.alias("cr"))
+
+
+#: Cells of a grid, and the side beyond which a picture becomes one.
+CELL = 512
+
+
+def plans(sizes: DataFrame) -> DataFrame:
+    """Adds to w, h, sw, sh (luma columns and rows of a chroma sample): grid, columns, rows, and the coded size.
+
+    A side over CELL makes a grid of cells coded on their own, else a picture is one; sides round up to whole chroma samples.
+    """
+    grid = (F.col("w") > CELL) | (F.col("h") > CELL)
+    cells = lambda c: F.when(grid, F.ceil(F.col(c) / CELL)).otherwise(1).cast("int")
+    coded = lambda c, s: (F.ceil(F.col(c) / F.col(s)) * F.col(s)).cast("int")
+    return sizes.withColumns({"grid": grid.cast("int"), "columns": cells("w"), "rows": cells("h"), "coded_width": coded("w", "sw"), "coded_height": coded("h", "sh")})
