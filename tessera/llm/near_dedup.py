@@ -24,14 +24,15 @@ from tessera.llm.common import (
     shingle_set,
     small_batches,
     table,
+    tidy,
 )
 
 BANDS, WIDTH = 14, 3
 #: Signatures of two texts that are similar enough agree in at least so many of the 84 places, but for a chance of
 #: about 1e-7 (mean less five and a half standard deviations at similarity 0.8).
 AGREE = 47
-#: Buckets with more members are refined by the second key, then cut into blocks of about so many, or so many
-#: times 2048 shingles, so that a block pair's sets fit in memory.
+#: Members are compared in blocks of about so many, or so many times 2048 shingles, so that a block pair's sets fit in
+#: memory. Buckets in which those outside the largest component make several blocks are refined by the second key.
 BLOCK = 512
 
 
@@ -211,8 +212,8 @@ def _multi(rows: DataFrame) -> DataFrame:
     blocks = lambda n, w: F.greatest(F.lit(1), F.ceil(F.greatest(n / BLOCK, w / (BLOCK << 11)))).cast("int")
     each = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
     groups = each.groupBy("bucket").agg(F.max(F.struct("n", "label", "w")).alias("m"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    groups = groups.select("bucket", "n", F.col("m.label").alias("most"), blocks(F.col("m.n"), F.col("m.w")).alias("km"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("ko"))
-    return rows.join(materialize(groups), "bucket").select("bucket", "rep", "label", "n_shingles", "n", (F.col("label") == F.col("most")).alias("main"), "km", "ko")
+    groups = groups.select("bucket", F.col("m.label").alias("most"), blocks(F.col("m.n"), F.col("m.w")).alias("km"), blocks(F.col("n") - F.col("m.n"), F.col("w") - F.col("m.w")).alias("ko"))
+    return rows.join(materialize(groups), "bucket").select("bucket", "rep", "label", "n_shingles", (F.col("label") == F.col("most")).alias("main"), "km", "ko")
 
 
 def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -223,9 +224,10 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFram
     """
     rows = members.join(labels, members.rep == labels.v, "left").select("bucket", "rep", F.coalesce("c", "rep").alias("label"))
     rows = materialize(_multi(materialize(rows.join(sets.select("rep", "n_shingles"), "rep"))))
-    many = rows.where(F.col("n") > BLOCK).select("bucket", "rep", "label", "n_shingles").join(sets.select("rep", "two"), "rep")
+    # where the others make several blocks, buckets are refined to tables by the second key
+    many = rows.where("ko > 1").select("bucket", "rep", "label", "n_shingles").join(sets.select("rep", "two"), "rep")
     many = _multi(many.select("rep", "label", "n_shingles", "bucket", F.posexplode("two").alias("j", "two")).withColumn("bucket", F.xxhash64("bucket", "j", "two")).select("bucket", "rep", "label", "n_shingles"))
-    rows = rows.where(F.col("n") <= BLOCK).unionByName(many)
+    rows = rows.where("ko = 1").unionByName(many)
     # blocks of the most frequent label have numbers from 0 on, those of the others from -1 down
     own = F.when(F.col("main"), F.pmod(F.xxhash64("rep"), "km")).otherwise(-1 - F.pmod(F.xxhash64("rep"), "ko")).cast("int")
     others = F.sequence(-F.col("ko"), F.lit(-1))
@@ -250,6 +252,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 @small_batches
 @checked_broadcasts
+@tidy
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of near-duplicates: doc_id, n_shingles, component_id, kept; one row per input row.
 
@@ -293,7 +296,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = materialize(sets.select("fp", "rep").join(labels, F.col("rep") == F.col("v"), "left").select("fp", F.coalesce("c", "rep").alias("component_id")))
     rows = usable.select("doc_id", "n_shingles", "fp").join(ends, "fp").select("doc_id", "n_shingles", "component_id")
     rest = feats.where("fp is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return materialize(rows.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return rows.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
