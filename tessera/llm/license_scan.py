@@ -206,4 +206,37 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in all documents: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     return license_scan(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def _phrases_sql() -> str:
+    rows = []
+    for phrase, label in PHRASES.items():
+        at = " AND ".join(f"w[i + {j}] = '{x.decode()}'" for j, x in enumerate(phrase))
+        rows.append(f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, '{phrase[0].decode()}')) WHERE {at}")
+    return " UNION ALL ".join(rows)
+
+
+def _templates_sql() -> str:
+    rows = []
+    for t in ordered(TEMPLATES, {}):
+        words = ", ".join(f"'{x.decode()}'" for x in sorted(t.tokens))
+        rows.append(f"('{t.label}', [{words}], {t.needed}, {t.width})")
+    return ", ".join(rows)
+
+
+#: Blocks end at a template word and are as wide as a block may be; texts with too few of a template's words are left out first.
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS ({_phrases_sql()}),
+s AS (SELECT doc_id, count(*) AS n, min(place) AS first_word, max(place) AS last_word, array_to_string(list_sort(list(DISTINCT label)), ',') AS base, list(DISTINCT label) AS labels FROM b GROUP BY doc_id),
+t AS (SELECT * FROM (VALUES {_templates_sql()}) t(label, words, needed, width)),
+c AS (SELECT doc_id, w, label, words, needed, width FROM d, t WHERE len(list_intersect(w, words)) >= needed),
+h AS (SELECT doc_id, label, needed, width, len(words) AS size, i, w[i] AS x FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM c) WHERE list_contains(words, w[i])),
+e AS (SELECT a.doc_id, a.label, a.i, any_value(a.needed) AS needed, any_value(a.size) AS size, count(DISTINCT z.x) AS held FROM h a JOIN h z ON z.doc_id = a.doc_id AND z.label = a.label AND z.i <= a.i AND z.i > a.i - a.width GROUP BY a.doc_id, a.label, a.i),
+f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(held / size) AS score FROM e WHERE held >= needed GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word, coalesce(base, '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(s.labels, []), coalesce(f.labels, [])))), ',') AS labels, CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN s USING (doc_id) LEFT JOIN f USING (doc_id)
+"""

@@ -384,4 +384,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that an earlier one holds too: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return suffix_dedup(table(spark, sf_dir, "documents"), contents=False)
+
+
+#: Every string of 50 bytes with its first document; starts at most 50 apart make one removed run.
+OP4_SQL = """
+WITH g AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM g WHERE n >= 50)),
+o AS (SELECT s, min(doc_id) AS own FROM w GROUP BY s),
+x AS (SELECT doc_id, p FROM w JOIN o USING (s) WHERE own < doc_id),
+y AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM x),
+z AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM y),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM z GROUP BY doc_id, run),
+t AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept, sum(b - a) AS gone, count(*) AS spans FROM t JOIN g USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM g LEFT JOIN k USING (doc_id)
+"""
