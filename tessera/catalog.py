@@ -1122,3 +1122,67 @@ def slice_headers(spark, d):
     rows, p = _header_rows(spark)
     lengths = F.transform(F.sequence(F.lit(0), (F.col("i") % 4).cast("int")), lambda k: F.col("i") * 37 % 1000 * (k + 1) + 1)
     return rows.select("i", bits.slice_header(p, F.col("i") % 3 == 1, F.col("i") % 25 - 12, lengths).alias("header"))
+
+
+def _scan_list(n: int) -> str:
+    places = {p: i for i, p in enumerate(sorted(((r, c) for r in range(n) for c in range(n)), key=lambda p: (p[0] // 4 + p[1] // 4, -(p[0] // 4), p[0] % 4 + p[1] % 4, -(p[0] % 4))))}
+    return str([places[r, c] for r in range(n) for c in range(n)])
+
+
+HIDDEN_SQL = f""", lv AS (SELECT by, bx, "row", col, c, {_scan_list(8)}["row" * 8 + col + 1] AS k, greatest(-32768, least(32767, sign(c) * ((abs(c) * 18396 + (171 << 13)) >> 22)))::BIGINT AS level FROM co),
+gr AS (SELECT by, bx, k // 16 AS g, min(k % 16) FILTER (level <> 0) AS f, max(k % 16) FILTER (level <> 0) AS l, sum(level) AS s, sum(abs(level)) AS a, arg_min((level < 0)::INT, k) FILTER (level <> 0) AS sg FROM lv GROUP BY ALL),
+bt AS (SELECT by, bx, sum(a) AS total, max(g) FILTER (f IS NOT NULL) AS lastg FROM gr GROUP BY ALL),
+wr AS (SELECT gr.*, CASE WHEN g = lastg THEN l ELSE 15 END AS reach FROM gr JOIN bt USING (by, bx) WHERE total >= 2 AND l - f >= 4 AND abs(s) % 2 <> sg),
+dl AS (SELECT lv.by, lv.bx, k, c, level, k % 16 AS i, f, sg, reach, g, (abs(c) * 18396 - (((abs(c) * 18396 + (171 << 13)) >> 22) << 22)) >> 14 AS d FROM lv JOIN wr ON wr.by = lv.by AND wr.bx = lv.bx AND wr.g = k // 16),
+ca AS (SELECT by, bx, g, k, i, CASE WHEN level <> 0 AND d > 0 THEN -d WHEN level <> 0 AND NOT (i = f AND abs(level) = 1) THEN d WHEN level = 0 AND (i >= f OR (c < 0)::INT = sg) THEN -d END AS cost, CASE WHEN level <> 0 AND d <= 0 THEN -1 ELSE 1 END AS ch FROM dl WHERE i <= reach),
+pk AS (SELECT by, bx, k, ch FROM ca WHERE cost IS NOT NULL QUALIFY row_number() OVER (PARTITION BY by, bx, g ORDER BY cost, i DESC) = 1)"""
+
+
+@query("levels_with_hidden_signs", E_SQL + _dct_sql(8) + HIDDEN_SQL + '=> SELECT lv.by, lv.bx, "row", col, level + CASE WHEN ch IS NULL THEN 0 WHEN c >= 0 THEN ch ELSE -ch END AS level FROM lv LEFT JOIN pk ON pk.by = lv.by AND pk.bx = lv.bx AND pk.k = lv.k')
+def levels_with_hidden_signs(spark, d):
+    """SCL-15: levels at QP 27 whose parity was repaired to hide a sign of each group."""
+    return transform.with_hidden_signs(transform.forward(centred(spark, d), 8), 8, 27)
+
+
+RUN_SQL = r""", mp AS (SELECT y // 8 AS by, x // 8 AS bx, list(v ORDER BY y, CASE WHEN y % 2 = 1 THEN -x ELSE x END) AS m FROM p GROUP BY ALL HAVING count(*) = 64),
+ab AS (SELECT by, bx, m, list_transform(range(64), lambda k: CASE WHEN k >= 8 THEN m[2 * (k // 8) * 8 - k] END) AS o FROM mp),
+st AS (SELECT by, bx, m, o, -1 AS k, 0 AS len, FALSE AS above, 0 AS value, 0 AS nxt, FALSE AS was FROM ab
+  UNION ALL SELECT by, bx, m, o, nxt, CASE WHEN up THEN ul ELSE il END, up, CASE WHEN up THEN 0 WHEN nxt = 0 THEN m[1] ELSE m[nxt + 1] - (m[nxt + 1] > CASE WHEN above THEN o[nxt + 1] ELSE m[nxt] END)::INT END, nxt + CASE WHEN up THEN ul ELSE il END, above
+  FROM (SELECT *, nxt >= 8 AND NOT above AND ul > 0 AND ul >= il AS up FROM (SELECT *, coalesce(list_min(list_filter(range(nxt, 64), lambda j: m[j + 1] <> m[nxt + 1])), 64) - nxt AS il, coalesce(list_min(list_filter(range(nxt, 64), lambda j: coalesce(m[j + 1] <> o[j + 1], TRUE))), 64) - nxt AS ul FROM st WHERE nxt < 64)))"""
+
+
+@query("map_runs", "RECURSIVE " + QUANT_SQL + RUN_SQL + "=> SELECT by, bx, k AS start, len AS length, above::INT AS above, value FROM st WHERE k >= 0")
+def map_runs(spark, d):
+    """WIN-08: runs of an index map, of an index or copied from the row above."""
+    return screen.map_runs(planes.quant_plane(spark, d))
+
+
+@query("boundary_strengths_upper", REPEAT_SQL + SIG_SQL + ", v AS (SELECT by, bx, max((vy, vx)) AS bv FROM cand GROUP BY ALL) => SELECT a.by, a.bx, CASE WHEN b.bv IS NULL THEN 2 WHEN a.bv <> b.bv THEN 1 ELSE 0 END AS strength FROM v a LEFT JOIN v b ON b.by = a.by - 1 AND b.bx = a.bx")
+def boundary_strengths_upper(spark, d):
+    """WIN-11: strength of blocks' upper edges."""
+    v = screen.repeated_blocks(planes.repeat_plane(spark, d)).groupBy("image", "by", "bx").agg(F.max(F.struct("vy", "vx")).alias("bv"))
+    upper = v.select("image", (F.col("by") + 1).alias("by"), "bx", F.col("bv").alias("upper"))
+    return v.join(upper, ["image", "by", "bx"], "left").select("by", "bx", F.when(F.col("upper").isNull(), 2).when(F.col("upper") != F.col("bv"), 1).otherwise(0).alias("strength"))
+
+
+@query("coding_tiles", E_SQL + ', n AS (SELECT max(y) // 64 + 1 AS h FROM p), t AS (SELECT p.*, h * 0 // 3 AS s0, h * 1 // 3 AS s1, h * 2 // 3 AS s2 FROM p, n), u AS (SELECT y, x, v, CASE WHEN y // 64 >= s2 THEN 2 WHEN y // 64 >= s1 THEN 1 ELSE 0 END AS "row", CASE WHEN y // 64 >= s2 THEN s2 WHEN y // 64 >= s1 THEN s1 ELSE s0 END AS f FROM t) => SELECT "row", 0 AS col, y - f * 64 AS y, x, v FROM u')
+def coding_tiles(spark, d):
+    """PART-06: samples of three uniform rows of tiles, with their places inside."""
+    p = planes.e_plane(spark, d)
+    size = p.groupBy("image").agg((F.floor(F.max("y") / 64) + 1).alias("h"))
+    return blocks.tile_of(p.join(size, "image"), 1, 3, F.lit(1), F.col("h"))
+
+
+@query("clamped_blocks", E_SQL + ", d AS (SELECT max(y) AS h, max(x) AS w FROM p), b AS (SELECT i AS by, j AS bx, r, c FROM d, range(CAST(ceil((SELECT h + 1 FROM d) / 48) AS BIGINT)) a(i), range(2) e(j), range(48) f(r), range(48) g(c)) => SELECT b.by, b.bx, CAST(sum(p.v * (r * 48 + c + 1)) AS BIGINT) AS weighted FROM b, d JOIN p ON p.y = least(b.by * 48 + r, h) AND p.x = least(b.bx * 48 + c, w) GROUP BY b.by, b.bx")
+def clamped_blocks(spark, d):
+    """PART-07: blocks of 48x48 whose samples beyond the plane are those of its edge, summed with weights by place."""
+    cells = blocks.cut(planes.e_plane(spark, d), 48)
+    return cells.groupBy("image", F.col("row").alias("by"), F.col("col").alias("bx")).agg(F.sum(F.col("v") * (F.col("y") * 48 + F.col("x") + 1)).alias("weighted"))
+
+
+@query("palette_blocks", None)
+def palette_blocks(spark, d):
+    """AGG-10, AGG-17, JOIN-04, SET-01, FLT-14, FLT-15: palettes of three components with merged colours, reused entries, escapes and error."""
+    p = planes.e_plane(spark, d, 24)
+    pixels = p.select("image", "y", "x", F.col("v").alias("a"), F.shiftright(F.col("v") * 3, 2).alias("b"), (255 - F.col("v")).alias("c"))
+    return screen.palette_blocks(pixels, ["a", "b", "c"], 20, 3).select("by", "bx", F.size("palette").alias("entries"), "n_reused", "escapes", "sse", F.xxhash64("indices").alias("indices"), F.xxhash64("palette").alias("palette"))

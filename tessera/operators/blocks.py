@@ -191,6 +191,21 @@ def cut(plane: DataFrame, cell: int = 512) -> DataFrame:
     return grid_cells(padded(plane, cell), cell)
 
 
+def tile_of(plane: DataFrame, columns: int, rows: int, width_ctus: Column, height_ctus: Column, ctu: int = 64) -> DataFrame:
+    """The uniform coding tile of each sample and its place inside: image, row, col, y, x, v. Tile i starts at CTU i * n div tiles."""
+
+    def part(c: str, n: Column, tiles: int) -> tuple[Column, Column]:
+        at_ctu = F.floor(F.col(c) / ctu)
+        starts = [F.floor(n * i / tiles) for i in range(tiles)]
+        index, first = F.lit(0), F.lit(0)
+        for i in range(1, tiles):
+            index, first = F.when(at_ctu >= starts[i], i).otherwise(index), F.when(at_ctu >= starts[i], starts[i]).otherwise(first)
+        return index, F.col(c) - first * ctu
+
+    (row, y), (col, x) = part("y", height_ctus, rows), part("x", width_ctus, columns)
+    return plane.select("image", row.cast("int").alias("row"), col.cast("int").alias("col"), y.cast("int").alias("y"), x.cast("int").alias("x"), "v")
+
+
 def reassembled(cells: DataFrame, sizes: DataFrame, cell: int = 512) -> DataFrame:
     """The plane of its cells, without what filled them; sizes: image, h, w."""
     rows = cells.select("image", (F.col("row") * cell + F.col("y")).alias("y"), (F.col("col") * cell + F.col("x")).alias("x"), "v")

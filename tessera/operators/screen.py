@@ -167,3 +167,127 @@ def rebuilt(plane: DataFrame, indices: DataFrame, palette: DataFrame, qp: int, s
     rows = indices.withColumns({"by": at("y", size), "bx": at("x", size)}).join(palette.select("image", "by", "bx", "idx", "colour"), ["image", "by", "bx", "idx"], "left").join(plane, ["image", "y", "x"])
     escape = dequantised_escape(escape_level(F.col("v"), F.lit(qp), depth), F.lit(qp), depth)
     return rows.select("image", "y", "x", F.coalesce(F.col("colour").cast("bigint"), escape).alias("v"))
+
+
+def mixed_runs(indices: list[int], size: int) -> list[tuple[int, int, int, int]]:
+    """Runs of an index map along the traverse scan: (start, length, 1 if copied from the row above, value that is signalled).
+
+    At each start, from the second row on and not straight after one, a run copied from above is taken if it is as long as the run of the
+    index at least. The value is less one where it exceeds the one that is excluded: the index above after a copied run, else the one before.
+    """
+    n, out, at_, copied_before = len(indices), [], 0, False
+    over = lambda k: indices[2 * (k // size) * size - 1 - k]
+    while at_ < n:
+        same = at_ + 1
+        while same < n and indices[same] == indices[at_]:
+            same += 1
+        end = at_
+        if at_ >= size and not copied_before:
+            while end < n and indices[end] == over(end):
+                end += 1
+        if end > at_ and end >= same:
+            out.append((at_, end - at_, 1, 0))
+            at_, copied_before = end, True
+            continue
+        value = indices[at_]
+        if at_:
+            value -= value > (over(at_) if copied_before else indices[at_ - 1])
+        out.append((at_, same - at_, 0, value))
+        at_, copied_before = same, False
+    return out
+
+
+def map_runs(plane: DataFrame, size: int = 8) -> DataFrame:
+    """mixed_runs of each whole block of indices: image, by, bx, start, length, above, value."""
+    row, col = F.col("y") % size, F.col("x") % size
+    scan = (row * size + F.when(row % 2 == 1, size - 1 - col).otherwise(col)).alias("k")
+    blocks = plane.groupBy("image", at("y", size).alias("by"), at("x", size).alias("bx")).agg(F.array_sort(F.collect_list(F.struct(scan, "v")))["v"].alias("map")).where(F.size("map") == size * size)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = [(i, by, bx, *r) for i, by, bx, m in zip(*[batch.column(c).to_pylist() for c in ("image", "by", "bx", "map")], strict=True) for r in mixed_runs(m, size)]
+            names = ["image", "by", "bx", "start", "length", "above", "value"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int32()) for j in range(7)], names=names)
+
+    return blocks.mapInArrow(run, "image int, by int, bx int, start int, length int, above int, value int")
+
+
+def analysed(colours: list[tuple], old: list[tuple], tolerance: int, most: int = COLOURS) -> tuple[list[tuple], list[bool]] | None:
+    """A block's palette and which predictor entries it reuses; None if its colours repeat too seldom.
+
+    Colours come by falling count, then first place; one within the tolerance of an earlier one, in its worst component, merges with it.
+    Predictor entries near a colour that is still free stand in for it, first in the palette.
+    """
+    counts: dict[tuple, int] = {}
+    for c in colours:
+        counts[c] = counts.get(c, 0) + 1
+    if len({c[0] for c in colours}) > min(len(colours) // 2, 128) or len(counts) > 128 or len(counts) * 2 > len(colours):
+        return None
+    near = lambda a, b: max(abs(x - y) for x, y in zip(a, b, strict=True)) <= tolerance
+    own: list[tuple] = []
+    for c in sorted(counts, key=lambda c: -counts[c]):  # stable: first places stay in order
+        if len(own) < most and not any(near(o, c) for o in own):
+            own.append(c)
+    free, reused, palette = [*own], [False] * len(old), []
+    for i, entry in enumerate(old):
+        hit = next((c for c in free if near(entry, c)), None)
+        if hit is not None and len(palette) < most:
+            free.remove(hit)
+            reused[i] = True
+            palette.append(entry)
+    return (palette + free)[:most], reused
+
+
+def palette_blocks(pixels: DataFrame, components: list[str], qp: int, tolerance: int, size: int = 8, row: int = 8, depth: int = 8) -> DataFrame:
+    """Palettes of blocks of several components with reuse of the predictor: image, by, bx, palette, n_reused, indices, escapes, sse.
+
+    Indices run along the traverse scan, the palette's length standing for an escape. Blocks with more than a quarter of escapes,
+    or too many colours, have no palette and leave the predictor as it is. As in palette_predictors, each coding row starts anew.
+    """
+    r, c = F.col("y") % size, F.col("x") % size
+    scan = (r * size + F.when(r % 2 == 1, size - 1 - c).otherwise(c)).alias("k")
+    blocks = pixels.groupBy("image", at("y", size).alias("by"), at("x", size).alias("bx")).agg(F.array_sort(F.collect_list(F.struct(scan, *components))).alias("s")).where(F.size("s") == size * size)
+    blocks = blocks.select("image", "by", "bx", *[F.col(f"s.{x}").alias(x) for x in components], at("by", row).alias("_row"), at("bx", row).alias("_ctu"))
+    blocks = blocks.repartition("image", "_row").sortWithinPartitions("image", "_row", "_ctu", "by", "bx")
+    step, top = (40, 45, 51, 57, 64, 72)[qp % 6] << (qp // 6), (1 << depth) - 1
+
+    def escaped(v: int) -> int:
+        near = [max(0, int(v * 64 / step + 0.5) + d) for d in (-1, 0, 1)]
+        return min((min(top, (lv * step + 32) >> 6) for lv in near), key=lambda x: abs(x - v))
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, old = None, []
+        for batch in batches:
+            out: list[tuple] = []
+            for image, by, bx, line, *planes in zip(*[batch.column(x).to_pylist() for x in ("image", "by", "bx", "_row", *components)], strict=True):
+                if now != (image, line):
+                    now, old = (image, line), []
+                colours = list(zip(*planes, strict=True))
+                found = analysed(first_places(colours, size), old, tolerance)
+                if found is None:
+                    continue
+                palette, reused = found
+                far = lambda v, p=palette: min((max(abs(x - y) for x, y in zip(v, e, strict=True)), i) for i, e in enumerate(p))
+                nearest = {v: far(v) for v in set(colours)}
+                indices = [nearest[v][1] if nearest[v][0] <= tolerance else len(palette) for v in colours]
+                escapes = sum(i == len(palette) for i in indices)
+                if escapes * 4 > len(colours):
+                    continue
+                rec = [palette[i] if i < len(palette) else tuple(map(escaped, v)) for i, v in zip(indices, colours, strict=True)]
+                sse = sum((x - y) ** 2 for a, b in zip(rec, colours, strict=True) for x, y in zip(a, b, strict=True))
+                out.append((image, by, bx, [list(e) for e in palette], sum(reused), indices, escapes, sse))
+                old = [*palette, *(e for e, used in zip(old, reused, strict=True) if not used)][:PREDICTOR]
+            types = [pa.int32()] * 3 + [pa.list_(pa.list_(pa.int32())), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.int64()]
+            names = ["image", "by", "bx", "palette", "n_reused", "indices", "escapes", "sse"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], t) for j, t in enumerate(types)], names=names)
+
+    return blocks.mapInArrow(run, "image int, by int, bx int, palette array<array<int>>, n_reused int, indices array<int>, escapes int, sse bigint")
+
+
+def first_places(colours: list[tuple], size: int) -> list[tuple]:
+    """Colours of a traverse scan in raster order."""
+    return [c for r in range(size) for c in (colours[r * size : (r + 1) * size][:: -1 if r % 2 else 1])]

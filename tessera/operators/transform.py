@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import QUANT, quantised
 from tessera.operators.blocks import at
 from tessera.sources.planes import clip
 
@@ -75,3 +77,39 @@ def hidden_signs(levels: DataFrame) -> DataFrame:
     place = F.element_at(F.array(*[F.lit(places[r, c]) for r in range(4) for c in range(4)]), F.col("row") * 4 + F.col("col") + 1)
     some = levels.where("level <> 0").groupBy("image", "by", "bx").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.pmod(F.sum(F.abs("level")), F.lit(2)).alias("parity"))
     return some.withColumn("hidden", (F.col("last") - F.col("first") >= 4).cast("int"))
+
+
+def with_hidden_signs(coefficients: DataFrame, n: int, qp: int, depth: int = 8) -> DataFrame:
+    """Levels in which the parity of a group's sum tells its first sign: image, by, bx, row, col, level.
+
+    A group of 16 hides a sign if its first and last level are four places apart or more, in blocks whose magnitudes sum up to
+    two at least. Where parity is wrong, the change by one that costs least in rounding repairs it: of all places,
+    up to the last level in the block's last group; the later place wins ties. A first level of one is not removed, and before it only
+    a level of the hidden sign may come. Windows share one shuffle by block.
+    """
+    log2n = n.bit_length() - 1
+    bits = 14 + qp // 6 + 15 - depth - log2n
+    places = {p: i for i, p in enumerate(scan(n))}
+    place = F.element_at(F.array(*[F.lit(places[r, c]) for r in range(n) for c in range(n)]), F.col("row") * n + F.col("col") + 1)
+    rows = coefficients.repartition("image", "by", "bx").withColumns({"level": quantised(F.col("c"), qp, log2n, depth), "_k": place})
+    rows = rows.withColumns({"_g": at("_k", 16), "_i": F.col("_k") % 16})
+    block, group = W.partitionBy("image", "by", "bx"), W.partitionBy("image", "by", "bx", "_g")
+    there, level, i = F.col("level") != 0, F.col("level"), F.col("_i")
+    rows = rows.withColumns({
+        "_total": F.sum(F.abs(level)).over(block), "_last_g": F.max(F.when(there, F.col("_g"))).over(block),
+        "_first": F.min(F.when(there, i)).over(group), "_last": F.max(F.when(there, i)).over(group),
+        "_sum": F.sum(level).over(group), "_sign": F.min(F.when(there, F.struct(i.alias("i"), (level < 0).alias("s")))).over(group)["s"].cast("int"),
+    })
+    scaled = F.abs(F.col("c")).cast("bigint") * QUANT[qp % 6]
+    whole = F.shiftright(scaled + (171 << (bits - 9)), bits)
+    delta = F.shiftright(scaled - F.shiftleft(whole, bits), bits - 8)
+    up = F.struct((-delta).alias("cost"), (-i).alias("later"), F.lit(1).alias("change"))
+    down = F.struct(delta.alias("cost"), (-i).alias("later"), F.lit(-1).alias("change"))
+    lone, own = (i == F.col("_first")) & (F.abs(level) == 1), (F.col("c") < 0).cast("int") == F.col("_sign")
+    choice = F.when(there, F.when(delta > 0, up).when(~lone, down)).when((i >= F.col("_first")) | own, up)
+    wrong = (F.col("_total") >= 2) & (F.col("_last") - F.col("_first") >= 4) & (F.pmod(F.col("_sum"), F.lit(2)) != F.col("_sign"))
+    reach = F.when(F.col("_g") == F.col("_last_g"), F.col("_last")).otherwise(15)
+    rows = rows.withColumn("_try", F.when(wrong & (i <= reach), choice)).withColumn("_best", F.min("_try").over(group))
+    change = F.when(F.abs(level) >= 32767, -1).otherwise(F.col("_best.change"))
+    moved = F.when(F.col("_best.later") == -i, level + F.when(F.col("c") >= 0, change).otherwise(-change)).otherwise(level)
+    return rows.select("image", "by", "bx", "row", "col", F.when(F.col("_best").isNotNull(), moved).otherwise(level).alias("level"))
