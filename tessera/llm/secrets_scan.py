@@ -137,17 +137,21 @@ def battery(token: str) -> tuple[tuple[float, float], ...]:
     return ((even + rare) / math.sqrt(2), chi_squared(bare, size)), (runs, runs_test(values)), (serial, serial_correlation([_RANK.get(c, 0) for c in bare]))
 
 
+#: Weight of the serial test against words, the weakest one; from which P on a test against random strings says nothing.
+SERIAL, DOUBT = 0.7, 0.2
+
+
 def token_p(token: str) -> float:
     """One P for a token, from the battery: of words looking so random, raised where a test says that the token is no random string.
 
-    The z against words are summed. The least of the three P against random strings, times three, has a normal
-    quantile that is added where it is negative: for a random string about zero, for a sequence or a repetition so
+    The z against words are summed. Three times the least P against random strings is a P of all three; where it is under DOUBT,
+    its normal quantile, less that of DOUBT, is added: for a random string seldom and little, for a sequence or a repetition so
     far down that no evidence against words outweighs it. Adding what is never positive only raises P, so P is valid.
     """
-    tests = battery(token)
-    z = (tests[0][0] * math.sqrt(2) + tests[1][0] + 0.5 * tests[2][0]) / math.sqrt(3.25)
-    doubt = min(0.5, 3 * min(p for _, p in tests))
-    return _upper(z + (NormalDist().inv_cdf(max(doubt, 1e-12)) if doubt < 0.5 else 0.0))
+    (chi, p1), (runs, p2), (serial, p3) = battery(token)
+    z = (chi * math.sqrt(2) + runs + SERIAL * serial) / math.sqrt(3 + SERIAL**2)
+    quantile = NormalDist().inv_cdf
+    return _upper(z + quantile(max(1e-12, min(3 * min(p1, p2, p3), DOUBT))) - quantile(DOUBT))
 
 
 def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:

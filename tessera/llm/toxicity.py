@@ -296,6 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, other: int
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
     model = {r.name: r.value for r in materialize(texts.repartition(1).mapInArrow(_trainer, "name string, value double")).collect()}
+    if not model:  # no task ran, as there is no labelled row
+        return Crf()
     return Crf({k: v for k, v in model.items() if k[0] in "=^"}, *(model[k] for k in ("bias", "enter", "leave", "stay")), tuple(model[f"final{i}"] for i in range(4)))
 
 
