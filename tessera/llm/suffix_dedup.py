@@ -391,7 +391,8 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every string of 50 bytes with its first document; starts at most 50 apart make one removed run.
 OP4_SQL = """
 WITH g AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS p FROM g WHERE n >= 50)),
+c AS (SELECT doc_id, n, base, substr(h, 2 * base + 1, 610) AS part FROM (SELECT doc_id, h, n, unnest(range(0, n - 49, 256)) AS base FROM g WHERE n >= 50)),
+w AS (SELECT doc_id, base + q AS p, substr(part, 2 * q + 1, 100) AS s FROM (SELECT doc_id, base, part, unnest(range(least(256, n - 49 - base))) AS q FROM c)),
 o AS (SELECT s, min(doc_id) AS own FROM w GROUP BY s),
 x AS (SELECT doc_id, p FROM w JOIN o USING (s) WHERE own < doc_id),
 y AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM x),
