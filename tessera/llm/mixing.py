@@ -12,6 +12,8 @@ from tessera.llm.common import WORDS, checked_broadcasts, fresh, materialize, ta
 
 #: Rows of a source are joined with its totals in so many parts.
 SALTS = 64
+#: Once so few rows in all may still be taken, each source's walk ends in one task.
+FOLD = 1 << 17
 
 
 def appeal(size: Column) -> Column:
@@ -125,12 +127,49 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     rows = materialize(sure.unionByName(rest).drop("_q"))
     state = sources.where("_p > 0").select("_source", "_none", "_room", F.lit(0).cast("bigint").alias("_from"), F.lit(True).alias("_open"), F.col("_largest").cast("bigint").alias("_largest"), F.expr("cast(array() as array<struct<after: bigint, last: bigint, below: bigint>>)").alias("_legs"))
     state = materialize(state)
-    while not state.where("_open").isEmpty():
+    while (left := _may_fit(rows, state).count()) > FOLD:
         state = materialize(_leg(rows, state))
+    if left:
+        state = materialize(_walked(rows, state))
     rows = rows.join(_salted(state.select("_source", "_none", "_legs")), ["_source", "_none", "_salt"], "left")
     at = F.col("_at")
     took = F.exists("_legs", lambda x: (at > x["after"]) & (((at < x["last"]) & (F.col("size") < x["below"])) | (at == x["last"])))
-    return _copies(rows, F.col("_certain") | F.coalesce(took, F.lit(False)))
+    empty = (F.col("size") == 0) & F.col("_legs").isNotNull()  # always fits
+    return _copies(rows, F.col("_certain") | empty | F.coalesce(took, F.lit(False)))
+
+
+def _bit(c: Column) -> Column:
+    """The largest power of two that isn't larger, 1 for 0."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(F.greatest(c, F.lit(1).cast("bigint")))) - 1)
+
+
+def _may_fit(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows that an open source has not passed yet and that fit its room."""
+    now = _salted(state.where("_open").select("_source", "_none", "_room", "_from"))
+    r = rows.where("not _certain and size > 0").select("_source", "_none", "_salt", "_at", F.col("size").cast("bigint").alias("size"))
+    return r.join(now, ["_source", "_none", "_salt"]).where("_at > _from AND size <= _room")
+
+
+def _walked(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """Walk each open source's rows that may fit, FOLD in all at most, one by one; the legs are those that _leg would find."""
+    each = _may_fit(rows, state).groupBy("_source", "_none").agg(F.array_sort(F.collect_list(F.struct("_at", "size"))).alias("_rows"))
+    top = F.lit((1 << 63) - 1)
+    legs = "array<struct<after: bigint, last: bigint, below: bigint>>"
+    most = 2 * _bit(F.col("_largest"))
+    start = F.struct(F.col("_room").alias("room"), F.col("_from").alias("after"), F.least(_bit(F.col("_room")), most).alias("below"), F.col("_legs").cast(legs).alias("legs"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fits, left = x["size"] <= acc["room"], acc["room"] - x["size"]
+        ends = fits & ((x["size"] >= acc["below"]) | (left < acc["below"]))
+        leg = F.struct(acc["after"].alias("after"), x["_at"].alias("last"), acc["below"].alias("below"))
+        return F.struct(
+            F.when(fits, left).otherwise(acc["room"]).alias("room"), F.when(ends, x["_at"]).otherwise(acc["after"]).alias("after"),
+            F.when(ends, F.least(_bit(left), most)).otherwise(acc["below"]).alias("below"), F.when(ends, F.array_append(acc["legs"], leg)).otherwise(acc["legs"]).cast(legs).alias("legs"),
+        )
+
+    s = state.join(each, ["_source", "_none"], "left").withColumn("_end", F.aggregate(F.coalesce("_rows", F.array().cast("array<struct<_at: bigint, size: bigint>>")), start, step))
+    last = F.struct(F.col("_end.after").alias("after"), top.alias("last"), F.col("_end.below").alias("below"))
+    return s.select("_source", "_none", F.when(F.col("_open"), F.array_append("_end.legs", last)).otherwise(F.col("_legs")).cast(legs).alias("_legs"))
 
 
 def _leg(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -141,8 +180,7 @@ def _leg(rows: DataFrame, state: DataFrame) -> DataFrame:
     fits. So a source has at most one leg for each bit of its largest size, and two more. A source without a
     last document is at its end.
     """
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(F.greatest(c, F.lit(1)))) - 1)
-    state = state.withColumn("_below", F.least(bit(F.col("_room")), 2 * bit(F.col("_largest"))))
+    state = state.withColumn("_below", F.least(_bit(F.col("_room")), 2 * _bit(F.col("_largest"))))
     now = _salted(state.where("_open").select("_source", "_none", "_room", "_from", "_below"))
     r = rows.where("not _certain").select("_source", "_none", "_salt", "_bucket", "_at", F.col("size").cast("bigint").alias("size")).join(now, ["_source", "_none", "_salt"])
     r = r.where("_at > _from AND size <= _room").withColumn("_small", F.when(F.col("size") < F.col("_below"), F.col("size")).otherwise(0))
@@ -168,7 +206,8 @@ def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """
     key, n, copy = (fresh(docs, x) for x in ("_mixed_id", "_mixed_copies", "_mixed_copy"))
     copies = mix(docs, **options).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").cast("int").alias(n))
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col(key)))
+    # compressed files of ids say nothing of their size, so they are merged, not broadcast by it
+    out = docs.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)))
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 

@@ -97,7 +97,9 @@ def plain_mix(rows, targets, seed="mix"):
     return out, odds
 
 
-def test_mixing_fills_past_a_long_boundary_document(spark):
+@pytest.mark.parametrize("fold", [0, mixing.FOLD])
+def test_mixing_fills_past_a_long_boundary_document(spark, monkeypatch, fold):
+    monkeypatch.setattr(mixing, "FOLD", fold)
     rng = random.Random(3)
     rows = [(i, rng.choice([0, 1, 2, 5, 40, 300, 9000 if i % 40 == 0 else 7]), "abc"[i % 3]) for i in range(900)]
     docs = spark.createDataFrame([(i, " ".join(["w"] * n), s) for i, n, s in rows], "doc_id bigint, text string, source string").repartition(4)
