@@ -26,7 +26,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near-duplicates (5-word shingles, similarity 0.8) stays, the smallest doc_id."""
     key, found = fresh(docs, "_gone_id"), near_dedup(docs)
     same = F.col("doc_id") == F.col(key)
-    stay = docs.join(found.where(~F.col("kept")).select(F.col("doc_id").alias(key)), same, "left_anti")
+    # compressed files of ids say nothing of their size, so they are merged, not broadcast by it
+    stay = docs.join(found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).hint("merge"), same, "left_anti")
     twice = found.where("kept and n_shingles > 0").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key)
     if twice.isEmpty():
         return stay
