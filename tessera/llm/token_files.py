@@ -366,13 +366,16 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
     manifest = materialize(dealt.mapInArrow(_write(folder, path, end_id, shard_ids), "file string, part int, shard int, n bigint, doc_ids array<bigint>, lengths array<bigint>"))
-    first = manifest.select("file", (F.sum("n").over(W.orderBy("part", "shard")) - F.col("n")).alias("first"))
-    return manifest.join(first, "file")
+    # one row for each writing task is summed in order, then the shards within each
+    parts = manifest.groupBy("part").agg(F.sum("n").alias("_all"))
+    parts = parts.select("part", (F.sum("_all").over(W.orderBy("part")) - F.col("_all")).alias("_before"))
+    within = F.sum("n").over(W.partitionBy("part").orderBy("shard")) - F.col("n")
+    return manifest.withColumn("_within", within).join(parts, "part").withColumn("first", F.col("_before") + F.col("_within")).drop("_before", "_within")
 
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
-    """Digests from the files: doc_id, start, n_tokens, ids_crc32."""
-    return manifest.select("file", "first", "doc_ids", "lengths").repartition(partitions_for(manifest.sparkSession), "file").mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    """Digests from the files: doc_id, start, n_tokens, ids_crc32. Files are dealt to as many tasks as the session has partitions."""
+    return manifest.select("file", "first", "doc_ids", "lengths").repartition(partitions_for(manifest.sparkSession), F.xxhash64("file")).mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFrame:
@@ -386,4 +389,5 @@ def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFram
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to shards and read back: doc_id, start, n_tokens, ids_crc32."""
     return token_files(table(spark, sf_dir, "documents"))
