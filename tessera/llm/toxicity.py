@@ -110,80 +110,109 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def label_words(texts: list[list[str]], toxic: list[int]) -> set[str]:
+def label_words(numbers: list, words: list[str], toxic: list[int]) -> set[str]:
     """Features that mark toxic documents: the words that carry one get label 1 in toxic documents.
 
-    A feature marks if it is in so many toxic documents and so few others that, were toxic ones a random
-    choice, any of all features would reach that with a chance under FAMILY_ERROR (Chernoff's bound on the binomial).
+    Documents are arrays of places in `words`. A feature marks if it is in so many toxic documents and so few others
+    that, were toxic ones a random choice, any of all features would reach that with a chance under FAMILY_ERROR
+    (Chernoff's bound on the binomial). Other documents are counted for features alone that would mark without them.
     """
-    seen, known = (Counter(), Counter()), {}
-    for words, y in zip(texts, toxic, strict=True):
-        own: set[str] = set()
-        for w in set(words):
-            if w not in known:
-                known[w] = features(w)
-            own.update(known[w])
-        seen[y].update(own)
-    n = [sum(len(set(words)) for words, y in zip(texts, toxic, strict=True) if y == k) for k in (0, 1)]
-    share, need = n[1] / max(1, sum(n)), math.log((len(seen[1]) + 1) / FAMILY_ERROR)
+    import numpy as np
+
+    own = [np.unique(t) for t in numbers]
+    n = [sum(len(t) for t, y in zip(own, toxic, strict=True) if y == k) for k in (0, 1)]
+    known: dict[str, int] = {}
+    of: dict[int, list[int]] = {}
+    seen: Counter = Counter()
+    for t, y in zip(own, toxic, strict=True):
+        if y:
+            for w in t.tolist():
+                if w not in of:
+                    of[w] = [known.setdefault(f, len(known)) for f in features(words[w])]
+            seen.update({f for w in t.tolist() for f in of[w]})
+    share, need = n[1] / max(1, sum(n)), math.log((len(known) + 1) / FAMILY_ERROR)
 
     def evidence(c: int, z: int) -> float:
         p = c / (c + z)
         return (c + z) * (p * math.log(p / share) + ((1 - p) * math.log((1 - p) / (1 - share)) if z else 0.0)) if p > share else 0.0
 
-    return {f for f, c in seen[1].items() if evidence(c, seen[0][f]) > need}
+    count = {f: seen[i] for f, i in known.items() if evidence(seen[i], 0) > need}
+    carried = [[f for f in features(w) if f in count] for w in words]
+    others: Counter = Counter()
+    for t, y in zip(own, toxic, strict=True):
+        if not y:
+            others.update({f for w in t.tolist() for f in carried[w]})
+    return {f for f, c in count.items() if evidence(c, others[f]) > need}
 
 
 def train(docs: list[tuple[str, int]], steps: int = 30) -> Crf:
-    """Fit the field on labelled words by Adagrad on the exact gradient, then the document score on its marginals."""
+    """Fit the field on labelled words by Adagrad on the exact gradient, then the document score on its marginals.
+
+    Words are held as numbers, and each step takes the documents in parts of some CALL_WORDS words, so memory is
+    that of the texts, their distinct words, and one part.
+    """
     import numpy as np
 
     docs = list(dict(sorted(docs)).items())  # copies of a text are no further evidence; toxic if any copy is
-    texts, toxic = [[w.strip(STRIP) for w in words_of(t)] for t, _ in docs], [y for _, y in docs]
+    toxic = [y for _, y in docs]
     if not sum(toxic) or sum(toxic) == len(toxic):
         return Crf(final=(0.0, 0.0, 0.0, 20.0 if sum(toxic) else -20.0))
-    marks = label_words(texts, toxic)
-    index = {f: i for i, f in enumerate(sorted(marks))}
     vocabulary: dict[str, int] = {}
-    numbers = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t], dtype=np.int64) for t in texts]
-    rows, cols = [], []
-    for w, i in vocabulary.items():
-        for f in features(w):
-            if f in index:
-                rows.append(i), cols.append(index[f])
-    rows, cols, n_words = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), max(1, len(vocabulary))
-    marked = np.bincount(rows, minlength=n_words) > 0
+    numbers = [np.array([vocabulary.setdefault(w.strip(STRIP), len(vocabulary)) for w in words_of(t)], dtype=np.int32) for t, _ in docs]
+    del docs
+    words = list(vocabulary)
+    del vocabulary
+    marks = label_words(numbers, words, toxic)
+    index = {f: i for i, f in enumerate(sorted(marks))}
+    # marked words are numbered from 1 on; the others are alike
+    code, rows, cols, n_codes = np.zeros(len(words), dtype=np.int32), [], [], 1
+    for i, w in enumerate(words):
+        held = [index[f] for f in features(w) if f in index]
+        if held:
+            rows += [n_codes] * len(held)
+            cols += held
+            code[i], n_codes = n_codes, n_codes + 1
+    del words
+    rows, cols = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64)
+    numbers = [code[t] for t in numbers]
     # documents without any marked word are alike if equally long: one of each length stands for all
-    plain = [not marked[t].any() for t in numbers]
-    key = np.array([-len(t) if p else i + 1 for i, (t, p) in enumerate(zip(numbers, plain, strict=True))])
+    key = np.array([i + 1 if t.any() else -len(t) for i, t in enumerate(numbers)])
     _, one, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-    word, lengths = np.concatenate([numbers[i] for i in one]), np.array([len(numbers[i]) for i in one])
-    of = np.repeat(np.arange(len(one)), lengths)
-    times = times[of].astype(float)
-    y = marked[word] & np.array(toxic, dtype=bool)[one][of]
-    pairs = np.flatnonzero(of[1:] == of[:-1]) + 1  # words with one before them
-    weight = times[pairs]
+    lengths = np.array([len(numbers[i]) for i in one])
+    part = np.cumsum(lengths) // CALL_WORDS
+    parts = np.split(np.arange(len(one)), np.flatnonzero(part[1:] != part[:-1]) + 1)
+    word = [np.concatenate([numbers[i] for i in one[k]]) for k in parts]
+    del numbers
+    hot = np.array(toxic, dtype=bool)[one]
     # weights, bias, and three transitions
     theta, seen = np.zeros(len(index) + 4), np.full(len(index) + 4, 1e-8)
     theta[-4] = -4.0
     crf = Crf()
-    gold01, gold10, gold11 = (float(weight[(y[pairs - 1] == a) & (y[pairs] == b)].sum()) for a, b in ((0, 1), (1, 0), (1, 1)))
-    for _ in range(steps):
+    for step in range(steps):
         crf.enter, crf.leave, crf.stay = theta[-3:]
-        e = (np.bincount(rows, theta[cols], minlength=n_words) + theta[-4])[word]
-        fwd, bwd = passes(e, lengths, crf)
-        p = fwd * bwd / (1 + fwd * bwd)
-        q = np.bincount(word, (p - y) * times, minlength=n_words)
-        x, z = fwd[pairs - 1], np.exp(np.clip(e[pairs], -60, 60)) * bwd[pairs]
-        z01, z10, z11 = np.exp(crf.enter) * z, np.exp(crf.leave) * x, np.exp(crf.stay) * x * z
-        total = weight / (1 + z01 + z10 + z11)
-        grad = np.r_[np.bincount(cols, q[rows], minlength=len(index)), q.sum(), (z01 * total).sum() - gold01, (z10 * total).sum() - gold10, (z11 * total).sum() - gold11]
+        emission = np.bincount(rows, theta[cols], minlength=n_codes) + theta[-4]
+        q, turns, found = np.zeros(n_codes), np.zeros(3), []
+        for w, k in zip(word, parts, strict=True):
+            of = np.repeat(k, lengths[k])
+            y, e = (w > 0) & hot[of], emission[w]
+            fwd, bwd = passes(e, lengths[k], crf)
+            p = fwd * bwd / (1 + fwd * bwd)
+            q += np.bincount(w, (p - y) * times[of], minlength=n_codes)
+            pairs = np.flatnonzero(of[1:] == of[:-1]) + 1  # words with one before them
+            weight, a, b = times[of[pairs]], y[pairs - 1], y[pairs]
+            x, z = fwd[pairs - 1], np.exp(np.clip(e[pairs], -60, 60)) * bwd[pairs]
+            z01, z10, z11 = np.exp(crf.enter) * z, np.exp(crf.leave) * x, np.exp(crf.stay) * x * z
+            total = weight / (1 + z01 + z10 + z11)
+            turns += [(z01 * total).sum() - weight[~a & b].sum(), (z10 * total).sum() - weight[a & ~b].sum(), (z11 * total).sum() - weight[a & b].sum()]
+            if step + 1 == steps:
+                found.append(document_features(p, lengths[k]))
+        grad = np.r_[np.bincount(cols, q[rows], minlength=len(index)), q.sum(), turns]
         grad += 0.1 * theta
         seen += grad * grad
         theta -= 1.0 * grad / np.sqrt(seen)
     crf.weights = {f: float(theta[i]) for f, i in index.items()}
     crf.bias, (crf.enter, crf.leave, crf.stay) = float(theta[-4]), map(float, theta[-3:])
-    crf.final = _logistic(document_features(p, lengths)[back], np.array(toxic, dtype=float))
+    crf.final = _logistic(np.concatenate(found)[back], np.array(toxic, dtype=float))
     return crf
 
 

@@ -494,6 +494,24 @@ def test_toxicity_trains_on_whole_texts(spark):
     assert {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()} == {i: y for i, _, y in rows}
 
 
+def test_training_takes_documents_in_parts(monkeypatch):
+    """Memory doesn't follow the words of all documents, and the parts don't change the field."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 2000, 6000 + k)) + (" vile slur" * (k % 4 == 0)) for k in range(200)]
+    docs = [(t, int(k % 4 == 0)) for k, t in enumerate(texts)]
+    tracemalloc.start()
+    whole = toxicity.train(docs, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole.weights and peak < 90e6  # 1.2 million words
+    monkeypatch.setattr(toxicity, "CALL_WORDS", 7000)
+    parts = toxicity.train(docs, steps=2)
+    assert parts.weights == pytest.approx(whole.weights) and parts.bias == pytest.approx(whole.bias) and parts.final == pytest.approx(whole.final)
+    assert (parts.enter, parts.leave, parts.stay) == pytest.approx((whole.enter, whole.leave, whole.stay))
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage's decisions on its own input, against plain implementations."""
     from test_dedup import plain_leaks
