@@ -51,9 +51,9 @@ class WaveletMatrix:
         for b in range(bits - 1, -1, -1):
             bit = (x & x.dtype.type(1 << b)) != 0
             packed = np.packbits(bit)
-            low = x[~bit]
+            low = x.take(np.flatnonzero(~bit))  # places rather than a mask: bits are hard to predict
             zeros.append(len(low))
-            x = np.concatenate([low, x[bit]])
+            x = np.concatenate([low, x.take(np.flatnonzero(bit))])
             planes.append(packed)
             blocks = np.zeros(n_blocks * RANK_BLOCK // 8, dtype=np.uint8)
             blocks[: len(packed)] = packed
@@ -160,75 +160,88 @@ class WaveletMatrix:
         for b in range(self.bits - 1, -1, -1):
             bit = np.unpackbits(self._plane(b)[0])[: self.n].view(bool)
             before = np.empty_like(value)
-            before[~bit] = value[: self.zeros[b]]
-            before[bit] = value[self.zeros[b] :] | value.dtype.type(1 << (self.bits - 1 - b))
+            before[np.flatnonzero(~bit)] = value[: self.zeros[b]]
+            before[np.flatnonzero(bit)] = value[self.zeros[b] :] | value.dtype.type(1 << (self.bits - 1 - b))
             value = before
         return self.alphabet[value].astype(np.uint32) if self.n else value.astype(np.uint32)
 
 
 class Encoder:
-    """Encodes texts with a tokenizers file, each distinct piece of a call once.
+    """Encodes texts with a tokenizers file, each distinct piece of a call at most once.
 
     A byte-level pattern that starts a new piece at every space before a visible character allows texts to be cut
-    there; equal pieces have equal ids wherever they stand. New words go to the library's model as they are, other
-    pieces and the texts' first pieces through the whole library, which also finds added tokens: these hold no space.
-    Pieces are known until the task ends. Those that a call held twice or more stay known to the worker's next
-    task, COMMON of them at most, about 25 MB.
+    there; equal pieces have equal ids wherever they stand. New pieces go through the library joined again by spaces:
+    a piece holds no other space than the one before it, so its ids are those from a token with that space to the
+    next. Texts' first pieces go through the library alone. Added tokens are found in both; these hold no space.
+    Pieces and their ids stay known to the worker's next tasks as two Arrow arrays, some 40 MB; once they are
+    more than LIMIT, those that fewer calls used go, half of LIMIT at least.
     """
 
-    LIMIT, COMMON = 1 << 18, 1 << 17
+    LIMIT, JOIN, BATCH = 1 << 20, 64, 16
     #: Spaces before one of these can't be cut at; such texts go through the library whole.
     ODD = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-    TAIL = ".,;:!?\n"
-    _common: dict[str, dict[str, bytes]] = {}
+    _loaded: dict[tuple, Encoder] = {}
 
     def __init__(self, path: str):
         import re
 
+        import numpy as np
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
-        self.lib = Tokenizer.from_file(path)
-        self.model, self.odd = self.lib.model, re.compile(self.ODD)
-        self.common = self._common.setdefault(path, {})
-        self.pieces: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
-        # the model's own characters for bytes: visible ones stand for themselves, others follow from 256 on
-        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        rest = iter(range(256, 512))
-        self.shown = {c: c if c in visible else next(rest) for c in range(256)}
-
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
-        return [array("I", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a space and letters, which are one piece of the pattern."""
-        from array import array
-
-        raw = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
-        return array("I", [t.id for t in self.model.tokenize("\u0120" + raw)]).tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Make known what a space and each of these pieces give."""
-        known, mixed, ended = self.pieces, [], []
-        for piece in pieces:
-            bare = piece.rstrip(self.TAIL)
-            if not bare.isalpha():
-                mixed.append(piece)
-                continue
-            if bare not in known:
-                known[bare] = self.common.get(bare) or self._word(bare)
-            if len(bare) < len(piece):
-                ended.append((piece, bare))
-        known.update(zip(mixed, self._batch([f" {p}" for p in mixed]), strict=True))
-        tails = [t for t in {p[len(b) :] for p, b in ended} if t not in self.ends]
-        if len(self.ends) + len(tails) > 10_000:
-            self.ends.clear()
-            tails = list({p[len(b) :] for p, b in ended})
-        self.ends.update(zip(tails, self._batch(tails), strict=True))
-        for piece, bare in ended:
-            known[piece] = known[bare] + self.ends[piece[len(bare) :]]
+        self.lib, self.odd = Tokenizer.from_file(path), re.compile(self.ODD)
+        vocabulary = self.lib.get_vocab(with_added_tokens=True)
+        size = max(vocabulary.values(), default=0) + 1
+        self.kind, self.opens = np.dtype("<u2" if size <= 1 << 16 else "<u4"), np.zeros(size, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # tokens that begin with a space
+        self.names, self.codes, self.uses = pa.array([], pa.string()), pa.array([], pa.large_binary()), np.zeros(0, dtype=np.int32)
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The worker's encoder for a file as it is now; the worker keeps one."""
+        import os
+
+        key = (path, os.stat(path).st_mtime_ns, os.stat(path).st_size)
+        if key not in cls._loaded:
+            cls._loaded.clear()
+            cls._loaded[key] = cls(path)
+        return cls._loaded[key]
+
+    def _batch(self, texts: list[str]) -> list:
+        import numpy as np
+
+        return [np.array(e.ids, dtype=self.kind) for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _coded(self, ids: list, sizes: list):
+        """Arrays of ids end to end and of pieces' sizes as an Arrow array of bytes."""
+        import numpy as np
+        import pyarrow as pa
+
+        offsets = np.zeros(sum(map(len, sizes)) + 1, dtype=np.int64)
+        np.cumsum(np.concatenate([np.zeros(0, dtype=np.int64), *sizes]) * self.kind.itemsize, out=offsets[1:])
+        data = np.concatenate([np.zeros(0, dtype=self.kind), *ids])
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+    def _learn(self, pieces: list[str]):
+        """What a space and each of these pieces give; an empty piece, which texts begin with, gives nothing."""
+        import numpy as np
+
+        ids, sizes = [], []
+        groups = [pieces[i : i + self.JOIN] for i in range(0, len(pieces), self.JOIN)]
+        for i in range(0, len(groups), self.BATCH):
+            some = groups[i : i + self.BATCH]
+            for group, found in zip(some, self._batch(["".join([f" {p}" for p in g if p]) for g in some]), strict=True):
+                at = np.flatnonzero(self.opens[found])
+                whole, size = np.array([p != "" for p in group]), np.zeros(len(group), dtype=np.int64)
+                if len(at) == whole.sum() and (not len(found) or len(at) and at[0] == 0):
+                    size[whole] = np.diff(at, append=len(found))
+                    ids.append(found)
+                else:  # not a byte-level file's ids
+                    alone = self._batch([f" {p}" if p else "" for p in group])
+                    size[:] = [len(x) for x in alone]
+                    ids += alone
+                sizes.append(size)
+        return self._coded(ids, sizes)
 
     def encode(self, texts: list[str]):
         """All texts' ids end to end, and how many each has."""
@@ -236,27 +249,30 @@ class Encoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.pieces) > self.LIMIT:
-            self.pieces.clear()
         plain = [not (t[-1:] == " " or "  " in t or " \n" in t or self.odd.search(t)) for t in texts]
         lists = pc.split_pattern(pa.array([t if p else "" for t, p in zip(texts, plain, strict=True)], pa.string()), " ")
-        heads = [t.split(" ", 1)[0] if p else t for t, p in zip(texts, plain, strict=True)]
-        coded = lists.flatten().dictionary_encode()
-        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
-        known, common = self.pieces, self.common
-        self._learn([w for w in pieces if w and w not in known and w not in common])
-        ids = [known.get(w) or common[w] if w else b"" for w in pieces]
-        if len(common) < self.COMMON:
-            often = np.flatnonzero(np.bincount(at, minlength=len(pieces)) > 1)
-            common.update((pieces[i], ids[i]) for i in often[: self.COMMON - len(common)].tolist() if pieces[i])
-        ids += self._batch(heads)
+        heads = self._batch([t.split(" ", 1)[0] if p else t for t, p in zip(texts, plain, strict=True)])
         first = lists.offsets.to_numpy()[:-1]
-        at[first] = len(pieces) + np.arange(len(texts))
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-        starts, n = np.cumsum(sizes) - sizes, sizes[at]
-        where = np.repeat(starts[at] - (np.cumsum(n) - n), n)
-        where += np.arange(len(where))
-        return np.frombuffer(b"".join(ids), dtype="<u4")[where], np.add.reduceat(n, first) if len(first) else n
+        split = lists.flatten().dictionary_encode()
+        pieces = split.dictionary
+        place = pc.index_in(pieces, value_set=self.names)
+        new = pieces.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().copy()
+        place[place < 0] = len(self.names) + np.arange(len(new), dtype=np.int32)
+        self.names, self.codes = pa.concat_arrays([self.names, new]), pa.concat_arrays([self.codes, self._learn(new.to_pylist())])
+        at = place[split.indices.to_numpy()]
+        at[first] = len(self.codes) + np.arange(len(texts), dtype=np.int32)
+        out = pa.concat_arrays([self.codes, self._coded(heads, [np.array([len(h) for h in heads], dtype=np.int64)])]).take(pa.array(at))
+        self.uses = np.append(self.uses, np.zeros(len(new), dtype=np.int32))
+        self.uses[place] += 1
+        if len(self.names) > self.LIMIT:
+            keep = self.uses > np.partition(self.uses, -(self.LIMIT // 2))[-(self.LIMIT // 2)]
+            some, self.uses = pa.array(keep), self.uses[keep] // 2
+            self.names, self.codes = self.names.filter(some), self.codes.filter(some)
+        _, offsets, data = out.buffers()
+        offsets = np.frombuffer(offsets, dtype=np.int64, count=len(out) + 1) // self.kind.itemsize
+        ids = np.frombuffer(data, dtype=self.kind, count=int(offsets[-1])) if offsets[-1] else np.zeros(0, dtype=self.kind)
+        return ids, np.diff(offsets[np.append(first, len(out))])
 
 
 #: Texts are encoded in calls of about so many characters.
@@ -275,7 +291,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, where = Encoder(path), fs.FileSystem.from_uri(folder)
+        encoder, where = Encoder.of(path), fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         part, shard = context.partitionId(), 0
         docs: list[int | None] = []

@@ -373,6 +373,35 @@ def test_token_files_of_awkward_rows(spark, tricky_docs, empty_docs, tricky):
     assert token_files.token_files(empty_docs, PATH).collect() == []
 
 
+def test_encoder_knows_pieces_across_calls(documents, monkeypatch):
+    """Pieces go to the library once, whatever call or task they came in first; ids are the library's all the same."""
+    from tokenizers import Tokenizer
+
+    lib, texts = Tokenizer.from_file(PATH), [t for _, t in documents[:300] if t] + ODD_TEXTS + ["a <|endoftext|>b c<|endoftext|> d\ne\n\nf"]
+    want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def check(encoder, at):
+        ids, sizes = encoder.encode([texts[i] for i in at])
+        assert sizes.tolist() == [len(want[i]) for i in at] and ids.tolist() == [x for i in at for x in want[i]]
+
+    sent = []
+    batch = token_files.Encoder._batch
+    monkeypatch.setattr(token_files.Encoder, "_batch", lambda self, some: sent.extend(some) or batch(self, some))
+    order = list(range(len(texts)))
+    check(token_files.Encoder.of(PATH), order)
+    sent.clear()
+    check(token_files.Encoder.of(PATH), order[::-1])
+    assert len(sent) == len(texts)  # their first pieces, or texts that can't be cut
+    monkeypatch.setattr(token_files.Encoder, "LIMIT", 100)
+    small = token_files.Encoder(PATH)
+    for i in range(0, len(texts), 7):
+        check(small, order[i : i + 7])
+        assert len(small.names) == len(small.codes) == len(small.uses) <= 100
+    small.opens[:] = False  # as if tokens didn't show where a piece begins
+    check(small, order)
+    assert [len(x) for x in small.encode([])] == [0, 0] and small.encode([""])[1].tolist() == [0]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(6)
     for ids in (rng.integers(0, 50_000, 9000), rng.integers(0, 3, 5000) * 7, np.full(10, 4), np.array([], dtype=int), rng.integers(0, 1 << 31, 4097)):
