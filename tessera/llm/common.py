@@ -109,6 +109,31 @@ def small_batches(f):
     return _with_settings(f, {"spark.sql.execution.arrow.maxRecordsPerBatch": "256"})
 
 
+def give_back() -> None:
+    """Hand memory that Arrow and the C library keep for later use back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def trimmed(run):
+    """A function on batches whose worker holds no more memory after a task than what is in use.
+
+    Workers stay for the tasks of later stages; what a task had at its peak would stay with each of them.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def checked_broadcasts(f):
     """Run f with joins that broadcast a side only once its rows are there and take under 8 MB.
 

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WordHashes, materialize, small_batches, table, tidy
+from tessera.llm.common import WordHashes, materialize, small_batches, table, tidy, trimmed
 from tessera.llm.license_scan import license_words
 
 SHINGLE, PERCENT = 5, 80
@@ -203,7 +203,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for items in _passes(benchmark, item_col, "text"):
-        some = materialize(rows.mapInArrow(_search(items, 0, 1, False), "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double"))
+        some = materialize(rows.mapInArrow(trimmed(_search(items, 0, 1, False)), "doc_id bigint, item_id bigint, first_word bigint, n_words bigint, similarity double"))
         out = some if out is None else out.unionByName(some)
     return out
 
@@ -211,7 +211,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The documents that hold no benchmark item, whatever its item_id, with all their columns. Nothing is shuffled."""
     for items in _passes(benchmark, item_col, "text", nameless=True):
-        docs = docs.mapInArrow(_search(items, docs.columns.index(id_col), docs.columns.index(text_col), True), docs.schema)
+        docs = docs.mapInArrow(trimmed(_search(items, docs.columns.index(id_col), docs.columns.index(text_col), True)), docs.schema)
     return docs
 
 

@@ -25,6 +25,7 @@ from tessera.llm.common import (
     small_batches,
     table,
     tidy,
+    trimmed,
 )
 
 BANDS, WIDTH = 14, 3
@@ -113,7 +114,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     wanted = materialize(members.unionByName(copies))
     rows = wanted.join(texts_of(docs, wanted), "doc_id").select("hub", "salt", "member", "text")
     rows = rows.repartition(partitions_for(docs.sparkSession), "hub", "salt").sortWithinPartitions("hub", "salt", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_verifier(k, percent), "a bigint, b bigint").distinct()
+    return rows.mapInArrow(trimmed(_verifier(k, percent)), "a bigint, b bigint").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -236,10 +237,10 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, docs: DataFram
     rows = rows.select("bucket", "rep", "label", "n_shingles", "sig", "block", F.greatest("block", "mate").alias("p"), F.least("block", "mate").alias("q"))
     parts = partitions_for(rows.sparkSession)
     rows = rows.repartition(parts, "bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-    tasks = materialize(rows.mapInArrow(_blocks(), "task bigint, rep bigint, label bigint"))
+    tasks = materialize(rows.mapInArrow(trimmed(_blocks()), "task bigint, rep bigint, label bigint"))
     texts = texts_of(docs, tasks.select(F.col("rep").alias("doc_id")))
     dealt = tasks.join(texts, tasks.rep == texts.doc_id).select("task", "rep", "label", "text").repartition(parts, "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(_exact(k, percent), "a bigint, b bigint").distinct()
+    return dealt.mapInArrow(trimmed(_exact(k, percent)), "a bigint, b bigint").distinct()
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -274,7 +275,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if percent < 80:
         raise ValueError(f"near_dedup finds pairs of a similarity of 80 % and more, not {percent}")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    feats = materialize(docs.mapInArrow(_features(words), "doc_id bigint, n_shingles bigint, fp binary, one array<bigint>, two array<bigint>, sig binary"), "lz4")
+    feats = materialize(docs.mapInArrow(trimmed(_features(words)), "doc_id bigint, n_shingles bigint, fp binary, one array<bigint>, two array<bigint>, sig binary"), "lz4")
     usable = feats.where("fp is not null and doc_id is not null")
     # one row per set; copies of a set are pre-aggregated by each task
     sets = usable.groupBy("fp").agg(F.min(F.struct("doc_id", "n_shingles", "one", "two", "sig")).alias("s"))

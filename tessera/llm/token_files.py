@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, partitions_for, shared_dir, small_batches, table
+from tessera.llm.common import materialize, partitions_for, shared_dir, small_batches, table, trimmed
 
 MAGIC = b"WMTX2\0"
 RANK_BLOCK = 4096
@@ -173,11 +173,11 @@ class Encoder:
     there; equal pieces have equal ids wherever they stand. New pieces go through the library joined again by spaces:
     a piece holds no other space than the one before it, so its ids are those from a token with that space to the
     next. Texts' first pieces go through the library alone. Added tokens are found in both; these hold no space.
-    Pieces and their ids stay known to the worker's next tasks as two Arrow arrays, some 40 MB; once they are
+    Pieces and their ids stay known to the worker's next tasks as two Arrow arrays, some 20 MB; once they are
     more than LIMIT, those that fewer calls used go, half of LIMIT at least.
     """
 
-    LIMIT, JOIN, BATCH = 1 << 20, 64, 16
+    LIMIT, JOIN, BATCH = 1 << 19, 64, 16
     #: Spaces before one of these can't be cut at; such texts go through the library whole.
     ODD = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     _loaded: dict[tuple, Encoder] = {}
@@ -381,7 +381,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
-    manifest = materialize(dealt.mapInArrow(_write(folder, path, end_id, shard_ids), "file string, part int, shard int, n bigint, doc_ids array<bigint>, lengths array<bigint>"))
+    manifest = materialize(dealt.mapInArrow(trimmed(_write(folder, path, end_id, shard_ids)), "file string, part int, shard int, n bigint, doc_ids array<bigint>, lengths array<bigint>"))
     # one row for each writing task is summed in order, then the shards within each
     parts = manifest.groupBy("part").agg(F.sum("n").alias("_all"))
     parts = parts.select("part", (F.sum("_all").over(W.orderBy("part")) - F.col("_all")).alias("_before"))
@@ -391,7 +391,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id"
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """Digests from the files: doc_id, start, n_tokens, ids_crc32. Files are dealt to as many tasks as the session has partitions."""
-    return manifest.select("file", "first", "doc_ids", "lengths").repartition(partitions_for(manifest.sparkSession), F.xxhash64("file")).mapInArrow(_read(folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return manifest.select("file", "first", "doc_ids", "lengths").repartition(partitions_for(manifest.sparkSession), F.xxhash64("file")).mapInArrow(trimmed(_read(folder)), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(docs: DataFrame, path: str | None = None, **options) -> DataFrame:

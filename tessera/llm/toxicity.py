@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, small_batches, table, tidy
+from tessera.llm.common import materialize, small_batches, table, tidy, trimmed
 
 #: The bounds of the training sample: toxic rows and other rows, with their whole texts.
 TRAIN_TOXIC, TRAIN_OTHER = 1500, 4000
@@ -324,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, other: int
     some = materialize(sample[0].unionByName(sample[1]))  # toxic + other rows, so it can be broadcast
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(some), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
-    model = {r.name: r.value for r in materialize(texts.repartition(1).mapInArrow(_trainer, "name string, value double")).collect()}
+    model = {r.name: r.value for r in materialize(texts.repartition(1).mapInArrow(trimmed(_trainer), "name string, value double")).collect()}
     if not model:  # no task ran, as there is no labelled row
         return Crf()
     return Crf({k: v for k, v in model.items() if k[0] in "=^"}, *(model[k] for k in ("bias", "enter", "leave", "stay")), tuple(model[f"final{i}"] for i in range(4)))
@@ -336,12 +336,12 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
     A null or empty text has no toxic words and the score that goes with none.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(crf, spans), "doc_id bigint, score double" + (", spans array<struct<start: bigint, end: bigint, p: double>>" if spans else ""))
+    return rows.mapInArrow(trimmed(_scorer(crf, spans)), "doc_id bigint, score double" + (", spans array<struct<start: bigint, end: bigint, p: double>>" if spans else ""))
 
 
 def without_toxic(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with a score under one half, with all their columns. Nothing is shuffled."""
-    return docs.mapInArrow(_scorer(crf, False, docs.columns.index(id_col), docs.columns.index(text_col), 0.5), docs.schema)
+    return docs.mapInArrow(trimmed(_scorer(crf, False, docs.columns.index(id_col), docs.columns.index(text_col), 0.5)), docs.schema)
 
 
 @small_batches

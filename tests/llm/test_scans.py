@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import license_scan, mixing, queries, secrets_scan, sharding, token_files, toxicity
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, trimmed
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
@@ -402,6 +402,34 @@ def test_encoder_knows_pieces_across_calls(documents, monkeypatch):
     assert [len(x) for x in small.encode([])] == [0, 0] and small.encode([""])[1].tolist() == [0]
 
 
+def test_tasks_give_memory_back(monkeypatch):
+    """Rows pass as they are; what a task held is free when memory is handed back, and then is the system's again."""
+    import weakref
+
+    import pyarrow as pa
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Anonymous:\s+(\d+)", f.read())[1]) / 1024
+
+    class Cache(dict):
+        pass
+
+    caches = []
+
+    def run(batches):
+        cache = Cache()
+        caches.append(weakref.ref(cache))
+        cache[0] = [pa.array(np.arange(1000)).take(pa.array(np.arange(1000))) for _ in range(20_000)]  # 160 MB
+        yield from batches
+
+    give_back, alive = trimmed.__globals__["give_back"], []
+    monkeypatch.setitem(trimmed.__globals__, "give_back", lambda: alive.append(caches[-1]()) or give_back())
+    before, rows = held(), trimmed(run)(iter([1, 2]))
+    assert next(rows) == 1 and held() > before + 100 and list(rows) == [2]
+    assert alive == [None] and held() < before + 50
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(6)
     for ids in (rng.integers(0, 50_000, 9000), rng.integers(0, 3, 5000) * 7, np.full(10, 4), np.array([], dtype=int), rng.integers(0, 1 << 31, 4097)):
