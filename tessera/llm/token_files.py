@@ -173,11 +173,11 @@ class Encoder:
     there; equal pieces have equal ids wherever they stand. New pieces go through the library joined again by spaces:
     a piece holds no other space than the one before it, so its ids are those from a token with that space to the
     next. Texts' first pieces go through the library alone. Added tokens are found in both; these hold no space.
-    Pieces and their ids stay known to the worker's next tasks as two Arrow arrays, some 20 MB; once they are
+    Pieces and their ids stay known to the worker's next tasks as two Arrow arrays, some 30 MB; once they are
     more than LIMIT, those that fewer calls used go, half of LIMIT at least.
     """
 
-    LIMIT, JOIN, BATCH = 1 << 19, 64, 16
+    LIMIT, JOIN, BATCH = 1 << 20, 64, 16
     #: Spaces before one of these can't be cut at; such texts go through the library whole.
     ODD = r"[\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
     _loaded: dict[tuple, Encoder] = {}
@@ -223,25 +223,22 @@ class Encoder:
         return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
     def _learn(self, pieces: list[str]):
-        """What a space and each of these pieces give; an empty piece, which texts begin with, gives nothing."""
+        """What a space and each of these distinct pieces give; an empty piece, which texts begin with, gives nothing."""
         import numpy as np
 
-        ids, sizes = [], []
-        groups = [pieces[i : i + self.JOIN] for i in range(0, len(pieces), self.JOIN)]
+        some, found = [p for p in pieces if p], []
+        groups = [some[i : i + self.JOIN] for i in range(0, len(some), self.JOIN)]
         for i in range(0, len(groups), self.BATCH):
-            some = groups[i : i + self.BATCH]
-            for group, found in zip(some, self._batch(["".join([f" {p}" for p in g if p]) for g in some]), strict=True):
-                at = np.flatnonzero(self.opens[found])
-                whole, size = np.array([p != "" for p in group]), np.zeros(len(group), dtype=np.int64)
-                if len(at) == whole.sum() and (not len(found) or len(at) and at[0] == 0):
-                    size[whole] = np.diff(at, append=len(found))
-                    ids.append(found)
-                else:  # not a byte-level file's ids
-                    alone = self._batch([f" {p}" if p else "" for p in group])
-                    size[:] = [len(x) for x in alone]
-                    ids += alone
-                sizes.append(size)
-        return self._coded(ids, sizes)
+            found += self._batch([f" {' '.join(g)}" for g in groups[i : i + self.BATCH]])
+        ids, ends = np.concatenate([np.zeros(0, dtype=self.kind), *found]), np.cumsum([len(x) for x in found], dtype=np.int64)
+        at = np.flatnonzero(self.opens[ids])
+        opened = np.bincount(np.searchsorted(ends, at, side="right"), minlength=len(groups))
+        if opened.tolist() == [len(g) for g in groups] and self.opens[ids[np.append(0, ends[:-1])[: len(groups)]]].all():
+            sizes = np.diff(at, append=len(ids))
+        else:  # not a byte-level file's ids
+            found = self._batch([f" {p}" for p in some])
+            ids, sizes = np.concatenate([np.zeros(0, dtype=self.kind), *found]), np.array([len(x) for x in found], dtype=np.int64)
+        return self._coded([ids], [np.insert(sizes, pieces.index(""), 0) if len(some) < len(pieces) else sizes])
 
     def encode(self, texts: list[str]):
         """All texts' ids end to end, and how many each has."""
