@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, partitions_for, shared_dir, small_batches, table, trimmed
+from tessera.llm.common import give_back, materialize, partitions_for, shared_dir, small_batches, table, trimmed
 
 MAGIC = b"WMTX2\0"
 RANK_BLOCK = 4096
@@ -252,14 +252,20 @@ class Encoder:
         first = lists.offsets.to_numpy()[:-1]
         split = lists.flatten().dictionary_encode()
         pieces = split.dictionary
-        place = pc.index_in(pieces, value_set=self.names)
-        new = pieces.filter(place.is_null())
-        place = place.fill_null(-1).to_numpy().copy()
-        place[place < 0] = len(self.names) + np.arange(len(new), dtype=np.int32)
-        self.names, self.codes = pa.concat_arrays([self.names, new]), pa.concat_arrays([self.codes, self._learn(new.to_pylist())])
+        # known pieces are looked up among the call's, which are fewer: the hash table is of these
+        known = pc.index_in(self.names, value_set=pieces)
+        held = np.flatnonzero(known.is_valid().to_numpy(zero_copy_only=False))
+        place = np.full(len(pieces), -1, dtype=np.int32)
+        place[known.drop_null().to_numpy()] = held
+        fresh = place < 0
+        new = pieces.filter(pa.array(fresh))
+        place[fresh] = len(self.names) + np.arange(len(new), dtype=np.int32)
         at = place[split.indices.to_numpy()]
-        at[first] = len(self.codes) + np.arange(len(texts), dtype=np.int32)
-        out = pa.concat_arrays([self.codes, self._coded(heads, [np.array([len(h) for h in heads], dtype=np.int64)])]).take(pa.array(at))
+        at[first] = len(self.names) + len(new) + np.arange(len(texts), dtype=np.int32)
+        # texts' first pieces come after all known ones, and go with the next call's copy
+        codes = pa.concat_arrays([self.codes, self._learn(new.to_pylist()), self._coded(heads, [np.array([len(h) for h in heads], dtype=np.int64)])])
+        self.names, self.codes = pa.concat_arrays([self.names, new]), codes.slice(0, len(self.names) + len(new))
+        out = codes.take(pa.array(at))
         self.uses = np.append(self.uses, np.zeros(len(new), dtype=np.int32))
         self.uses[place] += 1
         if len(self.names) > self.LIMIT:
@@ -273,7 +279,7 @@ class Encoder:
 
 
 #: Texts are encoded in calls of about so many characters.
-CALL_CHARS = 6 << 20
+CALL_CHARS = 3 << 20
 
 
 def _write(folder: str, path: str, end_id: int, shard_ids: int):
@@ -312,6 +318,7 @@ def _write(folder: str, path: str, end_id: int, shard_ids: int):
 
         def encoded(some, texts):
             found, counts = encoder.encode(texts)
+            give_back()  # of what a call takes, little is left; a worker's peak is then that of one call
             ends = np.cumsum(counts + 1)
             out = np.full(len(found) + len(texts), end_id, dtype="<u4")
             mask = np.ones(len(out), dtype=bool)

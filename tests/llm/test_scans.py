@@ -402,6 +402,36 @@ def test_encoder_knows_pieces_across_calls(documents, monkeypatch):
     assert [len(x) for x in small.encode([])] == [0, 0] and small.encode([""])[1].tolist() == [0]
 
 
+def test_a_call_takes_memory_of_its_own_size(monkeypatch, tmp_path):
+    """However many pieces a worker knows, no table is built over them, and each call's memory goes before the next."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    encoder = token_files.Encoder(PATH)
+    encoder.encode([" ".join(f"n{i}" for i in range(200_000))])
+    pool = pa.proxy_memory_pool(pa.system_memory_pool())
+    monkeypatch.setattr(token_files.Encoder, "_loaded", {})
+    before = pa.default_memory_pool()
+    pa.set_memory_pool(pool)
+    try:
+        ids, _ = encoder.encode(["one n5 new n199999"])
+    finally:
+        pa.set_memory_pool(before)
+    assert ids.tolist() == encoder.lib.encode("one n5 new n199999", add_special_tokens=False).ids
+    assert pool.max_memory() < 2 * (encoder.names.nbytes + encoder.codes.nbytes)
+    del ids, encoder  # before the pool that holds them
+
+    calls = []
+    encode, back = token_files.Encoder.encode, token_files.give_back
+    monkeypatch.setattr(token_files.Encoder, "encode", lambda self, texts: calls.append("encode") or encode(self, texts))
+    monkeypatch.setattr(token_files, "give_back", lambda: calls.append("give back") or back())
+    monkeypatch.setattr(token_files, "CALL_CHARS", 10)
+    monkeypatch.setattr(TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0, "taskAttemptId": lambda self: 0})())
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["a long first text", "a long second text", "a third"])], names=["doc_id", "text"])
+    assert sum(b.column("n")[0].as_py() for b in token_files._write(f"file://{tmp_path}", PATH, 2, 1 << 20)([rows])) > 3
+    assert calls == ["encode", "give back"] * 3
+
+
 def test_tasks_give_memory_back(monkeypatch):
     """Rows pass as they are; what a task held is free when memory is handed back, and then is the system's again."""
     import weakref
