@@ -77,12 +77,12 @@ def aq_enabled(qp: int, lossless: bool = False) -> bool:
     return not lossless and qp >= 8
 
 
-def aq_offsets(plane: DataFrame, qp: int = 38, most: int = 3, *, depth: int = 8, octile: int = 4, strength: float = 1.0, boost_only: bool = False, lossless: bool = False) -> DataFrame:
+def aq_offsets(plane: DataFrame, qp: int = 38, most: int = 3, *, depth: int = 8, octile: int = 4, strength: float = 1.0, boost_only: bool = False, lossless: bool = False, outside: int = 0) -> DataFrame:
     """QP offset of each 32x32 group: image, ctu, quad, off; no rows where adaptive quantisation is off.
 
     Masking is centred on its rounded mean, then each CTU is protected by its flat or dark boost, whichever is larger;
-    with boost_only nothing is masked. Groups outside the picture stay in the spine with offset 0, as the mean counts
-    them. Windows are over groups of one image: about one row for 1024 samples.
+    with boost_only nothing is masked. Groups outside the picture stay in the spine, as the mean counts them; masking
+    leaves them at `outside`. Windows are over groups of one image: about one row for 1024 samples.
     """
     groups = log_variances(plane, depth).groupBy("image", at("by", 4).alias("gy"), at("bx", 4).alias("gx")).agg(F.avg("lv").alias("lv"))
     size = groups.groupBy("image").agg((F.floor(F.max("gy") / 2) + 1).cast("int").alias("h"), (F.floor(F.max("gx") / 2) + 1).cast("int").alias("w"))
@@ -90,7 +90,8 @@ def aq_offsets(plane: DataFrame, qp: int = 38, most: int = 3, *, depth: int = 8,
     spine = spine.withColumns({"gy": F.floor(F.col("ctu") / F.col("w")).cast("int") * 2 + at("quad", 2), "gx": F.col("ctu") % F.col("w") * 2 + F.col("quad") % 2})
     rows = spine.join(groups, ["image", "gy", "gx"], "left").withColumns({"cy": at("gy", 2), "cx": at("gx", 2)})
     whole, off = W.partitionBy("image"), lambda x: clip(-most, most, x)
-    first = F.lit(0.0) if boost_only else F.coalesce(off(F.round((F.col("lv") - F.avg("lv").over(whole)) * 1.25)), F.lit(0.0))
+    masked = off(F.round((F.col("lv") - F.avg("lv").over(whole)) * 1.25))
+    first = F.lit(0.0) if boost_only else F.when(F.col("lv").isNull(), float(outside)).otherwise(masked)  # off() of a null is no null
     rows = rows.withColumn("o", first)
     rows = rows.withColumn("o", F.col("o") if boost_only else off(F.col("o") - F.round(F.avg("o").over(whole))))
     shield = activity(plane, depth, octile).select("image", "cy", "cx", F.round(F.greatest(flat_boost(F.col("low"), qp, strength), dark_boost(F.col("mean"), F.col("energy"), qp, strength))).alias("shield"))
